@@ -9,8 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import table
+from . import langid, mixing, sharding, toxicity
+from .common import fold_of, table
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    out = toxicity.score(docs, lexicon)
+    return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of("doc_id", 4) == 2
+    trees = langid.learn(docs, ~held_out)
+    return langid.predict(docs, trees).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +47,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op6_langid": op6_langid,
     "op7_sharding": op7_sharding,
     "op9_mixing": op9_mixing,
 }
