@@ -60,3 +60,21 @@ def chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def best_cut(value: np.ndarray, positive: np.ndarray, share: float = 0.5, slack: float = 0.0) -> float:
+    """The lowest cut whose balanced accuracy of ``value >= cut`` is within ``slack`` of the best.
+
+    It lies at ``share`` of the gap between the neighbouring values; without values it is 0.
+    """
+    if not len(value):
+        return 0.0
+    order = np.argsort(value, kind="stable")
+    v, y = value[order], positive[order]
+    below_neg = np.concatenate([[0], np.cumsum(~y)]) / max(1, (~y).sum())
+    below_pos = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
+    edges = np.concatenate([[True], v[1:] > v[:-1], [True]])
+    gain = np.where(edges, below_neg - below_pos, -2.0)
+    k = int(np.argmax(gain >= gain.max() - slack))
+    low, high = v[max(k - 1, 0)], v[min(k, len(v) - 1)]
+    return float(low + share * (high - low))

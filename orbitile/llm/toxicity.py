@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, label_sample
-from .text import texts_of
+from .text import best_cut, texts_of
 
 #: Labelled rows from which the lexicon is learned, at most.
 SAMPLE_ROWS = 20_000
@@ -232,20 +232,7 @@ def _cut(folded: DataFrame, lexicon: Lexicon) -> float:
             yield pa.RecordBatch.from_arrays([b["label"], pa.array(d, pa.float64())], ["label", "d"])
 
     pairs = folded.mapInArrow(densities, "label int, d double").collect()  # as many as the bounded sample
-    return best_cut(np.array([p[1] for p in pairs]), np.array([p[0] > 0 for p in pairs]))
-
-
-def best_cut(value: np.ndarray, positive: np.ndarray) -> float:
-    """A positive cut with the best balanced accuracy of ``value >= cut``."""
-    order = np.argsort(value, kind="stable")
-    v, y = value[order], positive[order]
-    below_neg = np.concatenate([[0], np.cumsum(~y)]) / max(1, (~y).sum())
-    below_pos = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
-    edges = np.concatenate([[True], v[1:] > v[:-1], [True]])
-    gain = np.where(edges, below_neg - below_pos, -2.0)
-    k = int(np.argmax(gain))
-    low, high = (v[k - 1] if k else 0.0), (v[k] if k < len(v) else v[-1] * 2)
-    return max(float(low + 0.25 * (high - low)), 1e-9)
+    return max(1e-9, best_cut(np.array([p[1] for p in pairs]), np.array([p[0] > 0 for p in pairs]), share=0.25))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, text: str = "text") -> DataFrame:
