@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, sharding, toxicity
+from . import decontaminate, langid, mixing, quality, secrets, sharding, toxicity
 from .common import fold_of, table
 
 
@@ -59,6 +59,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.scan(docs, secrets.train(docs))
+
+    def n(kind: int) -> F.Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return out.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secrets.joined("base_spans"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs.select("doc_id", "source", mixing.word_count("text").alias("n")), F.col("n"))
@@ -71,6 +88,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_langid": op6_langid,
     "op7_sharding": op7_sharding,
+    "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
 }
 
