@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, secrets, sharding, toxicity
+from . import decontaminate, langid, mixing, neardup, quality, secrets, sharding, toxicity
 from .common import fold_of, table
 
 
@@ -82,6 +82,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
@@ -90,6 +95,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
+    "op10_neardup": op10_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
