@@ -100,9 +100,13 @@ def learn(docs: DataFrame, train: Column, *, rows_per_language: int = ROWS_PER_L
     """
     fit = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    ids = fit.select("doc_id", "lang", seeded_hash(6, "doc_id").alias("__h"))
+    sizes = fit.groupBy("lang").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "lang").limit(MAX_LANGUAGES)
+    ids = fit.select("doc_id", "lang", seeded_hash(6, "doc_id").alias("__h")).join(F.broadcast(sizes), "lang")
+    # of a large language only the share of the hashes that holds about twice the rows is ranked
+    place = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / 2**32
+    ids = ids.where(place * F.col("__n") <= 2 * rows_per_language + 100)
     ids = ids.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= rows_per_language)
-    ids = materialise(ids.select("doc_id", "lang").limit(rows_per_language * MAX_LANGUAGES)).dropDuplicates()
+    ids = materialise(ids.select("doc_id", "lang").distinct())
     sample = fit.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
     rows = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
