@@ -27,6 +27,8 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     source; the excess is shared again by weight.  With sources ordered by cap per weight
     the clamped ones are a prefix, so one running sum gives the fixed point: source k is
     clamped when the level of what remains, were k not clamped, would lift it over its cap.
+    Behind the first source that is not clamped the computed levels fall, so the largest of
+    them is the level of all the others.
     An empty source has target 0.
     """
     by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
@@ -38,7 +40,7 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
         .withColumn("left_over", F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left_over") / F.sum("weight").over(after))
         .withColumn("clamped", F.col("level") * F.col("weight") >= F.col("cap"))
-        .withColumn("final_level", F.min(F.when(~F.col("clamped"), F.col("level"))).over(whole))
+        .withColumn("final_level", F.max(F.when(~F.col("clamped"), F.col("level"))).over(whole))
         .withColumn("target", F.when(F.col("clamped"), F.col("cap")).otherwise(F.col("final_level") * F.col("weight")))
     )
     return filled.drop("cap", "left_over", "level", "clamped", "final_level")

@@ -127,7 +127,7 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size,
          CASE WHEN level * weight >= cap THEN cap::DOUBLE
-              ELSE min(CASE WHEN level * weight < cap THEN level END) OVER () * weight END AS target
+              ELSE max(CASE WHEN level * weight < cap THEN level END) OVER () * weight END AS target
   FROM l
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
