@@ -73,8 +73,9 @@ def train(docs: DataFrame, *, rows: int = IDENTIFIER_ROWS, seed: int = 8) -> lis
     code = F.regexp_replace(F.base64(F.unhex("h")), "=+$", "")
     capital = F.concat(F.lit("AKIA"), F.upper(F.regexp_replace(F.base64(F.unhex(F.reverse("h"))), "[^A-Za-z0-9]", "")))
     random = ids.select(F.explode(F.array(F.col("h"), code, F.substring(capital, 1, 20), code)).alias("token"), F.lit(1).alias("random"))
-    kept = docs.where(F.col("text").isNotNull()).orderBy(seeded_hash(seed, "doc_id"), "doc_id").select("text").limit(rows)
-    words = kept.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("token"), F.lit(0).alias("random"))
+    kept = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", seeded_hash(seed, "doc_id").alias("h"))
+    kept = kept.orderBy("h", "doc_id").limit(rows).select("doc_id").distinct()
+    words = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("token"), F.lit(0).alias("random"))
     pairs = random.unionByName(words).withColumn("c", codes(F.col("token")))
     pairs = pairs.select("random", F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c")).alias("b"))).alias("p"))
     counted = pairs.groupBy("random", F.col("p.a").alias("a"), F.col("p.b").alias("b")).count().collect()
