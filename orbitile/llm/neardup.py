@@ -2,20 +2,19 @@
 
 A document's signature is SLOTS min-hashes of b bits each.  Two sets of similarity 0.85
 differ in a slot with probability 0.15 at most, so with MAX_DISTANCE differing slots allowed
-a link is missed with a chance of about 1e-5.  Cut into CHUNKS parts, two signatures within
+a link is missed with a chance of about 5e-6.  Cut into CHUNKS parts, two signatures within
 that distance agree, by the pigeonhole principle, up to ERRORS slots in at least one part:
 every way to leave ERRORS slots out of every part makes a key, and all such pairs share a key.
 Each link is confirmed on the full shingle sets.
 
-Equal sets are one node from the start.  Groups are never expanded into all their pairs: the
-nodes of a key are first compared with one of them, linked nodes are contracted, and only
-nodes of different components that still share a key are compared further.
+Equal sets are one node from the start.  The nodes that share keys are compared in bounded
+blocks by incidence matrices, which return spanning forests: no list of pairs is ever made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +27,13 @@ from .text import WordHasher, chunks, mix64, texts_of
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-SLOTS, BITS = 64, 16
-MAX_DISTANCE, ERRORS = 23, 1
+SLOTS, BITS = 48, 16
+MAX_DISTANCE, ERRORS = 19, 1
 CHUNKS = MAX_DISTANCE // (ERRORS + 1) + 1
 CHUNK = 1_000_000
 DESCRIBED = "struct<n_shingles: bigint, h1: bigint, h2: bigint, sig: binary>"
-#: Rounds of comparing with one node of each key before the remaining pairs are listed.
-STAR_ROUNDS = 8
-#: Remaining pairs per remaining key row at which they are listed.
-LISTED_PER_ROW = 4
+#: Nodes in a block, and columns of an incidence matrix at a time.
+BLOCK, SLAB = 512, 8192
 
 _random = np.random.RandomState(10)
 MULTIPLY = _random.randint(0, 2**63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,19 +106,8 @@ def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         signatures = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(-1, SLOTS)
         keys = signature_keys(signatures)
-        nid, n = (np.repeat(np.asarray(b[c]), keys.shape[1]) for c in ("nid", "n_shingles"))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nid), pa.array(n)], ["key", "nid", "n"])
-
-
-def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
-    hasher, last, out = WordHasher(), (None, None), []
-    for x, y in zip(texts_of(a), texts_of(b), strict=True):
-        if x != last[0]:
-            last = (x, shingle_sets([x], hasher)[0])
-        one, other = last[1], shingle_sets([y], hasher)[0]
-        both = len(np.intersect1d(one, other, assume_unique=True))
-        out.append(100 * both >= PERCENT * (len(one) + len(other) - both))
-    return pa.array(out, pa.bool_())
+        nid = np.repeat(np.asarray(b["nid"]), keys.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nid)], ["key", "nid"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -147,63 +133,73 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are linked."""
-    named = pairs.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
-    named = named.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
-    return named.where(F.arrow_udf(_linked, "boolean")("text_a", "text_b")).select("a", "b")
-
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a bounded number of sets, by products of incidence matrices."""
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = n[column] > 1  # a shingle of one set is in no intersection
+    doc, column = doc[common], (np.cumsum(n > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
+        here = slice(*np.searchsorted(column, (first, first + SLAB)))
+        slab = np.zeros((len(sets), SLAB), np.float32)
+        slab[doc[here], column[here] - first] = 1.0
+        total += slab @ slab.T
+    total[np.arange(len(sets)), np.arange(len(sets))] = [len(s) for s in sets]
+    return total.astype(np.int64)
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs that connect all linked ones of a few sets: fewer than there are sets."""
+    both = _intersections(sets)
+    size = both.diagonal()
+    linked = 100 * both >= PERCENT * (size[:, None] + size - both)
+    edges, new = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        queue = [start] if new[start] else []
+        new[start] = False
+        while queue:
+            x = queue.pop()
+            near = np.flatnonzero(linked[x] & new)
+            new[near] = False
+            edges += [(x, int(y)) for y in near]
+            queue += near.tolist()
+    return edges
 
-def _apart(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Key rows with the component (root) of their node, for keys with two components or more."""
-    if roots is None:
-        return shared.withColumn("root", F.col("nid"))
-    rows = shared.drop("root").join(roots, shared["nid"] == roots["node"], "left").drop("node")
-    rows = rows.withColumn("root", F.coalesce("root", "nid"))
-    several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    return rows.join(several, "key")
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges within each run of rows of one ball, or of one pair of blocks of a large ball."""
+    hasher = WordHasher()
+    rows = (r for b in batches for k in range(0, b.num_rows, 64) for r in zip(*(b[c].slice(k, 64).to_pylist() for c in ("g", "nid", "text")), strict=True))
+    for _, found in groupby(rows, key=lambda r: r[0]):
+        ids, texts = zip(*((r[1], r[2]) for r in found), strict=True)
+        if len(ids) > 1:
+            edges = [(ids[x], ids[y]) for x, y in forest(shingle_sets(list(texts), hasher))]
+            columns = list(zip(*edges, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-def _close_sizes(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
+def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Confirmed edges that connect all nodes linked by a pair within the signature distance.
 
-def _links(nodes: DataFrame, texts_of_nodes) -> DataFrame | None:
-    """Confirmed edges that connect all nodes linked by a pair within the signature distance."""
-    keys = materialise(nodes.select("nid", "n_shingles", "sig").mapInArrow(_keys_of, "key long, nid long, n long"))
-    crowded = keys.groupBy("key").agg(F.min("nid").alias("r0"), F.max("nid").alias("r1")).where("r0 < r1").select("key")
-    shared = materialise(keys.join(crowded, "key"))
-    if shared.isEmpty():
+    The nodes of a key and those of all other keys with the same smallest node form a ball;
+    every pair that shares a key is inside one.  A ball of more than BLOCK nodes is cut into
+    blocks by a hash of the node, and each pair of blocks is one unit of work, so that no task
+    holds more than two blocks.  A unit returns a forest, never its pairs.
+    """
+    keys = materialise(nodes.select("nid", "sig").mapInArrow(_keys_of, "key long, nid long"))
+    hubs = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where("hub < last").select("key", "hub")
+    balls = materialise(keys.join(hubs, "key").select("hub", "nid").distinct())
+    if balls.isEmpty():
         return None
-    texts = materialise(texts_of_nodes(shared.select("nid").distinct()))
-    edges, roots = None, None
-    for round_ in range(STAR_ROUNDS + 1):
-        rows = materialise(_apart(shared, roots))
-        sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
-        sizes = sizes.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        n_rows, n_pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not n_rows:
-            break
-        last = n_pairs <= LISTED_PER_ROW * n_rows or round_ == STAR_ROUNDS
-        if last:
-            other = rows.select("key", F.col("nid").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-            pairs = rows.withColumnRenamed("nid", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
-        else:
-            leads = rows.groupBy("key").agg(F.min(F.struct("nid", "n", "root")).alias("lead"))
-            leads = leads.select("key", F.col("lead.nid").alias("a"), F.col("lead.n").alias("m"), F.col("lead.root").alias("root_b"))
-            rows = rows.join(leads, "key")
-            pairs = rows.withColumnRenamed("nid", "b").where(F.col("root") != F.col("root_b"))
-            shared = rows.where(F.col("nid") != F.col("a")).select("key", "nid", "n")
-        pairs = pairs.where(_close_sizes("n", "m")).select("a", "b").distinct()
-        found = materialise(_verified(pairs, texts))
-        edges = found if edges is None else edges.unionByName(found)
-        if last:
-            break
-        shared = materialise(shared)
-        if not found.isEmpty():
-            roots = materialise(components(edges))
-            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return edges
+    sizes = balls.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    units = balls.join(sizes, "hub").withColumn("i", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    units = units.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("hub", F.least("i", "j"), F.greatest("i", "j"))
+    units = units.select(unit.alias("g"), "nid").join(texts, "nid")
+    return units.repartition("g").sortWithinPartitions("g").mapInArrow(_linked, "a long, b long")
 
 
 def group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,10 +222,7 @@ def group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.withColumn("sig", F.when(F.col("rid") == F.col("nid"), F.col("sig")))
     members = materialise(members.select("rid", "doc_id", "nid", "n_shingles", "sig"))
 
-    def texts_of_nodes(ids: DataFrame) -> DataFrame:
-        return work.select(F.col("rid").alias("nid"), "text").join(ids, "nid")
-
-    edges = _links(members.where(F.col("rid") == F.col("nid")), texts_of_nodes)
+    edges = _links(members.where(F.col("rid") == F.col("nid")), work.select(F.col("rid").alias("nid"), "text"))
     grouped = members.select("rid", "doc_id", "n_shingles", "nid")
     if edges is not None:
         roots = components(edges)
