@@ -34,7 +34,7 @@ from .text import WordHasher, chunks, mix64, texts_of
 #: Exponent of the growth of kinds of successors with a context's count.
 GROWTH = 0.8
 #: Text bytes to one shard, and characters in a block, at most.
-SHARD_BYTES, BLOCK_CHARS = 16_000_000, 24_000_000
+SHARD_BYTES, BLOCK_CHARS = 16_000_000, 14_000_000
 #: A context with more than this share of a shard's tokens is spread over the shards by its successors.
 HOT_SHARE = 0.25
 #: Hashes of the token that ends a text and of the context of its first word: blanks are in no word.
@@ -50,6 +50,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack``, read-only."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     heads = [struct.unpack_from("<3sQ", raw, 1 + 11 * k) for k in range(raw[0])]
     at, out = 1 + 11 * len(heads), []
@@ -83,7 +84,7 @@ class Block:
     """Documents of one batch: sorted word hashes, and tokens as numbers of those words."""
 
     def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, train: np.ndarray, doc_id: np.ndarray, has_id: np.ndarray):
-        self.words, self.tokens, self.sizes = words, tokens.astype(np.int64), sizes.astype(np.int64)
+        self.words, self.tokens, self.sizes = words, tokens.astype(np.int32), sizes.astype(np.int64)
         self.train, self.doc_id, self.has_id = train.astype(bool), doc_id, has_id.astype(bool)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -103,8 +104,22 @@ class Block:
         return cls(words[order], place[number], sizes, np.array(train, bool), doc_id, np.array([i is not None for i in ids], bool))
 
     def packed(self) -> bytes:
+        """Compact form: words numbered by falling frequency, tokens as planes of their bytes."""
+        order = np.argsort(-np.bincount(self.tokens, minlength=len(self.words)), kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        planes = np.ascontiguousarray(place[self.tokens].view(np.uint8).reshape(-1, 4).T)
         flags = (self.train.astype(np.uint8), self.doc_id, self.has_id.astype(np.uint8))
-        return pack(self.words, self.tokens.astype(np.uint32), self.sizes.astype(np.uint32), *flags)
+        return pack(self.words[order], planes.reshape(-1), self.sizes.astype(np.uint32), *flags)
+
+    @classmethod
+    def of_packed(cls, payload: bytes) -> Block:
+        words, planes, *rest = unpack(payload)
+        tokens = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
+        order = np.argsort(words, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return cls(words[order], place[tokens], *rest)
 
     def of_train(self) -> np.ndarray:
         return np.repeat(self.train, self.sizes)
@@ -123,7 +138,8 @@ class Block:
         before[self.starts] = len(self.words)
         base = len(self.words) + 1
         keys, pair = np.unique(before * base + self.tokens, return_inverse=True)
-        return keys // base, keys % base, pair, np.bincount(pair, weights=self.of_train(), minlength=len(keys)).astype(np.int64)
+        in_train = np.bincount(pair, weights=self.of_train(), minlength=len(keys))
+        return (keys // base).astype(np.int32), (keys % base).astype(np.int32), pair.astype(np.int32), in_train.astype(np.int32)
 
 
 def _parts(of: np.ndarray, n: int) -> list[np.ndarray]:
@@ -180,7 +196,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch], n_shards: int, n_tokens: int) -> Iterator[tuple[int, Context, list[dict]]]:
     for number, rows in _groups(batches, "block"):
-        block = next(Block(*unpack(r["payload"])) for r in rows if r["kind"] == "self")
+        block = next(Block.of_packed(r["payload"]) for r in rows if r["kind"] == "self")
         counts, parts = np.zeros(len(block.words), np.int64), block.word_shards(n_shards)
         for r in rows:
             if r["kind"] == "count":
@@ -196,7 +212,10 @@ def ask_pairs(n_shards: int, n_tokens: int) -> Callable:
                     first = np.flatnonzero(np.diff(c.h[p], prepend=-1))
                     repeats = np.diff(np.append(first, len(p)))
                     word = c.w_hash[p] >> np.uint64(16)  # 48 bits tell the successors of a context apart
-                    halves = (word.astype(np.uint32), (word >> np.uint64(32)).astype(np.uint16))
+                    # successors are sorted by hash, so that the steps of the upper half are small
+                    high = (word >> np.uint64(32)).astype(np.uint16)
+                    steps = np.diff(high, prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T
+                    halves = (word.astype(np.uint32), np.ascontiguousarray(steps).reshape(-1))
                     payload = pack(c.h_hash[p[first]], c.context_counts[c.h[p[first]]], _small(repeats), *halves, _small(c.in_train[p]))
                     yield _rows([(number, "pairs", shard, payload)])
 
@@ -211,7 +230,8 @@ def _query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard, rows in _groups(batches, "shard"):
         hashes, totals, h, w, n = [], [], [], [], []
         for r in rows:
-            context, count, repeats, low, high, in_train = unpack(r["payload"])
+            context, count, repeats, low, steps, in_train = unpack(r["payload"])
+            high = np.cumsum(np.ascontiguousarray(steps.reshape(2, -1).T).view(np.uint16).reshape(-1), dtype=np.uint16)
             hashes.append(context)
             totals.append(count)
             h.append(np.repeat(context, repeats.astype(np.int64)))
