@@ -187,18 +187,19 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
     The nodes of a key and those of all other keys with the same smallest node form a ball;
     every pair that shares a key is inside one.  A ball of more than BLOCK nodes is cut into
     blocks by a hash of the node, and each pair of blocks is one unit of work, so that no task
-    holds more than two blocks.  A unit returns a forest, never its pairs.
+    holds more than two blocks.  A unit returns a forest, never its pairs.  The joins are
+    merge joins at every size: broadcasting the small side would only suit small inputs.
     """
     keys = materialise(nodes.select("nid", "sig").mapInArrow(_keys_of, "key long, nid long"))
     hubs = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where("hub < last").select("key", "hub")
-    balls = materialise(keys.join(hubs, "key").select("hub", "nid").distinct())
+    balls = materialise(keys.join(hubs.hint("merge"), "key").select("hub", "nid").distinct())
     if balls.isEmpty():
         return None
     sizes = balls.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     units = balls.join(sizes, "hub").withColumn("i", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     units = units.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("hub", F.least("i", "j"), F.greatest("i", "j"))
-    units = units.select(unit.alias("g"), "nid").join(texts, "nid")
+    units = units.select(unit.alias("g"), "nid").join(texts.hint("merge"), "nid")
     return units.repartition("g").sortWithinPartitions("g").mapInArrow(_linked, "a long, b long")
 
 
@@ -218,7 +219,7 @@ def group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = ["n_shingles", "h1", "h2"]
     with_words = work.where(F.col("n_shingles") > 0)
     firsts = with_words.groupBy(*facts).agg(F.min("rid").alias("nid"))
-    members = with_words.select("rid", "doc_id", *facts, "sig").join(firsts, facts)
+    members = with_words.select("rid", "doc_id", *facts, "sig").join(firsts.hint("merge"), facts)
     members = members.withColumn("sig", F.when(F.col("rid") == F.col("nid"), F.col("sig")))
     members = materialise(members.select("rid", "doc_id", "nid", "n_shingles", "sig"))
 
