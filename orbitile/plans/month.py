@@ -9,16 +9,20 @@ from orbitile.functions.indices import with_indices
 from orbitile.functions.scoring import tests_before_lowering
 from orbitile.operators import gapfill, mosaic, report
 from orbitile.operators import selection as sel
+from orbitile.sources.storage import stored
 
 
 def select_for_month(scored: DataFrame) -> dict[str, DataFrame]:
-    """Selected scenes, first set and gap-fill sequence of every tile from scored scenes with a count ``n``."""
+    """Selected scenes, first set and gap-fill sequence of every tile from scored scenes with a count ``n``.
+
+    The three small tables that later steps use several times are stored.
+    """
     patience = tests_before_lowering(F.col("n"))
-    tested = sel.top_candidates(scored, 2 * sel.MAX_SCENES)
+    tested = stored(sel.top_candidates(scored, 2 * sel.MAX_SCENES), "tested")
     accepted = sel.quality_ladder(sel.cloud_ladder(tested, patience), patience)
     selected = sel.with_fallback(sel.stop_after_excellent(accepted))
-    chosen = sel.phase_one(selected)
-    sequence = gapfill.add_sequence(gapfill.gap_candidates(tested, chosen))
+    chosen = stored(sel.phase_one(selected), "chosen")
+    sequence = stored(gapfill.add_sequence(gapfill.gap_candidates(tested, chosen)), "sequence")
     return {"tested": tested, "selected": selected, "chosen": chosen, "sequence": sequence}
 
 
@@ -31,7 +35,7 @@ def compose_month(pixels: DataFrame, chosen: DataFrame, sequence: DataFrame) ->
     steps = chosen.select("tile_id", "scene_id", F.lit(0).alias("step"), F.col("score").alias("quality"))
     added = sequence.select("tile_id", "scene_id", "step", F.lit(0.0).alias("quality"))
     used = pixels.join(steps.unionByName(added), ["tile_id", "scene_id"])
-    covered = gapfill.coverage_by_step(used.drop("step", "quality"), sequence)
+    covered = stored(gapfill.coverage_by_step(used.drop("step", "quality"), sequence), "coverage")
     stops = gapfill.stop_step(covered)
     kept = used.join(stops, "tile_id").where(F.col("step") <= F.col("last_step")).withColumn("quality", F.col("quality") - F.col("step"))
     image = with_indices(mosaic.quality_mosaic(kept))

@@ -180,7 +180,7 @@ def grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clipped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes cut to a triangle; tests hold the areas against hand-worked ones."""
     tiles = views.areas(spark, sf_dir).withColumnRenamed("area_id", "tile_id")
-    return tiling.clip_tiles(tiles, [(-170.0, -60.0), (170.0, -60.0), (0.0, 60.0), (-170.0, -60.0)])
+    return tiling.clip_tiles(tiles, [(-180.0, -90.0), (180.0, -90.0), (-180.0, 90.0), (-180.0, -90.0)])
 
 
 @query(views.with_views("v_area", " SELECT area_id, row_number() OVER (ORDER BY round((lon_max - lon_min) * (lat_max - lat_min) * (1 + 30 / 365.0), 12) DESC, area_id) AS place FROM v_area"))
