@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -25,8 +25,9 @@ from .text import best_cut, texts_of
 SAMPLE_ROWS = 20_000
 #: Entries of the lexicon, at most, before beginnings absorb their extensions.
 LEXICON_ROWS = 20_000
-#: A term enters if its log-likelihood ratio statistic and its share of toxic rows reach these.
-MIN_G2, MIN_PURITY = 18.0, 0.97
+#: A term enters if its log-likelihood ratio statistic and its share of toxic rows reach these, hits in
+#: exception phrases left out; terms from the third figure on are tried for exception phrases.
+MIN_G2, MIN_PURITY, TRIED_PURITY = 18.0, 0.97, 0.75
 #: Lengths of word beginnings that are tried as terms.
 STEMS = range(4, 11)
 #: Words added to the length, so that one word in a short text doesn't decide alone.
@@ -81,33 +82,33 @@ class Lexicon:
 
         made = ahocorasick.Automaton()
         for term, weight in self.weights.items():
-            made.add_word(term, (len(term), weight))
+            made.add_word(term, (len(term), weight, term))
         for phrase in self.exceptions:
-            made.add_word(f" {phrase} ", (len(phrase) + 2, None))
+            made.add_word(f" {phrase} ", (len(phrase) + 2, None, ""))
         made.make_automaton()
         return made
 
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("weights", "exceptions", "cut")}
 
-    def hits(self, folded: str) -> list[tuple[int, float]]:
-        """Starts and weights of the terms in a folded text that no exception phrase covers."""
+    def hits(self, folded: str) -> list[tuple[int, float, str]]:
+        """Starts, weights and terms found in a folded text where no exception phrase covers them."""
         if not self.weights:
             return []
-        best: dict[int, float] = {}
+        best: dict[int, tuple[float, str]] = {}
         excused: list[tuple[int, int]] = []
-        for end, (size, weight) in self.automaton.iter(folded):
+        for end, (size, weight, term) in self.automaton.iter(folded):
             start = end - size + 1
             if weight is None:
                 excused.append((start, end))
             else:
-                best[start] = max(weight, best.get(start, 0.0))
-        return [(s, w) for s, w in sorted(best.items()) if not any(a <= s < b for a, b in excused)]
+                best[start] = max((weight, term), best.get(start, (0.0, "")))
+        return [(s, w, t) for s, (w, t) in sorted(best.items()) if not any(a <= s < b for a, b in excused)]
 
     def density(self, text: str) -> float:
         """Weight of the hits per word."""
         folded = fold(text)
-        return sum(w for _, w in self.hits(folded)) / (folded.count(" ") - 1 + BASE_WORDS)
+        return sum(w for _, w, _ in self.hits(folded)) / (folded.count(" ") - 1 + BASE_WORDS)
 
     def score(self, text: str) -> float:
         """0 to 1: density / (density + cut); 0 for an empty text."""
@@ -132,15 +133,28 @@ def _fold_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = {0: Counter(), 1: Counter()}
-    for b in batches:
-        for label, folded in zip(b["label"].to_pylist(), b["folded"].to_pylist(), strict=True):
-            seen[int(label > 0)].update(terms_of(folded))
-    terms = list(seen[0].keys() | seen[1].keys())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(terms, pa.string()), *(pa.array([seen[k][t] for t in terms], pa.int64()) for k in (1, 0))], ["term", "toxic", "clean"]
-    )
+def _counted(folded: DataFrame, features: Callable[[str], set[str]]) -> DataFrame:
+    """(term, toxic, clean): rows of each kind that have a feature, counted per task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {0: Counter(), 1: Counter()}
+        for b in batches:
+            for label, text in zip(b["label"].to_pylist(), b["folded"].to_pylist(), strict=True):
+                seen[int(label > 0)].update(features(text))
+        terms = list(seen[0].keys() | seen[1].keys())
+        columns = [pa.array(terms, pa.string()), *(pa.array([seen[k][t] for t in terms], pa.int64()) for k in (1, 0))]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+
+    counted = folded.mapInArrow(run, "term string, toxic long, clean long").groupBy("term")
+    return counted.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _telling(counted: DataFrame, n_toxic: int, n_clean: int, purity: float) -> list:
+    """At most LEXICON_ROWS terms that mark toxic rows, the most telling first."""
+    rate_t, rate_c = F.col("toxic") / n_toxic, F.col("clean") / n_clean
+    kept = counted.withColumns({"g2": _g2(F.col("toxic"), F.col("clean"), n_toxic, n_clean), "purity": rate_t / (rate_t + rate_c)})
+    kept = kept.where((F.col("g2") >= MIN_G2) & (F.col("purity") >= purity))
+    return kept.orderBy(F.desc("g2"), "term").limit(LEXICON_ROWS).collect()
 
 
 def _g2(toxic, clean, n_toxic: int, n_clean: int):
@@ -170,18 +184,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int =
         n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
         if not n_toxic or not n_clean:
             return Lexicon({}, (), 1.0)
-        counted = folded.mapInArrow(_count_terms, "term string, toxic long, clean long")
-        counted = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        rate_t, rate_c = F.col("toxic") / n_toxic, F.col("clean") / n_clean
-        counted = counted.withColumns({"g2": _g2(F.col("toxic"), F.col("clean"), n_toxic, n_clean), "purity": rate_t / (rate_t + rate_c)})
-        counted = counted.where((F.col("g2") >= MIN_G2) & (F.col("purity") >= MIN_PURITY))
-        found = counted.orderBy(F.desc("g2"), "term").limit(LEXICON_ROWS).collect()
+        counted = _counted(folded, terms_of)
+        found = _telling(counted, n_toxic, n_clean, TRIED_PURITY)
+        tried = Lexicon(dict.fromkeys(_to_try(found), 1.0), (), 1.0)
+        tried = Lexicon(tried.weights, _exceptions(folded, tried, n_toxic, n_clean), 1.0)
+        counted = _counted(folded, lambda text: {t for _, _, t in tried.hits(text)})
         weights = {
             r["term"]: float(np.log((r["toxic"] + 0.5) / (n_toxic + 1)) - np.log((r["clean"] + 0.5) / (n_clean + 1)))
-            for r in _longest_of_family(found)
+            for r in _telling(counted, n_toxic, n_clean, MIN_PURITY)
         }
-        lexicon = Lexicon(weights, (), 1.0)
-        lexicon = Lexicon(weights, _exceptions(folded, lexicon, n_toxic, n_clean), 1.0)
+        lexicon = Lexicon(weights, tried.exceptions, 1.0)
         return Lexicon(weights, lexicon.exceptions, _cut(folded, lexicon))
     finally:
         folded.unpersist()
@@ -196,29 +208,27 @@ def _longest_of_family(found: list) -> list:
     return [max((r for r in f if r["toxic"] >= 0.9 * f[0]["toxic"]), key=lambda r: (len(r["term"]), r["term"])) for f in families.values()]
 
 
+def _to_try(found: list) -> list[str]:
+    """Pure terms, one a family, and impure whole words that no pure beginning covers: exception phrases may clear those."""
+    pure = {r["term"] for r in _longest_of_family([r for r in found if r["purity"] >= MIN_PURITY])}
+    impure = (r["term"] for r in found if r["purity"] < MIN_PURITY and r["term"].endswith(" "))
+    return sorted(pure | {t for t in impure if not any(t[:k] in pure for k in range(2, len(t)))})
+
+
 def _exceptions(folded: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int) -> tuple[str, ...]:
     """Two-word phrases around a hit that mark clean rows."""
 
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {0: Counter(), 1: Counter()}
-        for b in batches:
-            for label, text in zip(b["label"].to_pylist(), b["folded"].to_pylist(), strict=True):
-                near = set()
-                for start, _ in lexicon.hits(text):
-                    before, after = text[:start].rpartition(" ")[2], text[start + 1 : start + 200].split(" ")
-                    if before:
-                        near.add(f"{before} {after[0]}")
-                    if len(after) > 1 and after[1]:
-                        near.add(f"{after[0]} {after[1]}")
-                seen[int(label > 0)].update(near)
-        all_of = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(all_of, pa.string()), *(pa.array([seen[k][t] for t in all_of], pa.int64()) for k in (1, 0))],
-            ["term", "toxic", "clean"],
-        )
-
-    near = folded.mapInArrow(phrases, "term string, toxic long, clean long").groupBy("term")
-    near = near.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    def phrases(text: str) -> set[str]:
+        near = set()
+        for start, _, _ in lexicon.hits(text):
+            before, after = text[:start].rpartition(" ")[2], text[start + 1 : start + 200].split(" ")
+            if before:
+                near.add(f"{before} {after[0]}")
+            if len(after) > 1 and after[1]:
+                near.add(f"{after[0]} {after[1]}")
+        return near
+
+    near = _counted(folded, phrases)
     near = near.where((F.col("clean") >= 3) & (F.col("clean") / n_clean > 20 * F.col("toxic") / n_toxic))
     return tuple(r[0] for r in near.orderBy(F.desc("clean"), "term").limit(LEXICON_ROWS).collect())
 
@@ -228,7 +238,7 @@ def _cut(folded: DataFrame, lexicon: Lexicon) -> float:
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = [sum(w for _, w in lexicon.hits(t)) / (t.count(" ") - 1 + BASE_WORDS) for t in b["folded"].to_pylist()]
+            d = [sum(w for _, w, _ in lexicon.hits(t)) / (t.count(" ") - 1 + BASE_WORDS) for t in b["folded"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["label"], pa.array(d, pa.float64())], ["label", "d"])
 
     pairs = folded.mapInArrow(densities, "label int, d double").collect()  # as many as the bounded sample
