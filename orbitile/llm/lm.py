@@ -166,18 +166,22 @@ class Context:
         self.parts = _parts(np.where(asked, shard, n_shards), n_shards + 1)[:n_shards]
 
 
-def tokenise(n_shards: int) -> Callable:
+def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number, hasher = TaskContext.get().partitionId() << 32, WordHasher()
+    for b in batches:
+        texts, train, ids = texts_of(b["text"]), b["train"].to_pylist(), b["doc_id"].to_pylist()
+        for start, end in chunks(texts, BLOCK_CHARS):
+            yield _rows([(number, "self", -1, Block.of_texts(texts[start:end], train[start:end], ids[start:end], hasher).packed())])
+            number += 1
+
+
+def ask_words(n_shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, hasher = TaskContext.get().partitionId() << 32, WordHasher()
-        for b in batches:
-            texts, train, ids = texts_of(b["text"]), b["train"].to_pylist(), b["doc_id"].to_pylist()
-            for start, end in chunks(texts, BLOCK_CHARS):
-                block = Block.of_texts(texts[start:end], train[start:end], ids[start:end], hasher)
-                yield _rows([(number, "self", -1, block.packed())])
-                counts = np.bincount(block.tokens, weights=block.of_train(), minlength=len(block.words)).astype(np.int64)
-                parts = enumerate(block.word_shards(n_shards))
-                yield _rows([(number, "words", s, pack(block.words[p], _small(counts[p]))) for s, p in parts if len(p)])
-                number += 1
+        for number, rows in _groups(batches, "block"):
+            block = Block.of_packed(rows[0]["payload"])
+            counts = np.bincount(block.tokens, weights=block.of_train(), minlength=len(block.words)).astype(np.int64)
+            parts = enumerate(block.word_shards(n_shards))
+            yield _rows([(number, "words", s, pack(block.words[p], _small(counts[p]))) for s, p in parts if len(p)])
 
     return run
 
@@ -301,13 +305,12 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_shards = max(4, -(-int(size) // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    first = materialise(rows.mapInArrow(tokenise(n_shards), ROWS))
+    blocks = materialise(rows.mapInArrow(tokenise, ROWS))
 
     def exchange(df: DataFrame, key: str) -> DataFrame:
         return df.repartition(n_shards, key).sortWithinPartitions(key, "kind")
 
-    blocks = first.where(F.col("kind") == "self")
-    counted = materialise(exchange(first.where(F.col("kind") == "words"), "shard").mapInArrow(_count_words, ROWS))
+    counted = materialise(exchange(blocks.mapInArrow(ask_words(n_shards), ROWS), "shard").mapInArrow(_count_words, ROWS))
     stats = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2")]
     n, v, n1, n2 = counted.where(F.col("kind") == "stat").agg(*stats).first()
     known = blocks.unionByName(counted.where(F.col("kind") == "count"))
