@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("select_queries", "pixel_queries", "work_queries", "flow_queries")
+_MODULES = ("select_queries", "pixel_queries", "work_queries", "flow_queries", "more_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
