@@ -63,7 +63,7 @@ def failures(tiles: DataFrame) -> DataFrame:
 
 def status_table(tiles: DataFrame) -> DataFrame:
     """One line a tile: status, coverage in percent or N/A, dominant sensor or N/A, images used."""
-    percent = F.when(F.coalesce("coverage", F.lit(0.0)) > 0, F.format_string("%.1f%%", F.col("coverage") * 100)).otherwise("N/A")
+    percent = F.when(F.coalesce("coverage", F.lit(0.0)) > 0, F.format_string("%.1f%%", F.floor(F.col("coverage") * 1000 + 0.5) / 10.0)).otherwise("N/A")
     return tiles.select(
         "tile_id", "status", percent.alias("coverage"), F.coalesce("dominant", F.lit("N/A")).alias("dominant"), (F.coalesce("images_added", F.lit(0)) + 1).cast("long").alias("images_used")
     )

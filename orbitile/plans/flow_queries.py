@@ -38,11 +38,11 @@ def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "orders").select(F.year(d).alias("year"), F.month(d).alias("month")).distinct()
 
 
-@query(f"WITH m AS ({_MONTHS}) SELECT year, month FROM m WHERE (year * 12 + month) % 5 <> 0")
+@query(f"WITH m AS ({_MONTHS}) SELECT year, month FROM m WHERE month NOT IN (3, 6, 9, 12)")
 def months_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months to do after a manifest that was written and read back in two appends."""
     months, path = _months(spark, sf_dir), work_folder(spark, "manifest")
-    done = months.where("(year * 12 + month) % 5 = 0")
+    done = months.where("month in (3, 6, 9, 12)")
     tiles = F.to_json(F.array(F.struct(F.lit(1).alias("tile"), F.lit('a "b", c').alias("name"))))
     rows = done.select("year", "month", F.lit("mosaic").alias("mosaic"), F.lit("pyramid").alias("pyramid"), tiles.alias("tiles"), F.lit("{}").alias("provenance"), F.lit("2024-01-01T00:00:00").alias("timestamp"))
     formats.append_manifest(rows.where("month <= 6"), path)
@@ -60,11 +60,11 @@ def manifest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_manifest(spark, path).select("year", "month", F.get_json_object("tiles", "$[0].name").alias("name"))
 
 
-@query("SELECT lower(replace(replace(s_name, ' ', '_'), '/', '_')) || '.geojson' AS file_name, s_name AS name, 'Category ' || (s_suppkey % 12) AS category, round((s_suppkey * 37 % 3590) / 10.0 - 180, 6)::DOUBLE AS west FROM supplier WHERE s_suppkey % 50 <> 0")
+@query("SELECT lower(replace(replace(s_name, ' ', '_'), '/', '_')) || '.geojson' AS file_name, s_name AS name, 'Category ' || (s_suppkey % 12) AS category, round(CASE WHEN s_suppkey % 50 = 0 THEN 179.5 ELSE (s_suppkey * 37 % 3590) / 10.0 - 180 END, 6)::DOUBLE AS west FROM supplier")
 def project_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of a project catalog that was written as one JSON file and read back."""
     path = work_folder(spark, "projects")
-    s = views.read(spark, sf_dir, "supplier").select("s_suppkey", "s_name").join(views.areas(spark, sf_dir), F.col("s_suppkey") == F.col("area_id")).where("s_suppkey % 50 <> 0")
+    s = views.read(spark, sf_dir, "supplier").select("s_suppkey", "s_name").join(views.areas(spark, sf_dir), F.col("s_suppkey") == F.col("area_id"))
     k = F.col("s_suppkey")
     one = F.struct(
         F.col("s_name").alias("name"), F.concat(F.lit("Category "), (k % 12).cast("string")).alias("category"), F.lit("d").alias("description"),

@@ -209,10 +209,10 @@ def download_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("code", F.coalesce(F.array_join(bd.download_bands(present), ","), F.lit("missing_bands")).alias("bands"))
 
 
-@query(views.with_views("v_acq", f" SELECT pixel_id, {rounded_sql(SIX)} FROM v_acq WHERE pixel_id % 3 = 0"))
+@query(views.with_views("v_acq", f" SELECT pixel_id, {rounded_sql(SIX)} FROM v_acq"))
 def bands_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-band rows (as from an archive of one file a band) back to one row a pixel."""
-    a = views.acquisitions(spark, sf_dir).where("pixel_id % 3 = 0")
+    a = views.acquisitions(spark, sf_dir)
     long = a.select("pixel_id", F.explode(F.create_map(*[x for b in SIX for x in (F.lit(b), F.col(b))])).alias("band", "value"))
     return bd.pivot_bands(long, ["pixel_id"], SIX).select("pixel_id", *rounded(SIX))
 

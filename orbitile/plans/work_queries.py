@@ -56,21 +56,21 @@ def scenes_of_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("sensor", "tile_id", day.cast("string").alias("acquired")).agg(F.count("*").alias("n"))
 
 
-@query(views.with_views("v_scene", """, a AS (SELECT * FROM v_scene WHERE sensor = 'MODIS_TERRA' AND scene_id % 2 = 0 UNION ALL SELECT * FROM v_scene WHERE sensor = 'VIIRS' AND scene_id % 2 = 1
+@query(views.with_views("v_scene", """, a AS (SELECT * FROM v_scene WHERE sensor = 'MODIS_TERRA' AND days < 15 UNION ALL SELECT * FROM v_scene WHERE sensor = 'VIIRS' AND days >= 15
   UNION ALL SELECT * FROM v_scene WHERE sensor = 'SENTINEL_2' AND cloud_pct < 5) SELECT tile_id, sensor, count(*) AS n, min(scene_id) AS first_id FROM a GROUP BY ALL"""))
 def merged_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.scenes(spark, sf_dir)
-    parts = s.where("sensor = 'MODIS_TERRA' and scene_id % 2 = 0").unionByName(s.where("sensor = 'VIIRS' and scene_id % 2 = 1")).unionByName(s.where("sensor = 'SENTINEL_2' and cloud_pct < 5"))
+    parts = s.where("sensor = 'MODIS_TERRA' and days < 15").unionByName(s.where("sensor = 'VIIRS' and days >= 15")).unionByName(s.where("sensor = 'SENTINEL_2' and cloud_pct < 5"))
     return parts.groupBy("tile_id", "sensor").agg(F.count("*").alias("n"), F.min("scene_id").alias("first_id"))
 
 
-@query(views.with_views("v_scene", """, v AS (SELECT tile_id, 1 AS version, scene_id FROM v_scene WHERE sensor = 'VIIRS' AND tile_id % 3 = 0
-  UNION ALL SELECT tile_id, 2, scene_id FROM v_scene WHERE sensor = 'VIIRS' AND tile_id % 2 = 0 UNION ALL SELECT tile_id, 3, scene_id FROM v_scene WHERE sensor = 'VIIRS')
+@query(views.with_views("v_scene", """, v AS (SELECT tile_id, 1 AS version, scene_id FROM v_scene WHERE sensor = 'VIIRS' AND days < 2
+  UNION ALL SELECT tile_id, 2, scene_id FROM v_scene WHERE sensor = 'VIIRS' AND days < 6 UNION ALL SELECT tile_id, 3, scene_id FROM v_scene WHERE sensor = 'VIIRS')
 SELECT tile_id, version, count(*) AS n FROM v JOIN (SELECT tile_id, min(version) AS version FROM v GROUP BY tile_id) USING (tile_id, version) GROUP BY ALL"""))
 def first_available_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several versions of a collection the first that has scenes of the tile."""
-    s = views.scenes(spark, sf_dir).where("sensor = 'VIIRS'").select("tile_id", "scene_id")
-    v = s.where("tile_id % 3 = 0").withColumn("version", F.lit(1)).unionByName(s.where("tile_id % 2 = 0").withColumn("version", F.lit(2))).unionByName(s.withColumn("version", F.lit(3)))
+    s = views.scenes(spark, sf_dir).where("sensor = 'VIIRS'").select("tile_id", "scene_id", "days")
+    v = s.where("days < 2").withColumn("version", F.lit(1)).unionByName(s.where("days < 6").withColumn("version", F.lit(2))).unionByName(s.withColumn("version", F.lit(3)))
     counted = v.groupBy("tile_id", "version").agg(F.count("*").alias("n"))
     return counted.groupBy("tile_id").agg(F.min(F.struct("version", "n")).alias("b")).select("tile_id", "b.version", "b.n")
 
@@ -90,16 +90,14 @@ def untested_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_scenes(spark, sf_dir).join(tested_scenes(spark, sf_dir).select("scene_id"), "scene_id", "left_anti").select("scene_id")
 
 
-_BOXES = """, a AS (SELECT area_id AS left_id, * FROM v_area WHERE area_id % 2 = 0), b AS (SELECT area_id AS right_id, lon_min - 8 AS x0, lat_min - 8 AS y0, lon_max + 8 AS x1, lat_max + 8 AS y1 FROM v_area WHERE area_id % 2 = 1)"""
+_BOXES = ", b AS (SELECT area_id AS right_id, lon_min - 8 AS x0, lat_min - 8 AS y0, lon_max + 8 AS x1, lat_max + 8 AS y1 FROM v_area)"
 
 
-@query(views.with_views("v_area", _BOXES + " SELECT left_id, right_id FROM a JOIN b ON lon_min < x1 AND x0 < lon_max AND lat_min < y1 AND y0 < lat_max"))
+@query(views.with_views("v_area", _BOXES + " SELECT area_id AS left_id, right_id FROM v_area JOIN b ON lon_min < x1 AND x0 < lon_max AND lat_min < y1 AND y0 < lat_max"))
 def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.areas(spark, sf_dir)
-    left = a.where("area_id % 2 = 0").withColumnRenamed("area_id", "left_id")
     wide = {n: F.col(n) + (8 if n.endswith("max") else -8) for n in ("lon_min", "lat_min", "lon_max", "lat_max")}
-    right = a.where("area_id % 2 = 1").withColumnRenamed("area_id", "right_id").withColumns(wide)
-    return tiling.overlapping(left, right, cell=5.0)
+    return tiling.overlapping(a.withColumnRenamed("area_id", "left_id"), a.withColumnRenamed("area_id", "right_id").withColumns(wide), cell=5.0)
 
 
 # --- planning --------------------------------------------------------------------------------
@@ -297,11 +295,9 @@ def report_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.failures(_tiles(spark, sf_dir))
 
 
-@query(_TILES + " SELECT tile_id, status, CASE WHEN coalesce(coverage, 0) > 0 THEN printf('%.1f%%', coverage * 100) ELSE 'N/A' END AS coverage, coalesce(dominant, 'N/A') AS dominant, coalesce(images_added, 0) + 1 AS images_used FROM tiles WHERE coverage IS NULL OR round(coverage * 1000, 6) * 2 % 2 <> 1")
+@query(_TILES + " SELECT tile_id, status, CASE WHEN coalesce(coverage, 0) > 0 THEN printf('%.1f%%', floor(coverage * 1000 + 0.5) / 10) ELSE 'N/A' END AS coverage, coalesce(dominant, 'N/A') AS dominant, coalesce(images_added, 0) + 1 AS images_used FROM tiles")
 def report_status_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines but those whose percent is a tie of two roundings."""
-    tiles = _tiles(spark, sf_dir).where("coverage is null or round(coverage * 1000, 6) * 2 % 2 <> 1")
-    return report.status_table(tiles)
+    return report.status_table(_tiles(spark, sf_dir))
 
 
 @query(_TILES + " SELECT tile_id, 'Tile ' || tile_id || ': ' || status AS message FROM tiles WHERE status <> 'ok' ORDER BY tile_id LIMIT 20")
