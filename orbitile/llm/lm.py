@@ -308,7 +308,9 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     blocks = materialise(rows.mapInArrow(tokenise, ROWS))
 
     def exchange(df: DataFrame, key: str) -> DataFrame:
-        return df.repartition(n_shards, key).sortWithinPartitions(key, "kind")
+        # shards are numbered without gaps: one to a partition
+        dealt = df.repartitionById(n_shards, F.col(key)) if key == "shard" else df.repartition(n_shards, key)
+        return dealt.sortWithinPartitions(key, "kind")
 
     counted = materialise(exchange(blocks.mapInArrow(ask_words(n_shards), ROWS), "shard").mapInArrow(_count_words, ROWS))
     stats = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2")]
