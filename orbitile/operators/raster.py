@@ -22,30 +22,33 @@ def square(radius: int) -> list[tuple[int, int]]:
     return [(i, j) for i in r for j in r]
 
 
-def _shifted(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Each pixel once for each offset, at the place that sees it there."""
-    steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in offsets])
-    out = pixels.withColumn("__o", F.explode(steps))
-    return out.withColumns({"row": F.col("row") + F.col("__o.di"), "col": F.col("col") + F.col("__o.dj")})
+def dilate(pixels: DataFrame, offsets: list[tuple[int, int]], *, key: str = "chip", mask: str = "mask") -> DataFrame:
+    """(key, row, col, mask) with the cells set that have a set neighbour.
 
+    A set cell goes to all its neighbours, an unset one only to itself, and one aggregation
+    meets them: one scan and one shuffle.  Places that are no cells drop out.
+    """
+
+    def steps(some: list[tuple[int, int]]) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in some])
 
-def dilate(pixels: DataFrame, offsets: list[tuple[int, int]], *, height: int, width: int, key: str = "chip", mask: str = "mask") -> DataFrame:
-    """Cells with a set neighbour, within the frame."""
-    on = _shifted(pixels.where(F.col(mask)), offsets).where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
-    on = on.select(key, "row", "col").distinct().withColumn("__on", F.lit(True))
-    return pixels.drop(mask).join(on, [key, "row", "col"], "left").withColumn(mask, F.coalesce("__on", F.lit(False))).drop("__on")
+    on = F.coalesce(mask, F.lit(False))
+    sent = pixels.select(key, "row", "col", on.alias(mask), F.explode(F.when(on, steps(offsets)).otherwise(steps([(0, 0)]))).alias("o"))
+    at = [(F.col("row") + F.col("o.di")).alias("row"), (F.col("col") + F.col("o.dj")).alias("col")]
+    own = (F.col("o.di") == 0) & (F.col("o.dj") == 0)
+    met = sent.select(key, *at, mask, own.alias("own")).groupBy(key, "row", "col").agg(F.max(mask).alias(mask), F.max("own").alias("own"))
+    return met.where("own").drop("own")
 
 
-def erode(pixels: DataFrame, offsets: list[tuple[int, int]], *, height: int, width: int, key: str = "chip", mask: str = "mask") -> DataFrame:
+def erode(pixels: DataFrame, offsets: list[tuple[int, int]], *, key: str = "chip", mask: str = "mask") -> DataFrame:
     """Cells without an unset neighbour; outside the frame counts as set."""
-    off = pixels.withColumn(mask, ~F.col(mask))
-    return dilate(off, offsets, height=height, width=width, key=key, mask=mask).withColumn(mask, ~F.col(mask))
+    off = pixels.withColumn(mask, ~F.coalesce(mask, F.lit(False)))
+    return dilate(off, offsets, key=key, mask=mask).withColumn(mask, ~F.col(mask))
 
 
-def close_mask(pixels: DataFrame, radius: int = 2, *, height: int, width: int, key: str = "chip", mask: str = "mask") -> DataFrame:
+def close_mask(pixels: DataFrame, radius: int = 2, *, key: str = "chip", mask: str = "mask") -> DataFrame:
     """Binary closing with a disk: holes narrower than it are filled."""
-    grown = dilate(pixels, disk(radius), height=height, width=width, key=key, mask=mask)
-    return erode(grown, disk(radius), height=height, width=width, key=key, mask=mask)
+    return erode(dilate(pixels, disk(radius), key=key, mask=mask), disk(radius), key=key, mask=mask)
 
 
 def otsu_thresholds(pixels: DataFrame, *, key: str = "chip", value: str = "value", bins: int = 256) -> DataFrame:

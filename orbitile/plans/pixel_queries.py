@@ -329,13 +329,13 @@ def water_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.chip, a.row, a.col, bool_and(b.mask) AS mask FROM d a JOIN d b ON a.chip = b.chip AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4 GROUP BY ALL"""))
 def closed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = ra.water_mask(views.chips(spark, sf_dir)).select("chip", "row", "col", "mask")
-    return ra.close_mask(mask, 2, height=8, width=8).select("chip", "row", "col", "mask")
+    return ra.close_mask(mask, 2).select("chip", "row", "col", "mask")
 
 
 @query(views.with_views("v_chip", _MASK_SQL + " SELECT a.chip, a.row, a.col, bool_or(b.mask) AS mask FROM m a JOIN m b ON a.chip = b.chip AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL"))
 def dilated_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = ra.water_mask(views.chips(spark, sf_dir)).select("chip", "row", "col", "mask")
-    return ra.dilate(mask, ra.square(2), height=8, width=8).select("chip", "row", "col", "mask")
+    return ra.dilate(mask, ra.square(2)).select("chip", "row", "col", "mask")
 
 
 @query("WITH RECURSIVE " + views.SQL["v_chip"] + _MASK_SQL + """, seed AS (SELECT chip, row, col, row * 8 + col AS label FROM m WHERE mask
