@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, neardup, quality, secrets, sharding, toxicity
+from . import chat, decontaminate, langid, lm, mixing, neardup, quality, secrets, sharding, toxicity
 from .common import fold_of, table
 
 
@@ -37,6 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -95,6 +99,7 @@ QUERIES = {
     "op1_lm": op1_lm,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
+    "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op6_langid": op6_langid,
     "op7_sharding": op7_sharding,
@@ -168,3 +173,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+# Conversations as lists of turns; each is compared with the beginnings of all longer ones.
+ORACLE_SQL["op4_chat"] = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) ORDER BY turn NULLS FIRST, role, text) AS l
+  FROM t GROUP BY conv_id
+), g AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY l
+), begun AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM g))
+SELECT conv_id, len(l)::BIGINT AS n_turns, n_copies, array_to_string(l, '') AS rendered
+FROM g WHERE NOT EXISTS (SELECT 1 FROM begun b WHERE b.l = g.l)
+"""
