@@ -321,10 +321,10 @@ def phase_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(views.with_views("v_scene", f"""{TESTED_SQL}
-SELECT scene_id, r AS score_rank, r = 1 AS is_selected, CASE WHEN r > 1 THEN r END AS fallback_rank
+SELECT scene_id, r AS score_rank, r = 1 AS is_selected, CASE WHEN r > 1 THEN r ELSE 0 END AS fallback_rank
 FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY score DESC, scene_id) AS r FROM tested)"""))
 def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sel.rank_results(tested_scenes(spark, sf_dir)).select("scene_id", "score_rank", "is_selected", "fallback_rank")
+    return sel.rank_results(tested_scenes(spark, sf_dir)).select("scene_id", "score_rank", "is_selected", F.coalesce("fallback_rank", F.lit(0)).alias("fallback_rank"))
 
 
 @query(views.with_views("v_scene", f"""{TESTED_SQL}, best AS (SELECT tile_id, sensor, max(score) AS top FROM tested GROUP BY ALL)
