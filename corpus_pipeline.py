@@ -17,8 +17,7 @@ N_SHARDS = 40
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the learned lexicon does not call toxic."""
-    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon).where("predicted = 0").select(*docs.columns)
+    return toxicity.remove(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +32,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights: rows repeated up to three times, or left out of a last partial epoch."""
-    mixed = mixing.mix(docs, mixing.word_count("text"), split_last=False)
-    return mixing.repeat_rows(mixed, docs.columns)
+    return mixing.mixed_corpus(docs)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

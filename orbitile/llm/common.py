@@ -89,3 +89,15 @@ def label_sample(labels: DataFrame, column: str, fold: Column, bound: int) -> Da
     kept = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & fold)
     kept = kept.groupBy("doc_id").agg(F.max(column).alias("label"))
     return kept.orderBy(seeded_hash(17, "doc_id"), "doc_id").limit(bound)
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The rows as one column ``__doc`` beside the columns an operator reads.
+
+    What the operator adds then clashes with no column of the rows; ``unpacked`` gives them back.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), *needed)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("__doc.*")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
 from .text import chunks, texts_of
 
 #: Consecutive words of a benchmark item that count as a leak.
@@ -232,7 +233,7 @@ def match(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> Dat
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in, with their columns as they were."""
-    return match(docs, benchmark, window=window).where(F.col("n_hit") == 0).select(*docs.columns)
+    return unpacked(match(packed(docs, "text"), benchmark, window=window).where(F.col("n_hit") == 0))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_per_key, materialise, seeded_hash
+from .common import WORD, join_per_key, materialise, packed, seeded_hash, unpacked
 
 #: Hash buckets of a source; the fractional epoch is cut inside one of them.
 BUCKET_DIGITS = 3
@@ -112,8 +112,8 @@ def mix(docs: DataFrame, size: Column, *, max_epochs: int = 3, seed: int = 9, sp
     return both.drop("__h", "__bucket", "__cut", "__missing", "__extra", "whole", "rest")
 
 
-def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixed corpus itself: every row as often as its ``copies`` say."""
-    once = mixed.where(F.col("copies") > 0)
-    once = once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return once.select(*columns)
+def mixed_corpus(docs: DataFrame, *, max_epochs: int = 3, seed: int = 9) -> DataFrame:
+    """The mixture itself: every row of ``docs`` as often as it is taken whole, with its columns as they were."""
+    rows = mix(packed(docs, "doc_id", "source"), word_count(F.col("__doc.text")), max_epochs=max_epochs, seed=seed, split_last=False)
+    rows = rows.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unpacked(rows)

@@ -204,33 +204,33 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
 
 
 def group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rid, doc_id, n_shingles, component_id, kept and representative; and ``docs`` with that rid.
+    """rid, doc_id, n_shingles, component_id, kept and representative; and ``docs`` with that number as __rid.
 
     Lower-cased (A-Z) words make five-word shingles; a text of fewer words is one shingle; a
     text without words, null included, has none and is linked with nothing.  component_id is
     the smallest doc_id of the group (null ids apart, null if all are), kept says that the row
     has that id, representative holds for exactly one such row of each group.  Equal texts,
-    repeated rows included, are always in one group.  Columns of these names are replaced.
+    repeated rows included, are always in one group.  Other columns, whatever their names, stay
+    as they are.
     """
-    added = ["rid", "n_shingles", "h1", "h2", "sig", "component_id", "kept", "representative"]
-    work = docs.drop(*added).withColumn("__d", F.arrow_udf(_described, DESCRIBED)(F.col("text")))
-    work = work.withColumns({c: F.col(f"__d.{c}") for c in ("n_shingles", "h1", "h2", "sig")}).drop("__d")
-    work = materialise(work.withColumn("rid", F.monotonically_increasing_id()))
+    work = docs.withColumns({"__d": F.arrow_udf(_described, DESCRIBED)(F.col("text")), "__rid": F.monotonically_increasing_id()})
+    work = materialise(work)
     facts = ["n_shingles", "h1", "h2"]
-    with_words = work.where(F.col("n_shingles") > 0)
+    described = work.select(F.col("__rid").alias("rid"), "doc_id", "__d.*")
+    with_words = described.where(F.col("n_shingles") > 0)
     firsts = with_words.groupBy(*facts).agg(F.min("rid").alias("nid"))
     members = with_words.select("rid", "doc_id", *facts, "sig").join(firsts.hint("merge"), facts)
     members = members.withColumn("sig", F.when(F.col("rid") == F.col("nid"), F.col("sig")))
     members = materialise(members.select("rid", "doc_id", "nid", "n_shingles", "sig"))
 
-    edges = _links(members.where(F.col("rid") == F.col("nid")), work.select(F.col("rid").alias("nid"), "text"))
+    edges = _links(members.where(F.col("rid") == F.col("nid")), work.select(F.col("__rid").alias("nid"), "text"))
     grouped = members.select("rid", "doc_id", "n_shingles", "nid")
     if edges is not None:
         roots = components(edges)
         grouped = grouped.join(roots, grouped["nid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "nid")).drop("node", "nid")
     else:
         grouped = grouped.withColumnRenamed("nid", "root")
-    alone = work.where(F.col("n_shingles") == 0).select("rid", "doc_id", "n_shingles", F.col("rid").alias("root"))
+    alone = described.where(F.col("n_shingles") == 0).select("rid", "doc_id", "n_shingles", F.col("rid").alias("root"))
     grouped = materialise(grouped.select("rid", "doc_id", "n_shingles", "root").unionByName(alone))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
     names = grouped.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("__first"))
@@ -248,5 +248,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``docs``."""
     grouped, work = group(docs)
-    stay = grouped.where("representative").select("rid")
-    return work.join(stay, "rid").select(*docs.columns)
+    stay = grouped.where("representative").select(F.col("rid").alias("__rid"))
+    return work.join(stay, "__rid").select(*docs.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, label_sample
+from .common import fold_of, label_sample, packed, unpacked
 from .text import best_cut, texts_of
 
 #: Labelled rows from which the lexicon is learned, at most.
@@ -258,3 +258,8 @@ def score(docs: DataFrame, lexicon: Lexicon, *, text: str = "text") -> DataFrame
 
     out = docs.withColumn("score", scored(F.col(text)))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def remove(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their columns as they were."""
+    return unpacked(score(packed(docs, "text"), lexicon).where(F.col("predicted") == 0))

@@ -59,9 +59,10 @@ def test_reruns_agree_and_copies_follow(spark):
     first, again = (mixing.mix(d, mixing.word_count("text"), split_last=False).orderBy("doc_id").collect() for d in (docs, docs.repartition(7)))
     assert first == again
     assert all(r["taken"] == r["copies"] * r["size"] for r in first if r["size"])
-    rows = mixing.repeat_rows(mixing.mix(docs, mixing.word_count("text"), split_last=False), docs.columns)
+    rows = mixing.mixed_corpus(docs)
     assert rows.columns == docs.columns
     assert rows.count() == sum(r["copies"] for r in first)
+    assert {r["size"] for r in rows.collect()} == {"clash"}
 
 
 def test_repeated_rows_and_empty_table(spark):

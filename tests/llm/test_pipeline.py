@@ -34,6 +34,7 @@ def test_stages(spark, folder):
         kept[name] = docs.collect()
         if name != "sharding":
             assert docs.columns == columns
+            assert {(r.score, r["size"], r.n_words, r.spans, r.sig) for r in kept[name]} == {("c",) * 5}
     ids = {n: {r.doc_id for r in rows} for n, rows in kept.items()}
     assert not any(i is not None and i < 600 and i % 5 == 0 for i in ids["toxicity"])
     assert {i for i in range(600) if i % 5} <= ids["toxicity"]
