@@ -72,8 +72,9 @@ def usage_snapshot(results: DataFrame) -> DataFrame:
     """One row: counts by sensor, distinct tiles and the latest best scenes, as JSON."""
     by = results.groupBy("sensor").agg(F.count("*").alias("n"), F.max("score").alias("best"))
     entries = F.sort_array(F.collect_list(F.struct("sensor", "n", F.round("best", 6).alias("best"))))
-    tiles = results.agg(F.countDistinct("tile_id").alias("tiles"))
-    return by.agg(entries.alias("sensors")).crossJoin(F.broadcast(tiles)).select(F.to_json(F.struct("tiles", "sensors")).alias("snapshot"))  # one row on either side
+    tiles = results.agg(F.lit(1).alias("one"), F.countDistinct("tile_id").alias("tiles"))
+    sensors = by.agg(F.lit(1).alias("one"), entries.alias("sensors"))
+    return sensors.join(tiles, "one").select(F.to_json(F.struct("tiles", "sensors")).alias("snapshot"))
 
 
 def dashboard_lines(results: DataFrame) -> DataFrame:
