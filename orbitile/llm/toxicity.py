@@ -128,8 +128,8 @@ def _fold_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         folded = [fold(t) for t in texts_of(b["text"])]
         yield pa.RecordBatch.from_arrays(
-            [b["label"].cast(pa.int32()), pa.array([_signature(t) for t in folded], pa.int64()), pa.array(folded, pa.string())],
-            ["label", "sig", "folded"],
+            [b["doc_id"].cast(pa.int64()), b["label"].cast(pa.int32()), pa.array([_signature(t) for t in folded], pa.int64()), pa.array(folded, pa.string())],
+            ["doc_id", "label", "sig", "folded"],
         )
 
 
@@ -176,8 +176,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int =
     """
     train = fold_of("doc_id", folds) != held_out
     sample = F.broadcast(label_sample(labels, "toxic", train, bound))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label")
-    folded = rows.mapInArrow(_fold_sample, "label int, sig long, folded string")
+    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    folded = rows.mapInArrow(_fold_sample, "doc_id long, label int, sig long, folded string")
+    # an id on many rows gives one of them, so that the bound holds for rows too
+    folded = folded.groupBy("doc_id", "label").agg(F.min(F.struct("sig", "folded")).alias("t")).select("label", "t.*")
     folded = folded.groupBy("sig", "label").agg(F.min("folded").alias("folded")).persist()
     try:
         n = {bool(r[0]): r[1] for r in folded.groupBy(F.col("label") > 0).count().collect()}
