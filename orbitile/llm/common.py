@@ -63,6 +63,15 @@ def seeded_hash(seed: int, *cols: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
+def tie_of(rows: DataFrame) -> Column:
+    """A hash of the whole row, to order rows with equal keys.
+
+    Rows that still tie are alike, so a task that runs again after a lost executor gives the
+    same rows in any order of them.  Maps can't be hashed and don't count.
+    """
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in no fold (-1)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

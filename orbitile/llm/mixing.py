@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_per_key, materialise, packed, seeded_hash, unpacked
+from .common import WORD, join_per_key, materialise, packed, seeded_hash, tie_of, unpacked
 
 #: Hash buckets of a source; the fractional epoch is cut inside one of them.
 BUCKET_DIGITS = 3
@@ -91,8 +91,8 @@ def mix(docs: DataFrame, size: Column, *, max_epochs: int = 3, seed: int = 9, sp
     planned = join_per_key(rows, plan, "source", n_sources)
     off_cut = planned.where(F.col("__bucket") != F.col("__cut"))
     off_cut = off_cut.withColumn("__extra", F.when(F.col("__bucket") < F.col("__cut"), F.col("size")).otherwise(F.lit(0)))
-    in_order = Window.partitionBy("source").orderBy("__h", "doc_id", "size")
     on_cut = planned.where(F.col("__bucket") == F.col("__cut"))
+    in_order = Window.partitionBy("source").orderBy("__h", "doc_id", "size", tie_of(on_cut))
     on_cut = on_cut.withColumn("__start", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     room = F.col("__missing") - F.col("__start")
     if split_last:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_per_key, materialise, seeded_hash
+from .common import materialise, seeded_hash, tie_of
 
 #: Hash buckets in which the rows of a source are ranked.
 RANK_DIGITS = 3
@@ -53,7 +53,7 @@ def interleave(docs: DataFrame, n_shards: int = 40, *, seed: int = 7) -> DataFra
     below = F.floor(F.ceil(2 * F.col("n") * F.col("__slice") / F.lit(float(SLICES))) / 2)
     starts = materialise(sources.select("n", at).groupBy("__slice").agg(F.sum(below).cast("long").alias("__start")))
 
-    ranked = Window.partitionBy("source", "__bucket").orderBy("__h", "doc_id", *[c for c in ("text_crc32", "size") if c in rows.columns])
+    ranked = Window.partitionBy("source", "__bucket").orderBy("__h", "doc_id", tie_of(rows))
     rows = rows.withColumn("__r", F.row_number().over(ranked))
     small = F.broadcast(offsets) if n_buckets <= 100_000 else offsets
     rows = rows.join(small, rows["source"].eqNullSafe(small["__source"]) & (rows["__bucket"] == small["__b"]))

@@ -71,3 +71,9 @@ def test_repeated_rows_and_empty_table(spark):
     out = mixing.mix(docs, mixing.word_count("text")).groupBy("source").agg(F.sum("taken"), F.first("target")).collect()
     assert all(abs(r[1] - r[2]) <= 0.5 for r in out)
     assert mixing.mix(docs.limit(0), mixing.word_count("text")).collect() == []
+
+
+def test_equal_ids_with_other_texts_keep_their_copies(spark):
+    docs = spark.createDataFrame([(i % 3, "ab"[i % 4 == 0], f"one two w{i}", "x") for i in range(120)], SCHEMA)
+    first, again = (sorted(r["text"] for r in mixing.mixed_corpus(docs.repartition(n)).collect()) for n in (1, 6))
+    assert first == again

@@ -51,3 +51,9 @@ def test_empty_table_and_sizes(spark):
     assert sharding.interleave(cases.table(spark).limit(0), 40).collect() == []
     rows = cases.table(spark).select("text", sharding.utf8_size("text").alias("b")).collect()
     assert all(r.b == 16 + len((r.text or "").encode()) for r in rows)
+
+
+def test_equal_ids_with_other_texts_keep_their_places(spark):
+    data = [(i % 7, f"text {i}", "en", "a", 1, 1, "c", "c", "c", "c", "c") for i in range(200)]
+    first, again = (sharding.interleave(cases.table(spark, data).repartition(n), 10).select("text", "shard", "slot") for n in (1, 6))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
