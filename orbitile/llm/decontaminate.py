@@ -70,7 +70,9 @@ def suffix_array(seq: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
 
     Prefix doubling over the whole sequence; 0 ends a suffix and sorts first.
     """
-    rank = seq.astype(np.int64)
+    # dense from the start, as the largest rank stands for the number of classes
+    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64) + 1
+    rank[seq == 0] = 0
     step = 1
     while True:
         after = np.zeros_like(rank)

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from orbitile.llm import decontaminate as dc
 
 from . import cases
@@ -87,6 +90,29 @@ def test_longest_matches(spark):
             assert any(w[p : p + best] == d[got[str(k)].start : got[str(k)].start + best] for p in range(len(w)))
 
 
+@pytest.mark.parametrize("extra", range(1, 41))
+def test_word_number_equal_to_the_number_of_word_pairs(extra):
+    """The largest word number of the shard takes many values, that of the distinct word pairs among them."""
+    rng = random.Random(extra)
+    item = [rng.choice("abc") for _ in range(24)]
+    items = [(0, " ".join(f"w{k}" for k in range(extra))), (1, " ".join(item))]
+    texts = [" ".join([*rng.choices("abc", k=200), *item[3:20], *rng.choices("abc", k=200)]), " ".join(item)]
+    bench = dc.Benchmark(items)
+    out = dc.search(texts, bench)
+    got = [(d, int(n), sum(int(b - a) for a, b in out["spans"].get(d, ())), [str(bench.ids[i]) for i in sorted(out["items"].get(d, ()))]) for d, n in enumerate(out["n_words"])]
+    assert got == brute(list(enumerate(texts)), items)
+
+
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        seq = np.append(rng.choice(rng.permutation(12)[: rng.integers(1, 6)], rng.integers(2, 60)), 0)
+        starts = np.flatnonzero(seq)
+        heads = [tuple(np.append(seq[a : a + 10], 0)) for a in dc.suffix_array(seq, starts, 10)]
+        heads = [h[: h.index(0)] for h in heads]
+        assert heads == sorted(heads)
+
+
 def test_empty_sides(spark):
     docs, none = cases.table(spark), spark.createDataFrame([], "item_id long, text string")
     assert dc.match(docs, none).where("n_hit > 0 or size(item_ids) > 0").count() == 0
