@@ -13,6 +13,8 @@ from orbitile.llm import decontaminate, mixing, neardup, sharding, toxicity
 from orbitile.llm.common import materialise, table
 
 N_SHARDS = 40
+#: Texts with this share of their five-word shingles in common are near duplicates; op10's contract has 85 for its query.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that with the smallest doc_id."""
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, NEAR_PERCENT)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Near-duplicate documents by a multi-index Hamming join of min-hash signatures.
 
-A document's signature is SLOTS min-hashes of b bits each.  Two sets of similarity 0.85
-differ in a slot with probability 0.15 at most, so with MAX_DISTANCE differing slots allowed
-a link is missed with a chance of about 5e-6.  Cut into CHUNKS parts, two signatures within
-that distance agree, by the pigeonhole principle, up to ERRORS slots in at least one part:
-every way to leave ERRORS slots out of every part makes a key, and all such pairs share a key.
-Each link is confirmed on the full shingle sets.
+A document's signature is SLOTS min-hashes of BITS bits each.  Two sets of similarity s differ
+in a slot with probability 1 - s at most; ``distance_of`` gives the differing slots to allow for
+a threshold, so that a link is missed with a chance of at most MISSED (0.85: distance 19 and
+7.6e-6; 0.8: 23 and 3.3e-6).  Cut into ``parts_of`` that distance, two signatures within it
+agree, by the pigeonhole principle, up to ERRORS slots in at least one part: every way to leave
+ERRORS slots out of every part makes a key, and all such pairs share a key.  Each link is
+confirmed on the full shingle sets at the same threshold.
 
 Equal sets are one node from the start.  The nodes that share keys are compared in bounded
 blocks by incidence matrices, which return spanning forests: no list of pairs is ever made.
@@ -14,7 +15,9 @@ blocks by incidence matrices, which return spanning forests: no list of pairs is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations, groupby
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,30 @@ from .common import materialise
 from .text import WordHasher, chunks, mix64, texts_of
 
 SHINGLE = 5
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; this is the percent if none is given.
 PERCENT = 85
 SLOTS, BITS = 48, 16
-MAX_DISTANCE, ERRORS = 19, 1
-CHUNKS = MAX_DISTANCE // (ERRORS + 1) + 1
+ERRORS = 1
+#: The chance that a link at the threshold has no key may not exceed this.
+MISSED = 1e-5
+
+
+def distance_of(percent: int) -> int:
+    """The smallest distance a plan can hold that a pair of this similarity exceeds with a chance of MISSED at most."""
+    differ = 1 - percent / 100
+    for distance in range(ERRORS, SLOTS, ERRORS + 1):
+        if sum(comb(SLOTS, k) * differ**k * (1 - differ) ** (SLOTS - k) for k in range(distance + 1, SLOTS + 1)) <= MISSED:
+            # with more parts some would have no slot left for a key
+            if parts_of(distance) * (ERRORS + 1) <= SLOTS:
+                return distance
+    raise ValueError(f"{SLOTS} slots are too few for {percent} percent")
+
+
+def parts_of(distance: int) -> int:
+    return distance // (ERRORS + 1) + 1
+
+
+MAX_DISTANCE = distance_of(PERCENT)
 CHUNK = 1_000_000
 DESCRIBED = "struct<n_shingles: bigint, h1: bigint, h2: bigint, sig: binary>"
 #: Nodes in a block, and columns of an incidence matrix at a time.
@@ -72,16 +94,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix64(least) >> np.uint64(64 - BITS)).astype(np.uint16)
 
 
-def _key_plan() -> list[tuple[int, np.ndarray]]:
+def _key_plan(percent: int) -> list[tuple[int, np.ndarray]]:
     """Number of each key and the slots it reads."""
-    parts = np.array_split(np.arange(SLOTS), CHUNKS)
+    parts = np.array_split(np.arange(SLOTS), parts_of(distance_of(percent)))
     return list(enumerate(np.setdiff1d(p, out) for p in parts for out in combinations(p, ERRORS)))
 
 
-def signature_keys(signatures: np.ndarray) -> np.ndarray:
+def signature_keys(signatures: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """All keys of each signature (rows): equal for signatures that agree in the slots of one key."""
     keys = []
-    for number, slots in _key_plan():
+    for number, slots in _key_plan(percent):
         key = np.full(len(signatures), number + 1, np.uint64) * _STEP
         for s in slots:
             key = mix64(key ^ signatures[:, s].astype(np.uint64)) + _STEP
@@ -100,12 +122,12 @@ def _described(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["n_shingles", "h1", "h2", "sig"])
 
 
-def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys_of(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
         signatures = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(-1, SLOTS)
-        keys = signature_keys(signatures)
+        keys = signature_keys(signatures, percent)
         nid = np.repeat(np.asarray(b["nid"]), keys.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nid)], ["key", "nid"])
 
@@ -151,11 +173,11 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Pairs that connect all linked ones of a few sets: fewer than there are sets."""
     both = _intersections(sets)
     size = both.diagonal()
-    linked = 100 * both >= PERCENT * (size[:, None] + size - both)
+    linked = 100 * both >= percent * (size[:, None] + size - both)
     edges, new = [], np.ones(len(sets), bool)
     for start in range(len(sets)):
         queue = [start] if new[start] else []
@@ -169,19 +191,19 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Edges within each run of rows of one ball, or of one pair of blocks of a large ball."""
     hasher = WordHasher()
     rows = (r for b in batches for k in range(0, b.num_rows, 64) for r in zip(*(b[c].slice(k, 64).to_pylist() for c in ("g", "nid", "text")), strict=True))
     for _, found in groupby(rows, key=lambda r: r[0]):
         ids, texts = zip(*((r[1], r[2]) for r in found), strict=True)
         if len(ids) > 1:
-            edges = [(ids[x], ids[y]) for x, y in forest(shingle_sets(list(texts), hasher))]
+            edges = [(ids[x], ids[y]) for x, y in forest(shingle_sets(list(texts), hasher), percent)]
             columns = list(zip(*edges, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
-def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
     """Confirmed edges that connect all nodes linked by a pair within the signature distance.
 
     The nodes of a key and those of all other keys with the same smallest node form a ball;
@@ -190,7 +212,7 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
     holds more than two blocks.  A unit returns a forest, never its pairs.  The joins are
     merge joins at every size: broadcasting the small side would only suit small inputs.
     """
-    keys = materialise(nodes.select("nid", "sig").mapInArrow(_keys_of, "key long, nid long"))
+    keys = materialise(nodes.select("nid", "sig").mapInArrow(partial(_keys_of, percent=percent), "key long, nid long"))
     hubs = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where("hub < last").select("key", "hub")
     balls = materialise(keys.join(hubs.hint("merge"), "key").select("hub", "nid").distinct())
     if balls.isEmpty():
@@ -200,12 +222,13 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
     units = units.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("hub", F.least("i", "j"), F.greatest("i", "j"))
     units = units.select(unit.alias("g"), "nid").join(texts.hint("merge"), "nid")
-    return units.repartition("g").sortWithinPartitions("g").mapInArrow(_linked, "a long, b long")
+    return units.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_linked, percent=percent), "a long, b long")
 
 
-def group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def group(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """rid, doc_id, n_shingles, component_id, kept and representative; and ``docs`` with that number as __rid.
 
+    Texts are linked from a similarity of ``percent`` on, ends included.
     Lower-cased (A-Z) words make five-word shingles; a text of fewer words is one shingle; a
     text without words, null included, has none and is linked with nothing.  component_id is
     the smallest doc_id of the group (null ids apart, null if all are), kept says that the row
@@ -223,7 +246,7 @@ def group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.withColumn("sig", F.when(F.col("rid") == F.col("nid"), F.col("sig")))
     members = materialise(members.select("rid", "doc_id", "nid", "n_shingles", "sig"))
 
-    edges = _links(members.where(F.col("rid") == F.col("nid")), work.select(F.col("__rid").alias("nid"), "text"))
+    edges = _links(members.where(F.col("rid") == F.col("nid")), work.select(F.col("__rid").alias("nid"), "text"), percent)
     grouped = members.select("rid", "doc_id", "n_shingles", "nid")
     if edges is not None:
         roots = components(edges)
@@ -240,13 +263,13 @@ def group(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, work
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept; see ``group``."""
-    return group(docs)[0].drop("rid", "representative")
+    return group(docs, percent)[0].drop("rid", "representative")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``docs``."""
-    grouped, work = group(docs)
+    grouped, work = group(docs, percent)
     stay = grouped.where("representative").select(F.col("rid").alias("__rid"))
     return work.join(stay, "__rid").select(*docs.columns)

@@ -92,7 +92,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return neardup.near_duplicates(docs, 85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {

@@ -117,3 +117,40 @@ def test_intersections(n):
     if n:
         both = neardup._intersections(sets)
         assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(n) for j in range(n))
+
+
+def between(n=24):
+    """Pairs of texts of a similarity between 0.80 and 0.85, both ends of it among them, and some outside."""
+    rng, out = random.Random(15), []
+    for k in range(n):
+        w = [f"p{k}x{i}" for i in range(104)]
+        other = w[: 104 - rng.randint(8, 12)] + [f"q{k}x{i}" for i in range(10)]
+        out += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    exact = [f"e{i}" for i in range(84)]  # 80 of 100 shingles
+    return [*out, (900, " ".join(exact)), (901, " ".join(exact + [f"f{i}" for i in range(20)]))]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_threshold(spark, percent):
+    rows = between()
+    want = {}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingles(a), shingles(b)
+        want[i] = i
+        want[j] = i if 100 * len(x & y) >= percent * len(x | y) else j
+    docs = cases.table(spark, [(*r, *cases.rows()[0][2:]) for r in rows])
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, percent).collect()} == want
+    assert sorted(r.doc_id for r in neardup.deduplicate(docs, percent).collect()) == sorted(set(want.values()))
+    linked = sum(k != v for k, v in want.items())
+    assert linked > 5 if percent == 80 else linked < 5
+
+
+def test_pigeonhole_at_every_threshold():
+    rng = np.random.default_rng(16)
+    assert {p: neardup.distance_of(p) for p in (80, 85)} == {80: 23, 85: 19}
+    for percent in (80, 90):
+        a = rng.integers(0, 1 << neardup.BITS, (400, neardup.SLOTS)).astype(np.uint16)
+        b = a.copy()
+        for row in b:
+            row[rng.choice(neardup.SLOTS, neardup.distance_of(percent), replace=False)] ^= 1
+        assert (neardup.signature_keys(a, percent) == neardup.signature_keys(b, percent)).any(axis=1).all()

@@ -61,3 +61,10 @@ def test_empty_documents(spark, folder, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicate_stage_links_from_80_percent_on(spark):
+    words = [f"w{i}" for i in range(84)]  # 80 shingles of these 100
+    rows = [(k, t, *cases.rows()[0][2:]) for k, t in enumerate([" ".join(words), " ".join(words + [f"v{i}" for i in range(20)])])]
+    out = corpus_pipeline.drop_near_duplicates(spark, cases.table(spark, rows), "")
+    assert [r.doc_id for r in out.collect()] == [0]
