@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, seeded_hash
+from .common import join_per_key, materialise, seeded_hash
 from .text import chunks, texts_of
 
 #: Bytes of context before the predicted one.
 ORDER = 3
-#: Labelled rows from which the tree of one language is counted, and languages, at most.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES = 1_000, 200
+#: Labelled ids from which the tree of one language is counted, at most.
+ROWS_PER_LANGUAGE = 1_000
+#: Sampled ids of all languages that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 #: Characters coded at a time.
 CHUNK = 1_000_000
 PAD = b" " * ORDER
@@ -93,21 +95,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, train: Column, *, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict[str, ContextTree]:
-    """Trees of the languages among the ``train`` rows that have text and language.
+    """Trees of all languages among the ``train`` rows that have text and language.
 
-    Counted from at most ``rows_per_language`` rows of each language, chosen by a seeded hash
-    of doc_id, so that what reaches the driver is bounded by the parameters.
+    Counted from the rows of at most ``rows_per_language`` ids of each language, chosen by a
+    seeded hash of doc_id; a row without an id counts as one of its own, named by its text.
+    Every language has a tree, however few ids its rows share.  What reaches the driver is
+    bounded for one language by these rows, and grows with the number of languages.
     """
-    fit = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy("__h", "doc_id")
-    sizes = fit.groupBy("lang").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "lang").limit(MAX_LANGUAGES)
-    ids = fit.select("doc_id", "lang", seeded_hash(6, "doc_id").alias("__h")).join(F.broadcast(sizes), "lang")
-    # of a large language only the share of the hashes that holds about twice the rows is ranked
-    place = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / 2**32
-    ids = ids.where(place * F.col("__n") <= 2 * rows_per_language + 100)
-    ids = ids.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= rows_per_language)
-    ids = materialise(ids.select("doc_id", "lang").distinct())
-    sample = fit.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    fit = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    fit = fit.select("lang", "text", F.coalesce(F.col("doc_id").cast("string"), F.md5("text")).alias("__id"))
+    ids = materialise(fit.select("lang", "__id").distinct())
+    sizes = materialise(ids.groupBy("lang").agg(F.count("*").alias("__n")))
+    n_langs = sizes.count()
+
+    def share(rows: DataFrame) -> DataFrame:
+        """Of a large language only the share of the hashes that holds about twice the ids."""
+        rows = join_per_key(rows.withColumn("__h", seeded_hash(6, "__id")), sizes, "lang", n_langs)
+        place = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / 2**32
+        return rows.where(place * F.col("__n") <= 2 * rows_per_language + 100)
+
+    order = Window.partitionBy("lang").orderBy("__h", "__id")
+    ids = share(ids).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= rows_per_language)
+    ids = materialise(ids.select("__id", "lang"))
+    ids = F.broadcast(ids) if n_langs * rows_per_language <= BROADCAST_IDS else ids
+    sample = share(fit).join(ids, ["__id", "lang"])
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
     rows = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     return {

@@ -76,3 +76,27 @@ def test_awkward_rows(spark):
     assert langid.predict(table.limit(0), trees).count() == 0
     none = langid.learn(table.where("lang is null"), F.lit(True))
     assert none == {} and {r.lang_pred for r in langid.predict(table, none).collect()} == {"und"}
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"text of {k}", f"l{k:03}") for k in range(230)] + [(500 + k, "more", "l000") for k in range(30)]
+    assert set(langid.learn(labelled(spark, rows), F.lit(True))) == {f"l{k:03}" for k in range(230)}
+
+
+@pytest.mark.parametrize("ids", [[3], [4, 5], [None]])
+def test_a_language_of_few_ids_and_many_rows_is_learned(spark, ids):
+    rows = labelled(spark, [(i, f"only {i}", "few") for i in ids] + [(7, "other", "one")])
+    rows = rows.crossJoin(spark.range(20_000).select()).unionByName(labelled(spark, [(k, "many", "many") for k in range(300)]))
+    assert set(langid.learn(rows, F.lit(True), rows_per_language=1)) == {"few", "many", "one"}
+
+
+def test_sampled_ids_by_shuffle(spark, monkeypatch):
+    rows = labelled(spark, [(k % 150, f"text {k}", "ab"[k % 2]) for k in range(600)])
+    want = langid.learn(rows, F.lit(True), rows_per_language=20)
+    monkeypatch.setattr(langid, "BROADCAST_IDS", 0)
+    have = langid.learn(rows, F.lit(True), rows_per_language=20)
+    assert all(np.array_equal(x, y) for k in want for a, b in zip(want[k].levels, have[k].levels, strict=True) for x, y in zip(a, b, strict=True))
