@@ -110,3 +110,9 @@ def packed(docs: DataFrame, *needed: str) -> DataFrame:
 
 def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("__doc.*")
+
+
+def beside(docs: DataFrame, rows: DataFrame, *added: str) -> DataFrame:
+    """The columns of ``docs`` out of packed ``rows``, whatever their names, then the added ones, which replace any of their name."""
+    own = [F.col("__doc").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
+    return rows.select(*own, *added)
