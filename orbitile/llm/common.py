@@ -7,13 +7,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word for the counting operators: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Per-key tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
+#: Rows of a hash bucket, which one task ranks.
+ROWS_PER_BUCKET = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows, stored, with ``__place``: their number from 0 in an order over all of them.
+
+    Ranges of the order are numbered each for itself, from the counts of the ranges before: no
+    task sees more than its range, and the driver gets nothing.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = materialise(ranged)
+    part, inside = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    # one row for each partition, so that this window is as short as the list of tasks
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = ranged.withColumn("__part", part).join(F.broadcast(sizes), "__part")
+    return numbered.withColumn("__place", F.col("__before") + inside).drop("__at", "__part", "__before")
+
+
 def seeded_hash(seed: int, *cols: Column | str) -> Column:
     """32 hex digits that depend on the seed and the columns (null reads as empty)."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
@@ -67,9 +86,19 @@ def tie_of(rows: DataFrame) -> Column:
     """A hash of the whole row, to order rows with equal keys.
 
     Rows that still tie are alike, so a task that runs again after a lost executor gives the
-    same rows in any order of them.  Maps can't be hashed and don't count.
+    same rows in any order of them.  Maps can't be hashed and count as JSON.
     """
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+
+    def hashable(field) -> Column:
+        col = F.col(f"`{field.name}`")
+        return F.to_json(F.struct(col)) if "map<" in field.dataType.simpleString() else col
+
+    return F.xxhash64(*[hashable(f) for f in rows.schema.fields])
+
+
+def order_key(rows: DataFrame, seed: int) -> Column:
+    """A text to sort by: 32 digits that follow from the seed and doc_id, then 16 from the whole row."""
+    return F.concat(seeded_hash(seed, "doc_id"), F.lpad(F.lower(F.hex(tie_of(rows))), 16, "0"))
 
 
 def fold_of(doc_id: Column | str, folds: int) -> Column:
@@ -100,8 +129,8 @@ def label_sample(labels: DataFrame, column: str, fold: Column, bound: int) -> Da
     return kept.orderBy(seeded_hash(17, "doc_id"), "doc_id").limit(bound)
 
 
-def packed(docs: DataFrame, *needed: str) -> DataFrame:
-    """The rows as one column ``__doc`` beside the columns an operator reads.
+def packed(docs: DataFrame, *needed: str | Column) -> DataFrame:
+    """The rows as one column ``__doc`` beside what an operator reads of them.
 
     What the operator adds then clashes with no column of the rows; ``unpacked`` gives them back.
     """

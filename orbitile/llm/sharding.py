@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, seeded_hash, tie_of
+from .common import BROADCAST_ROWS, ROWS_PER_BUCKET, beside, materialise, order_key, packed
 
-#: Hash buckets in which the rows of a source are ranked.
-RANK_DIGITS = 3
-#: Slices of the fractional rank in which the global order is made.
-SLICES = 4096
+#: Digits of the part of an order key that stands for doc_id, and of the row's own that split the bucket of a frequent id.
+ID_DIGITS, ROW_DIGITS = 32, 3
+#: Slices times sources, at most, in the table that says where each slice starts.
+MAX_CELLS = 100_000_000
 
 
 def utf8_size(text: Column | str) -> Column:
@@ -18,55 +18,70 @@ def utf8_size(text: Column | str) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def ranked(rows: DataFrame, largest: int) -> DataFrame:
+    """Add ``__r``, from 1 in the order of ``__key`` within each ``__s``, and ``__n``, the rows of ``__s``.
+
+    Row numbers within buckets, which are ranges of the key of about ROWS_PER_BUCKET rows, plus counted offsets.  A
+    bucket that one doc_id (or none) fills is split by the digits that the rest of the row gives.
+    """
+    digits = 1
+    while largest > ROWS_PER_BUCKET * 16**digits:
+        digits += 1
+    rows = rows.withColumn("__b", F.substring("__key", 1, digits))
+    counts = materialise(rows.groupBy("__s", "__b").agg(F.count("*").alias("__c")))
+    hot = counts.where(F.col("__c") > 4 * ROWS_PER_BUCKET).select("__s", "__b", F.lit(True).alias("__hot"))
+    n_hot = hot.count()
+    if n_hot:
+        split = F.substring("__key", 1, ID_DIGITS + ROW_DIGITS)
+        rows = rows.join(_small(hot, n_hot), ["__s", "__b"], "left")
+        rows = rows.withColumn("__b", F.when(F.col("__hot"), split).otherwise(F.col("__b"))).drop("__hot")
+        counts = materialise(rows.groupBy("__s", "__b").agg(F.count("*").alias("__c")))
+    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"__offset": F.coalesce(F.sum("__c").over(before), F.lit(0)), "__n": F.sum("__c").over(Window.partitionBy("__s"))}
+    offsets = counts.withColumns(sums).drop("__c")
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__key")))
+    rows = rows.join(_small(offsets, counts.count()), ["__s", "__b"])
+    return rows.withColumn("__r", F.col("__r") + F.col("__offset")).drop("__b", "__offset", "__key")
+
+
 def interleave(docs: DataFrame, n_shards: int = 40, *, seed: int = 7) -> DataFrame:
     """Add shard and slot so that every shard matches the mixture of sources.
 
-    Rows are ranked within their source in the order of a seeded hash of doc_id; row r of n
-    stands at (r - 1/2) / n of the whole, and the order by that fraction is cut into
-    ``n_shards`` runs whose row counts differ by one at most.
+    Rows are ranked within their source in the order of a seeded hash of doc_id, then of a hash of the
+    whole row; row r of n stands at (r - 1/2) / n of the whole, and the order by that fraction is cut
+    into ``n_shards`` runs whose row counts differ by one at most.
 
     No step sorts a source or the table in one task: ranks come from row numbers within hash
     buckets plus counted offsets, and the global order from row numbers within slices of the
-    fraction, whose offsets follow from the source counts alone.
+    fraction, whose offsets follow from the source counts alone.  Buckets and slices grow in number
+    with the rows.  Only rows that are equal in every column cannot be told apart and meet in one task.
 
     Null sources form a source of their own, ordered last.  Repeated rows take neighbouring
     ranks.  With fewer rows than shards some shards stay empty; an empty table gives none.
-    Columns of ``docs`` named shard and slot are replaced.
+    Columns of ``docs`` named shard and slot are replaced, all others stay as they are.
     """
-    rows = docs.drop("shard", "slot").withColumn("__h", seeded_hash(seed, "doc_id"))
-    rows = rows.withColumn("__bucket", F.substring("__h", 1, RANK_DIGITS))
-    buckets = materialise(rows.groupBy("source", "__bucket").agg(F.count("*").alias("__n_bucket")))
-    n_buckets = buckets.count()
-    before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("source")
-    offsets = buckets.select(
-        F.col("source").alias("__source"),
-        F.col("__bucket").alias("__b"),
-        F.coalesce(F.sum("__n_bucket").over(before), F.lit(0)).alias("__offset"),
-        F.sum("__n_bucket").over(whole).alias("__n"),
-    )
-    sources = buckets.groupBy("source").agg(F.sum("__n_bucket").alias("n"))
-    total = sources.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    # rows of a source of n below slice j: the ranks r with (2r - 1) * SLICES < 2nj
-    at = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("__slice")
-    below = F.floor(F.ceil(2 * F.col("n") * F.col("__slice") / F.lit(float(SLICES))) / 2)
+    # null sources sort behind all others
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
+    rows = packed(docs, source.alias("__s"), order_key(docs, seed).alias("__key"))
+    sources = materialise(rows.groupBy("__s").agg(F.count("*").alias("n")))
+    n_sources, total, largest = sources.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    slices = max(1, min(-(-total // ROWS_PER_BUCKET), MAX_CELLS // max(1, n_sources)))
+
+    # rows of a source of n below slice j: the ranks r with (2r - 1) * slices < 2nj
+    at = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("__slice")
+    below = F.expr(f"((2 * n * __slice + {slices - 1}) div {slices}) div 2")
     starts = materialise(sources.select("n", at).groupBy("__slice").agg(F.sum(below).cast("long").alias("__start")))
 
-    ranked = Window.partitionBy("source", "__bucket").orderBy("__h", "doc_id", tie_of(rows))
-    rows = rows.withColumn("__r", F.row_number().over(ranked))
-    small = F.broadcast(offsets) if n_buckets <= 100_000 else offsets
-    rows = rows.join(small, rows["source"].eqNullSafe(small["__source"]) & (rows["__bucket"] == small["__b"]))
-    rows = rows.withColumn("__r", F.col("__r") + F.col("__offset"))
-    odd = 2 * F.col("__r") - 1
-    rows = rows.withColumns({"__slice": F.floor(odd * SLICES / (2 * F.col("__n"))).cast("int"), "__at": odd / (2 * F.col("__n"))})
-    in_slice = Window.partitionBy("__slice").orderBy("__at", F.col("source").asc_nulls_last(), "__r")
+    rows = ranked(rows, largest)
+    rows = rows.withColumns({"__slice": F.expr(f"((2 * __r - 1) * {slices} div (2 * __n))").cast("int"), "__at": F.expr("(2 * __r - 1) / (2 * __n)")})
+    in_slice = Window.partitionBy("__slice").orderBy("__at", "__s", "__r")
     rows = rows.withColumn("__p", F.row_number().over(in_slice) - 1)
-    rows = rows.join(F.broadcast(starts), "__slice")
-    position = F.col("__p") + F.col("__start")
-    rows = rows.withColumn("__p", position)
-    shard = F.floor(F.col("__p") * n_shards / F.lit(total or 1)).cast("int")
-    rows = rows.withColumn("shard", shard)
+    rows = rows.join(_small(starts, slices), "__slice")
+    rows = rows.withColumn("__p", F.col("__p") + F.col("__start"))
+    rows = rows.withColumn("shard", F.floor(F.col("__p") * n_shards / F.lit(total or 1)).cast("int"))
     first = F.ceil(F.col("shard").cast("long") * F.lit(total) / n_shards)
-    rows = rows.withColumn("slot", (F.col("__p") - first).cast("long"))
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+    return beside(docs, rows.withColumn("slot", (F.col("__p") - first).cast("long")), "shard", "slot")

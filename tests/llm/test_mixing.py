@@ -77,3 +77,27 @@ def test_equal_ids_with_other_texts_keep_their_copies(spark):
     docs = spark.createDataFrame([(i % 3, "ab"[i % 4 == 0], f"one two w{i}", "x") for i in range(120)], SCHEMA)
     first, again = (sorted(r["text"] for r in mixing.mixed_corpus(docs.repartition(n)).collect()) for n in (1, 6))
     assert first == again
+
+
+@pytest.mark.parametrize("ids", ["none", "equal", "unique"])
+def test_edges_are_found_digit_by_digit(spark, monkeypatch, ids):
+    """With small buckets the histograms go on until the edge is in one, also where one id has all rows."""
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 4)
+    of = {"none": lambda i: None, "equal": lambda i: 1, "unique": lambda i: i}[ids]
+    docs = spark.createDataFrame([(of(i), "abc"[i % 7 % 3], f"w{i} " * (i % 9), "x") for i in range(500)], SCHEMA)
+    first, again = (mixing.mix(docs.repartition(n), mixing.word_count("text")).orderBy("text").collect() for n in (1, 5))
+    assert [(r.text, r.taken) for r in first] == [(r.text, r.taken) for r in again]
+    sizes, taken = {}, {}
+    for r in first:
+        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for s, t in brute_targets(sizes).items():
+        assert abs(taken[s] - t) <= 0.5 + 1e-6
+
+
+def test_many_sources(spark):
+    """Places of the sources in code point order come from ranges, not from one task."""
+    docs = spark.createDataFrame([(i, f"s{i % 300:03}", "one two three", "x") for i in range(900)], SCHEMA)
+    out = mixing.mix(docs, mixing.word_count("text")).select("source", "target").distinct().collect()
+    want = brute_targets({f"s{k:03}": 9 for k in range(300)})
+    assert {r.source: round(r.target, 6) for r in out} == {s: round(t, 6) for s, t in want.items()}

@@ -3,6 +3,7 @@ from collections import Counter
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 
 from orbitile.llm import sharding
 
@@ -57,3 +58,28 @@ def test_equal_ids_with_other_texts_keep_their_places(spark):
     data = [(i % 7, f"text {i}", "en", "a", 1, 1, "c", "c", "c", "c", "c") for i in range(200)]
     first, again = (sharding.interleave(cases.table(spark, data).repartition(n), 10).select("text", "shard", "slot") for n in (1, 6))
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
+
+
+@pytest.mark.parametrize("ids", ["none", "equal", "few"])
+def test_frequent_ids_are_split(spark, monkeypatch, ids):
+    """Rows without an id, or with one id, go to many buckets: no task ranks them all."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 8)
+    of = {"none": lambda i: None, "equal": lambda i: 5, "few": lambda i: i if i % 3 else 5}[ids]
+    data = [(of(i), f"text {i}", "en", "ab"[i % 5 == 0], i, 1, "c", "c", "c", "c", "c") for i in range(600)]
+    docs = cases.table(spark, data)
+    placed = sharding.packed(docs, F.col("source").alias("__s"), sharding.order_key(docs, 7).alias("__key"))
+    out = [sorted((r.text, r.shard, r.slot) for r in sharding.interleave(docs.repartition(n), 10).collect()) for n in (1, 5)]
+    assert out[0] == out[1]
+    sizes = Counter(shard for _, shard, _ in out[0])
+    assert set(sizes.values()) == {60}
+    for k in range(10):
+        assert sorted(slot for _, shard, slot in out[0] if shard == k) == list(range(60))
+    ranks = sharding.ranked(placed, 480).groupBy("__s").agg(F.sort_array(F.collect_list("__r")).alias("r"), F.first("__n").alias("n")).collect()
+    assert all(list(r.r) == list(range(1, r.n + 1)) for r in ranks)
+
+
+def test_maps_count_as_json(spark):
+    rows = [(1, "t", "a", {"k": str(i)}) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, props map<string, string>")
+    first, again = (sorted((r.props["k"], r.shard, r.slot) for r in sharding.interleave(docs.repartition(n), 4).collect()) for n in (1, 4))
+    assert first == again
