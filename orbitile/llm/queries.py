@@ -27,6 +27,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "longest_match",
+        "longest_start",
     )
 
 
@@ -145,7 +147,8 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-# Windows as joined words, met by every document window of the same length.
+# Windows as joined words, met by every document window of the same length; runs of windows on one
+# diagonal of a document and an item text are verbatim matches.
 ORACLE_SQL["op2_decontaminate"] = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -156,22 +159,25 @@ WITH dw AS (
                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark
 ), windows AS (
-  SELECT DISTINCT item_id, least(10, len(w)) AS n,
+  SELECT DISTINCT item_id, t, p AS q, least(10, len(w)) AS n,
          array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM bw WHERE len(w) > 0)
+  FROM (SELECT item_id, w, row_number() OVER () AS t, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM bw WHERE len(w) > 0)
 ), lengths AS (SELECT DISTINCT n FROM windows
 ), spots AS (
   SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS s
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, lengths WHERE len(w) >= n)
-), found AS (SELECT doc_id, n, p, item_id FROM spots JOIN windows USING (n, s)
+), found AS (SELECT doc_id, n, p, item_id, t, q FROM spots JOIN windows USING (n, s)
+), runs AS (SELECT doc_id, min(p) - 1 AS start, count(*) + any_value(n) - 1 AS words
+  FROM (SELECT DISTINCT doc_id, n, p, t, q, p - row_number() OVER (PARTITION BY doc_id, t, p - q ORDER BY p) AS island FROM (SELECT DISTINCT doc_id, n, p, t, q FROM found)) GROUP BY doc_id, t, p - q, island
+), longest AS (SELECT doc_id, max(words) AS longest_match, min(start) FILTER (WHERE words = most) AS longest_start FROM (SELECT *, max(words) OVER (PARTITION BY doc_id) AS most FROM runs) GROUP BY doc_id
 ), hits AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS i FROM found) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0)::BIGINT AS longest_match, longest_start::BIGINT AS longest_start
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 # Conversations as lists of turns; each is compared with the beginnings of all longer ones.

@@ -53,41 +53,66 @@ def test_matches(spark, monkeypatch):
     want = sorted(brute([(r[0], r[1]) for r in data], items), key=str)
     assert sum(r[2] > 0 for r in want) > 15
 
-    def have():
-        out = dc.match(docs.repartition(3), bench)
+    def have(**kwargs):
+        out = dc.match(docs.repartition(3), bench, **kwargs)
         assert {"label", "score", "size"} <= set(out.columns)
         return sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in out.collect()), key=str)
 
     assert have() == want
     monkeypatch.setattr(dc, "SHARD_CHARS", 2_000)
     assert have() == want
-    monkeypatch.setattr(dc, "BLOCK_CHARS", 600)
-    assert have() == want
+    assert have(block_chars=600) == want
     clean = dc.remove(docs, bench)
     assert clean.columns == docs.columns
     assert clean.count() == sum(r[2] == 0 for r in want)
 
 
-def test_longest_matches(spark):
-    data, items = planted()
-    got = {r.item_id: r for r in dc.longest_matches(cases.table(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    docs = [(r[0], words(r[1])) for r in data]
-    for k, text in items[:25]:
+def common(a, b):
+    n = 0
+    while n < len(a) and n < len(b) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def brute_longest(docs, items):
+    """{item: (words, doc, start)} over all pairs of places, and {doc: (words, start)} over all items."""
+    by_item, by_doc = {}, {}
+    for k, text in items:
         w = words(text)
-        need, best = min(10, len(w)), 0
-        for _, d in docs:
-            for p in range(len(w)):
-                for q in range(len(d)):
-                    n = 0
-                    while p + n < len(w) and q + n < len(d) and w[p + n] == d[q + n]:
-                        n += 1
-                    best = max(best, n)
-            if best == len(w):
-                break
-        if best >= need and k != 10 and k != 7:
-            assert got[str(k)].n_match == best
-            d = next(x for i, x in docs if i == got[str(k)].doc_id)
-            assert any(w[p : p + best] == d[got[str(k)].start : got[str(k)].start + best] for p in range(len(w)))
+        need = min(10, len(w))
+        for i, d in docs if w else ():
+            for q in range(len(d)):
+                n = max((common(w[p:], d[q:]) for p in range(len(w)) if d[q] == w[p]), default=0)
+                if n >= need:
+                    by_doc[i] = min(by_doc.get(i, (0, 0)), (-n, q))
+                    if k is not None:
+                        by_item[str(k)] = min(by_item.get(str(k), (0, 0, 0)), (-n, i, q))
+    return {k: (-n, i, q) for k, (n, i, q) in by_item.items()}, {i: (-n, q) for i, (n, q) in by_doc.items()}
+
+
+def test_longest_matches(spark, monkeypatch):
+    data, items = planted()
+    data = [r for r in data if r[0] is not None and len(r[1] or "") < 20_000]
+    data = list({r[0]: r for r in data}.values())
+    by_item, by_doc = brute_longest([(r[0], words(r[1])) for r in data], items)
+    docs, bench = cases.table(spark, data), spark.createDataFrame(items, "item_id long, text string")
+    for block_chars, shard in ((4_000_000, 8_000_000), (700, 3_000)):
+        monkeypatch.setattr(dc, "SHARD_CHARS", shard)
+        got = dc.longest_matches(docs, bench, block_chars=block_chars).collect()
+        # an id on several rows has the longest match of any of its texts
+        assert {r.item_id: (r.n_match, r.doc_id, r.start) for r in got} == by_item
+        got = dc.match(docs, bench, block_chars=block_chars).where("longest_match > 0").collect()
+        assert {r.doc_id: (r.longest_match, r.longest_start) for r in got} == by_doc
+
+
+def test_equal_items_and_a_frequent_word(spark):
+    """A thousand equal items of one word that a text has thousands of times: one window, and all their ids."""
+    row = cases.rows()[0][2:]
+    docs = cases.table(spark, [(1, "same " * 20_000, *row), (2, "other words", *row)])
+    bench = spark.createDataFrame([(k, "same") for k in range(1_000)], "item_id long, text string")
+    out = {r.doc_id: r for r in dc.match(docs, bench).collect()}
+    assert (out[1].n_hit, len(out[1].item_ids), out[1].longest_match) == (20_000, 1_000, 1)
+    assert out[1].item_ids == sorted(str(k) for k in range(1_000)) and out[2].item_ids == []
 
 
 @pytest.mark.parametrize("extra", range(1, 41))
@@ -97,9 +122,10 @@ def test_word_number_equal_to_the_number_of_word_pairs(extra):
     item = [rng.choice("abc") for _ in range(24)]
     items = [(0, " ".join(f"w{k}" for k in range(extra))), (1, " ".join(item))]
     texts = [" ".join([*rng.choices("abc", k=200), *item[3:20], *rng.choices("abc", k=200)]), " ".join(item)]
-    bench = dc.Benchmark(items)
-    out = dc.search(texts, bench)
-    got = [(d, int(n), sum(int(b - a) for a, b in out["spans"].get(d, ())), [str(bench.ids[i]) for i in sorted(out["items"].get(d, ()))]) for d, n in enumerate(out["n_words"])]
+    bench = dc.Benchmark([([str(i)], t) for i, t in items])
+    shard = dc.Shard(texts, bench)
+    out = shard.matches()
+    got = [(d, int(n), sum(b - a for a, b in out[d][0]) if d in out else 0, sorted(out[d][1]) if d in out else []) for d, n in enumerate(shard.n_words)]
     assert got == brute(list(enumerate(texts)), items)
 
 
