@@ -23,8 +23,6 @@ from .text import best_cut, texts_of
 
 #: Labelled rows from which the lexicon is learned, at most.
 SAMPLE_ROWS = 20_000
-#: Entries of the lexicon, at most, before beginnings absorb their extensions.
-LEXICON_ROWS = 20_000
 #: A term enters if its log-likelihood ratio statistic and its share of toxic rows reach these, hits in
 #: exception phrases left out; terms from the third figure on are tried for exception phrases.
 MIN_G2, MIN_PURITY, TRIED_PURITY = 18.0, 0.97, 0.75
@@ -96,14 +94,19 @@ class Lexicon:
         if not self.weights:
             return []
         best: dict[int, tuple[float, str]] = {}
-        excused: list[tuple[int, int]] = []
+        excused: dict[int, int] = {}
         for end, (size, weight, term) in self.automaton.iter(folded):
             start = end - size + 1
             if weight is None:
-                excused.append((start, end))
+                excused[start] = max(end, excused.get(start, 0))
             else:
                 best[start] = max((weight, term), best.get(start, (0.0, "")))
-        return [(s, w, t) for s, (w, t) in sorted(best.items()) if not any(a <= s < b for a, b in excused)]
+        out, reached = [], 0  # how far the phrases that began so far extend
+        for s in sorted(best.keys() | excused.keys()):
+            reached = max(reached, excused.get(s, 0))
+            if s in best and s >= reached:
+                out.append((s, *best[s]))
+        return out
 
     def density(self, text: str) -> float:
         """Weight of the hits per word."""
@@ -128,7 +131,7 @@ def _fold_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         folded = [fold(t) for t in texts_of(b["text"])]
         yield pa.RecordBatch.from_arrays(
-            [b["doc_id"].cast(pa.int64()), b["label"].cast(pa.int32()), pa.array([_signature(t) for t in folded], pa.int64()), pa.array(folded, pa.string())],
+            [b["doc_id"].cast(pa.string()), b["label"].cast(pa.int32()), pa.array([_signature(t) for t in folded], pa.int64()), pa.array(folded, pa.string())],
             ["doc_id", "label", "sig", "folded"],
         )
 
@@ -150,11 +153,11 @@ def _counted(folded: DataFrame, features: Callable[[str], set[str]]) -> DataFram
 
 
 def _telling(counted: DataFrame, n_toxic: int, n_clean: int, purity: float) -> list:
-    """At most LEXICON_ROWS terms that mark toxic rows, the most telling first."""
+    """Terms that mark toxic rows, the most telling first: as many as the bounded sample gives."""
     rate_t, rate_c = F.col("toxic") / n_toxic, F.col("clean") / n_clean
     kept = counted.withColumns({"g2": _g2(F.col("toxic"), F.col("clean"), n_toxic, n_clean), "purity": rate_t / (rate_t + rate_c)})
     kept = kept.where((F.col("g2") >= MIN_G2) & (F.col("purity") >= purity))
-    return kept.orderBy(F.desc("g2"), "term").limit(LEXICON_ROWS).collect()
+    return kept.orderBy(F.desc("g2"), "term").collect()
 
 
 def _g2(toxic, clean, n_toxic: int, n_clean: int):
@@ -171,13 +174,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int =
     """Learn a lexicon from ``labels.toxic``, on rows outside the held-out fold.
 
     The sample is bounded by ``bound`` rows, near copies in it count once, and all that the
-    driver gets are the selected terms and phrases and one density per sampled row.  Without
+    driver gets are the selected terms and phrases, none left out, and one density per sampled row.  Without
     labels of both kinds the lexicon is empty and every score is 0.
     """
     train = fold_of("doc_id", folds) != held_out
     sample = F.broadcast(label_sample(labels, "toxic", train, bound))
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
-    folded = rows.mapInArrow(_fold_sample, "doc_id long, label int, sig long, folded string")
+    folded = rows.mapInArrow(_fold_sample, "doc_id string, label int, sig long, folded string")
     # an id on many rows gives one of them, so that the bound holds for rows too
     folded = folded.groupBy("doc_id", "label").agg(F.min(F.struct("sig", "folded")).alias("t")).select("label", "t.*")
     folded = folded.groupBy("sig", "label").agg(F.min("folded").alias("folded")).persist()
@@ -223,16 +226,15 @@ def _exceptions(folded: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int)
     def phrases(text: str) -> set[str]:
         near = set()
         for start, _, _ in lexicon.hits(text):
-            before, after = text[:start].rpartition(" ")[2], text[start + 1 : start + 200].split(" ")
-            if before:
-                near.add(f"{before} {after[0]}")
-            if len(after) > 1 and after[1]:
-                near.add(f"{after[0]} {after[1]}")
+            end = text.index(" ", start + 1)
+            word, before = text[start + 1 : end], text[text.rfind(" ", 0, start) + 1 : start]
+            after = text[end + 1 : max(text.find(" ", end + 1), end + 1)]
+            near.update(p for p in (f"{before} {word}" if before else "", f"{word} {after}" if after else "") if p)
         return near
 
     near = _counted(folded, phrases)
     near = near.where((F.col("clean") >= 3) & (F.col("clean") / n_clean > 20 * F.col("toxic") / n_toxic))
-    return tuple(r[0] for r in near.orderBy(F.desc("clean"), "term").limit(LEXICON_ROWS).collect())
+    return tuple(r[0] for r in near.orderBy(F.desc("clean"), "term").collect())
 
 
 def _cut(folded: DataFrame, lexicon: Lexicon) -> float:
