@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_per_key, materialise, seeded_hash
+from .common import beside, join_per_key, materialise, packed, seeded_hash
 from .text import chunks, texts_of
 
 #: Bytes of context before the predicted one.
 ORDER = 3
 #: Labelled ids from which the tree of one language is counted, at most.
 ROWS_PER_LANGUAGE = 1_000
+#: Bytes of their texts, at most, but for the text that passes the bound.
+BYTES_PER_LANGUAGE = 8_000_000
 #: Sampled ids of all languages that are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 #: Characters coded at a time.
@@ -94,13 +96,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def learn(docs: DataFrame, train: Column, *, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict[str, ContextTree]:
+def learn(docs: DataFrame, train: Column, *, rows_per_language: int = ROWS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE) -> dict[str, ContextTree]:
     """Trees of all languages among the ``train`` rows that have text and language.
 
-    Counted from the rows of at most ``rows_per_language`` ids of each language, chosen by a
-    seeded hash of doc_id; a row without an id counts as one of its own, named by its text.
-    Every language has a tree, however few ids its rows share.  What reaches the driver is
-    bounded for one language by these rows, and grows with the number of languages.
+    Counted from one text each of at most ``rows_per_language`` ids of each language, in the order of a
+    seeded hash of doc_id until ``bytes_per_language`` are reached; a row without an id counts as one of
+    its own, named by its text.  Every language has a tree, however few ids its rows share.  What reaches
+    the driver is bounded for one language by these bytes, and grows with the number of languages.
     """
     fit = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     fit = fit.select("lang", "text", F.coalesce(F.col("doc_id").cast("string"), F.md5("text")).alias("__id"))
@@ -118,7 +120,10 @@ def learn(docs: DataFrame, train: Column, *, rows_per_language: int = ROWS_PER_L
     ids = share(ids).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= rows_per_language)
     ids = materialise(ids.select("__id", "lang"))
     ids = F.broadcast(ids) if n_langs * rows_per_language <= BROADCAST_IDS else ids
-    sample = share(fit).join(ids, ["__id", "lang"])
+    # an id on many rows gives one text, so that the bounds hold for rows too
+    sample = share(fit).join(ids, ["__id", "lang"]).groupBy("lang", "__id", "__h").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.withColumn("__before", upto - F.octet_length("text")).where(F.col("__before") < bytes_per_language)
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
     rows = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     return {
@@ -163,5 +168,5 @@ def predict(docs: DataFrame, trees: dict[str, ContextTree], *, text: str = "text
         lang = [names[i] if ok else "und" for i, ok in zip(best, letter, strict=True)]
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.where(letter, share, 0.0))], ["lang_pred", "score"])
 
-    out = docs.withColumn("__p", predicted(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
+    rows = packed(docs, F.col(text).alias("text")).withColumn("__p", predicted(F.col("text"))).select("__doc", "__p.*")
+    return beside(docs, rows, "lang_pred", "score")
