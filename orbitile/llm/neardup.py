@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, packed, unpacked
 from .text import WordHasher, chunks, mix64, texts_of
 
 SHINGLE = 5
@@ -226,7 +226,7 @@ def _links(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None
 
 
 def group(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """rid, doc_id, n_shingles, component_id, kept and representative; and ``docs`` with that number as __rid.
+    """rid, doc_id, n_shingles, component_id, kept and representative; and the packed rows of ``docs`` with that number as __rid.
 
     Texts are linked from a similarity of ``percent`` on, ends included.
     Lower-cased (A-Z) words make five-word shingles; a text of fewer words is one shingle; a
@@ -236,17 +236,18 @@ def group(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     repeated rows included, are always in one group.  Other columns, whatever their names, stay
     as they are.
     """
-    work = docs.withColumns({"__d": F.arrow_udf(_described, DESCRIBED)(F.col("text")), "__rid": F.monotonically_increasing_id()})
+    work = packed(docs, F.arrow_udf(_described, DESCRIBED)(F.col("text")).alias("__d"), F.monotonically_increasing_id().alias("__rid"))
     work = materialise(work)
+    doc = F.col("__doc")
     facts = ["n_shingles", "h1", "h2"]
-    described = work.select(F.col("__rid").alias("rid"), "doc_id", "__d.*")
+    described = work.select(F.col("__rid").alias("rid"), doc["doc_id"].alias("doc_id"), "__d.*")
     with_words = described.where(F.col("n_shingles") > 0)
     firsts = with_words.groupBy(*facts).agg(F.min("rid").alias("nid"))
     members = with_words.select("rid", "doc_id", *facts, "sig").join(firsts.hint("merge"), facts)
     members = members.withColumn("sig", F.when(F.col("rid") == F.col("nid"), F.col("sig")))
     members = materialise(members.select("rid", "doc_id", "nid", "n_shingles", "sig"))
 
-    edges = _links(members.where(F.col("rid") == F.col("nid")), work.select(F.col("__rid").alias("nid"), "text"), percent)
+    edges = _links(members.where(F.col("rid") == F.col("nid")), work.select(F.col("__rid").alias("nid"), doc["text"].alias("text")), percent)
     grouped = members.select("rid", "doc_id", "n_shingles", "nid")
     if edges is not None:
         roots = components(edges)
@@ -272,4 +273,4 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``docs``."""
     grouped, work = group(docs, percent)
     stay = grouped.where("representative").select(F.col("rid").alias("__rid"))
-    return work.join(stay, "__rid").select(*docs.columns)
+    return unpacked(work.join(stay, "__rid"))
