@@ -84,7 +84,11 @@ def coverage_by_step(pixels: DataFrame, sequence: DataFrame) -> DataFrame:
     step = F.coalesce("step", F.lit(0))
     seen = pixels.join(sequence.select("tile_id", "scene_id", "step"), ["tile_id", "scene_id"], "left").withColumn("step", step)
     firsts = [F.min(F.when(F.col(b).isNotNull(), F.col("step"))).alias(b) for b in ("B4", "B3", "B2")]
-    cells = seen.groupBy("tile_id", "row", "col").agg(*firsts)
+    return coverage_from_cells(seen.groupBy("tile_id", "row", "col").agg(*firsts), sequence)
+
+
+def coverage_from_cells(cells: DataFrame, sequence: DataFrame) -> DataFrame:
+    """(tile_id, step, coverage) from the step with which each cell's visible bands have a value (null: never)."""
     counted = cells.select("tile_id", F.explode(F.array("B4", "B3", "B2")).alias("step")).groupBy("tile_id", "step").agg(F.count("*").alias("n"))
     sizes = counted.groupBy("tile_id").agg(F.sum("n").alias("total"))
     steps = sequence.select("tile_id", "step").distinct().unionByName(sizes.select("tile_id", F.lit(0).alias("step")))
@@ -103,7 +107,16 @@ def stop_step(coverages: DataFrame) -> DataFrame:
         run = run + r
     out = out.withColumn("__stop", (F.col("coverage") >= TARGET) | (run == STALLS))
     last = F.coalesce(F.min(F.when(F.col("__stop"), F.col("step"))), F.max("step"))
-    return out.groupBy("tile_id").agg(last.cast("int").alias("last_step"))
+    return out.groupBy("tile_id").agg(last.cast("int").alias("last_step"), F.coalesce(F.max("__stop"), F.lit(False)).alias("stopped"))
+
+
+def gap_counts(sequence: DataFrame, stops: DataFrame, *, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
+    """(tile_id, gaps_identified, gaps_filled): scenes of good quality that were added, and one more where candidates ran out before the target."""
+    added = sequence.join(stops, "tile_id").where((F.col("step") <= F.col("last_step")) & ~F.col("low_quality"))
+    filled = added.groupBy("tile_id").agg(F.count("*").alias("gaps_filled"))
+    out = stops.join(filled, "tile_id", "left").withColumn("gaps_filled", F.coalesce("gaps_filled", F.lit(0)))
+    ran_out = ~F.col("stopped") & (F.col("last_step") < max_iterations)
+    return out.select("tile_id", (F.col("gaps_filled") + ran_out.cast("int")).alias("gaps_identified"), "gaps_filled")
 
 
 def gap_statistics(coverages: DataFrame, stops: DataFrame) -> DataFrame:

@@ -28,6 +28,22 @@ def quality_mosaic(pixels: DataFrame, *, mode: str = "band", cell: tuple = CELL,
     return pixels.groupBy(*cell).agg(best).select(*cell, "b.*")
 
 
+def best_with_step(pixels: DataFrame, *, cell: tuple = CELL, bands: list[str] = STANDARD) -> DataFrame:
+    """For every cell and band the best scene's value, as above, with that scene's ``step``: a struct a band."""
+    order = F.struct(F.col("quality"), -F.col("scene_id"))
+    picked = [F.max_by(F.struct(F.col(b).alias("value"), "step"), F.when(F.col(b).isNotNull(), order)).alias(b) for b in bands]
+    return pixels.groupBy(*cell).agg(*picked)
+
+
+def steps_of(cells: DataFrame, *, cell: tuple = CELL) -> DataFrame:
+    return cells.select(*cell, *[F.col(f"{b}.step").alias(b) for b in cells.columns if b not in cell])
+
+
+def until_step(cells: DataFrame, *, cell: tuple = CELL, bands: list[str] = STANDARD) -> DataFrame:
+    """The values of steps up to ``last_step``; later ones are null."""
+    return cells.select(*cell, *[F.when(F.col(f"{b}.step") <= F.col("last_step"), F.col(f"{b}.value")).alias(b) for b in bands])
+
+
 def median_mosaic(pixels: DataFrame, *, cell: tuple = CELL, bands: list[str] = STANDARD) -> DataFrame:
     return pixels.groupBy(*cell).agg(*[F.median(b).alias(b) for b in bands])
 

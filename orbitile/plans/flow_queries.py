@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitile.functions import text
@@ -14,7 +12,8 @@ from orbitile.sources.storage import work_folder
 from orbitile.streaming import live
 
 from . import month, views
-from .select_queries import SCORED_SQL, TESTED_SQL, scored_scenes, tested_scenes
+from .select_queries import FLEET_SQL, SCORED_SQL, TESTED_SQL, fleet_tests, phase_sql, scored_scenes, tested_scenes, with_recursive
+from .work_queries import sequence_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,12 +49,12 @@ def months_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.missing_months(months, formats.read_manifest(spark, path))
 
 
-@query(f"WITH m AS ({_MONTHS}) SELECT year, month, 'a \"b\", c' AS name FROM m WHERE month = 3")
+@query(f"WITH m AS ({_MONTHS}) SELECT year, month, 'a \"b\", c' AS name FROM m")
 def manifest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON in a manifest cell, written and read back."""
     path = work_folder(spark, "manifest")
     tiles = F.to_json(F.array(F.struct(F.lit('a "b", c').alias("name"))))
-    rows = _months(spark, sf_dir).where("month = 3").select("year", "month", F.lit("m").alias("mosaic"), F.lit("p").alias("pyramid"), tiles.alias("tiles"), F.lit("{}").alias("provenance"), F.lit("t").alias("timestamp"))
+    rows = _months(spark, sf_dir).select("year", "month", F.lit("m").alias("mosaic"), F.lit("p").alias("pyramid"), tiles.alias("tiles"), F.lit("{}").alias("provenance"), F.lit("t").alias("timestamp"))
     formats.append_manifest(rows, path)
     return formats.read_manifest(spark, path).select("year", "month", F.get_json_object("tiles", "$[0].name").alias("name"))
 
@@ -90,9 +89,9 @@ def usage_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.get_json_object("snapshot", "$.tiles").cast("long").alias("tiles"), F.json_array_length(F.get_json_object("snapshot", "$.sensors")).cast("long").alias("sensors"))
 
 
-@query(views.with_views("v_scene", f"""{TESTED_SQL} SELECT row_number() OVER (ORDER BY tile_id, round(score, 9) DESC, scene_id) AS place, tile_id || ',' || sensor AS line FROM tested WHERE sensor = 'SENTINEL_2'"""))
+@query(views.with_views("v_scene", f"""{TESTED_SQL} SELECT row_number() OVER (ORDER BY tile_id, round(score, 9) DESC, scene_id) AS place, tile_id || ',' || sensor AS line FROM tested"""))
 def dashboard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tested_scenes(spark, sf_dir).where("sensor = 'SENTINEL_2'").withColumn("score", F.round("score", 9))
+    rows = tested_scenes(spark, sf_dir).withColumn("score", F.round("score", 9))
     return formats.dashboard_lines(rows).select("place", F.substring_index("line", ",", 2).alias("line"))
 
 
@@ -106,30 +105,25 @@ def stored_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("year", "month").agg(F.count("*").alias("n"))
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """The final table of a stream that is run until its source is used up."""
-    name = f"stream_{uuid.uuid4().hex}"
-    spark = stream.sparkSession
-    checkpoint = work_folder(spark, "stream")
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.scene_stream(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, "events.parquet")
+    """The events as a stream of several files over three periods, one file a batch: state crosses batches."""
+    events, folder = views.read(spark, sf_dir, "events"), work_folder(spark, "events")
+    day = F.dayofmonth("ts")
+    for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        events.where(part).write.mode("append").parquet(folder)
+    return live.scene_stream(spark, folder, events.schema)
 
 
 @query("SELECT event_type AS sensor, count(*) AS n, round(max(value), 6) AS best FROM events GROUP BY event_type")
 def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenes = _event_stream(spark, sf_dir).select(F.col("event_type").alias("sensor"), F.col("value").alias("score"))
-    return _drained(live.running_usage(scenes), "complete")
+    return live.drain(live.running_usage(scenes), "complete", work_folder(spark, "usage"))
 
 
 @query("SELECT event_type AS sensor, time_bucket(INTERVAL 30 DAY, ts, TIMESTAMP '1970-01-01')::DATE::VARCHAR AS start, count(*) AS n FROM events GROUP BY ALL")
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenes = _event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("sensor"))
-    out = _drained(live.monthly_usage(scenes), "complete")
+    out = live.drain(live.monthly_usage(scenes), "complete", work_folder(spark, "windows"))
     return out.select("sensor", F.to_date("window.start").cast("string").alias("start"), "n")
 
 
@@ -138,25 +132,55 @@ SELECT grp, done, round((2000 - done) * (max(t) - min(t)) / 29, 3) AS remaining
 def streamed_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of every group."""
     e = _event_stream(spark, sf_dir).select((F.col("user_id") % 10).alias("grp"), F.col("ts").cast("timestamp").cast("long").cast("double").alias("completed_at"))
-    out = _drained(live.throughput(e, 2000), "update")
-    last = out.groupBy("grp").agg(F.max_by(F.struct("done", "remaining"), "done").alias("b"))
-    return last.select("grp", "b.done", F.round("b.remaining", 3).alias("remaining"))
+    last = live.drain(live.throughput(e, 2000), "update", work_folder(spark, "throughput"), keys=["grp"])
+    return last.select("grp", "done", F.round("remaining", 3).alias("remaining"))
+
+
+#: Cells of a tile, and how often in eleven and more a band of a scene has no value there.
+CELLS, HOLES = 36, 7
+_BANDS = ("B4", "B3", "B2", "B8", "B11", "B12")
+_PIXEL_BANDS = ", ".join(f"CASE WHEN k % {11 + j} > {HOLES} THEN (k % {97 + j}) / 100.0::DOUBLE END AS {b}" for j, b in enumerate(_BANDS))
+_MONTH_SQL = FLEET_SQL + phase_sql("taken") + f""", cand AS (SELECT x.*, coalesce((SELECT min(abs(x.days - p.days)) FROM phase p WHERE p.tile_id = x.tile_id), 999) AS dist, native_res AS res
+  FROM patient x WHERE NOT EXISTS (SELECT 1 FROM phase p WHERE p.scene_id = x.scene_id))""" + sequence_sql() + f""", used AS (
+  SELECT tile_id, scene_id, 0 AS step, score AS quality FROM phase UNION ALL SELECT tile_id, scene_id, step, -step::DOUBLE FROM seq
+), px AS (SELECT tile_id, scene_id, step, quality, p, {_PIXEL_BANDS} FROM (SELECT *, scene_id * 31 + p * 17 AS k FROM used, (SELECT unnest(range(0, {CELLS})) AS p))
+), cells AS (SELECT tile_id, p, min(step) FILTER (WHERE B4 IS NOT NULL) AS a, min(step) FILTER (WHERE B3 IS NOT NULL) AS b, min(step) FILTER (WHERE B2 IS NOT NULL) AS c FROM px GROUP BY ALL
+), v AS (SELECT s.tile_id, s.step, sum(coalesce((a <= s.step)::INT, 0) + coalesce((b <= s.step)::INT, 0) + coalesce((c <= s.step)::INT, 0)) / (3.0 * count(*))::DOUBLE AS coverage
+  FROM (SELECT DISTINCT tile_id, step FROM used) s JOIN cells USING (tile_id) GROUP BY ALL
+), d AS (SELECT *, (coverage - lag(coverage) OVER w < 0.001)::INT AS flat FROM v WINDOW w AS (PARTITION BY tile_id ORDER BY step)
+), e AS (SELECT *, coverage >= 0.999 OR coalesce(flat, 0) + coalesce(lag(flat, 1) OVER w, 0) + coalesce(lag(flat, 2) OVER w, 0) = 3 AS stop FROM d WINDOW w AS (PARTITION BY tile_id ORDER BY step)
+), l AS (SELECT tile_id, coalesce(min(step) FILTER (WHERE stop), max(step)) AS last_step, bool_or(stop) AS stopped FROM e GROUP BY tile_id
+), stats AS (SELECT tile_id, any_value(last_step) AS images_added, arg_max(coverage, step) AS coverage, any_value(stopped) AS stopped FROM v JOIN l USING (tile_id) WHERE step <= last_step GROUP BY tile_id
+), filled AS (SELECT tile_id, count(*) AS gaps_filled FROM seq JOIN l USING (tile_id) WHERE step <= last_step AND NOT low_quality GROUP BY tile_id
+), done AS (SELECT t.tile_id, s.coverage, s.images_added, p.sensor AS dominant, coalesce(gaps_filled, 0) AS gaps_filled, CASE WHEN NOT s.stopped AND s.images_added < 20 THEN 1 ELSE 0 END AS ran_out
+  FROM (SELECT DISTINCT user_id AS tile_id FROM events) t LEFT JOIN stats s USING (tile_id) LEFT JOIN phase p ON p.tile_id = t.tile_id AND p.phase_rank = 1 LEFT JOIN filled f ON f.tile_id = t.tile_id
+), judged AS (SELECT *, CASE WHEN dominant IS NULL THEN 'no_imagery' WHEN coalesce(coverage, 0) <= 0 THEN 'validation_failed' ELSE 'ok' END AS status FROM done)"""
+
+
+def _month(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A whole month over all sensors.  Pixels are a small grid of every tested scene with values and holes by its number."""
+    parts = month.select_for_month(fleet_tests(spark, sf_dir))
+    px = parts["tested"].select("tile_id", "scene_id", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("p"))
+    k = F.col("scene_id") * 31 + F.col("p") * 17
+    bands = [F.when(k % (11 + j) > HOLES, (k % (97 + j)) / 100.0).alias(b) for j, b in enumerate(_BANDS)]
+    px = px.select("tile_id", "scene_id", F.floor(F.col("p") / 6).cast("int").alias("row"), (F.col("p") % 6).cast("int").alias("col"), *bands)
+    tiles = views.read(spark, sf_dir, "events").select(F.col("user_id").alias("tile_id")).distinct()
+    return month.compose_month(tiles, px, parts["chosen"], parts["sequence"])
 
 
-@query()
+@query(with_recursive(views.with_views("v_scene v_fleet", _MONTH_SQL + f""" SELECT tile_id, status, CASE WHEN status <> 'ok' THEN 'failed' WHEN coverage < 0.95 THEN 'partial' ELSE 'complete' END AS outcome,
+  round(coalesce(coverage, 0), 6) AS coverage, dominant, coalesce(images_added, 0)::BIGINT AS images_added, CASE WHEN images_added IS NULL THEN 0 ELSE gaps_filled + ran_out END::BIGINT AS gaps_identified, gaps_filled::BIGINT AS gaps_filled FROM judged""")))
 def month_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tile results of a whole month: select, fill gaps, compose, report.
-
-    Pixels are a small grid of every scene with values and holes by its number; the greedy
-    fold of gap filling has no SQL form, so a test holds the parts against plain loops.
-    """
-    scored = scored_scenes(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("tile_id", "sensor")))
-    parts = month.select_for_month(scored)
-    cells = F.explode(F.sequence(F.lit(0), F.lit(35)))
-    px = parts["tested"].select("tile_id", "scene_id", cells.alias("p"))
-    k = F.col("scene_id") * 31 + F.col("p") * 17
-    bands = {b: F.when(k % (11 + j) > 2, (k % (97 + j)) / 100.0) for j, b in enumerate(("B4", "B3", "B2", "B8", "B11", "B12"))}
-    px = px.select("tile_id", "scene_id", F.floor(F.col("p") / 6).cast("int").alias("row"), (F.col("p") % 6).cast("int").alias("col"), *[c.alias(b) for b, c in bands.items()])
-    made = month.compose_month(px, parts["chosen"], parts["sequence"])
-    out = report.tile_outcomes(made["tiles"])
-    return out.select("tile_id", "outcome", F.round("coverage", 6).alias("coverage"), "dominant", "images_added")
+    """Tile results of a whole month: gate, test and select by family, fill gaps, compose, judge, report."""
+    out = report.tile_outcomes(_month(spark, sf_dir)["tiles"])
+    return out.select("tile_id", "status", "outcome", F.round("coverage", 6).alias("coverage"), "dominant", "images_added", "gaps_identified", "gaps_filled")
+
+
+_VALUES = ", ".join(f"arg_max({b}, quality::DOUBLE * 1e12 - scene_id) FILTER (WHERE {b} IS NOT NULL AND step <= last_step) AS {b}" for b in ("B4", "B3", "B2"))
+
+
+@query(with_recursive(views.with_views("v_scene v_fleet", _MONTH_SQL + f""" SELECT tile_id, (p // 6)::INTEGER AS row, (p % 6)::INTEGER AS col, round(B4, 6) AS B4, round(B3, 6) AS B3, round(B2, 6) AS B2
+  FROM (SELECT tile_id, p, {_VALUES} FROM px JOIN l USING (tile_id) GROUP BY ALL)""")))
+def month_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composed cells of the month: chosen scenes by quality, then additions up to the step at which filling stops."""
+    return _month(spark, sf_dir)["mosaic"].select("tile_id", "row", "col", *[F.round(b, 6).alias(b) for b in ("B4", "B3", "B2")])

@@ -1,4 +1,4 @@
-"""The month pipeline: plan tiles, select scenes, fill gaps, report, and record what was done."""
+"""The month pipeline: test and select scenes by the rules of their sensors, fill gaps, compose, report."""
 
 from __future__ import annotations
 
@@ -7,42 +7,44 @@ from pyspark.sql import functions as F
 
 from orbitile.functions.indices import with_indices
 from orbitile.functions.scoring import tests_before_lowering
-from orbitile.operators import gapfill, mosaic, report
+from orbitile.operators import gapfill, mosaic, status
 from orbitile.operators import selection as sel
-from orbitile.sources.storage import stored
+from orbitile.sources.storage import small_side, stored
 
 
-def select_for_month(scored: DataFrame) -> dict[str, DataFrame]:
-    """Selected scenes, first set and gap-fill sequence of every tile from scored scenes with a count ``n``.
+def select_for_month(tested: DataFrame) -> dict[str, DataFrame]:
+    """First set and gap-fill sequence of every tile from scored tests with their rules and the count ``n``.
 
     The three small tables that later steps use several times are stored.
     """
-    patience = tests_before_lowering(F.col("n"))
-    tested = stored(sel.top_candidates(scored, 2 * sel.MAX_SCENES), "tested")
-    accepted = sel.quality_ladder(sel.cloud_ladder(tested, patience), patience)
-    selected = sel.with_fallback(sel.stop_after_excellent(accepted))
+    tested = stored(tested, "tested")
+    selected = sel.accepted_by_rules(tested, tests_before_lowering(F.col("n")))
     chosen = stored(sel.phase_one(selected), "chosen")
     sequence = stored(gapfill.add_sequence(gapfill.gap_candidates(tested, chosen)), "sequence")
-    return {"tested": tested, "selected": selected, "chosen": chosen, "sequence": sequence}
+    return {"tested": tested, "chosen": chosen, "sequence": sequence}
 
 
-def compose_month(pixels: DataFrame, chosen: DataFrame, sequence: DataFrame) -> dict[str, DataFrame]:
-    """Mosaic with indices and tile results, from pixels (tile_id, scene_id, row, col, bands).
+def compose_month(tiles: DataFrame, pixels: DataFrame, chosen: DataFrame, sequence: DataFrame) -> dict[str, DataFrame]:
+    """Mosaic with indices and results of the requested tiles, from pixels (tile_id, scene_id, row, col, bands).
 
-    Scenes are cut to the chosen and added ones before any pixel is shuffled; pixels are read
-    twice, once to find where filling stops and once to compose.
+    Pixels are cut to the chosen and added scenes, read once and shuffled once: added scenes rank
+    behind the chosen ones in the order of their steps, so the best value of a cell's band and the
+    step from which the cell has one come from the same aggregation.  Where filling stops follows
+    from those steps, and then takes later values away again.  ``tiles`` may have megabytes and error.
     """
     steps = chosen.select("tile_id", "scene_id", F.lit(0).alias("step"), F.col("score").alias("quality"))
-    added = sequence.select("tile_id", "scene_id", "step", F.lit(0.0).alias("quality"))
-    used = pixels.join(steps.unionByName(added), ["tile_id", "scene_id"])
-    covered = stored(gapfill.coverage_by_step(used.drop("step", "quality"), sequence), "coverage")
-    stops = gapfill.stop_step(covered)
-    kept = used.join(stops, "tile_id").where(F.col("step") <= F.col("last_step")).withColumn("quality", F.col("quality") - F.col("step"))
-    image = with_indices(mosaic.quality_mosaic(kept))
-    stats = gapfill.gap_statistics(covered, stops)
-    best = chosen.where("phase_rank = 1").select("tile_id", F.col("sensor").alias("dominant"))
-    tiles = stats.join(best, "tile_id", "left").select(
-        "tile_id", F.lit(report.COMPLETE).alias("status"), F.col("final_coverage").alias("coverage"), "dominant", "images_added",
-        F.lit(0).alias("gaps_identified"), F.lit(0).alias("gaps_filled"),
-    )
+    added = sequence.select("tile_id", "scene_id", "step", (-F.col("step")).cast("double").alias("quality"))
+    used = pixels.join(small_side(stored(steps.unionByName(added), "steps")), ["tile_id", "scene_id"])
+    cells = stored(mosaic.best_with_step(used), "cells")
+    covered = stored(gapfill.coverage_from_cells(mosaic.steps_of(cells), sequence), "coverage")
+    stops = stored(gapfill.stop_step(covered), "stops")
+    image = with_indices(mosaic.until_step(cells.join(small_side(stops), "tile_id")))
+    stats = gapfill.gap_statistics(covered, stops).join(gapfill.gap_counts(sequence, stops), "tile_id")
+    best = chosen.groupBy("tile_id").agg(F.count("*").alias("scenes"), F.min_by("sensor", "phase_rank").alias("dominant"))
+    out = tiles.join(best, "tile_id", "left").join(stats, "tile_id", "left")
+    given = [F.col(c) if c in tiles.columns else F.lit(None).cast(t) for c, t in (("megabytes", "double"), ("error", "string"))]
+    reason = status.tile_status(F.col("scenes"), F.lit("B4,B3,B2"), F.coalesce(given[0], F.lit(0.0)), F.col("final_coverage"), given[1])
+    names = ("images_added", "gaps_identified", "gaps_filled")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in names]
+    tiles = out.select("tile_id", reason.alias("status"), F.coalesce("final_coverage", F.lit(0.0)).alias("coverage"), "dominant", *counts)
     return {"mosaic": image, "coverage": covered, "tiles": tiles}

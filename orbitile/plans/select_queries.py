@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitile.functions import scoring as sc
@@ -61,20 +61,19 @@ TESTED_SQL = f"""{SCORED_SQL}, tested AS (
 ), patient AS (SELECT *, CASE WHEN n <= 3 THEN 1 WHEN n <= 10 THEN 2 ELSE 3 END AS m FROM tested)"""
 
 
-def ladder_sql(levels: list) -> str:
-    """The cloud ladder test by test: a recursive fold, unlike the closed form it checks."""
-    last = len(levels) - 1
-    at = f"[{', '.join(map(str, levels))}]"
+def ladder_sql(levels: list | str, pct: str = "p.cloud_pct") -> str:
+    """The cloud ladder test by test: a recursive fold, unlike the closed form it checks; the levels may be a column."""
+    at, last = levels if isinstance(levels, str) else f"[{', '.join(map(str, levels))}]", "len(lv) - 1"
     return f""", walk AS (
   SELECT tile_id, sensor, 0::BIGINT AS t, 0 AS l, 0 AS f, false AS done, 0::BIGINT AS scene_id, false AS arrives, false AS passes
   FROM (SELECT DISTINCT tile_id, sensor FROM patient)
   UNION ALL
-  SELECT tile_id, sensor, t, l, f, done OR (arrives AND pct <= {at}[f + 1]), scene_id, arrives, arrives AND pct <= {at}[f + 1]
+  SELECT tile_id, sensor, t, l, f, done OR (arrives AND pct <= lv[f + 1]), scene_id, arrives, arrives AND pct <= lv[f + 1]
   FROM (SELECT *, CASE WHEN NOT done AND arrives AND t >= m THEN least(f0 + 1, {last}) ELSE f0 END AS f
-        FROM (SELECT *, cloud_pct IS NULL OR cloud_pct <= {at}[l + 1] AS arrives
-              FROM (SELECT p.tile_id, p.sensor, p.t, p.m, p.scene_id, p.cloud_pct, round(p.cloud * 100, 9) AS pct, w.done, w.f AS f0,
-                           CASE WHEN NOT w.done AND p.t >= p.m THEN least(w.l + 1, {last}) ELSE w.l END AS l
-                    FROM walk w JOIN patient p ON p.tile_id = w.tile_id AND p.sensor = w.sensor AND p.t = w.t + 1)))
+        FROM (SELECT *, known IS NULL OR known <= lv[l + 1] AS arrives
+              FROM (SELECT *, CASE WHEN NOT done AND t >= m THEN least(l0 + 1, {last}) ELSE l0 END AS l
+                    FROM (SELECT p.tile_id, p.sensor, p.t, p.m, p.scene_id, {pct} AS known, round(p.cloud * 100, 9) AS pct, w.done, w.f AS f0, w.l AS l0, {at} AS lv
+                    FROM walk w JOIN patient p ON p.tile_id = w.tile_id AND p.sensor = w.sensor AND p.t = w.t + 1))))
 )"""
 
 
@@ -85,8 +84,7 @@ def with_recursive(sql: str) -> str:
 # --- scenes with scores ----------------------------------------------------------------------
 
 
-def scored_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.scenes(spark, sf_dir)
+def score_scenes(s: DataFrame) -> DataFrame:
     res = F.when(F.col("sensor") == "SENTINEL_2", 10.0).when(F.col("sensor").startswith("LANDSAT"), 30.0)
     res = res.when(F.col("sensor").startswith("MODIS"), 250.0).otherwise(375.0)
     pct, mask = F.col("cloud_pct"), F.col("mask_mean")
@@ -97,10 +95,18 @@ def scored_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"cloud": cloud, "valid": valid, "resolution": res, "share": share, "score": score})
 
 
+def scored_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_scenes(views.scenes(spark, sf_dir))
+
+
 def tested_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first tests of every tile and sensor, with the patience that the number of scenes gives."""
-    s = scored_scenes(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy(*sel.GROUP)))
-    return sel.top_candidates(s, N_TESTS)
+    """The first tests of every tile and sensor, with the number of scenes they are from.
+
+    The counts combine before their shuffle, the tests are cut before theirs, and only tests are scored.
+    """
+    s = views.scenes(spark, sf_dir)
+    counts = s.groupBy(*sel.GROUP).agg(F.count("*").alias("n"))
+    return score_scenes(sel.top_candidates(s, N_TESTS).join(counts, list(sel.GROUP)))
 
 
 PATIENCE = sc.tests_before_lowering
@@ -252,16 +258,16 @@ def cloud_ladder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ladder(spark, sf_dir, sel.CLOUD_LEVELS_STEPS)
 
 
-def quality_sql(levels: list) -> str:
-    last, at = len(levels) - 1, f"[{', '.join(map(str, levels))}]"
+def quality_sql(levels: list | str) -> str:
+    at, last = levels if isinstance(levels, str) else f"[{', '.join(map(str, levels))}]", "len(lv) - 1"
     return f""", passing AS (SELECT p.*, w.passes FROM patient p JOIN walk w ON p.tile_id = w.tile_id AND p.sensor = w.sensor AND p.t = w.t
 ), judge AS (
   SELECT tile_id, sensor, 0::BIGINT AS t, 0 AS q, false AS done, 0::BIGINT AS scene_id, false AS accepted FROM (SELECT DISTINCT tile_id, sensor FROM patient)
   UNION ALL
-  SELECT tile_id, sensor, t, q, done OR (passes AND s >= {at}[q + 1]), scene_id, passes AND s >= {at}[q + 1]
-  FROM (SELECT p.tile_id, p.sensor, p.t, p.scene_id, p.passes, round(p.score, 9) AS s, j.done,
-               CASE WHEN NOT j.done AND p.passes AND p.t >= p.m THEN least(j.q + 1, {last}) ELSE j.q END AS q
-        FROM judge j JOIN passing p ON p.tile_id = j.tile_id AND p.sensor = j.sensor AND p.t = j.t + 1)
+  SELECT tile_id, sensor, t, q, done OR (passes AND s >= lv[q + 1]), scene_id, passes AND s >= lv[q + 1]
+  FROM (SELECT *, CASE WHEN NOT done AND passes AND t >= m THEN least(q0 + 1, {last}) ELSE q0 END AS q
+        FROM (SELECT p.tile_id, p.sensor, p.t, p.m, p.scene_id, p.passes, round(p.score, 9) AS s, j.done, j.q AS q0, {at} AS lv
+        FROM judge j JOIN passing p ON p.tile_id = j.tile_id AND p.sensor = j.sensor AND p.t = j.t + 1))
 )"""
 
 
@@ -286,18 +292,22 @@ def quality_ladder_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.quality_ladder(out, patience, sel.QUALITY_LEVELS_STEPS).select("scene_id", "t", "accepted")
 
 
-SELECTED_SQL = JUDGED_SQL + """, stopped AS (
-  SELECT p.*, j.accepted AND coalesce(sum(CASE WHEN j.accepted AND p.score >= 0.85 THEN 1 ELSE 0 END) OVER (
-           PARTITION BY p.tile_id, p.sensor ORDER BY p.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 3 AS accepted
+def selected_sql(excellent: str = "p.score >= 0.85", enough: str = "3", cloudiness: str = "cloud_pct", allowed: str = "true") -> str:
+    return f""", stopped AS (
+  SELECT p.*, j.accepted AND coalesce(sum(CASE WHEN j.accepted AND ({excellent}) THEN 1 ELSE 0 END) OVER (
+           PARTITION BY p.tile_id, p.sensor ORDER BY p.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {enough} AS accepted
   FROM passing p JOIN judge j ON p.tile_id = j.tile_id AND p.sensor = j.sensor AND p.t = j.t
 ), kept AS (
   SELECT *, NOT accepted AS fallback FROM (
     SELECT *, bool_or(accepted) OVER (PARTITION BY tile_id, sensor) AS any_ok,
-           row_number() OVER (PARTITION BY tile_id, sensor ORDER BY passes DESC, CASE WHEN passes THEN score END DESC NULLS LAST, cloud_pct NULLS LAST, scene_id) AS r
-    FROM stopped) WHERE accepted OR (NOT any_ok AND r = 1)
+           row_number() OVER (PARTITION BY tile_id, sensor ORDER BY passes DESC, CASE WHEN passes THEN score END DESC NULLS LAST, {cloudiness} NULLS LAST, scene_id) AS r
+    FROM stopped) WHERE accepted OR (NOT any_ok AND r = 1 AND {allowed})
 )"""
 
 
+SELECTED_SQL = JUDGED_SQL + selected_sql()
+
+
 def selected_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted scenes of every tile and sensor, up to the third excellent one, or else the fallback."""
     return sel.with_fallback(sel.stop_after_excellent(accepted_scenes(spark, sf_dir)))
@@ -308,13 +318,17 @@ def selected_scenes_by_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selected_scenes(spark, sf_dir).select("tile_id", "sensor", "scene_id", "t", "fallback", F.round("score", 6).alias("score"))
 
 
-PHASE_SQL = SELECTED_SQL + """, graded AS (
+def phase_sql(rows: str = "kept") -> str:
+    return f""", graded AS (
   SELECT *, score >= 0.85 AS exc, row_number() OVER (PARTITION BY tile_id, sensor, score >= 0.85 ORDER BY score DESC, scene_id) AS k,
-         bool_or(score >= 0.85) OVER (PARTITION BY tile_id) AS some_exc FROM kept
+         bool_or(score >= 0.85) OVER (PARTITION BY tile_id) AS some_exc FROM {rows}
 ), phase AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY score DESC, scene_id) AS phase_rank
   FROM graded WHERE NOT some_exc OR (exc AND k <= 3)) WHERE phase_rank <= 5)"""
 
 
+PHASE_SQL = SELECTED_SQL + phase_sql()
+
+
 @query(with_recursive(views.with_views("v_scene", PHASE_SQL + " SELECT tile_id, phase_rank, scene_id, round(score, 6) AS score FROM phase")))
 def phase_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.phase_one(selected_scenes(spark, sf_dir)).select("tile_id", "phase_rank", "scene_id", F.round("score", 6).alias("score"))
@@ -337,22 +351,111 @@ def matched_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.match_selected(tested, best, 0.01).withColumn("score", F.round("score", 6))
 
 
-@query(views.with_views("v_scene", f"""{TESTED_SQL}, prepared AS (SELECT DISTINCT tile_id FROM tested WHERE sensor = 'SENTINEL_2' AND cloud < 0.02)
-SELECT tile_id, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY t, scene_id) AS r FROM tested
-  WHERE sensor = 'VIIRS' AND cloud <= 0.8 AND tile_id NOT IN (SELECT tile_id FROM prepared)) WHERE r = 1"""))
+# --- all sensors by the rules of their families -----------------------------------------------
+
+
+def _literal(x) -> str:
+    return f"{x}::DOUBLE[]" if isinstance(x, list) else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+_RULE_ROWS = ", ".join(f"({', '.join(map(_literal, r))})" for r in sel.RULES)
+_RULES_SQL = f"rules(family, cloud_levels, reads_metadata, quality_levels, tests, server_tests, enough, excellent_only, stands_in, by_cloud) AS (VALUES {_RULE_ROWS})"
+_SUN_SQL = "CASE WHEN family NOT IN ('MODIS', 'ASTER', 'VIIRS') THEN sun_zenith END"
+_VIEW_SQL = "CASE WHEN family = 'MODIS' THEN 15.0 WHEN family NOT IN ('LANDSAT', 'ASTER', 'VIIRS') THEN view_zenith END"
+
+
+def fleet_sql(tests: str = "tests") -> str:
+    """Scenes of sensors that fly in their tile's month, the tested ones scored, and the patience of their groups."""
+    raw = score_sql(CLOUD_SQL, f"({_SUN_SQL})", f"({_VIEW_SQL})", VALID_SQL, "days", "30.0", "native_res", SHARE_SQL)
+    return f""", {SENSOR_SQL}, {_RULES_SQL}, flying AS (
+  SELECT v.*, c.native_res, c.family FROM v_fleet v JOIN sensor_catalog c ON v.sensor = c.name WHERE period_start <= coalesce(c.e, DATE '{OPEN_END}') AND period_end >= c.s
+), counts AS (SELECT tile_id, sensor, count(*) AS n FROM flying GROUP BY ALL
+), tiles AS (SELECT tile_id, bool_or(sensor = 'LANDSAT_4') AS l4, bool_or(sensor = 'LANDSAT_5') AS l5 FROM counts GROUP BY tile_id
+), ruled AS (
+  SELECT f.* REPLACE (CASE WHEN sensor = 'LANDSAT_4' AND period_start < DATE '{sel.L4_ALONE_BEFORE}' THEN {_literal(sel.CLOUD_LEVELS_L4)} ELSE cloud_levels END AS cloud_levels)
+  FROM (SELECT flying.*, r.* EXCLUDE (family) FROM flying JOIN rules r USING (family)) f
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY tile_id, sensor ORDER BY CASE WHEN by_cloud THEN cloud_pct END NULLS LAST, CASE WHEN NOT by_cloud THEN acquired END, scene_id) AS t FROM ruled
+), rated AS (
+  SELECT o.*, n, l4, l5, {CLOUD_SQL} AS cloud, {raw} AS raw FROM ordered o JOIN counts USING (tile_id, sensor) JOIN tiles USING (tile_id) WHERE t <= {tests}
+), patient AS (
+  SELECT *, CASE WHEN n <= 3 THEN 1 WHEN n <= 10 THEN 2 ELSE 3 END AS m,
+         round(CASE WHEN sensor = 'LANDSAT_4' AND (l5 OR acquired BETWEEN DATE '1984-03-01' AND DATE '1993-12-14') THEN raw * 0.92
+              WHEN sensor = 'LANDSAT_4' AND acquired >= DATE '1983-01-01' THEN least(1.0, raw * 1.05) WHEN sensor = 'LANDSAT_5' AND l4 THEN least(1.0, raw * 1.05)
+              WHEN sensor = 'LANDSAT_7' AND acquired >= DATE '2003-05-31' THEN raw * 0.5 WHEN sensor LIKE 'MODIS%' THEN raw * 0.5 ELSE raw END, 9)::DOUBLE AS score FROM rated)"""
+
+
+_METADATA_SQL = "CASE WHEN reads_metadata THEN cloud_pct END"
+_BY_RULES_SQL = (
+    ladder_sql("p.cloud_levels", "CASE WHEN p.reads_metadata THEN p.cloud_pct END")
+    + quality_sql("p.quality_levels")
+    + selected_sql("NOT p.excellent_only OR p.score >= 0.85", "p.enough", f"coalesce({_METADATA_SQL}, cloud * 100)", "stands_in")
+    + f""", taken AS (SELECT * FROM (SELECT *, bool_or(family <> '{sel.LAST_RESORT}') OVER (PARTITION BY tile_id) AS others FROM kept) WHERE family <> '{sel.LAST_RESORT}' OR NOT others)"""
+)
+FLEET_SQL = fleet_sql() + _BY_RULES_SQL
+
+
+def fleet_tests(spark: SparkSession, sf_dir: str, *, server: bool = False) -> DataFrame:
+    """Scored tests of all sensors that fly in the month of their tile."""
+    catalog = sensor_catalog(spark)
+    flying = operational(views.fleet(spark, sf_dir), catalog, start="period_start", end="period_end").where("operational").drop("operational")
+    s = sel.tests_by_rules(flying, sel.sensor_rules(catalog), server=server)
+    pct, mask, family = F.col("cloud_pct"), F.col("mask_mean"), F.col("family")
+    cloud, valid = sc.cloud_fraction(pct, mask_mean=mask), sc.valid_fraction(pct, mask_mean=mask)
+    sun = F.when(~family.isin("MODIS", "ASTER", "VIIRS"), F.col("sun_zenith"))
+    view = F.when(family == "MODIS", 15.0).when(~family.isin("LANDSAT", "ASTER", "VIIRS"), F.col("view_zenith"))
+    span, share = F.lit(float(views.PERIOD_DAYS)), (F.col("scene_id") % 11) / 10.0
+    score = sc.quality_score(cloud, sun, view, valid, F.col("days"), span, F.col("native_res"), share)
+    score = sc.sensor_adjusted(score, F.col("sensor"), F.col("acquired"), F.col("with_l4"), F.col("with_l5"))
+    # rounded, so that equal scores tie and steps of thresholds are met
+    return s.withColumns({"cloud": cloud, "resolution": F.col("native_res"), "score": F.round(score, 9)})
+
+
+def fleet_selected(spark: SparkSession, sf_dir: str, *, server: bool = False) -> DataFrame:
+    return sel.accepted_by_rules(fleet_tests(spark, sf_dir, server=server), PATIENCE(F.col("n")))
+
+
+_TAKEN = " SELECT tile_id, family, sensor, scene_id, t, fallback, round(score, 6) AS score FROM taken"
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    return rows.select("tile_id", "family", "sensor", "scene_id", "t", "fallback", F.round("score", 6).alias("score"))
+
+
+@query(with_recursive(views.with_views("v_scene v_fleet", FLEET_SQL + _TAKEN)))
+def selected_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection of every tile over all sensors, each by the rules of its family."""
+    return _taken(fleet_selected(spark, sf_dir))
+
+
+@query(with_recursive(views.with_views("v_scene v_fleet", fleet_sql("server_tests") + _BY_RULES_SQL + _TAKEN)))
+def selected_by_family_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the numbers of tests of server mode."""
+    return _taken(fleet_selected(spark, sf_dir, server=True))
+
+
+@query(views.with_views("v_scene v_fleet", fleet_sql() + " SELECT tile_id, sensor, scene_id, t, m, round(score, 6) AS score FROM patient"))
+def tests_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes that the rules test, in their order, scored with the adjustments of neighbouring sensors."""
+    return fleet_tests(spark, sf_dir).select("tile_id", "sensor", "scene_id", "t", PATIENCE(F.col("n")).alias("m"), F.round("score", 6).alias("score"))
+
+
+@query(with_recursive(views.with_views("v_scene v_fleet", FLEET_SQL + f" SELECT tile_id, scene_id FROM taken WHERE family = '{sel.LAST_RESORT}'")))
 def last_resort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tested = tested_scenes(spark, sf_dir)
-    prepared = tested.where("sensor = 'SENTINEL_2' and cloud < 0.02")
-    return sel.last_resort(tested.where("sensor = 'VIIRS' and cloud <= 0.8"), prepared).select("tile_id", "scene_id")
+    """Tiles that only the coarsest sensor has, and its first acceptable scene."""
+    return fleet_selected(spark, sf_dir).where(F.col("family") == sel.LAST_RESORT).select("tile_id", "scene_id")
 
 
-@query(views.with_views("v_scene", f"""{SCORED_SQL}
-SELECT sensor, count(*) AS n, sum(CASE WHEN cloud <= 0.2 THEN 1 ELSE 0 END)::BIGINT AS below_cut, sum(CASE WHEN cloud <= 0.8 THEN 1 ELSE 0 END)::BIGINT AS below_last_cut,
-       sum(CASE WHEN cloud <= 0.2 AND score >= 0.2 THEN 1 ELSE 0 END)::BIGINT AS above_floor FROM scored WHERE sensor IN ('MODIS_TERRA', 'VIIRS') GROUP BY sensor"""))
+_FIXED = "('MODIS', 'ASTER', 'VIIRS')"
+
+
+@query(with_recursive(views.with_views("v_scene v_fleet", FLEET_SQL + f""" SELECT p.family, count(*) AS n, count_if(p.passes) AS below_cut, count_if(p.passes AND round(p.score, 9) >= p.quality_levels[1]) AS above_floor,
+  count_if(k.scene_id IS NOT NULL) AS taken FROM passing p LEFT JOIN taken k ON p.tile_id = k.tile_id AND p.sensor = k.sensor AND p.scene_id = k.scene_id WHERE p.family IN {_FIXED} GROUP BY p.family""")))
 def fixed_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensors with one fixed cloud cut, and the quality floor of the coarse ones."""
-    s = scored_scenes(spark, sf_dir).where(F.col("sensor").isin("MODIS_TERRA", "VIIRS"))
-    return s.groupBy("sensor").agg(
-        F.count("*").alias("n"), F.count_if(F.col("cloud") <= 0.2).alias("below_cut"), F.count_if(F.col("cloud") <= 0.8).alias("below_last_cut"),
-        F.count_if((F.col("cloud") <= 0.2) & (F.col("score") >= 0.2)).alias("above_floor"),
-    )
+    """Families with one fixed cloud cut, and the quality floor of the coarse ones: tests below, above, and taken."""
+    tested = fleet_tests(spark, sf_dir)
+    taken = sel.accepted_by_rules(tested, PATIENCE(F.col("n"))).select("tile_id", "sensor", "scene_id", F.lit(1).alias("is_taken"))
+    rows = sel.cloud_ladder(tested, PATIENCE(F.col("n")), F.col("cloud_levels"), pct=F.when(F.col("reads_metadata"), F.col("cloud_pct")))
+    rows = rows.where(F.col("family").isin("MODIS", "ASTER", "VIIRS")).join(taken, ["tile_id", "sensor", "scene_id"], "left")
+    above = F.col("passes") & (F.round("score", 9) >= F.get("quality_levels", F.lit(0)))
+    return rows.groupBy("family").agg(F.count("*").alias("n"), F.count_if("passes").alias("below_cut"), F.count_if(above).alias("above_floor"), F.count("is_taken").alias("taken"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbitile.sources.sensors import SENSORS
+
 PERIOD_START, PERIOD_DAYS = "2024-01-01", 30
 SENSOR_OF_EVENT = {"view": "SENTINEL_2", "click": "LANDSAT_8", "purchase": "LANDSAT_9", "signup": "MODIS_TERRA"}
 SENSORS_OF_SUPPLIER = ["LANDSAT_5", "LANDSAT_7", "SPOT_3", "SPOT_4", "MODIS_TERRA", "ASTER"]
@@ -36,6 +38,32 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Tiles ask for one of these months; the sensors that fly then take turns, and in the first months one scene in ten is of any sensor.
+MONTHS = [
+    ("1976-06-01", ["LANDSAT_1_MSS", "LANDSAT_2_MSS"]),
+    ("1983-02-01", ["LANDSAT_4", "LANDSAT_3_MSS", "NOAA_AVHRR"]),
+    ("1990-06-01", ["LANDSAT_4", "LANDSAT_5", "SPOT_1", "SPOT_2", "NOAA_AVHRR"]),
+    ("2002-08-01", ["LANDSAT_5", "LANDSAT_7", "SPOT_4", "MODIS_TERRA", "MODIS_AQUA", "ASTER", "NOAA_AVHRR"]),
+    ("2024-01-01", ["SENTINEL_2", "LANDSAT_7", "LANDSAT_8", "LANDSAT_9", "MODIS_TERRA", "VIIRS", "NOAA_AVHRR"]),
+    ("2006-05-01", ["MODIS_TERRA", "NOAA_AVHRR"]),
+    ("1980-04-01", ["NOAA_AVHRR"]),
+]
+ANY_SENSOR_MONTHS = 5
+
+
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scene metadata of all sensors over fifty years, with the month that each tile asks for."""
+    any_sensor = F.array(*[F.lit(s[0]) for s in SENSORS])
+    month = F.col("tile_id") % len(MONTHS)
+    starts = F.get(F.array(*[F.lit(m) for m, _ in MONTHS]), month.cast("int")).cast("date")
+    turns = F.get(F.array(*[F.array(*[F.lit(s) for s in names]) for _, names in MONTHS]), month.cast("int"))
+    number = F.col("scene_id")
+    turn = F.get(turns, (number % F.size(turns)).cast("int"))
+    sensor = F.when((number % 10 == 3) & (month < ANY_SENSOR_MONTHS), F.get(any_sensor, F.floor(number / 10 % len(SENSORS)).cast("int"))).otherwise(turn)
+    out = scenes(spark, sf_dir).withColumns({"sensor": sensor, "period_start": starts})
+    return out.withColumns({"period_end": F.last_day("period_start"), "acquired": F.date_add("period_start", F.col("days"))})
+
+
 def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of scenes from 1995 on: bands, quality flags, sensor and place."""
     li = read(spark, sf_dir, "lineitem").select(
@@ -94,6 +122,11 @@ v_scene AS (
          CASE WHEN event_id % 11 <> 0 THEN (event_id % 97 + 3) / 100.0::DOUBLE END AS mask_mean,
          ts::DATE AS acquired, (ts::DATE - DATE '2024-01-01')::INTEGER AS days
   FROM events)""",
+    "v_fleet": f"""
+v_fleet AS (
+  SELECT * REPLACE (CASE WHEN scene_id % 10 = 3 AND tile_id % {len(MONTHS)} < {ANY_SENSOR_MONTHS} THEN {[s[0] for s in SENSORS]}[scene_id // 10 % {len(SENSORS)} + 1] ELSE turns[scene_id % len(turns) + 1] END AS sensor, period_start + days AS acquired),
+         last_day(period_start) AS period_end
+  FROM (SELECT *, {[m for m, _ in MONTHS]}[tile_id % {len(MONTHS)} + 1]::DATE AS period_start, {[names for _, names in MONTHS]}[tile_id % {len(MONTHS)} + 1] AS turns FROM v_scene))""",
     "v_acq": """
 v_acq AS (
   SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 64 + l_quantity::BIGINT AS pixel_id, l_orderkey % 64 AS tile_id,

@@ -10,8 +10,10 @@ from orbitile.functions.scoring import tests_before_lowering
 from orbitile.operators import gapfill, progress, report, tiling
 from orbitile.operators import selection as sel
 
+from orbitile.sources.storage import numbered, stored
+
 from . import views
-from .select_queries import PHASE_SQL, RES_SQL, SCORED_SQL, TESTED_SQL, scored_scenes, selected_scenes, tested_scenes, with_recursive
+from .select_queries import PATIENCE, PHASE_SQL, RES_SQL, SCORED_SQL, TESTED_SQL, scored_scenes, tested_scenes, with_recursive
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -184,15 +186,18 @@ def clipped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(views.with_views("v_area", " SELECT area_id, row_number() OVER (ORDER BY round((lon_max - lon_min) * (lat_max - lat_min) * (1 + 30 / 365.0), 12) DESC, area_id) AS place FROM v_area"))
 def tile_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = tiling.with_priority(views.areas(spark, sf_dir), 30)
-    return a.select("area_id", F.row_number().over(Window.orderBy(F.round("priority", 12).desc(), "area_id")).alias("place"))
+    return numbered(a, F.round("priority", 12).desc(), F.col("area_id")).select("area_id", "place")
 
 
 # --- gap filling -----------------------------------------------------------------------------
 
 
-def _gap_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chosen = sel.phase_one(selected_scenes(spark, sf_dir))
-    return chosen, gapfill.gap_candidates(tested_scenes(spark, sf_dir), chosen)
+def _gap_inputs(tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    tested = stored(tested, "tested")
+    patience = PATIENCE(F.col("n"))
+    accepted = sel.quality_ladder(sel.cloud_ladder(tested, patience), patience)
+    chosen = stored(sel.phase_one(sel.with_fallback(sel.stop_after_excellent(accepted))), "chosen")
+    return chosen, gapfill.gap_candidates(tested, chosen)
 
 
 _CAND_SQL = PHASE_SQL + f""", cand AS (SELECT x.*, coalesce((SELECT min(abs(x.days - p.days)) FROM phase p WHERE p.tile_id = x.tile_id), 999) AS dist, ({RES_SQL}) AS res
@@ -202,13 +207,35 @@ _CAND_SQL = PHASE_SQL + f""", cand AS (SELECT x.*, coalesce((SELECT min(abs(x.da
 @query(with_recursive(views.with_views("v_scene", _CAND_SQL + """ SELECT tile_id, scene_id, dist::INTEGER AS day_distance,
   round(0.7 / (1 + res / 30.0) + CASE WHEN dist <= 10 THEN 0.15 * (1 - dist / 10.0) WHEN dist <= 30 THEN 0.05 * (1 - (dist - 10) / 20.0) ELSE 0 END + 0.15 * score, 9)::DOUBLE AS gap_score FROM cand""")))
 def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gap_inputs(spark, sf_dir)[1].select("tile_id", "scene_id", "day_distance", F.round("gap_score", 9).alias("gap_score"))
+    return _gap_inputs(tested_scenes(spark, sf_dir))[1].select("tile_id", "scene_id", "day_distance", F.round("gap_score", 9).alias("gap_score"))
 
 
-@query()
+_BETTER = """CASE WHEN b.r - c.r > 50 THEN c.s >= 0.90 * b.s WHEN b.r - c.r > 20 THEN c.s >= 0.95 * b.s
+  WHEN b.r - c.r < -50 THEN c.s > 1.15 * b.s WHEN b.r - c.r < -20 THEN c.s > 1.10 * b.s ELSE c.s > b.s END"""
+
+
+def sequence_sql() -> str:
+    """Additions to every tile from ``cand`` (with dist, res and score), iteration by iteration over lists of what is left."""
+
+    def pick(floor: str) -> str:
+        fit = f"list_filter(rows, lambda x: x.s >= {floor})"
+        return f"CASE WHEN len({fit}) > 0 THEN list_reduce({fit}, lambda b, c: CASE WHEN {_BETTER} THEN c ELSE b END) END"
+
+    gap = "0.7 / (1 + res / 30.0) + CASE WHEN dist <= 10 THEN 0.15 * (1 - dist / 10.0) WHEN dist <= 30 THEN 0.05 * (1 - (dist - 10) / 20.0) ELSE 0 END + 0.15 * round(score, 9)"
+    return f""", lists AS (SELECT tile_id, list({{'id': scene_id, 's': round(score, 9)::DOUBLE, 'r': res::DOUBLE}} ORDER BY ({gap})::DOUBLE DESC, scene_id) AS rows FROM cand GROUP BY tile_id
+), grown AS (
+  SELECT tile_id, 0 AS k, 0 AS step, rows, NULL::BIGINT AS scene_id, false AS low FROM lists
+  UNION ALL
+  SELECT tile_id, k + 1, step + (p IS NOT NULL)::INT, CASE WHEN p IS NULL THEN rows ELSE list_filter(rows, lambda x: x.id <> p.id) END, p.id, low
+  FROM (SELECT *, coalesce(a, b) AS p, a IS NULL AS low FROM (
+    SELECT *, {pick("greatest(0.2, 0.5 - 0.05 * k)")} AS a, CASE WHEN k < {gapfill.MAX_ITERATIONS - 5} THEN {pick(str(gapfill.LOW_QUALITY))} END AS b FROM (SELECT tile_id, k, step, rows FROM grown WHERE k < {gapfill.MAX_ITERATIONS})))
+), seq AS (SELECT tile_id, step::INTEGER AS step, scene_id, low AS low_quality FROM grown WHERE k > 0 AND scene_id IS NOT NULL)"""
+
+
+@query(with_recursive(views.with_views("v_scene", _CAND_SQL + sequence_sql() + " SELECT * FROM seq")))
 def gap_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered fold over candidates; a test holds it against a plain loop."""
-    return gapfill.add_sequence(_gap_inputs(spark, sf_dir)[1])
+    """The ordered fold over candidates; scores are rounded, so that equal ones tie."""
+    return gapfill.add_sequence(_gap_inputs(tested_scenes(spark, sf_dir).withColumn("score", F.round("score", 9)))[1])
 
 
 _COVER_SQL = """WITH v AS (SELECT tile_id, step, least(1.0, 0.4 + (tile_id * 37 % 50) / 100.0 + CASE WHEN tile_id % 3 = 0 THEN 0 ELSE step * (tile_id % 7) / 40.0 END)::DOUBLE AS coverage
@@ -227,7 +254,7 @@ def _coverages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_COVER_SQL + " SELECT tile_id, last_step::INTEGER AS last_step FROM l")
 def gap_stop_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gapfill.stop_step(_coverages(spark, sf_dir))
+    return gapfill.stop_step(_coverages(spark, sf_dir)).select("tile_id", "last_step")
 
 
 @query(_COVER_SQL + """ SELECT tile_id, round(arg_min(coverage, step), 6) AS initial_coverage, round(arg_max(coverage, step), 6) AS final_coverage, max(step)::INTEGER AS images_added,

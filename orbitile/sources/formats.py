@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitile.functions import text
+from orbitile.sources.storage import numbered
 
 MANIFEST = "year int, month int, mosaic string, pyramid string, tiles string, provenance string, timestamp string"
 PROJECTS = (
@@ -79,9 +80,9 @@ def usage_snapshot(results: DataFrame) -> DataFrame:
 
 def dashboard_lines(results: DataFrame) -> DataFrame:
     """Comma-separated lines of the results table: tile ascending (none first), score descending."""
-    order = Window.orderBy(F.coalesce("tile_id", F.lit(-1)), F.coalesce("score", F.lit(0.0)).desc(), "scene_id")
+    order = (F.coalesce("tile_id", F.lit(-1)), F.coalesce("score", F.lit(0.0)).desc(), F.col("scene_id"))
     line = F.concat_ws(",", F.col("tile_id").cast("string"), F.col("sensor"), F.format_string("%.4f", "score"))
-    return results.select(F.row_number().over(order).alias("place"), line.alias("line"))
+    return numbered(results, *order).select("place", line.alias("line"))
 
 
 def write_pixels(pixels: DataFrame, path: str, *, block: int = 512) -> None:
