@@ -38,14 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/orbitile-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder (or a path in it) and read it back.
 
     The result survives lost executors and is not computed twice.  Shuffle files of the
     write are dropped at once where this Spark version can do so.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t"
+    path = path or f"{shared_dir(spark)}/t"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
@@ -59,6 +59,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables that nothing reads any more: what came of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/orbitile-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def placed(rows: DataFrame, *order: Column) -> DataFrame:
     """The rows, stored, with ``__place``: their number from 0 in an order over all of them.
 

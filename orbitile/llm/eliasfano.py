@@ -1,8 +1,8 @@
-"""Elias-Fano sequences and a two-level n-gram trie of them, kept in memory-mapped files."""
+"""Elias-Fano sequences and a three-level n-gram trie of them, kept in one memory-mapped file."""
 
 from __future__ import annotations
 
-import os
+import json
 
 import numpy as np
 
@@ -10,6 +10,8 @@ _SELECT = np.full((256, 8), 8, np.uint8)
 for _byte in range(256):
     for _r, _bit in enumerate(b for b in range(8) if _byte >> b & 1):
         _SELECT[_byte, _r] = _bit
+#: Values whose low bits are packed at a time; a multiple of eight, so that parts end on bytes.
+PACKED = 1 << 16
 
 
 class EliasFano:
@@ -31,8 +33,9 @@ class EliasFano:
         bits = np.zeros(words * 64, np.uint8)
         bits[at] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
-        lows = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).reshape(-1)
-        low = np.concatenate([np.packbits(lows, bitorder="little"), np.zeros(8, np.uint8)])
+        shifts = np.arange(low_bits)
+        parts = [np.packbits(((values[k : k + PACKED, None] >> shifts) & 1).astype(np.uint8).reshape(-1), bitorder="little") for k in range(0, n, PACKED)]
+        low = np.concatenate([*parts, np.zeros(8, np.uint8)])
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
         return {"low": low, "high": high, "ones": ones}, n, low_bits
 
@@ -89,59 +92,114 @@ class EliasFano:
         return a, equal
 
 
+class Quantised:
+    """Logarithms of probabilities as 16-bit codes; code 0 stands for none."""
+
+    STEPS = 65_534
+
+    def __init__(self, codes: np.ndarray, low: float, step: float):
+        self.codes, self.low, self.step = codes, low, step
+
+    @classmethod
+    def of(cls, p: np.ndarray) -> Quantised:
+        """The codes of positive probabilities."""
+        log = np.log10(p)
+        low = float(log.min()) if len(log) else 0.0
+        step = (float(log.max()) - low) / cls.STEPS if len(log) else 0.0
+        return cls((1 + np.rint((log - low) / (step or 1.0))).astype(np.uint16), low, step)
+
+    @staticmethod
+    def values(codes: np.ndarray, low: float, step: float) -> np.ndarray:
+        return np.where(codes > 0, np.power(10.0, low + (codes.astype(np.float64) - 1) * step), 0.0)
+
+
 class Trie:
-    """Contexts and their successors: a mapped file for each array of each level.
+    """Words, their successors, and the successors of those pairs.
 
-    Level one has the sorted context hashes, and Elias-Fano pointers to their successors.
-    Level two has each successor's number within the shard's vocabulary, lifted by the number
-    of its context so that the whole level is one sorted Elias-Fano sequence, and a 16-bit
-    code of its log10 probability.
+    Every level is one sorted Elias-Fano sequence: word numbers, lifted by the number of their parent
+    times the size of the vocabulary, so that the children of a node are found by successor search
+    between two pointers, which are an Elias-Fano sequence themselves.  Values are quantised:
+    ``rest`` (level 1 and 2) is the weight that a context leaves to shorter ones, ``own`` (level 2 and 3)
+    the share of an n-gram in its context.
     """
 
-    STEPS = 65_534
+    SEQUENCES = ("words", "first", "pairs", "second", "triples")
+    VALUES = ("rest1", "own2", "rest2", "own3")
+
+    def __init__(self, sequences: dict[str, EliasFano], values: dict[str, Quantised], vocabulary: int):
+        self.__dict__ |= sequences | values
+        self.vocabulary = vocabulary
+
+    @classmethod
+    def build(cls, words: np.ndarray, parent2: np.ndarray, word2: np.ndarray, parent3: np.ndarray, word3: np.ndarray, **p: np.ndarray) -> bytes:
+        """The file of a trie; every level sorted by parent, then word; ``p`` has the probabilities by name."""
+        vocabulary = int(max((int(x.max()) for x in (words, word2, word3) if len(x)), default=0)) + 1
+
+        def pointers(parent: np.ndarray, n: int) -> np.ndarray:
+            return np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=n))]).astype(np.int64)
+
+        levels = {
+            "words": (words, vocabulary),
+            "first": (pointers(parent2, len(words)), len(word2) + 1),
+            "pairs": (parent2 * vocabulary + word2, len(words) * vocabulary + 1),
+            "second": (pointers(parent3, len(word2)), len(word3) + 1),
+            "triples": (parent3 * vocabulary + word3, len(word2) * vocabulary + 1),
+        }
+        head, parts, at = {"vocabulary": vocabulary, "sequences": {}, "values": {}}, [], 0
+
+        def add(a: np.ndarray) -> list:
+            nonlocal at
+            parts.append(a.tobytes() + bytes(-a.nbytes % 8))
+            at += len(parts[-1])
+            return [at - len(parts[-1]), len(a), a.dtype.str]
+
+        for name, (values, universe) in levels.items():
+            arrays, n, bits = EliasFano.arrays(values.astype(np.int64), int(universe))
+            head["sequences"][name] = {"n": n, "bits": bits, "arrays": {k: add(a) for k, a in arrays.items()}}
+        for name in cls.VALUES:
+            q = Quantised.of(p[name])
+            head["values"][name] = {"low": q.low, "step": q.step, "codes": add(q.codes)}
+        text = json.dumps(head).encode()
+        text += b" " * (-len(text) % 8)
+        return len(text).to_bytes(8, "little") + text + b"".join(parts)
 
     @classmethod
-    def write(cls, folder: str, contexts: np.ndarray, words: np.ndarray, context: np.ndarray, word: np.ndarray, log10_p: np.ndarray) -> Trie:
-        """``context`` and ``word`` number the entries of the sorted ``contexts`` and ``words``; sorted by both."""
-        low = float(log10_p.min()) if len(log10_p) else 0.0
-        step = (float(log10_p.max()) - low) / cls.STEPS if len(log10_p) else 0.0
-        codes = (1 + np.rint((log10_p - low) / (step or 1.0))).astype(np.uint16)
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=len(contexts)))]).astype(np.int64)
-        shapes = {}
-        for name, values, universe in (("pointers", pointers, len(word) + 1), ("successors", context * len(words) + word, len(contexts) * len(words) + 1)):
-            arrays, n, bits = EliasFano.arrays(values.astype(np.int64), universe)
-            shapes[name] = (n, bits)
-            for k, v in arrays.items():
-                np.save(os.path.join(folder, f"{name}-{k}.npy"), v)
-        for k, v in (("contexts", contexts), ("words", words), ("codes", codes)):
-            np.save(os.path.join(folder, f"{k}.npy"), v)
-        return cls(folder, shapes, low, step)
-
-    def __init__(self, folder: str, shapes: dict[str, tuple[int, int]], low: float, step: float):
-        def mapped(name: str) -> np.ndarray:
-            found = np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r")
-            return found if len(found) else np.array(found)
-
-        self.low, self.step = low, step
-        self.contexts, self.words, self.codes = mapped("contexts"), mapped("words"), mapped("codes")
-        self.pointers, self.successors = (
-            EliasFano({k: mapped(f"{name}-{k}") for k in ("low", "high", "ones")}, *shapes[name]) for name in ("pointers", "successors")
-        )
-
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of (context hash, word hash) pairs, 0 where the pair is not in the trie."""
-        out = np.zeros(len(context), np.uint16)
-        if not len(self.codes):
-            return out
-        c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        w = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        known = np.flatnonzero((self.contexts[c] == context) & (self.words[w] == word))
-        c, w = c[known].astype(np.int64), w[known].astype(np.int64)
-        first, last = self.pointers.access(c), self.pointers.access(c + 1)
-        at, equal = self.successors.successor(c * len(self.words) + w, first, last)
-        out[known[equal]] = self.codes[at[equal]]
+    def open(cls, path: str) -> Trie:
+        """A trie over the mapped file."""
+        data = np.memmap(path, np.uint8, mode="r")
+        size = int.from_bytes(data[:8].tobytes(), "little")
+        head = json.loads(data[8 : 8 + size].tobytes())
+
+        def mapped(place: list) -> np.ndarray:
+            start, n, kind = place
+            dtype = np.dtype(kind)
+            return data[8 + size + start : 8 + size + start + n * dtype.itemsize].view(dtype)
+
+        sequences = {k: EliasFano({a: mapped(x) for a, x in s["arrays"].items()}, s["n"], s["bits"]) for k, s in head["sequences"].items()}
+        values = {k: Quantised(mapped(v["codes"]), v["low"], v["step"]) for k, v in head["values"].items()}
+        return cls(sequences, values, head["vocabulary"])
+
+    def children(self, level: str, pointers: str, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Nodes of words below their parents, -1 where there is none (or no parent)."""
+        ef, out = getattr(self, level), np.full(len(word), -1, np.int64)
+        known = np.flatnonzero((parent >= 0) & (word < self.vocabulary))
+        if len(known) and ef.n:
+            p, w, links = parent[known], word[known].astype(np.int64), getattr(self, pointers)
+            at, equal = ef.successor(p * self.vocabulary + w, links.access(p), links.access(p + 1))
+            out[known[equal]] = at[equal]
+        return out
+
+    def roots(self, word: np.ndarray) -> np.ndarray:
+        out = np.full(len(word), -1, np.int64)
+        known = np.flatnonzero(word < self.vocabulary)
+        if len(known) and self.words.n:
+            at, equal = self.words.successor(word[known].astype(np.int64), np.zeros(len(known), np.int64), np.full(len(known), self.words.n))
+            out[known[equal]] = at[equal]
         return out
 
-    def log10_p(self, codes: np.ndarray) -> np.ndarray:
-        """Log probabilities of codes other than 0."""
-        return self.low + (codes.astype(np.float64) - 1) * self.step
+    def codes(self, name: str, node: np.ndarray) -> np.ndarray:
+        """Codes of a value at the nodes, 0 where there is no node."""
+        codes, out = getattr(self, name).codes, np.zeros(len(node), np.uint16)
+        there = node >= 0
+        out[there] = codes[node[there]]
+        return out

@@ -1,22 +1,30 @@
-"""Language-model scoring with Elias-Fano n-gram tries sharded by context.
-
-The corpus is turned once into blocks: the documents of a batch as numbers of the block's
-own words.  Two exchanges then answer each block's questions.  Words go, once per block, to
-word shards, which return their counts in the training rows.  Word pairs go, once per block,
-to context shards; each builds a memory-mapped trie of its pairs and returns their quantised
-probabilities.  Nothing that grows with the corpus passes through the driver or is broadcast.
-
-The model interpolates: P(w | h) = c(hw) / (c(h) + t(h)) + t(h) / (c(h) + t(h)) * P(w), where
-t(h) = c(h) ** GROWTH stands for the kinds of words after h.  P(w) discounts every word's
-count by d = n1 / (n1 + 2 n2) and gives what is freed to the unknown word, one class as in
-the base.  All probabilities of a context add up to 1 (before quantisation to 16 bits).
+"""Language-model scoring with Elias-Fano n-gram tries.
+
+``learn`` counts words and trigrams of the training rows and keeps the model as tables in the shared
+folder: for every shard a level of words with their numbers and counts, and a three-level trie whose
+quantised values are the smoothed shares and the weights left to shorter contexts.  ``score_blocks``
+is a pass of its own that can follow at any time, over any rows: tasks map the trie of their shard and
+answer the paths that blocks of texts ask for.
+
+The corpus is turned once into blocks: the documents of a batch as numbers of the block's own words.
+Words go, once per block, to word shards; distinct paths of three words go, once per block and pass, to
+the shard of their first word.  A frequent first word is spread by its second, and a frequent pair, whose
+exact count all shards know, by its third.  Nothing that grows with the corpus passes through the driver or is broadcast.
+
+P(w | uv) = c(uvw) / (c(uv) + t(uv)) + t(uv) / (c(uv) + t(uv)) * P(w | v), in the same way P(w | v)
+from P(w), where t(h) = c(h) ** GROWTH stands for the kinds of words after h.  P(w) discounts every
+word's count by d = n1 / (n1 + 2 n2) and gives what is freed to the unknown word, one class as in the
+base.  All probabilities of a context add up to 1 (before quantisation to 16 bits).
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -24,29 +32,30 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .eliasfano import Trie
+from .common import discard, materialise, shared_dir
+from .eliasfano import Quantised, Trie
 from .text import WordHasher, chunks, mix64, texts_of
 
 #: Exponent of the growth of kinds of successors with a context's count.
 GROWTH = 0.8
-#: Text bytes to one shard, and characters in a block, at most.
-SHARD_BYTES, BLOCK_CHARS = 16_000_000, 14_000_000
-#: A context with more than this share of a shard's tokens is spread over the shards by its successors.
+#: Text bytes to one shard, and characters in a block, at most (a longer text is a block of its own).
+SHARD_BYTES, BLOCK_CHARS = 8_000_000, 8_000_000
+#: Words, and pairs, with more than this share of a shard's tokens are spread over the shards.
 HOT_SHARE = 0.25
-#: Hashes of the token that ends a text and of the context of its first word: blanks are in no word.
-END, START = (int(h) for h in WordHasher()([b"\n", b" "]))
+#: Hash of the token that ends a text: a blank is in no word.
+END = int(WordHasher()([b"\n"])[0])
+#: Numbers: 0 is a word that training lacks; 1 stands before a text as a context, and behind it ends a path; words follow.
+UNKNOWN, EDGE, FIRST_WORD = 0, 1, 2
 
 ROWS = "block long, kind string, shard int, payload binary, n long, v long, n1 long, n2 long"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     heads = b"".join(struct.pack("<3sQ", a.dtype.str[-3:].encode().rjust(3, b"|"), a.size) for a in arrays)
-    raw = struct.pack("<B", len(arrays)) + heads + b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<B", len(arrays)) + heads + b"".join(a.tobytes() for a in arrays))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -76,20 +85,36 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def _small(n: np.ndarray) -> np.ndarray:
-    """Counts in as few bytes as hold them all."""
-    return n.astype(np.uint8 if not n.size or n.max() < 256 else np.uint32 if n.max() < 2**32 else np.uint64)
+    """Counts and numbers in as few bytes as hold them all."""
+    most = int(n.max()) if n.size else 0
+    return n.astype(np.uint8 if most < 256 else np.uint32 if most < 2**32 else np.uint64)
+
+
+def _kinds(count: np.ndarray) -> np.ndarray:
+    return np.power(np.maximum(count, 0).astype(np.float64), GROWTH)
+
+
+def _rest(count: np.ndarray) -> np.ndarray:
+    """The weight that contexts of these counts leave to shorter ones; all of it if never seen."""
+    kinds = _kinds(count)
+    return np.where(count > 0, kinds / np.maximum(count + kinds, 1e-300), 1.0)
+
+
+def _parts(of: np.ndarray, n: int) -> list[np.ndarray]:
+    order = np.argsort(of, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(of, minlength=n))[:-1])
 
 
 class Block:
     """Documents of one batch: sorted word hashes, and tokens as numbers of those words."""
 
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, train: np.ndarray, doc_id: np.ndarray, has_id: np.ndarray):
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, train: np.ndarray, ids: np.ndarray, id_sizes: np.ndarray, has_id: np.ndarray):
         self.words, self.tokens, self.sizes = words, tokens.astype(np.int32), sizes.astype(np.int64)
-        self.train, self.doc_id, self.has_id = train.astype(bool), doc_id, has_id.astype(bool)
+        self.train, self.ids, self.id_sizes, self.has_id = train.astype(bool), ids, id_sizes, has_id.astype(bool)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     @classmethod
-    def of_texts(cls, texts: list[str], train: list[bool], ids: list, hasher: WordHasher) -> Block:
+    def of_texts(cls, texts: list[str], train: list[bool], ids: list[str | None], hasher: WordHasher) -> Block:
         split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         sizes = np.array([len(ws) + 1 for ws in split], np.int64)
         hashes = np.full(sizes.sum(), END, np.uint64)
@@ -100,8 +125,9 @@ class Block:
         order = np.argsort(words, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        doc_id = np.array([i or 0 for i in ids], np.int64)
-        return cls(words[order], place[number], sizes, np.array(train, bool), doc_id, np.array([i is not None for i in ids], bool))
+        names = [(i or "").encode() for i in ids]
+        id_bytes, id_sizes = np.frombuffer(b"".join(names), np.uint8), np.array([len(i) for i in names], np.uint32)
+        return cls(words[order], place[number], sizes, np.array(train, bool), id_bytes, id_sizes, np.array([i is not None for i in ids], bool))
 
     def packed(self) -> bytes:
         """Compact form: words numbered by falling frequency, tokens as planes of their bytes."""
@@ -109,8 +135,8 @@ class Block:
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         planes = np.ascontiguousarray(place[self.tokens].view(np.uint8).reshape(-1, 4).T)
-        flags = (self.train.astype(np.uint8), self.doc_id, self.has_id.astype(np.uint8))
-        return pack(self.words[order], planes.reshape(-1), self.sizes.astype(np.uint32), *flags)
+        rest = (self.train.astype(np.uint8), self.ids, self.id_sizes, self.has_id.astype(np.uint8))
+        return pack(self.words[order], planes.reshape(-1), self.sizes.astype(np.uint32), *rest)
 
     @classmethod
     def of_packed(cls, payload: bytes) -> Block:
@@ -124,46 +150,143 @@ class Block:
     def of_train(self) -> np.ndarray:
         return np.repeat(self.train, self.sizes)
 
+    def doc_ids(self) -> list[str | None]:
+        data, ends = self.ids.tobytes(), np.cumsum(self.id_sizes.astype(np.int64))
+        return [data[e - n : e].decode() if ok else None for e, n, ok in zip(ends.tolist(), self.id_sizes.tolist(), self.has_id.tolist(), strict=True)]
+
     def word_shards(self, n_shards: int) -> list[np.ndarray]:
         """Numbers of the block's words that belong to each word shard."""
         return _parts((self.words % np.uint64(n_shards)).astype(np.int64), n_shards)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Context and word numbers of the distinct pairs, the pair of each token, and the pairs' counts in training rows.
 
-        The number after the last word's stands for the start of a text.
-        """
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = len(self.words)
-        base = len(self.words) + 1
-        keys, pair = np.unique(before * base + self.tokens, return_inverse=True)
-        in_train = np.bincount(pair, weights=self.of_train(), minlength=len(keys))
-        return (keys // base).astype(np.int32), (keys % base).astype(np.int32), pair.astype(np.int32), in_train.astype(np.int32)
+class Paths:
+    """The distinct paths of three words in a block, by the model's numbers and in the order of their shards.
 
+    A text of n tokens has n + 1 of them: each token behind the two before it, and last the mark
+    that ends the text, for the sake of the pair before it.
+    """
 
-def _parts(of: np.ndarray, n: int) -> list[np.ndarray]:
-    order = np.argsort(of, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(of, minlength=n))[:-1])
+    def __init__(self, block: Block, numbers: np.ndarray, counts: np.ndarray, model: Model, *, train_only: bool):
+        self.block, self.counts = block, counts
+        n, k = len(block.tokens), len(block.sizes)
+        self.at = np.arange(n) + np.repeat(np.arange(k), block.sizes)  # places of tokens among tokens and marks
+        begins = block.starts + np.arange(k)
+        edge = len(block.words)
+        third = np.full(n + k, edge, np.int64)
+        third[self.at] = block.tokens
+        second, first = np.empty_like(third), np.empty_like(third)
+        second[1:], first[2:] = third[:-1], third[:-2]
+        second[begins] = first[begins] = edge
+        first[(begins + 1)[begins + 1 < n + k]] = edge
+        of_train = np.repeat(block.train, block.sizes + 1)
+        names, rank = np.unique(np.append(numbers, np.uint64(EDGE)), return_inverse=True)
+        size = len(names)
+        pair, in_pair = np.unique(rank[first] * size + rank[second], return_inverse=True)
+        path, self.of = np.unique(in_pair * size + rank[third], return_inverse=True)
+        seen = np.bincount(self.of, weights=of_train, minlength=len(path)).astype(np.int64)
+        w1, w2, w3 = names[pair[path // size] // size], names[pair[path // size] % size], names[path % size]
+        self.c1 = self._by_name(names, rank, counts)[pair[path // size] // size]
+        asked = (seen > 0) if train_only else (w1 != UNKNOWN) & (w2 != UNKNOWN)
+        shard = np.where(asked, model.shard_of(w1, w2, w3, self.c1), model.n_shards)
+        self.order = np.argsort(shard, kind="stable")[: int(asked.sum())]
+        self.w1, self.w2, self.w3, self.seen, self.shard = (x[self.order] for x in (w1, w2, w3, seen, shard))
+        new = np.ones(len(self.order), bool)
+        new[1:] = (self.w1[1:] != self.w1[:-1]) | (self.shard[1:] != self.shard[:-1])
+        self.new1, self.new2 = new, new.copy()
+        self.new2[1:] |= self.w2[1:] != self.w2[:-1]
+
+    def _by_name(self, names: np.ndarray, rank: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Counts as contexts by rank: as many texts begin as end."""
+        out = np.zeros(len(names), np.int64)
+        np.maximum.at(out, rank[:-1], counts)
+        out[names == UNKNOWN] = 0
+        out[rank[-1]] = counts[np.searchsorted(self.block.words, np.uint64(END))]  # every text ends, so it's there
+        return out
+
+    def messages(self, *, with_counts: bool) -> Iterator[tuple[int, bytes]]:
+        """For each shard its words, pairs below them and third words below those, and the counts of first words (and paths)."""
+        at1, at2 = np.flatnonzero(self.new1), np.flatnonzero(self.new2)
+        n2, n1 = np.diff(np.append(at2, len(self.order))), np.diff(np.append(np.searchsorted(at2, at1), len(at2)))
+        arrays = [_small(self.w1[at1]), _small(n1), _small(self.c1[self.order][at1]), _small(self.w2[at2]), _small(n2), _small(self.w3)]
+        levels = [0, 0, 0, 1, 1, 2]
+        if with_counts:
+            arrays.append(_small(self.seen))
+            levels.append(2)
+        shards, first = np.unique(self.shard, return_index=True)
+        cuts = [np.searchsorted(at1, np.append(first, len(self.order))), np.searchsorted(at2, np.append(first, len(self.order))), np.append(first, len(self.order))]
+        for k, s in enumerate(shards):
+            yield int(s), pack(*[a[cuts[level][k] : cuts[level][k + 1]] for a, level in zip(arrays, levels, strict=True)])
+
+
+class Asked:
+    """The messages of all blocks to one shard, laid out path by path."""
+
+    def __init__(self, payloads: list[bytes]):
+        got = [unpack(p) for p in payloads]
+        joined = [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint8) for k in range(len(got[0]) if got else 7)]
+        self.u1, self.c1, self.u2, self.w3 = (joined[k].astype(np.int64) for k in (0, 2, 3, 5))
+        self.n1, self.n2 = joined[1].astype(np.int64), joined[4].astype(np.int64)
+        self.seen = joined[6].astype(np.int64) if len(joined) > 6 else None
+        self.ends = [np.cumsum([len(g[k]) for g in got]) for k in (0, 3, 5)]
+        self.of1 = np.repeat(np.arange(len(self.u1)), self.n1)  # first word of each pair
+        self.of2 = np.repeat(np.arange(len(self.u2)), self.n2)  # pair of each path
+
+
+@dataclass
+class Model:
+    """A trained model: tables ``words`` and ``tries`` (shard, payload) in a folder, totals, and the frequent pairs with their counts."""
+
+    folder: str
+    n_shards: int
+    n: int
+    v: int
+    n1: int
+    n2: int
+    hot: np.ndarray
+    hot_counts: np.ndarray
+
+    @property
+    def discount(self) -> float:
+        return self.n1 / (self.n1 + 2 * self.n2) if self.n1 and self.n2 else 0.5
+
+    @cached_property
+    def limit(self) -> float:
+        """Tokens from which a word or pair is spread."""
+        return HOT_SHARE * self.n / self.n_shards
+
+    def pair_counts(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        """Exact counts of frequent pairs, 0 for all others."""
+        key, out = pair_key(w1, w2), np.zeros(len(w1), np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)
+            out = np.where(self.hot[at] == key, self.hot_counts[at], 0)
+        return out
+
+    def shard_of(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, c1: np.ndarray) -> np.ndarray:
+        spread = np.where(c1 > self.limit, mix64(w2.astype(np.uint64) + np.uint64(7)), np.uint64(0))
+        spread ^= np.where(self.pair_counts(w1, w2) > 0, mix64(w3.astype(np.uint64) + np.uint64(11)), np.uint64(0))
+        return (mix64(w1.astype(np.uint64) ^ spread) % np.uint64(self.n_shards)).astype(np.int64)
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        free = self.discount * self.v / self.n if self.n else 1.0
+        return np.where(counts > 0, (counts - self.discount) / max(self.n, 1), free)
+
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.schema(ROWS).parquet(f"{self.folder}/{name}")
+
+    def save(self, spark: SparkSession) -> None:
+        """Add the totals and frequent pairs to the folder, so that ``load`` finds all."""
+        rows = [(self.n_shards, self.n, self.v, self.n1, self.n2, self.hot.view(np.int64).tolist(), self.hot_counts.tolist())]
+        spark.createDataFrame(rows, "n_shards int, n long, v long, n1 long, n2 long, hot array<long>, counts array<long>").write.parquet(f"{self.folder}/totals")
 
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Model:
+        r = spark.read.parquet(f"{folder}/totals").first()
+        return cls(folder, r["n_shards"], r["n"], r["v"], r["n1"], r["n2"], np.array(r["hot"], np.int64).view(np.uint64), np.array(r["counts"], np.int64))
 
-class Context:
-    """A block with the counts of its words: what both the pair exchange and the scoring need."""
 
-    def __init__(self, block: Block, counts: np.ndarray, n_shards: int, n_tokens: int):
-        self.block = block
-        at_end = np.searchsorted(block.words, np.uint64(END))  # every text ends, so it's there
-        self.counts = counts
-        self.context_counts = np.append(counts, counts[at_end])  # as many starts as ends
-        self.h, self.w, self.pair, self.in_train = block.pairs()
-        hashes = np.append(block.words, np.uint64(START))
-        self.h_hash, self.w_hash = hashes[self.h], block.words[self.w]
-        hot = self.context_counts[self.h] * n_shards > HOT_SHARE * n_tokens
-        spread = np.where(hot, mix64(self.w_hash), np.uint64(0))
-        shard = (mix64(self.h_hash ^ spread) % np.uint64(n_shards)).astype(np.int64)
-        # a pair of an unknown context or word isn't in the training rows
-        asked = (self.context_counts[self.h] > 0) & (counts[self.w] > 0)
-        self.parts = _parts(np.where(asked, shard, n_shards), n_shards + 1)[:n_shards]
+def pair_key(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    return mix64(mix64(w1.astype(np.uint64) + np.uint64(3)) ^ w2.astype(np.uint64))
 
 
 def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +298,28 @@ def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
+def as_blocks(docs: DataFrame, train: Column) -> tuple[DataFrame, int]:
+    """The rows of ``docs`` (doc_id, text) as stored blocks, numbered without gaps, and how many there are.
+
+    ``train`` tells the rows that ``learn`` counts.
+    """
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    blocks = materialise(rows.mapInArrow(tokenise, ROWS))
+    part = F.shiftright("block", 32)
+    # one row for each task that made blocks
+    sizes = blocks.groupBy(part.alias("part")).agg(F.count("*").alias("made"))
+    before = F.sum("made").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = materialise(sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"), "made"))
+    numbered = blocks.withColumn("part", part).join(F.broadcast(sizes), "part")
+    dense = F.col("before") + F.col("block").bitwiseAND((1 << 32) - 1)
+    return numbered.withColumn("block", dense).drop("part", "before", "made"), sizes.agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+
+
+def _exchange(df: DataFrame, key: str, n: int) -> DataFrame:
+    """All rows of a key in one task, one key a task: keys are numbered without gaps."""
+    return df.repartitionById(max(1, n), F.col(key).cast("int")).sortWithinPartitions(key, "kind", "block", "shard")
+
+
 def ask_words(n_shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _groups(batches, "block"):
@@ -186,136 +331,259 @@ def ask_words(n_shards: int) -> Callable:
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, rows in _groups(batches, "shard"):
-        asked = [unpack(r["payload"]) for r in rows]
-        words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([a[1] for a in asked]), minlength=len(words)).astype(np.int64)
-        ends = np.cumsum([len(a[0]) for a in asked])
-        for row, a, end in zip(rows, asked, ends, strict=True):
-            yield _rows([(row["block"], "count", shard, pack(_small(counts[at[end - len(a[0]) : end]])))])
-        stats = (int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum()))
-        yield _rows([(-1, "stat", shard, b"", *stats)])
+def _answers(asked: list[list[np.ndarray]], rows: list[dict], words: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for row, a in zip(rows, asked, strict=True):
+        at = np.minimum(np.searchsorted(words, a[0]), max(0, len(words) - 1))
+        known = words[at] == a[0] if len(words) else np.zeros(len(a[0]), bool)
+        answer = [_small(np.where(known, x[at], 0)) if len(words) else np.zeros(len(a[0]), np.uint8) for x in (numbers, counts)]
+        yield _rows([(row["block"], "known", row["shard"], pack(*answer))])
+
+
+def count_words(n_shards: int) -> Callable:
+    """The word level of each shard: sorted hashes, numbers by falling count, and counts; and answers to the blocks that asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _groups(batches, "shard"):
+            asked = [unpack(r["payload"]) for r in rows]
+            words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([a[1] for a in asked]), minlength=len(words)).astype(np.int64)
+            words, counts = words[counts > 0], counts[counts > 0]
+            numbers = np.empty(len(words), np.int64)
+            numbers[np.lexsort((words, -counts))] = FIRST_WORD + np.arange(len(words)) * n_shards + shard
+            yield from _answers(asked, rows, words, numbers, counts)
+            stats = (int(counts.sum()), len(counts), int((counts == 1).sum()), int((counts == 2).sum()))
+            yield _rows([(-1, "level", shard, pack(words, _small(numbers), _small(counts)), *stats)])
+
+    return run
+
+
+def find_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers from the kept word level, to blocks that need not be those it was counted from."""
+    for _, rows in _groups(batches, "shard"):
+        levels, asking = ([r for r in rows if (r["kind"] == "level") == wanted] for wanted in (True, False))
+        words, numbers, counts = unpack(levels[0]["payload"]) if levels else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield from _answers([unpack(r["payload"]) for r in asking], asking, words, numbers, counts)
+
+
+def join_known(n_shards: int) -> Callable:
+    """Blocks together with the model's numbers and training counts of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _groups(batches, "block"):
+            payload = next(r["payload"] for r in rows if r["kind"] == "self")
+            block = Block.of_packed(payload)
+            numbers, counts, parts = np.zeros(len(block.words), np.uint64), np.zeros(len(block.words), np.int64), block.word_shards(n_shards)
+            for r in rows:
+                if r["kind"] == "known":
+                    numbers[parts[r["shard"]]], counts[parts[r["shard"]]] = unpack(r["payload"])
+            yield _rows([(number, "self", -1, pack(np.frombuffer(payload, np.uint8), _small(numbers), _small(counts)))])
+
+    return run
+
 
+def _known(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
+    """A block and the model's numbers and training counts of its words."""
+    payload, numbers, counts = unpack(row["payload"])
+    return Block.of_packed(payload.tobytes()), numbers.astype(np.uint64), counts.astype(np.int64)
 
-def _contexts(batches: Iterator[pa.RecordBatch], n_shards: int, n_tokens: int) -> Iterator[tuple[int, Context, list[dict]]]:
-    for number, rows in _groups(batches, "block"):
-        block = next(Block.of_packed(r["payload"]) for r in rows if r["kind"] == "self")
-        counts, parts = np.zeros(len(block.words), np.int64), block.word_shards(n_shards)
-        for r in rows:
-            if r["kind"] == "count":
-                counts[parts[r["shard"]]] = unpack(r["payload"])[0]
-        yield number, Context(block, counts, n_shards, n_tokens), [r for r in rows if r["kind"] == "codes"]
 
+def frequent_pairs(share: float, wanted: np.ndarray | None = None) -> Callable:
+    """(pair, n): training counts of a block's pairs, those over ``share`` of its tokens, or the wanted ones."""
 
-def ask_pairs(n_shards: int, n_tokens: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c, _ in _contexts(batches, n_shards, n_tokens):
-            for shard, p in enumerate(c.parts):
-                if len(p):
-                    first = np.flatnonzero(np.diff(c.h[p], prepend=-1))
-                    repeats = np.diff(np.append(first, len(p)))
-                    word = c.w_hash[p] >> np.uint64(16)  # 48 bits tell the successors of a context apart
-                    # successors are sorted by hash, so that the steps of the upper half are small
-                    high = (word >> np.uint64(32)).astype(np.uint16)
-                    steps = np.diff(high, prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T
-                    halves = (word.astype(np.uint32), np.ascontiguousarray(steps).reshape(-1))
-                    payload = pack(c.h_hash[p[first]], c.context_counts[c.h[p[first]]], _small(repeats), *halves, _small(c.in_train[p]))
-                    yield _rows([(number, "pairs", shard, payload)])
+        for _, rows in _groups(batches, "block"):
+            block, numbers, _ = _known(rows[0])
+            first = np.empty(len(block.tokens), np.int64)
+            first[1:] = block.tokens[:-1]
+            inside = np.ones(len(first), bool)
+            inside[block.starts] = False
+            inside &= block.of_train()
+            key, n = np.unique(first[inside] * len(block.words) + block.tokens[inside], return_counts=True)
+            if wanted is None:
+                often = n >= max(2.0, share * len(block.tokens))
+                key, n = key[often], n[often]
+            pair = pair_key(numbers[key // len(block.words)], numbers[key % len(block.words)])
+            if wanted is not None and len(pair):
+                there = np.isin(pair, wanted)
+                pair, n = pair[there], n[there]
+            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
 
     return run
 
 
-def _kinds(count: np.ndarray) -> np.ndarray:
-    return np.power(np.maximum(count, 0).astype(np.float64), GROWTH)
+def ask_paths(model: Model, *, train: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _groups(batches, "block"):
+            paths = Paths(*_known(rows[0]), model, train_only=train)
+            for shard, payload in paths.messages(with_counts=train):
+                yield _rows([(number, "paths", shard, payload)])
+
+    return run
+
 
+def build_tries(model: Model) -> Callable:
+    """The trie of each shard, from the counted paths of all blocks."""
 
-def _query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, rows in _groups(batches, "shard"):
-        hashes, totals, h, w, n = [], [], [], [], []
-        for r in rows:
-            context, count, repeats, low, steps, in_train = unpack(r["payload"])
-            high = np.cumsum(np.ascontiguousarray(steps.reshape(2, -1).T).view(np.uint16).reshape(-1), dtype=np.uint16)
-            hashes.append(context)
-            totals.append(count)
-            h.append(np.repeat(context, repeats.astype(np.int64)))
-            w.append(high.astype(np.uint64) << np.uint64(32) | low)
-            n.append(in_train.astype(np.int64))
-        ends = np.cumsum([len(x) for x in h])
-        contexts, first = np.unique(np.concatenate(hashes), return_index=True)
-        total = np.concatenate(totals)[first]
-        words = np.unique(np.concatenate(w))
-        key = np.searchsorted(contexts, np.concatenate(h)) * len(words) + np.searchsorted(words, np.concatenate(w))
-        del h, w
-        keys, at = np.unique(key, return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate(n), minlength=len(keys))
-        seen = keys[count > 0]
-        of = total[seen // len(words)]
-        log10_p = np.log10(count[count > 0] / (of + _kinds(of)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _groups(batches, "shard"):
+            a = Asked([r["payload"] for r in rows])
+            words, at1, where1 = np.unique(a.u1, return_index=True, return_inverse=True)
+            c1 = a.c1[at1]
+            names, of_name = np.unique(np.concatenate([a.u2, a.w3]), return_inverse=True)
+            size = len(names)
+            pairs, in_pair = np.unique(where1[a.of1] * size + of_name[: len(a.u2)], return_inverse=True)
+            paths, in_path = np.unique(in_pair[a.of2] * size + of_name[len(a.u2) :], return_inverse=True)
+            c3 = np.bincount(in_path, weights=a.seen, minlength=len(paths))
+            parent2, word2 = pairs // size, names[pairs % size]
+            parent3, word3 = paths // size, names[paths % size]
+            c2 = np.bincount(parent3, weights=c3, minlength=len(pairs))
+            exact = model.pair_counts(words[parent2], word2)  # of a pair that is spread, this shard has a part only
+            c2 = np.where(exact > 0, exact, c2)
+            inner = word3 != EDGE
+            parent3, word3, c3 = parent3[inner], word3[inner], c3[inner]
+            own2 = np.minimum(1.0, c2 / (c1 + _kinds(c1))[parent2])
+            own3 = c3 / (c2 + _kinds(c2))[parent3]
+            data = Trie.build(words, parent2, word2, parent3, word3, rest1=_rest(c1), own2=own2, rest2=_rest(c2), own3=own3)
+            yield _rows([(-1, "a trie", shard, data)])
+
+    return run
+
+
+def query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes for the paths of each message: of first words, pairs and paths, in its order."""
+    for _, rows in _groups(batches, "shard"):
+        asking = [r for r in rows if r["kind"] == "paths"]
+        if not asking:
+            continue
+        a = Asked([r["payload"] for r in asking])
+        found = next((r["payload"] for r in rows if r["kind"] == "a trie"), None)
+        if found is None:
+            empty, none = np.zeros(0, np.int64), np.zeros(0)
+            found = Trie.build(empty, empty, empty, empty, empty, rest1=none, own2=none, rest2=none, own3=none)
         with tempfile.TemporaryDirectory() as folder:
-            trie = Trie.write(folder, contexts, words, seen // len(words), seen % len(words), log10_p)
-            codes = trie.lookup(contexts[keys // len(words)], words[keys % len(words)])
-            scale = np.array([trie.low, trie.step])
+            path = os.path.join(folder, "trie")
+            with open(path, "wb") as f:
+                f.write(found)
+            del found
+            trie = Trie.open(path)
+            node1 = trie.roots(a.u1)
+            node2 = trie.children("pairs", "first", node1[a.of1], a.u2)
+            node3 = trie.children("triples", "second", node2[a.of2], a.w3)
+            codes = [trie.codes("rest1", node1), trie.codes("own2", node2), trie.codes("rest2", node2), trie.codes("own3", node3)]
+            scale = np.array([x for name in Trie.VALUES for x in (getattr(trie, name).low, getattr(trie, name).step)])
             del trie
-        for r, start, end in zip(rows, np.append(0, ends[:-1]), ends, strict=True):
-            yield _rows([(r["block"], "codes", shard, pack(codes[at[start:end]], scale))])
+        for k, row in enumerate(asking):
+            cut = [slice(e[k - 1] if k else 0, e[k]) for e in a.ends]
+            yield _rows([(row["block"], "codes", row["shard"], pack(codes[0][cut[0]], codes[1][cut[1]], codes[2][cut[1]], codes[3][cut[2]], scale))])
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(n_shards: int, n: int, v: int, n1: int, n2: int) -> Callable:
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+def add_up(model: Model) -> Callable:
+    """Scores of the documents of each block from the codes that the shards answered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, answers in _contexts(batches, n_shards, n):
-            b = c.block
-            seen = np.zeros(len(c.h))
-            for r in answers:
-                codes, (low, step) = unpack(r["payload"])
-                seen[c.parts[r["shard"]]] = np.where(codes > 0, np.power(10.0, low + (codes.astype(float) - 1) * step), 0.0)
-            unigram = np.where(c.counts > 0, (c.counts - discount) / max(n, 1), discount * v / n if n else 1.0)
-            kinds = _kinds(c.context_counts)
-            rest = np.where(c.context_counts > 0, kinds / np.maximum(c.context_counts + kinds, 1e-300), 1.0)
-            score = np.log10(seen + rest[c.h] * unigram[c.w])[c.pair]
-            base = np.log10((c.counts + 0.5) / (n + 0.5 * (v + 1)))[b.tokens]
-            known = (c.counts > 0)[b.tokens].astype(np.int64)
+        for _, rows in _groups(batches, "block"):
+            b, numbers, counts = _known(next(r for r in rows if r["kind"] == "self"))
+            p = Paths(b, numbers, counts, model, train_only=False)
+            n_paths = len(p.c1)
+            rest1, own2, rest2, own3 = _rest(p.c1), np.zeros(n_paths), np.ones(n_paths), np.zeros(n_paths)
+            for r in rows:
+                if r["kind"] == "codes":
+                    got = unpack(r["payload"])
+                    here = slice(*np.searchsorted(p.shard, (r["shard"], r["shard"] + 1)))
+                    v1, v2, w2, v3 = (Quantised.values(got[k], got[4][2 * k], got[4][2 * k + 1]) for k in range(4))
+                    to1, to2 = np.cumsum(p.new1[here]) - 1, np.cumsum(p.new2[here]) - 1
+                    at = p.order[here]
+                    rest1[at] = np.where(got[0][to1] > 0, v1[to1], rest1[at])
+                    own2[at], rest2[at], own3[at] = v2[to2], np.where(got[2][to2] > 0, w2[to2], 1.0), v3
+            # a token's own path ends with it; the next path has the pair that ends with it
+            token, after = p.of[p.at], p.of[p.at + 1]
+            short = own2[after] + rest1[after] * model.unigram(counts)[b.tokens]
+            score = np.log10(own3[token] + rest2[token] * short)
+            base = np.log10((counts + 0.5) / (model.n + 0.5 * (model.v + 1)))[b.tokens]
+            known = (counts > 0)[b.tokens].astype(np.int64)
             sums = [np.add.reduceat(x, b.starts) if len(b.starts) else x[:0] for x in (known, base, score)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(b.doc_id, mask=~b.has_id), pa.array(~b.train), pa.array(b.sizes), pa.array(sums[0]),
-                    pa.array(np.full(len(b.sizes), n, np.int64)), pa.array(sums[1]), pa.array(sums[2]),
-                ],
-                [x.split()[0] for x in SCORES.split(", ")],
-            )
+            columns = [pa.array(b.doc_ids(), pa.string()), pa.array(~b.train), pa.array(b.sizes), pa.array(sums[0]), pa.array(np.full(len(b.sizes), model.n, np.int64)), *map(pa.array, sums[1:])]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
     return run
 
 
+def shards_for(docs: DataFrame) -> int:
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    return max(4, -(-int(size) // SHARD_BYTES))
+
+
+def learn(blocks: DataFrame, n_blocks: int, n_shards: int) -> tuple[Model, DataFrame]:
+    """Train on the training rows of blocks: the model, kept in a new folder of the shared one, and the blocks with what it knows of their words.
+
+    The table of ``blocks`` is dropped once that of the second result holds all of it.
+    """
+    spark = blocks.sparkSession
+    folder = f"{shared_dir(spark)}/model"
+    counted = materialise(_exchange(blocks.mapInArrow(ask_words(n_shards), ROWS), "shard", n_shards).mapInArrow(count_words(n_shards), ROWS))
+    level = counted.where(F.col("kind") == "level")
+    level.write.parquet(f"{folder}/words")
+    totals = level.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2")]).first()
+    known = _with_words(blocks, counted.where(F.col("kind") == "known"), n_blocks, n_shards)
+    discard(counted)
+    model = Model(folder, n_shards, *totals, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    # a pair that is in no list of a block, or below half the limit in those, has about twice the limit at most
+    share = HOT_SHARE / n_shards
+    schema = "pair long, n long"
+    often = known.mapInArrow(frequent_pairs(share), schema).groupBy("pair").agg(F.sum("n").alias("n"))
+    wanted = np.array([r["pair"] for r in often.where(F.col("n") > model.limit / 2).collect()], np.int64).view(np.uint64)
+    if len(wanted):
+        exact = known.mapInArrow(frequent_pairs(share, np.sort(wanted)), schema).groupBy("pair").agg(F.sum("n").alias("n")).collect()
+        keys, counts = np.array([r["pair"] for r in exact], np.int64).view(np.uint64), np.array([r["n"] for r in exact], np.int64)
+        order = np.argsort(keys)
+        model.hot, model.hot_counts = keys[order], counts[order]
+    model.save(spark)
+    paths = known.mapInArrow(ask_paths(model, train=True), ROWS)
+    tries = _exchange(paths, "shard", n_shards).mapInArrow(build_tries(model), ROWS)
+    materialise(tries, f"{folder}/tries")
+    return model, known
+
+
+def _with_words(blocks: DataFrame, answers: DataFrame, n_blocks: int, n_shards: int) -> DataFrame:
+    known = materialise(_exchange(blocks.unionByName(answers), "block", n_blocks).mapInArrow(join_known(n_shards), ROWS))
+    discard(blocks)
+    return known
+
+
+def look_up(blocks: DataFrame, n_blocks: int, model: Model) -> DataFrame:
+    """Blocks with what a model knows of their words."""
+    asked = blocks.mapInArrow(ask_words(model.n_shards), ROWS).unionByName(model.table(blocks.sparkSession, "words"))
+    answers = _exchange(asked, "shard", model.n_shards).mapInArrow(find_words, ROWS)
+    return _with_words(blocks, answers, n_blocks, model.n_shards)
+
+
+def score_blocks(known: DataFrame, n_blocks: int, model: Model) -> DataFrame:
+    """Scores of all rows of blocks (from ``learn`` or ``look_up``) under a model that exists already."""
+    asked = known.mapInArrow(ask_paths(model, train=False), ROWS).unionByName(model.table(known.sparkSession, "tries"))
+    codes = materialise(_exchange(asked, "shard", model.n_shards).mapInArrow(query_tries, ROWS))
+    return _exchange(known.unionByName(codes), "block", n_blocks).mapInArrow(add_up(model), SCORES)
+
+
 def score(docs: DataFrame, train: Column) -> DataFrame:
-    """Score every text of ``docs`` (doc_id, text) under a bigram model of the ``train`` rows.
+    """Score every text of ``docs`` (doc_id, text) under a trigram model of the ``train`` rows.
 
     Words are runs without ASCII white space, A-Z lower-cased, and each text ends with one
     more token; a null text has only that.  Returns for each row doc_id, held_out (not in
     ``train``; a null condition counts as held out), n_tokens, n_known (tokens seen in training), train_tokens, base_score
     (log10 under add-half unigrams) and score (log10 under the model).  Repeated rows are
     scored, and counted in training, each for itself.  Without training rows both scores are
-    those of one unknown word, 0.  Rows in equal blocks give equal results in every run.
+    those of one unknown word, 0.  An empty table gives an empty one.  Other columns are left out.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n_shards = max(4, -(-int(size) // SHARD_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = materialise(rows.mapInArrow(tokenise, ROWS))
+    blocks, n_blocks = as_blocks(docs, train)
+    model, known = learn(blocks, n_blocks, shards_for(docs))
+    return score_blocks(known, n_blocks, model).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
 
-    def exchange(df: DataFrame, key: str) -> DataFrame:
-        # shards are numbered without gaps: one to a partition
-        dealt = df.repartitionById(n_shards, F.col(key)) if key == "shard" else df.repartition(n_shards, key)
-        return dealt.sortWithinPartitions(key, "kind")
-
-    counted = materialise(exchange(blocks.mapInArrow(ask_words(n_shards), ROWS), "shard").mapInArrow(_count_words, ROWS))
-    stats = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2")]
-    n, v, n1, n2 = counted.where(F.col("kind") == "stat").agg(*stats).first()
-    known = blocks.unionByName(counted.where(F.col("kind") == "count"))
-    pairs = exchange(known, "block").mapInArrow(ask_pairs(n_shards, n), ROWS)
-    codes = materialise(exchange(pairs, "shard").mapInArrow(_query_tries, ROWS))
-    return exchange(known.unionByName(codes), "block").mapInArrow(score_blocks(n_shards, n, v, n1, n2), SCORES)
+def score_with(docs: DataFrame, model: Model) -> DataFrame:
+    """Score every text of ``docs`` under a kept model, which need not have seen any of them; all rows are held out."""
+    blocks, n_blocks = as_blocks(docs, F.lit(False))
+    return score_blocks(look_up(blocks, n_blocks, model), n_blocks, model).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
