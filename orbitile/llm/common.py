@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Per-key tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
 #: Rows of a hash bucket, which one task ranks.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -75,7 +75,7 @@ def mix(docs: DataFrame, size: Column, *, max_epochs: int = 3, seed: int = 9, sp
     The row on the edge gives just the words still missing (``split_last``), or else is taken
     whole if that comes nearer.  ``copies`` counts whole takes only; ``taken`` counts words.
 
-    Only the rows of the bucket that holds the edge, some ten thousand a source, are ranked; rows
+    Only the rows of the bucket that holds the edge, a few thousand a source, are ranked; rows
     that are equal in every column cannot be told apart and are ranked in one task if the edge is
     among them.  A row without text has size 0 and is repeated like its source.  Repeated rows tie:
     the same number of them is taken in every run.  An empty table gives an empty one.
