@@ -14,6 +14,7 @@ BAND_MAPS = {
     "SENTINEL": {b: b for b in STANDARD},
     "LANDSAT_OLD": {"B2": "SR_B1", "B3": "SR_B2", "B4": "SR_B3", "B8": "SR_B4", "B11": "SR_B5", "B12": "SR_B7"},
     "LANDSAT_NEW": {"B2": "SR_B2", "B3": "SR_B3", "B4": "SR_B4", "B8": "SR_B5", "B11": "SR_B6", "B12": "SR_B7"},
+    "LANDSAT_RAW": {"B2": "B1", "B3": "B2", "B4": "B3", "B8": "B4", "B11": "B5", "B12": "B7"},
     "SPOT": {"B3": "XS1", "B4": "XS2", "B8": "XS3"},
     "SPOT_4": {"B3": "B1", "B4": "B2", "B8": "B3", "B11": "MIR"},
     "MSS": {"B3": "SR_B1", "B4": "SR_B2", "B8": "SR_B3", "B11": "SR_B4"},
@@ -82,7 +83,7 @@ def standardize(raw: DataFrame, family: str) -> DataFrame:
     A band that already has its standard name wins over the mapped raw one, except in
     families whose raw names clash with standard ones.
     """
-    clash = family == "SPOT_4"
+    clash = family in ("SPOT_4", "LANDSAT_RAW")
     source = BAND_MAPS[family]
     bands = {}
     for b in STANDARD:
@@ -95,6 +96,13 @@ def standardize(raw: DataFrame, family: str) -> DataFrame:
     return raw.select(*keys, *[c.cast("float").cast("double").alias(b) for b, c in bands.items()])
 
 
+def landsat_naming(columns: list[str]) -> str:
+    """Which of the three namings of Landsat bands a table has: surface reflectance with or without band 1, or raw."""
+    if any(c.startswith("SR_B") for c in columns):
+        return "LANDSAT_OLD" if "SR_B1" in columns else "LANDSAT_NEW"
+    return "LANDSAT_RAW"
+
+
 def harmonization_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, a, b) for m, (a, b) in HARMONIZATION.items()], "mode string, a double, b double")
 

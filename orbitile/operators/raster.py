@@ -160,3 +160,45 @@ def resample_bilinear(pixels: DataFrame, factor: int, *, height: int, width: int
     out = out.where((F.col("__w") > 0) & F.col("__row").between(0, height * factor - 1) & F.col("__col").between(0, width * factor - 1))
     merged = F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")
     return out.groupBy(key, F.col("__row").alias("row"), F.col("__col").alias("col")).agg(merged.alias(value))
+
+
+def _cubic(d: Column) -> Column:
+    """Weight of a sample at a distance: the cubic convolution kernel with parameter -1/2."""
+    a = F.abs(d)
+    return F.when(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1.0).when(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4.0 * a + 2.0).otherwise(0.0)
+
+
+def resample_cubic(pixels: DataFrame, factor: int, *, height: int, width: int, key: str = "chip", value: str = "value") -> DataFrame:
+    """Refine the grid ``factor`` times by cubic convolution, or bilinearly where a pixel around is unknown.
+
+    Each known pixel spreads its weights to the cells around it, edge pixels also those of the samples
+    beyond the edge.  One aggregation gives both values, and the number of pixels that a cell met tells
+    whether all that it needs are known.  A cell without a known pixel for the bilinear value is left out.
+    """
+    reach = range(-2 * factor, 3 * factor)
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
+    out = pixels.where(F.col(value).isNotNull()).withColumn("__o", F.explode(steps))
+
+    def along(name: str, step: str, size: int) -> tuple[Column, Column, Column, Column, Column]:
+        """Place, whether this pixel is among the samples, the pixels needed, and both weights."""
+        here, place = F.col(name), F.col(name) * factor + F.col(f"__o.{step}")
+        at = (place + 0.5) / factor - 0.5
+        base = F.floor(at)
+        samples = [base + k for k in range(-1, 3)]
+        clamped = [F.greatest(F.lit(0), F.least(F.lit(size - 1), x)) for x in samples]
+        cubic = sum((F.when(c == here, _cubic(at - x)).otherwise(0.0) for x, c in zip(samples, clamped, strict=True)), F.lit(0.0))
+        inside = sum(((c == here).cast("int") for c in clamped), F.lit(0)) > 0
+        needed = F.least(base + 2, F.lit(size - 1)) - F.greatest(base - 1, F.lit(0)) + 1
+        linear = F.greatest(F.lit(0.0), 1.0 - F.abs(F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), at)) - here))
+        return place, inside, needed, cubic, linear
+
+    (row, row_in, rows, row_w, row_l), (col, col_in, cols, col_w, col_l) = along("row", "i", height), along("col", "j", width)
+    seen = F.col(value)
+    out = out.select(
+        key, row.alias("__row"), col.alias("__col"), (row_in & col_in).alias("__in"), (rows * cols).alias("__needed"), (row_w * col_w * seen).alias("__cubic"), (row_l * col_l).alias("__l"), seen.alias("__v")
+    )
+    out = out.where(F.col("__in") & F.col("__row").between(0, height * factor - 1) & F.col("__col").between(0, width * factor - 1))
+    linear = F.try_divide(F.sum(F.col("__l") * F.col("__v")), F.sum("__l"))
+    merged = F.when(F.count("*") == F.max("__needed"), F.sum("__cubic")).otherwise(linear)
+    out = out.groupBy(key, F.col("__row").alias("row"), F.col("__col").alias("col")).agg(merged.alias(value))
+    return out.where(F.col(value).isNotNull())

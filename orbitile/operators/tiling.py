@@ -16,15 +16,20 @@ def month_units(requests: DataFrame) -> DataFrame:
     return out.withColumns({"month_end": F.last_day("month_start"), "month_after": F.add_months("month_start", 1)})
 
 
-def grid_tiles(areas: DataFrame, max_tiles: int) -> DataFrame:
-    """Tiles of each box in its UTM zone: tile numbers i, j and bounds in metres.
+def _with_zone(areas: DataFrame) -> DataFrame:
+    c = F.col
+    centre = (c("lon_min") + c("lon_max")) / 2.0, (c("lat_min") + c("lat_max")) / 2.0
+    return areas.withColumns({"zone": geo.utm_zone(centre[0]), "north": centre[1] >= 0, "epsg": geo.utm_epsg(*centre)})
+
 
-    The shape of a grid is column arithmetic and its cells two exploded sequences, so any
-    number of areas is planned in one pass.
+def grid_tiles(areas: DataFrame, max_tiles: int | None = None, *, side_m: float | None = None) -> DataFrame:
+    """Tiles of each box in its UTM zone: tile numbers i, j, bounds in metres and their box in degrees.
+
+    The grid has about ``max_tiles`` tiles, or tiles of at most ``side_m`` metres.  Its shape is column
+    arithmetic and its cells two exploded sequences, so any number of areas is planned in one pass.
     """
     c = F.col
-    centre = (c("lon_min") + c("lon_max")) / 2.0, (c("lat_min") + c("lat_max")) / 2.0
-    out = areas.withColumns({"zone": geo.utm_zone(centre[0]), "north": centre[1] >= 0, "epsg": geo.utm_epsg(*centre)})
+    out = _with_zone(areas)
     corners = [geo.utm(c(x), c(y), c("zone"), c("north")) for x in ("lon_min", "lon_max") for y in ("lat_min", "lat_max")]
     out = out.withColumns(
         {
@@ -32,18 +37,67 @@ def grid_tiles(areas: DataFrame, max_tiles: int) -> DataFrame:
             "min_y": F.least(*[p[1] for p in corners]), "max_y": F.greatest(*[p[1] for p in corners]),
         }
     )
+    return _degrees(_cells(out, max_tiles, side_m)).drop("min_x", "max_x", "min_y", "max_y")
+
+
+def _degrees(tiles: DataFrame) -> DataFrame:
+    """The box in degrees around the corners of each tile."""
+    corners = [geo.lonlat(F.col(x), F.col(y), F.col("zone"), F.col("north")) for x in ("x0", "x1") for y in ("y0", "y1")]
+    lon, lat = [p[0] for p in corners], [p[1] for p in corners]
+    return tiles.withColumns({"lon_min": F.least(*lon), "lat_min": F.least(*lat), "lon_max": F.greatest(*lon), "lat_max": F.greatest(*lat)})
+
+
+def _cells(out: DataFrame, max_tiles: int | None, side_m: float | None) -> DataFrame:
+    """The tiles i, j of areas with bounds in metres."""
+    c = F.col
     width, height = c("max_x") - c("min_x"), c("max_y") - c("min_y")
-    nx, ny = geo.grid_shape(width, height, F.lit(max_tiles))
-    out = out.withColumns({"nx": nx, "ny": ny})
-    nx, ny = geo.grown_shape(c("nx"), c("ny"), max_tiles)
-    out = out.withColumns({"nx": nx, "ny": ny})
+    if max_tiles:
+        nx, ny = geo.grid_shape(width, height, F.lit(max_tiles))
+        out = out.withColumns({"nx": nx, "ny": ny})
+        nx, ny = geo.grown_shape(c("nx"), c("ny"), max_tiles)
+        out = out.withColumns({"nx": nx, "ny": ny})
+    elif side_m:
+        out = out.withColumns({n: F.greatest(F.lit(1.0), F.ceil(size / side_m).cast("double")) for n, size in (("nx", width), ("ny", height))})
+    else:
+        raise ValueError("give a number of tiles or their side in metres")
     out = out.withColumn("i", F.explode(F.sequence(F.lit(0), (c("nx") - 1).cast("int")))).withColumn("j", F.explode(F.sequence(F.lit(0), (c("ny") - 1).cast("int"))))
     return out.withColumns(
         {
             "x0": c("min_x") + c("i") * width / c("nx"), "x1": c("min_x") + (c("i") + 1) * width / c("nx"),
             "y0": c("min_y") + c("j") * height / c("ny"), "y1": c("min_y") + (c("j") + 1) * height / c("ny"),
         }
-    ).drop("min_x", "max_x", "min_y", "max_y")
+    )
+
+
+def polygon_tiles(polygons: DataFrame, max_tiles: int | None = None, *, side_m: float | None = None) -> DataFrame:
+    """Tiles of polygons (area_id and ``ring``, an array of [lon, lat]): those that meet the polygon, cut to it.
+
+    The ring goes to UTM and back by column functions; the grid is that of its bounds.  Returns area_id, epsg, i,
+    j, the box in degrees around what is inside, its ring (``inside``) and its area in square metres.
+    """
+    lon, lat = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    bounds = {"lon_min": F.array_min(lon), "lon_max": F.array_max(lon), "lat_min": F.array_min(lat), "lat_max": F.array_max(lat)}
+    out = _with_zone(polygons.withColumns(bounds))
+    out = out.withColumn("ring_m", F.transform("ring", lambda p: F.array(*geo.utm(p[0], p[1], F.col("zone"), F.col("north")))))
+    x, y = F.transform("ring_m", lambda p: p[0]), F.transform("ring_m", lambda p: p[1])
+    out = out.withColumns({"min_x": F.array_min(x), "max_x": F.array_max(x), "min_y": F.array_min(y), "max_y": F.array_max(y)})
+    tiles = _cells(out, max_tiles, side_m).select("area_id", "epsg", "zone", "north", "i", "j", "x0", "y0", "x1", "y1", "ring_m")
+    cut = F.pandas_udf(_cut, "struct<ring: array<array<double>>, area: double>")
+    tiles = tiles.withColumn("cut", cut("ring_m", "x0", "y0", "x1", "y1")).where(F.col("cut.area") > 0)
+    inside = F.transform("cut.ring", lambda p: F.array(*geo.lonlat(p[0], p[1], F.col("zone"), F.col("north"))))
+    tiles = tiles.withColumn("inside", inside)
+    lon, lat = F.transform("inside", lambda p: p[0]), F.transform("inside", lambda p: p[1])
+    box = {"lon_min": F.array_min(lon), "lat_min": F.array_min(lat), "lon_max": F.array_max(lon), "lat_max": F.array_max(lat)}
+    return tiles.withColumns(box).select("area_id", "epsg", "i", "j", *box, "inside", F.col("cut.area").alias("area_m2"))
+
+
+def _cut(ring: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
+    rows = []
+    for r, *box in zip(ring, x0, y0, x1, y1, strict=True):
+        points = [tuple(p) for p in r]
+        inside = clip_ring(points[:-1] if points[0] == points[-1] else points, tuple(box))
+        rows.append(([list(p) for p in inside], ring_area(inside) if len(inside) >= 3 else 0.0))
+    return pd.DataFrame(rows, columns=["ring", "area"])
 
 
 def with_priority(tiles: DataFrame, days: int) -> DataFrame:
@@ -98,20 +152,16 @@ def ring_area(ring: list) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2.0
 
 
-def clip_tiles(tiles: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    """Tiles (tile_id and box) that meet a polygon, with the box and area of what is inside."""
-    ring = ring[:-1] if ring[0] == ring[-1] else ring
+def clip_tiles(tiles: DataFrame, ring: str | list[tuple[float, float]] = "ring") -> DataFrame:
+    """Tiles (tile_id and box) that meet a polygon, with the box and area of what is inside.
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for t in f.itertuples(index=False):
-                inside = clip_ring(list(ring), (t.lon_min, t.lat_min, t.lon_max, t.lat_max))
-                if len(inside) >= 3 and ring_area(inside) > 0:
-                    xs, ys = [p[0] for p in inside], [p[1] for p in inside]
-                    rows.append((t.tile_id, min(xs), min(ys), max(xs), max(ys), ring_area(inside)))
-            yield pd.DataFrame(rows, columns=["tile_id", "lon_min", "lat_min", "lon_max", "lat_max", "area"])
-
-    return tiles.select("tile_id", "lon_min", "lat_min", "lon_max", "lat_max").mapInPandas(
-        run, "tile_id long, lon_min double, lat_min double, lon_max double, lat_max double, area double"
-    )
+    The ring is a column, each tile's own, or one for all.
+    """
+    if not isinstance(ring, str):
+        tiles = tiles.withColumn("ring", F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ring]))
+        ring = "ring"
+    cut = F.pandas_udf(_cut, "struct<ring: array<array<double>>, area: double>")
+    out = tiles.select("tile_id", cut(ring, "lon_min", "lat_min", "lon_max", "lat_max").alias("cut")).where(F.col("cut.area") > 0)
+    lon, lat = F.transform("cut.ring", lambda p: p[0]), F.transform("cut.ring", lambda p: p[1])
+    box = {"lon_min": F.array_min(lon), "lat_min": F.array_min(lat), "lon_max": F.array_max(lon), "lat_max": F.array_max(lat)}
+    return out.withColumns(box).select("tile_id", *box, F.col("cut.area").alias("area"))

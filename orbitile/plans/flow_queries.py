@@ -69,8 +69,8 @@ def project_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("name"), F.concat(F.lit("Category "), (k % 12).cast("string")).alias("category"), F.lit("d").alias("description"),
         F.array("lon_min", "lat_min", "lon_max", "lat_max").alias("bbox"), F.lit("2000-2020").alias("dates"), F.array(F.lit("ndvi")).alias("key_metrics"),
     )
-    # a catalog is one small file: at most the suppliers of the smallest tables
-    s.groupBy((k % 4).alias("part")).agg(F.collect_list(one).alias("projects")).select("projects").write.json(path)
+    # a catalog of bounded size for every few hundred keys
+    s.groupBy(F.floor(k / 400).alias("part")).agg(F.collect_list(one).alias("projects")).select("projects").write.json(path)
     features = formats.project_features(formats.read_projects(spark, path, one_per_file=False))
     parsed = F.from_json("feature", text.FEATURE)
     return features.select("file_name", parsed["properties"]["name"].alias("name"), parsed["properties"]["category"].alias("category"), F.round(F.get(F.get(F.get(parsed["geometry"]["coordinates"], F.lit(0)), F.lit(0)), F.lit(0)), 6).alias("west"))

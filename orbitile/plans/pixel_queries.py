@@ -140,7 +140,7 @@ def prepare_avhrr_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landsat(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     """Flag mask, standard bands and indices of one Landsat naming."""
     raw = _raw(spark, sf_dir, {v: k for k, v in bd.BAND_MAPS[family].items()}, "qa")
-    out = bd.prepare(raw, family)
+    out = bd.prepare(raw, bd.landsat_naming(raw.columns))
     ok = masks.flags_ok(F.col("qa"), [F.col(b) for b in ("B4", "B3", "B2")])
     return with_indices(out.withColumns(masks.masked(ok, *SIX))).select("pixel_id", *rounded([*SIX, "NDVI", "MNDWI"]))
 
@@ -160,6 +160,11 @@ def prepare_landsat_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landsat(spark, sf_dir, "LANDSAT_NEW")
 
 
+@query(_LANDSAT_SQL)
+def prepare_landsat_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landsat(spark, sf_dir, "LANDSAT_RAW")
+
+
 @query(views.with_views("v_acq", f""" SELECT pixel_id, {', '.join(f'round(CASE WHEN ok THEN {b} END::DOUBLE, 6) AS {b}' for b in SIX)} FROM (
   SELECT *, scl BETWEEN 4 AND 7 AND qa % 101 < 30 AND B4 > 0 AND B3 > 0 AND B2 > 0 AS ok FROM v_acq)"""))
 def prepare_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,6 +376,24 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ra.resample_bilinear(views.chips(spark, sf_dir), 2, height=8, width=8).select("chip", "row", "col", F.round("value", 6).alias("value"))
 
 
+_CUBIC = "CASE WHEN abs({d}) <= 1 THEN 1.5 * abs({d}) ** 3 - 2.5 * {d} ** 2 + 1 WHEN abs({d}) < 2 THEN -0.5 * abs({d}) ** 3 + 2.5 * {d} ** 2 - 4 * abs({d}) + 2 ELSE 0 END"
+
+
+@query(views.with_views("v_chip", f""", holes AS (SELECT chip, row, col, value FROM v_chip WHERE (chip * 7 + row * 5 + col * 3) % 23 <> 0
+), fine AS (SELECT chip, y.r AS row, x.c AS col, (y.r + 0.5) / 2 - 0.5 AS sr, (x.c + 0.5) / 2 - 0.5 AS sc FROM (SELECT DISTINCT chip FROM v_chip), (SELECT unnest(range(16))::INTEGER AS r) y, (SELECT unnest(range(16))::INTEGER AS c) x
+), taps AS (SELECT f.*, floor(sr) + i AS tr, floor(sc) + j AS tc FROM fine f, (SELECT unnest(range(-1, 3)) AS i), (SELECT unnest(range(-1, 3)) AS j)
+), met AS (SELECT t.*, h.value, ({_CUBIC.format(d="(sr - tr)")}) * ({_CUBIC.format(d="(sc - tc)")}) AS w,
+  greatest(0, 1 - abs(greatest(0, least(7, sr)) - h.row)) * greatest(0, 1 - abs(greatest(0, least(7, sc)) - h.col)) AS lin, h.row AS hr, h.col AS hc
+  FROM taps t LEFT JOIN holes h ON h.chip = t.chip AND h.row = greatest(0, least(7, tr)) AND h.col = greatest(0, least(7, tc))
+), cubic AS (SELECT chip, row, col, CASE WHEN count(*) = count(value) THEN sum(w * value) END AS v FROM met GROUP BY ALL
+), linear AS (SELECT chip, row, col, sum(lin * value) / nullif(sum(lin), 0) AS v FROM (SELECT DISTINCT chip, row, col, hr, hc, lin, value FROM met WHERE value IS NOT NULL) GROUP BY ALL
+) SELECT c.chip, c.row, c.col, round(coalesce(c.v, l.v), 6) AS value FROM cubic c LEFT JOIN linear l USING (chip, row, col) WHERE coalesce(c.v, l.v) IS NOT NULL"""))
+def resampled_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubic where all pixels around are known, bilinear over the known ones elsewhere."""
+    px = views.chips(spark, sf_dir).where((F.col("chip") * 7 + F.col("row") * 5 + F.col("col") * 3) % 23 != 0)
+    return ra.resample_cubic(px, 2, height=8, width=8).select("chip", "row", "col", F.round("value", 6).alias("value"))
+
+
 @query(views.with_views("v_chip", " SELECT chip, CASE WHEN n = 0 THEN 'empty' WHEN n * 8 < 300 THEN 'too_small' WHEN bad > 0 THEN 'bad_values' ELSE 'ok' END AS status FROM (SELECT chip, count(*) FILTER (WHERE value > 0.5) AS n, count(*) FILTER (WHERE value > 0.95) AS bad FROM v_chip GROUP BY chip)"))
 def chip_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered checks of a stored chip: empty, too small, bad values, ok."""

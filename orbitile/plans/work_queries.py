@@ -169,18 +169,101 @@ def tile_planning(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _series(terms: tuple, one: str, two: str, first: str, second: str) -> str:
+    return " + ".join(f"{a!r} * {one}({2.0 * j} * {first}) * {two}({2.0 * j} * {second})" for j, a in enumerate(terms, 1))
+
+
+_N = geo.FLATTENING / (2 - geo.FLATTENING)
+_R = geo.SCALE * geo.AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_E = 2 * _N**0.5 / (1 + _N)
+_ALPHA = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3, 13 / 48 * _N**2 - 3 / 5 * _N**3, 61 / 240 * _N**3)
+_BETA = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3, _N**2 / 48 + _N**3 / 15, 17 / 480 * _N**3)
+_DELTA = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3, 7 / 3 * _N**2 - 8 / 5 * _N**3, 56 / 15 * _N**3)
+
+
+def to_utm_sql(rows: str) -> str:
+    """Rows with lon, lat, zone and north, and with them x and y in metres."""
+    return f"""SELECT * EXCLUDE (phi, lam, t, xi, eta), 500000.0 + {_R!r} * (eta + {_series(_ALPHA, "cos", "sinh", "xi", "eta")}) AS x,
+  {_R!r} * (xi + {_series(_ALPHA, "sin", "cosh", "xi", "eta")}) + CASE WHEN north THEN 0.0 ELSE 10000000.0 END AS y
+  FROM (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1.0 + t * t)) AS eta FROM (SELECT *, sinh(atanh(sin(phi)) - {_E!r} * atanh({_E!r} * sin(phi))) AS t
+  FROM (SELECT *, radians(lat) AS phi, radians(lon - (zone * 6.0 - 183.0)) AS lam FROM {rows})))"""
+
+
+def to_lonlat_sql(rows: str) -> str:
+    """Rows with x, y, zone and north, and with them lon and lat."""
+    phi = "chi + " + " + ".join(f"{d!r} * sin({2.0 * j} * chi)" for j, d in enumerate(_DELTA, 1))
+    return f"""SELECT * EXCLUDE (xi, eta, u, v, chi), zone * 6.0 - 183.0 + degrees(atan2(sinh(v), cos(u))) AS lon, degrees({phi}) AS lat FROM (SELECT *, asin(sin(u) / cosh(v)) AS chi
+  FROM (SELECT *, xi - ({_series(_BETA, "sin", "cosh", "xi", "eta")}) AS u, eta - ({_series(_BETA, "cos", "sinh", "xi", "eta")}) AS v
+  FROM (SELECT *, (y - CASE WHEN north THEN 0.0 ELSE 10000000.0 END) / {_R!r} AS xi, (x - 500000.0) / {_R!r} AS eta FROM {rows})))"""
+
+
+_GROWN = "CASE WHEN {n} * {o} < 30 THEN greatest({n}, least(ceil(30 / {o}), floor(33.0 / {o}))) ELSE {n} END"
+
+
+def grid_sql(shape: str) -> str:
+    """The tiles of all areas: ``shape`` gives nx and ny from width and height."""
+    return f""", z AS (SELECT *, floor(((lon_min + lon_max) / 2 + 180) / 6) + 1 AS zone, (lat_min + lat_max) / 2 >= 0 AS north FROM v_area
+), corners AS (SELECT area_id, zone, north, unnest([lon_min, lon_min, lon_max, lon_max]) AS lon, unnest([lat_min, lat_max, lat_min, lat_max]) AS lat FROM z
+), bounds AS (SELECT area_id, zone, north, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, max(x) - min(x) AS w, max(y) - min(y) AS h FROM ({to_utm_sql("corners")}) GROUP BY ALL
+), {shape}, cells AS (SELECT *, unnest(range(0, ny::BIGINT)) AS j FROM (SELECT *, unnest(range(0, nx::BIGINT)) AS i FROM shaped)
+), tiles AS (SELECT *, x_min + i * w / nx AS x0, x_min + (i + 1) * w / nx AS x1, y_min + j * h / ny AS y0, y_min + (j + 1) * h / ny AS y1 FROM cells
+), tile_corners AS (SELECT area_id, zone, north, i, j, x0, x1, y0, y1, unnest([x0, x0, x1, x1]) AS x, unnest([y0, y1, y0, y1]) AS y FROM tiles)
+SELECT area_id, (CASE WHEN north THEN 32600 ELSE 32700 END + zone)::INTEGER AS epsg, i::INTEGER AS i, j::INTEGER AS j, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1,
+  round(min(lon), 7) AS lon_min, round(min(lat), 7) AS lat_min, round(max(lon), 7) AS lon_max, round(max(lat), 7) AS lat_max FROM ({to_lonlat_sql("tile_corners")}) GROUP BY area_id, zone, north, i, j, x0, x1, y0, y1"""
+
+
+def _grid(tiles: DataFrame) -> DataFrame:
+    metres = [F.round(n, 3).alias(n) for n in ("x0", "y0", "x1", "y1")]
+    return tiles.select("area_id", F.col("epsg").cast("int").alias("epsg"), "i", "j", *metres, *[F.round(n, 7).alias(n) for n in ("lon_min", "lat_min", "lon_max", "lat_max")])
+
+
+_BY_NUMBER = f"""first AS (SELECT *, greatest(1.0, round_even(sqrt(30 * (w / h)), 0)) AS a, greatest(1.0, round_even(sqrt(30 / (w / h)), 0)) AS b FROM bounds
+), wide AS (SELECT *, {_GROWN.format(n="a", o="b")} AS nx FROM first), shaped AS (SELECT *, {_GROWN.format(n="b", o="nx")} AS ny FROM wide)"""
+
+
+@query(views.with_views("v_area", grid_sql(_BY_NUMBER)))
 def grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids of about 30 tiles in UTM metres; tests hold the series against its inverse and known points."""
-    out = tiling.grid_tiles(views.areas(spark, sf_dir), 30)
-    return out.select("area_id", "epsg", "i", "j", *[F.round(n, 3).alias(n) for n in ("x0", "y0", "x1", "y1")])
+    """Grids of about 30 tiles: bounds in UTM metres and boxes in degrees."""
+    return _grid(tiling.grid_tiles(views.areas(spark, sf_dir), 30))
 
 
-@query()
+@query(views.with_views("v_area", grid_sql("shaped AS (SELECT *, greatest(1.0, ceil(w / 9000.0)) AS nx, greatest(1.0, ceil(h / 9000.0)) AS ny FROM bounds)")))
+def grid_tiles_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of tiles of nine kilometres at most."""
+    return _grid(tiling.grid_tiles(views.areas(spark, sf_dir), side_m=9000.0))
+
+
+_SPLIT = 3
+
+
+@query(views.with_views("v_area", f""", cells AS (SELECT area_id, lon_min, lat_min, lon_max - lon_min AS w, lat_max - lat_min AS h, i, j, i / {_SPLIT}.0 AS a, (i + 1) / {_SPLIT}.0 AS b, j / {_SPLIT}.0 AS c, (j + 1) / {_SPLIT}.0 AS d
+  FROM v_area, (SELECT unnest(range(0, {_SPLIT})) AS i), (SELECT unnest(range(0, {_SPLIT})) AS j)
+), parts AS (SELECT *, greatest(a, 1 - d) AS u, least(b, 1 - c) AS v FROM cells WHERE a + c < 1
+) SELECT area_id * 100 + i * 10 + j AS tile_id, round(lon_min + a * w, 9)::DOUBLE AS lon_min, round(lat_min + c * h, 9)::DOUBLE AS lat_min, round(lon_min + v * w, 9)::DOUBLE AS lon_max, round(lat_min + least(d, 1 - a) * h, 9)::DOUBLE AS lat_max,
+  round(w * h * ((least(b, u) - a) * (d - c) + CASE WHEN v > u THEN (v - u) * (1 - c) - (v * v - u * u) / 2 ELSE 0 END), 9)::DOUBLE AS area FROM parts
+  WHERE (least(b, u) - a) * (d - c) + CASE WHEN v > u THEN (v - u) * (1 - c) - (v * v - u * u) / 2 ELSE 0 END > 1e-9"""))
 def clipped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes cut to a triangle; tests hold the areas against hand-worked ones."""
-    tiles = views.areas(spark, sf_dir).withColumnRenamed("area_id", "tile_id")
-    return tiling.clip_tiles(tiles, [(-180.0, -90.0), (180.0, -90.0), (-180.0, 90.0), (-180.0, -90.0)])
+    """Three by three tiles of every area, cut to the triangle below its falling diagonal."""
+    c = F.col
+    a = views.areas(spark, sf_dir).withColumns({"w": c("lon_max") - c("lon_min"), "h": c("lat_max") - c("lat_min")})
+    ring = F.array(F.array("lon_min", "lat_min"), F.array("lon_max", "lat_min"), F.array("lon_min", "lat_max"), F.array("lon_min", "lat_min"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(_SPLIT) for j in range(_SPLIT)])
+    t = a.select("area_id", "lon_min", "lat_min", "w", "h", ring.alias("ring"), F.explode(cells).alias("k"))
+    box = {"lon_min": c("lon_min") + c("k.i") * c("w") / _SPLIT, "lat_min": c("lat_min") + c("k.j") * c("h") / _SPLIT}
+    t = t.select((c("area_id") * 100 + c("k.i") * 10 + c("k.j")).alias("tile_id"), "ring", "w", "h", *[v.alias(k) for k, v in box.items()])
+    t = t.withColumns({"lon_max": c("lon_min") + c("w") / _SPLIT, "lat_max": c("lat_min") + c("h") / _SPLIT})
+    out = tiling.clip_tiles(t).where("area > 1e-9")
+    return out.select("tile_id", *[F.round(n, 9).alias(n) for n in ("lon_min", "lat_min", "lon_max", "lat_max", "area")])
+
+
+@query(views.with_views("v_area", """ SELECT DISTINCT area_id, 1 AS tiles, 1 AS one_zone FROM v_area"""))
+def polygon_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of the triangle of every area, cut in UTM: together they cover it once, and one zone serves all."""
+    ring = F.array(F.array("lon_min", "lat_min"), F.array("lon_max", "lat_min"), F.array("lon_min", "lat_max"), F.array("lon_min", "lat_min"))
+    rings = views.areas(spark, sf_dir).select("area_id", ring.alias("ring")).distinct()
+    whole = tiling.polygon_tiles(rings, side_m=1e7).select("area_id", F.col("area_m2").alias("whole"))
+    parts = tiling.polygon_tiles(rings, 25).groupBy("area_id").agg(F.sum("area_m2").alias("parts"), F.countDistinct("epsg").cast("int").alias("one_zone"))
+    return parts.join(whole, "area_id").select("area_id", F.round(F.col("parts") / F.col("whole"), 9).cast("int").alias("tiles"), "one_zone")
 
 
 @query(views.with_views("v_area", " SELECT area_id, row_number() OVER (ORDER BY round((lon_max - lon_min) * (lat_max - lat_min) * (1 + 30 / 365.0), 12) DESC, area_id) AS place FROM v_area"))

@@ -15,9 +15,12 @@ PROJECTS = (
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modified, box) of imported files: four numbers, or a GeoJSON feature, collection or polygon."""
+    """(path, modified, box) of imported files: four numbers, or a GeoJSON feature, collection or polygon.
+
+    A file that is not UTF-8 is read as Latin-1.
+    """
     files = spark.read.format("binaryFile").load(path)
-    content = F.decode("content", "UTF-8")
+    content = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     return files.select("path", F.col("modificationTime").alias("modified"), text.geometry_box(content).alias("box"))
 
 

@@ -158,8 +158,10 @@ def test_box_texts(spark):
 def test_files_in_a_folder(spark, tmp_path):
     (tmp_path / "bbox_a.geojson").write_text("1,2,3,4")
     (tmp_path / "bbox_b.geojson").write_text("5,6,7,8")
+    latin = '{"type":"Feature","properties":{"name":"Münster"},"geometry":{"type":"Polygon","coordinates":[[[9,9],[10,9],[10,11],[9,9]]]}}'
+    (tmp_path / "bbox_c.geojson").write_bytes(latin.encode("latin-1"))
     files = formats.read_boxes(spark, str(tmp_path))
-    assert sorted(tuple(r.box) for r in files.collect()) == [(1, 2, 3, 4), (5, 6, 7, 8)]
+    assert sorted(tuple(r.box) for r in files.collect()) == [(1, 2, 3, 4), (5, 6, 7, 8), (9, 9, 10, 11)]
     assert formats.newest(files).count() == 1
 
 
