@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitile.llm import decontaminate, mixing, neardup, sharding, toxicity
-from orbitile.llm.common import materialise, table
+from orbitile.llm.common import discard, materialise, table
 
 N_SHARDS = 40
 #: Texts with this share of their five-word shingles in common are near duplicates; op10's contract has 85 for its query.
@@ -55,10 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    The table of a stage is dropped when that of the next is whole.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        made = materialise(stage(spark, docs, sf_dir))
+        if k:
+            discard(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
