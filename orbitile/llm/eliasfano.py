@@ -41,16 +41,12 @@ class EliasFano:
 
     def _select_in(self, word: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Place of set bit number r within each word."""
-        out, r = np.zeros(len(word), np.int64), r.copy()
-        open_ = np.ones(len(word), bool)
-        for k in range(8):
-            byte = ((word >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
-            n = np.bitwise_count(byte).astype(np.int64)
-            here = open_ & (r < n)
-            out[here] = 8 * k + _SELECT[byte[here], r[here]]
-            open_ &= ~here
-            r -= np.where(open_, n, 0)
-        return out
+        byte = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(byte), axis=1, dtype=np.uint8)
+        k = np.minimum((upto <= r[:, None]).sum(axis=1), 7)
+        at = np.arange(len(word))
+        before = np.where(k > 0, upto[at, k - 1], 0)
+        return 8 * k + _SELECT[byte[at, k], np.minimum(r - before, 7)]
 
     def select1(self, i: np.ndarray) -> np.ndarray:
         j = np.searchsorted(self.ones, i, side="right") - 1

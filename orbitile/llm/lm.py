@@ -54,18 +54,21 @@ ROWS = "block long, kind string, shard int, payload binary, n long, v long, n1 l
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as planes of their bytes, which compress better than the numbers, one behind the other."""
     heads = b"".join(struct.pack("<3sQ", a.dtype.str[-3:].encode().rjust(3, b"|"), a.size) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<B", len(arrays)) + heads + b"".join(a.tobytes() for a in arrays))
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<B", len(arrays)) + heads + planes)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    """The arrays of ``pack``, read-only."""
+    """The arrays of ``pack``."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     heads = [struct.unpack_from("<3sQ", raw, 1 + 11 * k) for k in range(raw[0])]
     at, out = 1 + 11 * len(heads), []
     for kind, n in heads:
         dtype = np.dtype(kind.decode())
-        out.append(np.frombuffer(raw, dtype, n, at))
+        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(-1))
         at += n * dtype.itemsize
     return out
 
@@ -112,6 +115,7 @@ class Block:
         self.words, self.tokens, self.sizes = words, tokens.astype(np.int32), sizes.astype(np.int64)
         self.train, self.ids, self.id_sizes, self.has_id = train.astype(bool), ids, id_sizes, has_id.astype(bool)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.end = int(self.tokens[self.starts[0] + self.sizes[0] - 1]) if len(sizes) else 0  # every text ends
 
     @classmethod
     def of_texts(cls, texts: list[str], train: list[bool], ids: list[str | None], hasher: WordHasher) -> Block:
@@ -130,18 +134,16 @@ class Block:
         return cls(words[order], place[number], sizes, np.array(train, bool), id_bytes, id_sizes, np.array([i is not None for i in ids], bool))
 
     def packed(self) -> bytes:
-        """Compact form: words numbered by falling frequency, tokens as planes of their bytes."""
+        """Compact form, with words numbered by falling frequency."""
         order = np.argsort(-np.bincount(self.tokens, minlength=len(self.words)), kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        planes = np.ascontiguousarray(place[self.tokens].view(np.uint8).reshape(-1, 4).T)
         rest = (self.train.astype(np.uint8), self.ids, self.id_sizes, self.has_id.astype(np.uint8))
-        return pack(self.words[order], planes.reshape(-1), self.sizes.astype(np.uint32), *rest)
+        return pack(self.words[order], place[self.tokens], self.sizes.astype(np.uint32), *rest)
 
     @classmethod
     def of_packed(cls, payload: bytes) -> Block:
-        words, planes, *rest = unpack(payload)
-        tokens = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
+        words, tokens, *rest = unpack(payload)
         order = np.argsort(words, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
@@ -200,7 +202,7 @@ class Paths:
         out = np.zeros(len(names), np.int64)
         np.maximum.at(out, rank[:-1], counts)
         out[names == UNKNOWN] = 0
-        out[rank[-1]] = counts[np.searchsorted(self.block.words, np.uint64(END))]  # every text ends, so it's there
+        out[rank[-1]] = counts[self.block.end]
         return out
 
     def messages(self, *, with_counts: bool) -> Iterator[tuple[int, bytes]]:
@@ -370,13 +372,14 @@ def join_known(n_shards: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _groups(batches, "block"):
-            payload = next(r["payload"] for r in rows if r["kind"] == "self")
-            block = Block.of_packed(payload)
+            block = next(Block.of_packed(r["payload"]) for r in rows if r["kind"] == "self")
             numbers, counts, parts = np.zeros(len(block.words), np.uint64), np.zeros(len(block.words), np.int64), block.word_shards(n_shards)
             for r in rows:
                 if r["kind"] == "known":
                     numbers[parts[r["shard"]]], counts[parts[r["shard"]]] = unpack(r["payload"])
-            yield _rows([(number, "self", -1, pack(np.frombuffer(payload, np.uint8), _small(numbers), _small(counts)))])
+            # the hashes have done their work: places in their order stand for them
+            block.words = np.arange(len(block.words), dtype=np.uint64)
+            yield _rows([(number, "self", -1, pack(np.frombuffer(block.packed(), np.uint8), _small(numbers), _small(counts)))])
 
     return run
 
@@ -444,7 +447,7 @@ def build_tries(model: Model) -> Callable:
             own2 = np.minimum(1.0, c2 / (c1 + _kinds(c1))[parent2])
             own3 = c3 / (c2 + _kinds(c2))[parent3]
             data = Trie.build(words, parent2, word2, parent3, word3, rest1=_rest(c1), own2=own2, rest2=_rest(c2), own3=own3)
-            yield _rows([(-1, "a trie", shard, data)])
+            yield _rows([(-1, "a trie", shard, zstandard.ZstdCompressor(level=1).compress(data))])
 
     return run
 
@@ -459,11 +462,11 @@ def query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = next((r["payload"] for r in rows if r["kind"] == "a trie"), None)
         if found is None:
             empty, none = np.zeros(0, np.int64), np.zeros(0)
-            found = Trie.build(empty, empty, empty, empty, empty, rest1=none, own2=none, rest2=none, own3=none)
+            found = zstandard.ZstdCompressor().compress(Trie.build(empty, empty, empty, empty, empty, rest1=none, own2=none, rest2=none, own3=none))
         with tempfile.TemporaryDirectory() as folder:
             path = os.path.join(folder, "trie")
             with open(path, "wb") as f:
-                f.write(found)
+                f.write(zstandard.ZstdDecompressor().decompress(found))
             del found
             trie = Trie.open(path)
             node1 = trie.roots(a.u1)
