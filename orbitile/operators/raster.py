@@ -177,28 +177,23 @@ def resample_cubic(pixels: DataFrame, factor: int, *, height: int, width: int, k
     """
     reach = range(-2 * factor, 3 * factor)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
-    out = pixels.where(F.col(value).isNotNull()).withColumn("__o", F.explode(steps))
-
-    def along(name: str, step: str, size: int) -> tuple[Column, Column, Column, Column, Column]:
-        """Place, whether this pixel is among the samples, the pixels needed, and both weights."""
-        here, place = F.col(name), F.col(name) * factor + F.col(f"__o.{step}")
-        at = (place + 0.5) / factor - 0.5
-        base = F.floor(at)
-        samples = [base + k for k in range(-1, 3)]
-        clamped = [F.greatest(F.lit(0), F.least(F.lit(size - 1), x)) for x in samples]
-        cubic = sum((F.when(c == here, _cubic(at - x)).otherwise(0.0) for x, c in zip(samples, clamped, strict=True)), F.lit(0.0))
-        inside = sum(((c == here).cast("int") for c in clamped), F.lit(0)) > 0
-        needed = F.least(base + 2, F.lit(size - 1)) - F.greatest(base - 1, F.lit(0)) + 1
-        linear = F.greatest(F.lit(0.0), 1.0 - F.abs(F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), at)) - here))
-        return place, inside, needed, cubic, linear
-
-    (row, row_in, rows, row_w, row_l), (col, col_in, cols, col_w, col_l) = along("row", "i", height), along("col", "j", width)
-    seen = F.col(value)
-    out = out.select(
-        key, row.alias("__row"), col.alias("__col"), (row_in & col_in).alias("__in"), (rows * cols).alias("__needed"), (row_w * col_w * seen).alias("__cubic"), (row_l * col_l).alias("__l"), seen.alias("__v")
-    )
-    out = out.where(F.col("__in") & F.col("__row").between(0, height * factor - 1) & F.col("__col").between(0, width * factor - 1))
-    linear = F.try_divide(F.sum(F.col("__l") * F.col("__v")), F.sum("__l"))
-    merged = F.when(F.count("*") == F.max("__needed"), F.sum("__cubic")).otherwise(linear)
-    out = out.groupBy(key, F.col("__row").alias("row"), F.col("__col").alias("col")).agg(merged.alias(value))
-    return out.where(F.col(value).isNotNull())
+    out = pixels.where(F.col(value).isNotNull()).select(key, "row", "col", F.col(value).alias("__v"), F.explode(steps).alias("__o"))
+    out = out.select(key, "row", "col", "__v", (F.col("row") * factor + F.col("__o.i")).alias("__row"), (F.col("col") * factor + F.col("__o.j")).alias("__col"))
+    out = out.where(F.col("__row").between(0, height * factor - 1) & F.col("__col").between(0, width * factor - 1))
+    # columns step by step, so that no expression is repeated in those that use it
+    for name, size in (("row", height), ("col", width)):
+        at, base, here = F.col(f"__{name}_at"), F.col(f"__{name}_base"), F.col(name)
+        out = out.withColumn(f"__{name}_at", (F.col(f"__{name}") + 0.5) / factor - 0.5)
+        out = out.withColumn(f"__{name}_base", F.floor(at).cast("int"))
+        out = out.where(here.between(base - 1, base + 2))  # a sample beyond the edge is the edge pixel, which is also a sample
+        inner = _cubic(at - here)
+        beyond = [F.when((base + k < 0) & (here == 0) | (base + k > size - 1) & (here == size - 1), _cubic(at - (base + k))).otherwise(0.0) for k in range(-1, 3)]
+        out = out.withColumn(f"__{name}_w", sum(beyond, inner))
+        out = out.withColumn(f"__{name}_l", F.greatest(F.lit(0.0), 1.0 - F.abs(F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), at)) - here)))
+        out = out.withColumn(f"__{name}_n", F.least(base + 2, F.lit(size - 1)) - F.greatest(base - 1, F.lit(0)) + 1)
+    c = F.col
+    out = out.select(key, "__row", "__col", "__v", (c("__row_n") * c("__col_n")).alias("__needed"), (c("__row_w") * c("__col_w")).alias("__w"), (c("__row_l") * c("__col_l")).alias("__l"))
+    linear = F.try_divide(F.sum(c("__l") * c("__v")), F.sum("__l"))
+    merged = F.when(F.count("*") == F.max("__needed"), F.sum(c("__w") * c("__v"))).otherwise(linear)
+    out = out.groupBy(key, c("__row").alias("row"), c("__col").alias("col")).agg(merged.alias(value))
+    return out.where(c(value).isNotNull())

@@ -275,12 +275,12 @@ def tile_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- gap filling -----------------------------------------------------------------------------
 
 
-def _gap_inputs(tested: DataFrame) -> tuple[DataFrame, DataFrame]:
-    tested = stored(tested, "tested")
+def _gap_inputs(spark: SparkSession, sf_dir: str, *, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    tested = stored(tested_scenes(spark, sf_dir), "tested")
     patience = PATIENCE(F.col("n"))
     accepted = sel.quality_ladder(sel.cloud_ladder(tested, patience), patience)
     chosen = stored(sel.phase_one(sel.with_fallback(sel.stop_after_excellent(accepted))), "chosen")
-    return chosen, gapfill.gap_candidates(tested, chosen)
+    return chosen, gapfill.gap_candidates(tested if digits is None else tested.withColumn("score", F.round("score", digits)), chosen)
 
 
 _CAND_SQL = PHASE_SQL + f""", cand AS (SELECT x.*, coalesce((SELECT min(abs(x.days - p.days)) FROM phase p WHERE p.tile_id = x.tile_id), 999) AS dist, ({RES_SQL}) AS res
@@ -290,7 +290,7 @@ _CAND_SQL = PHASE_SQL + f""", cand AS (SELECT x.*, coalesce((SELECT min(abs(x.da
 @query(with_recursive(views.with_views("v_scene", _CAND_SQL + """ SELECT tile_id, scene_id, dist::INTEGER AS day_distance,
   round(0.7 / (1 + res / 30.0) + CASE WHEN dist <= 10 THEN 0.15 * (1 - dist / 10.0) WHEN dist <= 30 THEN 0.05 * (1 - (dist - 10) / 20.0) ELSE 0 END + 0.15 * score, 9)::DOUBLE AS gap_score FROM cand""")))
 def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gap_inputs(tested_scenes(spark, sf_dir))[1].select("tile_id", "scene_id", "day_distance", F.round("gap_score", 9).alias("gap_score"))
+    return _gap_inputs(spark, sf_dir)[1].select("tile_id", "scene_id", "day_distance", F.round("gap_score", 9).alias("gap_score"))
 
 
 _BETTER = """CASE WHEN b.r - c.r > 50 THEN c.s >= 0.90 * b.s WHEN b.r - c.r > 20 THEN c.s >= 0.95 * b.s
@@ -317,8 +317,8 @@ def sequence_sql() -> str:
 
 @query(with_recursive(views.with_views("v_scene", _CAND_SQL + sequence_sql() + " SELECT * FROM seq")))
 def gap_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered fold over candidates; scores are rounded, so that equal ones tie."""
-    return gapfill.add_sequence(_gap_inputs(tested_scenes(spark, sf_dir).withColumn("score", F.round("score", 9)))[1])
+    """The ordered fold over candidates; their scores are rounded, so that equal ones tie."""
+    return gapfill.add_sequence(_gap_inputs(spark, sf_dir, digits=9)[1])
 
 
 _COVER_SQL = """WITH v AS (SELECT tile_id, step, least(1.0, 0.4 + (tile_id * 37 % 50) / 100.0 + CASE WHEN tile_id % 3 = 0 THEN 0 ELSE step * (tile_id % 7) / 40.0 END)::DOUBLE AS coverage
