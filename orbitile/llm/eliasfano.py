@@ -116,7 +116,7 @@ class Trie:
     times the size of the vocabulary, so that the children of a node are found by successor search
     between two pointers, which are an Elias-Fano sequence themselves.  Values are quantised:
     ``rest`` (level 1 and 2) is the weight that a context leaves to shorter ones, ``own`` (level 2 and 3)
-    the share of an n-gram in its context.
+    the share of an n-gram in its context, relative to the context: P = own * (1 - rest) / own of the context.
     """
 
     SEQUENCES = ("words", "first", "pairs", "second", "triples")

@@ -444,9 +444,8 @@ def build_tries(model: Model) -> Callable:
             c2 = np.where(exact > 0, exact, c2)
             inner = word3 != EDGE
             parent3, word3, c3 = parent3[inner], word3[inner], c3[inner]
-            own2 = np.minimum(1.0, c2 / (c1 + _kinds(c1))[parent2])
-            own3 = c3 / (c2 + _kinds(c2))[parent3]
-            data = Trie.build(words, parent2, word2, parent3, word3, rest1=_rest(c1), own2=own2, rest2=_rest(c2), own3=own3)
+            # shares in units of their contexts, which few values occur of
+            data = Trie.build(words, parent2, word2, parent3, word3, rest1=_rest(c1), own2=c2, rest2=_rest(c2), own3=c3)
             yield _rows([(-1, "a trie", shard, zstandard.ZstdCompressor(level=1).compress(data))])
 
     return run
@@ -492,6 +491,7 @@ def add_up(model: Model) -> Callable:
             p = Paths(b, numbers, counts, model, train_only=False)
             n_paths = len(p.c1)
             rest1, own2, rest2, own3 = _rest(p.c1), np.zeros(n_paths), np.ones(n_paths), np.zeros(n_paths)
+            c1 = np.maximum(p.c1, 1)
             for r in rows:
                 if r["kind"] == "codes":
                     got = unpack(r["payload"])
@@ -500,7 +500,9 @@ def add_up(model: Model) -> Callable:
                     to1, to2 = np.cumsum(p.new1[here]) - 1, np.cumsum(p.new2[here]) - 1
                     at = p.order[here]
                     rest1[at] = np.where(got[0][to1] > 0, v1[to1], rest1[at])
-                    own2[at], rest2[at], own3[at] = v2[to2], np.where(got[2][to2] > 0, w2[to2], 1.0), v3
+                    share, rest = v2[to2], np.where(got[2][to2] > 0, w2[to2], 1.0)
+                    # the unit of a context is what it doesn't leave to shorter ones, by its own share
+                    own2[at], rest2[at], own3[at] = share * (1 - rest1[at]) / c1[at], rest, v3 * (1 - rest) / np.maximum(share, 1)
             # a token's own path ends with it; the next path has the pair that ends with it
             token, after = p.of[p.at], p.of[p.at + 1]
             short = own2[after] + rest1[after] * model.unigram(counts)[b.tokens]
