@@ -115,12 +115,12 @@ class Trie:
     Every level is one sorted Elias-Fano sequence: word numbers, lifted by the number of their parent
     times the size of the vocabulary, so that the children of a node are found by successor search
     between two pointers, which are an Elias-Fano sequence themselves.  Values are quantised:
-    ``rest`` (level 1 and 2) is the weight that a context leaves to shorter ones, ``own`` (level 2 and 3)
-    the share of an n-gram in its context, relative to the context: P = own * (1 - rest) / own of the context.
+    ``rest2`` is the weight that a pair leaves to shorter contexts, ``own2`` and ``own3`` the share of an
+    n-gram in its context, relative to the context: P = own * (1 - rest) / own of the context.
     """
 
     SEQUENCES = ("words", "first", "pairs", "second", "triples")
-    VALUES = ("rest1", "own2", "rest2", "own3")
+    VALUES = ("own2", "rest2", "own3")
 
     def __init__(self, sequences: dict[str, EliasFano], values: dict[str, Quantised], vocabulary: int):
         self.__dict__ |= sequences | values

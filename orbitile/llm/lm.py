@@ -1,8 +1,9 @@
 """Language-model scoring with Elias-Fano n-gram tries.
 
 ``learn`` counts words and trigrams of the training rows and keeps the model as tables in the shared
-folder: for every shard a level of words with their numbers and counts, and a three-level trie whose
-quantised values are the smoothed shares and the weights left to shorter contexts.  ``score_blocks``
+folder: for every shard a level of words with their numbers and counts, from which their probabilities and
+weights follow, and a three-level trie whose quantised values are the smoothed shares of pairs and triples and
+the weights that pairs leave to shorter contexts.  ``score_blocks``
 is a pass of its own that can follow at any time, over any rows: tasks map the trie of their shard and
 answer the paths that blocks of texts ask for.
 
@@ -206,11 +207,11 @@ class Paths:
         return out
 
     def messages(self, *, with_counts: bool) -> Iterator[tuple[int, bytes]]:
-        """For each shard its words, pairs below them and third words below those, and the counts of first words (and paths)."""
+        """For each shard its words, pairs below them and third words below those (and the counts of those paths)."""
         at1, at2 = np.flatnonzero(self.new1), np.flatnonzero(self.new2)
         n2, n1 = np.diff(np.append(at2, len(self.order))), np.diff(np.append(np.searchsorted(at2, at1), len(at2)))
-        arrays = [_small(self.w1[at1]), _small(n1), _small(self.c1[self.order][at1]), _small(self.w2[at2]), _small(n2), _small(self.w3)]
-        levels = [0, 0, 0, 1, 1, 2]
+        arrays = [_small(self.w1[at1]), _small(n1), _small(self.w2[at2]), _small(n2), _small(self.w3)]
+        levels = [0, 0, 1, 1, 2]
         if with_counts:
             arrays.append(_small(self.seen))
             levels.append(2)
@@ -225,11 +226,11 @@ class Asked:
 
     def __init__(self, payloads: list[bytes]):
         got = [unpack(p) for p in payloads]
-        joined = [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint8) for k in range(len(got[0]) if got else 7)]
-        self.u1, self.c1, self.u2, self.w3 = (joined[k].astype(np.int64) for k in (0, 2, 3, 5))
-        self.n1, self.n2 = joined[1].astype(np.int64), joined[4].astype(np.int64)
-        self.seen = joined[6].astype(np.int64) if len(joined) > 6 else None
-        self.ends = [np.cumsum([len(g[k]) for g in got]) for k in (0, 3, 5)]
+        joined = [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint8) for k in range(len(got[0]) if got else 6)]
+        self.u1, self.u2, self.w3 = (joined[k].astype(np.int64) for k in (0, 2, 4))
+        self.n1, self.n2 = joined[1].astype(np.int64), joined[3].astype(np.int64)
+        self.seen = joined[5].astype(np.int64) if len(joined) > 5 else None
+        self.ends = [np.cumsum([len(g[k]) for g in got]) for k in (2, 4)]
         self.of1 = np.repeat(np.arange(len(self.u1)), self.n1)  # first word of each pair
         self.of2 = np.repeat(np.arange(len(self.u2)), self.n2)  # pair of each path
 
@@ -430,8 +431,7 @@ def build_tries(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches, "shard"):
             a = Asked([r["payload"] for r in rows])
-            words, at1, where1 = np.unique(a.u1, return_index=True, return_inverse=True)
-            c1 = a.c1[at1]
+            words, where1 = np.unique(a.u1, return_inverse=True)
             names, of_name = np.unique(np.concatenate([a.u2, a.w3]), return_inverse=True)
             size = len(names)
             pairs, in_pair = np.unique(where1[a.of1] * size + of_name[: len(a.u2)], return_inverse=True)
@@ -445,14 +445,14 @@ def build_tries(model: Model) -> Callable:
             inner = word3 != EDGE
             parent3, word3, c3 = parent3[inner], word3[inner], c3[inner]
             # shares in units of their contexts, which few values occur of
-            data = Trie.build(words, parent2, word2, parent3, word3, rest1=_rest(c1), own2=c2, rest2=_rest(c2), own3=c3)
+            data = Trie.build(words, parent2, word2, parent3, word3, own2=c2, rest2=_rest(c2), own3=c3)
             yield _rows([(-1, "a trie", shard, zstandard.ZstdCompressor(level=1).compress(data))])
 
     return run
 
 
 def query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes for the paths of each message: of first words, pairs and paths, in its order."""
+    """Codes for the paths of each message, of pairs and of whole paths, in its order."""
     for _, rows in _groups(batches, "shard"):
         asking = [r for r in rows if r["kind"] == "paths"]
         if not asking:
@@ -461,7 +461,7 @@ def query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = next((r["payload"] for r in rows if r["kind"] == "a trie"), None)
         if found is None:
             empty, none = np.zeros(0, np.int64), np.zeros(0)
-            found = zstandard.ZstdCompressor().compress(Trie.build(empty, empty, empty, empty, empty, rest1=none, own2=none, rest2=none, own3=none))
+            found = zstandard.ZstdCompressor().compress(Trie.build(empty, empty, empty, empty, empty, own2=none, rest2=none, own3=none))
         with tempfile.TemporaryDirectory() as folder:
             path = os.path.join(folder, "trie")
             with open(path, "wb") as f:
@@ -471,12 +471,12 @@ def query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node1 = trie.roots(a.u1)
             node2 = trie.children("pairs", "first", node1[a.of1], a.u2)
             node3 = trie.children("triples", "second", node2[a.of2], a.w3)
-            codes = [trie.codes("rest1", node1), trie.codes("own2", node2), trie.codes("rest2", node2), trie.codes("own3", node3)]
+            codes = [trie.codes("own2", node2), trie.codes("rest2", node2), trie.codes("own3", node3)]
             scale = np.array([x for name in Trie.VALUES for x in (getattr(trie, name).low, getattr(trie, name).step)])
             del trie
         for k, row in enumerate(asking):
             cut = [slice(e[k - 1] if k else 0, e[k]) for e in a.ends]
-            yield _rows([(row["block"], "codes", row["shard"], pack(codes[0][cut[0]], codes[1][cut[1]], codes[2][cut[1]], codes[3][cut[2]], scale))])
+            yield _rows([(row["block"], "codes", row["shard"], pack(codes[0][cut[0]], codes[1][cut[0]], codes[2][cut[1]], scale))])
 
 
 SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -496,11 +496,9 @@ def add_up(model: Model) -> Callable:
                 if r["kind"] == "codes":
                     got = unpack(r["payload"])
                     here = slice(*np.searchsorted(p.shard, (r["shard"], r["shard"] + 1)))
-                    v1, v2, w2, v3 = (Quantised.values(got[k], got[4][2 * k], got[4][2 * k + 1]) for k in range(4))
-                    to1, to2 = np.cumsum(p.new1[here]) - 1, np.cumsum(p.new2[here]) - 1
-                    at = p.order[here]
-                    rest1[at] = np.where(got[0][to1] > 0, v1[to1], rest1[at])
-                    share, rest = v2[to2], np.where(got[2][to2] > 0, w2[to2], 1.0)
+                    v2, w2, v3 = (Quantised.values(got[k], got[3][2 * k], got[3][2 * k + 1]) for k in range(3))
+                    to2, at = np.cumsum(p.new2[here]) - 1, p.order[here]
+                    share, rest = v2[to2], np.where(got[1][to2] > 0, w2[to2], 1.0)
                     # the unit of a context is what it doesn't leave to shorter ones, by its own share
                     own2[at], rest2[at], own3[at] = share * (1 - rest1[at]) / c1[at], rest, v3 * (1 - rest) / np.maximum(share, 1)
             # a token's own path ends with it; the next path has the pair that ends with it

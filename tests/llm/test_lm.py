@@ -33,7 +33,7 @@ def test_trie_round_trip(tmp_path):
     paths = np.unique(np.stack([rng.integers(1, 300, n), rng.integers(1, 40, n), rng.integers(1, 500, n)], axis=1), axis=0)
     words, of1 = np.unique(paths[:, 0], return_inverse=True)
     pairs, of2 = np.unique(of1 * 1_000 + paths[:, 1], return_inverse=True)
-    p = {k: 10 ** -(8 * rng.random(m)) for k, m in (("rest1", len(words)), ("own2", len(pairs)), ("rest2", len(pairs)), ("own3", len(paths)))}
+    p = {k: 10 ** -(8 * rng.random(m)) for k, m in (("own2", len(pairs)), ("rest2", len(pairs)), ("own3", len(paths)))}
     (tmp_path / "t").write_bytes(Trie.build(words, pairs // 1_000, pairs % 1_000, of2, paths[:, 2], **p))
     trie = Trie.open(str(tmp_path / "t"))
     assert isinstance(trie.own3.codes.base, np.memmap) or isinstance(trie.own3.codes, np.memmap)
@@ -49,7 +49,7 @@ def test_trie_round_trip(tmp_path):
 
 def test_an_empty_trie(tmp_path):
     none, p = np.zeros(0, np.int64), np.zeros(0)
-    (tmp_path / "t").write_bytes(Trie.build(none, none, none, none, none, rest1=p, own2=p, rest2=p, own3=p))
+    (tmp_path / "t").write_bytes(Trie.build(none, none, none, none, none, own2=p, rest2=p, own3=p))
     trie = Trie.open(str(tmp_path / "t"))
     assert (trie.roots(np.array([0, 5])) == -1).all() and (trie.children("pairs", "first", np.array([-1]), np.array([3])) == -1).all()
 
