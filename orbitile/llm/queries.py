@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm, mixing, neardup, quality, secrets, sharding, toxicity
-from .common import fold_of, table
+from . import chat, decontaminate, langid, lm, merkle, mixing, neardup, quality, secrets, sharding, simhash, spelling, toxicity
+from .common import fold_of, materialise, table
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,34 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, 85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    manifest = merkle.build(docs, seen={"text": lowered}, when=fold_of("doc_id", 3) == 0)
+    return merkle.prove(manifest).withColumnRenamed("key", "doc_id")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group_variants(spelling.count_words(docs, damage=spelling.DAMAGE))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = materialise(simhash.with_edits(docs, simhash.learn(docs)))
+    out = simhash.near_counts(made, queries=F.col("doc_id") % 50 == 0)
+    return out.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        simhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "n_near",
+    )
+
+
 QUERIES = {
     "op1_lm": op1_lm,
     "op2_decontaminate": op2_decontaminate,
@@ -108,6 +136,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_neardup": op10_neardup,
+    "op11_merkle": op11_merkle,
+    "op12_spelling": op12_spelling,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -192,3 +223,67 @@ WITH t AS (
 SELECT conv_id, len(l)::BIGINT AS n_turns, n_copies, array_to_string(l, '') AS rendered
 FROM g WHERE NOT EXISTS (SELECT 1 FROM begun b WHERE b.l = g.l)
 """
+
+# The hash of a text by its definition: a byte at a time, eight steps a byte.
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || hex(encode({0}))[2 * i - 1 : 2 * i])::BIGINT),
+  lambda crc, b: list_reduce([xor(crc, b)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def merkle_sql(levels: int = 7) -> str:
+    """All levels of the trees one after the other, as many as given: enough for 8 to that power of rows."""
+
+    def enc(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+    parts = [
+        f"leaves AS (SELECT doc_id, lang AS g, {leaf('text')} AS leaf, CASE WHEN {_CRC32.format('doc_id::VARCHAR')} % 3 = 0 THEN {leaf(_LOWER.format('text'))} END AS seen, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents)",
+        "n0 AS (SELECT g, i, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM leaves)",
+        "p0 AS (SELECT doc_id, g, i, coalesce(seen, leaf) AS f, '' AS proof FROM leaves)",
+    ]
+
+    def climb(k: int, here: str, there: str) -> None:
+        parts.append(f"{there}n{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d, (any_value(n) + 7) // 8 AS n FROM {here}n{k} GROUP BY g, i // 8)")
+        sides = f"SELECT x.g, x.i, any_value(x.n) AS n, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (WHERE y.i < x.i), '') AS l, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (WHERE y.i > x.i), '') AS r FROM {here}n{k} x JOIN {here}n{k} y ON x.g IS NOT DISTINCT FROM y.g AND x.i // 8 = y.i // 8 GROUP BY x.g, x.i"
+        parts.append(f"{there}p{k + 1} AS (SELECT p.doc_id, p.g, p.i // 8 AS i, CASE WHEN s.n = 1 THEN f ELSE sha256(l || f || r) END AS f, proof || l || r AS proof FROM {here}p{k} p JOIN ({sides}) s ON p.g IS NOT DISTINCT FROM s.g AND p.i = s.i)")
+
+    for k in range(levels):
+        climb(k, "", "")
+    parts.append(f"tops AS (SELECT g, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM n{levels})")
+    parts.append("t_n0 AS (SELECT 0 AS g, i, d, n FROM tops)")
+    parts.append(f"t_p0 AS (SELECT p.doc_id, 0 AS g, t.i, p.f, p.proof FROM p{levels} p JOIN tops t ON p.g IS NOT DISTINCT FROM t.g)")
+    for k in range(3):
+        climb(k, "t_", "t_")
+    return "WITH " + ",\n".join(parts) + """
+SELECT l.doc_id, l.leaf, tops.d AS subroot, r.d AS root, sha256(p.proof) AS proof_sha256, p.f AS folded_root, p.f = r.d AS verified
+FROM leaves l JOIN t_p3 p ON l.doc_id = p.doc_id JOIN tops ON l.g IS NOT DISTINCT FROM tops.g, t_n3 r"""
+
+
+ORACLE_SQL["op11_merkle"] = merkle_sql()
+
+# Near words meet by what is left when one code point is blanked or taken out; forms are followed by recursion.
+ORACLE_SQL["op12_spelling"] = f"""
+WITH RECURSIVE each_run AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+), runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS k, run, count(*) AS c FROM each_run GROUP BY ALL
+), hashed AS (SELECT run, c, {_CRC32.format('k')} AS h FROM runs
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 199 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), blanked AS (SELECT word, n, word[1 : i - 1] || '?' || word[i + 1 :] AS pattern FROM spots
+), shorter AS (SELECT DISTINCT word, n, word[1 : i - 1] || word[i + 1 :] AS rest FROM spots
+), longer AS (SELECT s.word, s.n, w.word AS near, w.n AS near_n FROM shorter s JOIN words w ON s.rest = w.word
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM blanked a JOIN blanked b ON a.pattern = b.pattern AND a.word <> b.word
+  UNION SELECT word, near, near_n FROM longer UNION SELECT near, word, n FROM longer
+), best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near
+), forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word AND r = 1
+), follow AS (SELECT word, word AS root FROM forms UNION SELECT f.word, g.form FROM follow f JOIN forms g ON f.root = g.word WHERE g.form IS NOT NULL
+), ends AS (SELECT f.word, f.root FROM follow f JOIN forms g ON f.root = g.word WHERE g.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN ends USING (word)
+"""
