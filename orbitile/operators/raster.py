@@ -1,54 +1,19 @@
-"""Neighbourhood operators on pixels in long form: one row a pixel, groups of chips or tiles.
+"""Thresholds, masks and overviews of pixels in long form: one row a pixel, groups of chips or tiles.
 
-Neighbours come from exploding fixed offsets and aggregating, never from a join of a chip
-with itself; only connected components run as grouped Arrow code, a chip at a time.
+What needs a pixel's neighbours works on blocks (``operators.blocks``).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def disk(radius: int) -> list[tuple[int, int]]:
-    r = range(-radius, radius + 1)
-    return [(i, j) for i in r for j in r if i * i + j * j <= radius * radius]
-
-
-def square(radius: int) -> list[tuple[int, int]]:
-    r = range(-radius, radius + 1)
-    return [(i, j) for i in r for j in r]
-
-
-def dilate(pixels: DataFrame, offsets: list[tuple[int, int]], *, key: str = "chip", mask: str = "mask") -> DataFrame:
-    """(key, row, col, mask) with the cells set that have a set neighbour.
-
-    A set cell goes to all its neighbours, an unset one only to itself, and one aggregation
-    meets them: one scan and one shuffle.  Places that are no cells drop out.
-    """
-
-    def steps(some: list[tuple[int, int]]) -> Column:
-        return F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in some])
-
-    on = F.coalesce(mask, F.lit(False))
-    sent = pixels.select(key, "row", "col", on.alias(mask), F.explode(F.when(on, steps(offsets)).otherwise(steps([(0, 0)]))).alias("o"))
-    at = [(F.col("row") + F.col("o.di")).alias("row"), (F.col("col") + F.col("o.dj")).alias("col")]
-    own = (F.col("o.di") == 0) & (F.col("o.dj") == 0)
-    met = sent.select(key, *at, mask, own.alias("own")).groupBy(key, "row", "col").agg(F.max(mask).alias(mask), F.max("own").alias("own"))
-    return met.where("own").drop("own")
-
-
-def erode(pixels: DataFrame, offsets: list[tuple[int, int]], *, key: str = "chip", mask: str = "mask") -> DataFrame:
-    """Cells without an unset neighbour; outside the frame counts as set."""
-    off = pixels.withColumn(mask, ~F.coalesce(mask, F.lit(False)))
-    return dilate(off, offsets, key=key, mask=mask).withColumn(mask, ~F.col(mask))
-
-
-def close_mask(pixels: DataFrame, radius: int = 2, *, key: str = "chip", mask: str = "mask") -> DataFrame:
-    """Binary closing with a disk: holes narrower than it are filled."""
-    return erode(dilate(pixels, disk(radius), key=key, mask=mask), disk(radius), key=key, mask=mask)
+def scaled(pixels: DataFrame, *, key: str = "chip", value: str = "value", limit: float = 2.0) -> DataFrame:
+    """Groups whose largest value is over ``limit`` divided by it, as indices may come in whole numbers."""
+    largest = pixels.groupBy(key).agg(F.max(value).alias("__largest"))
+    over = F.col("__largest") > limit
+    return pixels.join(largest, key).withColumn(value, F.when(over, F.col(value) / F.col("__largest")).otherwise(F.col(value))).drop("__largest")
 
 
 def otsu_thresholds(pixels: DataFrame, *, key: str = "chip", value: str = "value", bins: int = 256) -> DataFrame:
@@ -81,54 +46,9 @@ def otsu_thresholds(pixels: DataFrame, *, key: str = "chip", value: str = "value
 
 
 def water_mask(pixels: DataFrame, *, key: str = "chip", value: str = "value") -> DataFrame:
-    """Add ``mask``: at or over the group's Otsu threshold."""
-    return pixels.join(otsu_thresholds(pixels, key=key, value=value), key).withColumn("mask", F.coalesce(F.col(value) >= F.col("threshold"), F.lit(False)))
-
-
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """Numbers (1 on) of the 4-connected components of a small grid, by repeated minimum."""
-    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        padded = np.pad(np.where(mask, labels, mask.size + 1), 1, constant_values=mask.size + 1)
-        near = np.minimum.reduce([padded[1:-1, 1:-1], padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]])
-        grown = np.where(mask, near, 0)
-        if (grown == labels).all():
-            return labels
-        labels = grown
-
-
-def remove_small(pixels: DataFrame, min_size: int, *, height: int, width: int, key: str = "chip") -> DataFrame:
-    """Unset the 4-connected components of fewer than ``min_size`` cells; a group is one chip of fixed frame."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((height, width), bool)
-        grid[frame["row"], frame["col"]] = frame["mask"]
-        labels = label_components(grid)
-        sizes = np.bincount(labels.reshape(-1), minlength=grid.size + 1)
-        kept = grid & (sizes[labels] >= min_size)
-        return frame.assign(mask=kept[frame["row"], frame["col"]])
-
-    narrow = pixels.select(key, "row", "col", "mask")
-    return narrow.groupBy(key).applyInPandas(run, narrow.schema)
-
-
-def fill_nearest(pixels: DataFrame, radius: int, *, key: str = "chip", value: str = "value") -> DataFrame:
-    """Null values take the nearest known one within ``radius``; ties go to the smallest (row, col).
-
-    Cells are bucketed by the radius and known ones copied to the nine buckets around, so a
-    gap meets only what can be near enough.
-    """
-    near = float(radius * radius)
-    gaps = pixels.where(F.col(value).isNull()).select(key, "row", "col")
-    at = {"__br": F.floor(F.col("row") / radius), "__bc": F.floor(F.col("col") / radius)}
-    known = pixels.where(F.col(value).isNotNull()).select(key, F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("v"))
-    known = known.withColumns({"__br": F.floor(F.col("r") / radius), "__bc": F.floor(F.col("c") / radius)})
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in square(1)])
-    known = known.withColumn("__o", F.explode(steps)).withColumns({"__br": F.col("__br") + F.col("__o.i"), "__bc": F.col("__bc") + F.col("__o.j")}).drop("__o")
-    d2 = ((F.col("row") - F.col("r")) * (F.col("row") - F.col("r")) + (F.col("col") - F.col("c")) * (F.col("col") - F.col("c"))).cast("double")
-    met = gaps.withColumns(at).join(known, [key, "__br", "__bc"]).withColumn("__d", d2).where(F.col("__d") <= near)
-    best = met.groupBy(key, "row", "col").agg(F.min_by("v", F.struct("__d", "r", "c")).alias("__v"))
-    return pixels.join(best, [key, "row", "col"], "left").withColumn(value, F.coalesce(value, "__v")).drop("__v")
+    """Add ``mask``: at or over the group's Otsu threshold, or 0 where it has none, as no value is known."""
+    found = pixels.join(otsu_thresholds(pixels, key=key, value=value), key, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    return found.withColumn("mask", F.coalesce(F.col(value) >= F.col("threshold"), F.lit(False)))
 
 
 def pyramid(pixels: DataFrame, levels: tuple = (2, 4, 8, 16, 32), *, key: str = "chip", value: str = "value") -> DataFrame:
@@ -142,58 +62,3 @@ def pyramid(pixels: DataFrame, levels: tuple = (2, 4, 8, 16, 32), *, key: str =
     for k in levels[1:]:
         out = out.unionByName(level(k))
     return out
-
-
-def resample_bilinear(pixels: DataFrame, factor: int, *, height: int, width: int, key: str = "chip", value: str = "value") -> DataFrame:
-    """Refine the grid ``factor`` times: each known pixel spreads its bilinear weight to the cells around it."""
-    reach = range(-factor, 2 * factor)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
-    out = pixels.where(F.col(value).isNotNull()).withColumn("__o", F.explode(steps))
-
-    def along(name: str, step: str, size: int) -> tuple[Column, Column]:
-        place = F.col(name) * factor + F.col(f"__o.{step}")
-        seen = F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), (place + 0.5) / factor - 0.5))
-        return place, F.greatest(F.lit(0.0), 1.0 - F.abs(seen - F.col(name)))
-
-    (row, wr), (col, wc) = along("row", "i", height), along("col", "j", width)
-    out = out.select(key, row.alias("__row"), col.alias("__col"), (wr * wc).alias("__w"), F.col(value).alias("__v"))
-    out = out.where((F.col("__w") > 0) & F.col("__row").between(0, height * factor - 1) & F.col("__col").between(0, width * factor - 1))
-    merged = F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")
-    return out.groupBy(key, F.col("__row").alias("row"), F.col("__col").alias("col")).agg(merged.alias(value))
-
-
-def _cubic(d: Column) -> Column:
-    """Weight of a sample at a distance: the cubic convolution kernel with parameter -1/2."""
-    a = F.abs(d)
-    return F.when(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1.0).when(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4.0 * a + 2.0).otherwise(0.0)
-
-
-def resample_cubic(pixels: DataFrame, factor: int, *, height: int, width: int, key: str = "chip", value: str = "value") -> DataFrame:
-    """Refine the grid ``factor`` times by cubic convolution, or bilinearly where a pixel around is unknown.
-
-    Each known pixel spreads its weights to the cells around it, edge pixels also those of the samples
-    beyond the edge.  One aggregation gives both values, and the number of pixels that a cell met tells
-    whether all that it needs are known.  A cell without a known pixel for the bilinear value is left out.
-    """
-    reach = range(-2 * factor, 3 * factor)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
-    out = pixels.where(F.col(value).isNotNull()).select(key, "row", "col", F.col(value).alias("__v"), F.explode(steps).alias("__o"))
-    out = out.select(key, "row", "col", "__v", (F.col("row") * factor + F.col("__o.i")).alias("__row"), (F.col("col") * factor + F.col("__o.j")).alias("__col"))
-    out = out.where(F.col("__row").between(0, height * factor - 1) & F.col("__col").between(0, width * factor - 1))
-    # columns step by step, so that no expression is repeated in those that use it
-    for name, size in (("row", height), ("col", width)):
-        at, base, here = F.col(f"__{name}_at"), F.col(f"__{name}_base"), F.col(name)
-        out = out.withColumn(f"__{name}_at", (F.col(f"__{name}") + 0.5) / factor - 0.5)
-        out = out.withColumn(f"__{name}_base", F.floor(at).cast("int"))
-        out = out.where(here.between(base - 1, base + 2))  # a sample beyond the edge is the edge pixel, which is also a sample
-        inner = _cubic(at - here)
-        beyond = [F.when((base + k < 0) & (here == 0) | (base + k > size - 1) & (here == size - 1), _cubic(at - (base + k))).otherwise(0.0) for k in range(-1, 3)]
-        out = out.withColumn(f"__{name}_w", sum(beyond, inner))
-        out = out.withColumn(f"__{name}_l", F.greatest(F.lit(0.0), 1.0 - F.abs(F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), at)) - here)))
-        out = out.withColumn(f"__{name}_n", F.least(base + 2, F.lit(size - 1)) - F.greatest(base - 1, F.lit(0)) + 1)
-    c = F.col
-    out = out.select(key, "__row", "__col", "__v", (c("__row_n") * c("__col_n")).alias("__needed"), (c("__row_w") * c("__col_w")).alias("__w"), (c("__row_l") * c("__col_l")).alias("__l"))
-    linear = F.try_divide(F.sum(c("__l") * c("__v")), F.sum("__l"))
-    merged = F.when(F.count("*") == F.max("__needed"), F.sum(c("__w") * c("__v"))).otherwise(linear)
-    out = out.groupBy(key, c("__row").alias("row"), c("__col").alias("col")).agg(merged.alias(value))
-    return out.where(c(value).isNotNull())

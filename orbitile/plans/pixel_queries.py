@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orbitile.functions import masks
 from orbitile.functions.indices import with_indices
 from orbitile.operators import bands as bd
+from orbitile.operators import blocks as bk
 from orbitile.operators import mosaic as mo
 from orbitile.operators import raster as ra
 
@@ -330,17 +331,32 @@ def water_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ra.water_mask(views.chips(spark, sf_dir)).select("chip", "row", "col", "mask")
 
 
+#: Cells of a chip's side: each is a block of its own.
+SIDE = 8
+
+
+def _chip_blocks(pixels: DataFrame) -> DataFrame:
+    return bk.to_blocks(pixels, keys=["chip"], value="value", height=SIDE, width=SIDE, block=SIDE)
+
+
+def _chip_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = ra.water_mask(views.chips(spark, sf_dir))
+    return _chip_blocks(mask.select("chip", "row", "col", F.col("mask").cast("int").alias("value")))
+
+
+def _mask_pixels(blocks: DataFrame) -> DataFrame:
+    return bk.to_pixels(blocks, keys=["chip"], block=SIDE).select("chip", "row", "col", (F.col("value") == 1).alias("mask"))
+
+
 @query(views.with_views("v_chip", _MASK_SQL + """, d AS (SELECT a.chip, a.row, a.col, bool_or(b.mask) AS mask FROM m a JOIN m b ON a.chip = b.chip AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4 GROUP BY ALL)
 SELECT a.chip, a.row, a.col, bool_and(b.mask) AS mask FROM d a JOIN d b ON a.chip = b.chip AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4 GROUP BY ALL"""))
 def closed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = ra.water_mask(views.chips(spark, sf_dir)).select("chip", "row", "col", "mask")
-    return ra.close_mask(mask, 2).select("chip", "row", "col", "mask")
+    return _mask_pixels(bk.close_mask(_chip_masks(spark, sf_dir), 2, keys=["chip"], block=SIDE))
 
 
 @query(views.with_views("v_chip", _MASK_SQL + " SELECT a.chip, a.row, a.col, bool_or(b.mask) AS mask FROM m a JOIN m b ON a.chip = b.chip AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL"))
 def dilated_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = ra.water_mask(views.chips(spark, sf_dir)).select("chip", "row", "col", "mask")
-    return ra.dilate(mask, ra.square(2)).select("chip", "row", "col", "mask")
+    return _mask_pixels(bk.dilate(_chip_masks(spark, sf_dir), bk.square(2), keys=["chip"], block=SIDE))
 
 
 @query("WITH RECURSIVE " + views.SQL["v_chip"] + _MASK_SQL + """, seed AS (SELECT chip, row, col, row * 8 + col AS label FROM m WHERE mask
@@ -348,8 +364,7 @@ def dilated_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), root AS (SELECT chip, row, col, min(label) AS label FROM reach GROUP BY ALL), n AS (SELECT chip, label, count(*) AS size FROM root GROUP BY ALL)
 SELECT m.chip, m.row, m.col, coalesce(size >= 5, false) AS mask FROM m LEFT JOIN root USING (chip, row, col) LEFT JOIN n ON n.chip = root.chip AND n.label = root.label""")
 def small_objects_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = ra.water_mask(views.chips(spark, sf_dir)).select("chip", "row", "col", "mask")
-    return ra.remove_small(mask, 5, height=8, width=8)
+    return _mask_pixels(bk.remove_small(_chip_masks(spark, sf_dir), 5, keys=["chip"], block=SIDE))
 
 
 _GAP_SQL = ", g AS (SELECT chip, row, col, CASE WHEN value > 0.45 THEN value END AS value FROM v_chip)"
@@ -360,7 +375,8 @@ _GAP_SQL = ", g AS (SELECT chip, row, col, CASE WHEN value > 0.45 THEN value END
 SELECT g.chip, g.row, g.col, round(coalesce(g.value, near.v), 6) AS value FROM g LEFT JOIN near ON near.chip = g.chip AND near.row = g.row AND near.col = g.col AND r = 1"""))
 def nearest_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = views.chips(spark, sf_dir).withColumn("value", F.when(F.col("value") > 0.45, F.col("value"))).select("chip", "row", "col", "value")
-    return ra.fill_nearest(gaps, 3).select("chip", "row", "col", F.round("value", 6).alias("value"))
+    filled = bk.fill_nearest(_chip_blocks(gaps), 3, keys=["chip"], block=SIDE)
+    return bk.to_pixels(filled, keys=["chip"], block=SIDE).withColumn("value", F.round("value", 6))
 
 
 @query(views.with_views("v_chip", " " + " UNION ALL ".join(f"SELECT chip, {k}::INTEGER AS level, (row // {k})::INTEGER AS row, (col // {k})::INTEGER AS col, round(avg(value), 6) AS value FROM v_chip GROUP BY ALL" for k in (2, 4, 8))))
@@ -373,7 +389,8 @@ def pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.chip, a.row, a.col, round(sum(p.value * (1 - abs(sr - p.row)) * (1 - abs(sc - p.col))) / sum((1 - abs(sr - p.row)) * (1 - abs(sc - p.col))), 6) AS value
 FROM spots a JOIN v_chip p ON p.chip = a.chip AND abs(sr - p.row) < 1 AND abs(sc - p.col) < 1 GROUP BY ALL"""))
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ra.resample_bilinear(views.chips(spark, sf_dir), 2, height=8, width=8).select("chip", "row", "col", F.round("value", 6).alias("value"))
+    fine = bk.resample(_chip_blocks(views.chips(spark, sf_dir)), 2, keys=["chip"], block=SIDE, method="linear")
+    return bk.to_pixels(fine, keys=["chip"], block=2 * SIDE).withColumn("value", F.round("value", 6))
 
 
 _CUBIC = "CASE WHEN abs({d}) <= 1 THEN 1.5 * abs({d}) ** 3 - 2.5 * {d} ** 2 + 1 WHEN abs({d}) < 2 THEN -0.5 * abs({d}) ** 3 + 2.5 * {d} ** 2 - 4 * abs({d}) + 2 ELSE 0 END"
@@ -391,7 +408,8 @@ _CUBIC = "CASE WHEN abs({d}) <= 1 THEN 1.5 * abs({d}) ** 3 - 2.5 * {d} ** 2 + 1
 def resampled_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cubic where all pixels around are known, bilinear over the known ones elsewhere."""
     px = views.chips(spark, sf_dir).where((F.col("chip") * 7 + F.col("row") * 5 + F.col("col") * 3) % 23 != 0)
-    return ra.resample_cubic(px, 2, height=8, width=8).select("chip", "row", "col", F.round("value", 6).alias("value"))
+    fine = bk.resample(_chip_blocks(px), 2, keys=["chip"], block=SIDE)
+    return bk.to_pixels(fine, keys=["chip"], block=2 * SIDE).where("value IS NOT NULL").withColumn("value", F.round("value", 6))
 
 
 @query(views.with_views("v_chip", " SELECT chip, CASE WHEN n = 0 THEN 'empty' WHEN n * 8 < 300 THEN 'too_small' WHEN bad > 0 THEN 'bad_values' ELSE 'ok' END AS status FROM (SELECT chip, count(*) FILTER (WHERE value > 0.5) AS n, count(*) FILTER (WHERE value > 0.95) AS bad FROM v_chip GROUP BY chip)"))
@@ -401,3 +419,63 @@ def chip_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = views.chips(spark, sf_dir).groupBy("chip").agg(n.alias("n"), bad.alias("bad"))
     status = F.when(F.col("n") == 0, "empty").when(F.col("n") * 8 < 300, "too_small").when(F.col("bad") > 0, "bad_values").otherwise("ok")
     return checked.select("chip", status.alias("status"))
+
+
+# mosaics: chips side by side, in blocks that their objects, holes and gaps cross
+
+MOSAIC, CUT = 5 * SIDE, 20
+
+
+def _mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mosaic, row, col, value): five by five chips."""
+    c, k = F.col, F.col("chip") % 25
+    return views.chips(spark, sf_dir).select(
+        F.floor(c("chip") / 25).alias("mosaic"), (F.floor(k / 5) * SIDE + c("row")).cast("int").alias("row"), (k % 5 * SIDE + c("col")).cast("int").alias("col"), "value"
+    )
+
+
+_MOSAIC_SQL = ", mo AS (SELECT chip // 25 AS mosaic, (chip % 25 // 5 * 8 + row)::INTEGER AS row, (chip % 5 * 8 + col)::INTEGER AS col, value FROM v_chip)"
+
+
+def _mosaic_blocks(pixels: DataFrame, value: str = "value") -> DataFrame:
+    return bk.to_blocks(pixels, keys=["mosaic"], value=value, height=MOSAIC, width=MOSAIC, block=CUT)
+
+
+@query("WITH RECURSIVE " + views.SQL["v_chip"] + _MOSAIC_SQL + """, seed AS (SELECT mosaic, row, col, row * 40 + col AS label FROM mo WHERE value > 0.5
+), reach AS (SELECT mosaic, row, col, label FROM seed UNION SELECT s.mosaic, s.row, s.col, r.label FROM reach r JOIN seed s ON s.mosaic = r.mosaic AND ((s.row = r.row AND s.col = r.col - 1) OR (s.row = r.row AND s.col = r.col + 1) OR (s.col = r.col AND s.row = r.row - 1) OR (s.col = r.col AND s.row = r.row + 1))
+), root AS (SELECT mosaic, row, col, min(label) AS label FROM reach GROUP BY ALL), n AS (SELECT mosaic, label, count(*) AS size FROM root GROUP BY ALL)
+SELECT mosaic, row, col FROM root JOIN n USING (mosaic, label) WHERE size >= 40""")
+def mosaic_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of forty cells or more, also those that cross blocks."""
+    mask = _mosaic(spark, sf_dir).withColumn("value", (F.col("value") > 0.5).cast("int"))
+    kept = bk.remove_small(_mosaic_blocks(mask), 40, keys=["mosaic"], block=CUT)
+    return bk.to_pixels(kept, keys=["mosaic"], block=CUT).where("value = 1").select("mosaic", "row", "col")
+
+
+@query(views.with_views("v_chip", _MOSAIC_SQL + """, m AS (SELECT mosaic, row, col, value > 0.55 AS mask FROM mo
+), near AS (SELECT i, j FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE i * i + j * j <= 4
+), d AS (SELECT DISTINCT a.mosaic, a.row + i AS row, a.col + j AS col FROM m a, near WHERE mask AND a.row + i BETWEEN 0 AND 39 AND a.col + j BETWEEN 0 AND 39
+), frame AS (SELECT mosaic, r::INTEGER AS row, c::INTEGER AS col FROM (SELECT DISTINCT mosaic FROM mo), (SELECT unnest(range(40)) AS r), (SELECT unnest(range(40)) AS c)
+), gone AS (SELECT DISTINCT f.mosaic, f.row + i AS row, f.col + j AS col FROM (SELECT * FROM frame ANTI JOIN d USING (mosaic, row, col)) f, near)
+SELECT mosaic, row, col FROM frame ANTI JOIN gone USING (mosaic, row, col) SEMI JOIN m USING (mosaic, row, col)"""))
+def mosaic_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks closed across the borders of blocks; only places with a chip are listed."""
+    mask = _mosaic(spark, sf_dir).withColumn("value", (F.col("value") > 0.55).cast("int"))
+    closed = bk.to_pixels(bk.close_mask(_mosaic_blocks(mask), 2, keys=["mosaic"], block=CUT), keys=["mosaic"], block=CUT)
+    return closed.where("value = 1").join(mask.select("mosaic", "row", "col"), ["mosaic", "row", "col"], "left_semi").select("mosaic", "row", "col")
+
+
+@query(views.with_views("v_chip", _MOSAIC_SQL + """, band AS (SELECT mosaic, b::INTEGER AS band, row, col, CASE WHEN (row * 7 + col * 11 + mosaic + b) % 211 < 3 THEN value END AS value FROM mo, (SELECT unnest([3, 4]) AS b)
+), near AS (SELECT a.mosaic, a.band, a.row, a.col, arg_min(b.value, ((a.row - b.row) ** 2 + (a.col - b.col) ** 2) * 10000 + b.row * 100 + b.col) AS v
+  FROM band a JOIN band b ON a.mosaic = b.mosaic AND a.band = b.band AND a.band >= 4 AND a.value IS NULL AND b.value IS NOT NULL AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 400 GROUP BY ALL)
+SELECT mosaic, band, row, col, round(coalesce(band.value, near.v), 6) AS value FROM band LEFT JOIN near USING (mosaic, band, row, col) WHERE coalesce(band.value, near.v) IS NOT NULL"""))
+def mosaic_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of bands from the fourth on take the nearest value within twenty cells; those of the third stay."""
+    c = F.col
+    px = _mosaic(spark, sf_dir).withColumn("band", F.explode(F.array(F.lit(3), F.lit(4))))
+    px = px.withColumn("value", F.when((c("row") * 7 + c("col") * 11 + c("mosaic") + c("band")) % 211 < 3, c("value")))
+    blocks = bk.to_blocks(px, keys=["mosaic", "band"], value="value", height=MOSAIC, width=MOSAIC, block=CUT)
+    filled = bk.fill_nearest(blocks, 20, keys=["mosaic", "band"], block=CUT, where=c("band") >= 4)
+    held = px.select("mosaic", "band", "row", "col")
+    out = bk.to_pixels(filled, keys=["mosaic", "band"], block=CUT).where("value IS NOT NULL").join(held, ["mosaic", "band", "row", "col"], "left_semi")
+    return out.select("mosaic", "band", "row", "col", F.round("value", 6).alias("value"))
