@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitile.operators import bands, progress, status, tiling
+from orbitile.operators import bands, blocks, polygons, progress, status, tiling
 
 from . import views
 from .select_queries import SCORED_SQL, scored_scenes
@@ -103,9 +103,52 @@ def report_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(views.with_views("v_chip", """, g AS (SELECT grp, row, col, avg(value) AS v FROM v_chip GROUP BY ALL) SELECT grp, row, col, round(CASE WHEN v > 0.5 THEN v END, 6) AS value FROM g WHERE col + 0.5 > 1 AND col + 0.5 < 7 AND (row + 0.5) + (col + 0.5) < 12"""))
+# Outlines of composites, as users give them: features with a hole, several polygons, boxes, coordinates alone, and what is no geometry.
+_OUTLINE = [[(0.4, 0.3), (7.7, 1.1), (6.9, 7.6), (0.7, 6.8)], [(2.2, 2.1), (4.6, 2.4), (3.9, 4.7)]]
+_PARTS = [[[(0.2, 0.4), (3.1, 0.9), (2.3, 7.8)]], [[(4.2, 1.3), (7.9, 2.2), (6.1, 7.7)], [(5.6, 3.2), (6.6, 3.4), (6.1, 4.8)]]]
+_SQUARE = [(1.3, 2.1), (6.2, 2.1), (6.2, 7.4), (1.3, 7.4)]
+_OUTLINES = "SELECT s_suppkey AS grp, (s_suppkey % 5) / 16.0 AS s, s_suppkey % 6 AS kind FROM supplier"
+
+
+def _json(rings: list) -> F.Column:
+    """Coordinates as JSON, moved to the right by s."""
+    if isinstance(rings, tuple):
+        return F.concat(F.lit("["), (F.lit(rings[0]) + F.col("s")).cast("string"), F.lit(f",{rings[1]}]"))
+    inner = [x for r in rings for x in (F.lit(","), _json(r))][1:]
+    return F.concat(F.lit("["), *inner, F.lit("]"))
+
+
+def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, text) of shapes."""
+    k = F.col("s_suppkey")
+    s = views.read(spark, sf_dir, "supplier").select(k.alias("grp"), ((k % 5) / 16.0).alias("s"), (k % 6).alias("kind"))
+    box = F.concat_ws(",", *[F.col("s") + x if n % 2 == 0 else F.lit(x) for n, x in enumerate((*_SQUARE[0], *_SQUARE[2]))])
+    text = F.when(F.col("kind") == 0, F.concat(F.lit('{"type":"Feature","geometry":{"type":"Polygon","coordinates":'), _json(_OUTLINE), F.lit("}}")))
+    text = text.when(F.col("kind") == 1, F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), _json(_PARTS), F.lit("}"))).when(F.col("kind") == 2, box)
+    text = text.when(F.col("kind") == 3, F.concat(F.lit('{"coordinates":'), _json(_OUTLINE), F.lit("}"))).when(F.col("kind") == 4, F.concat(F.lit('{"bbox":['), box, F.lit("]}")))
+    return s.select("grp", text.otherwise('{"type":"Point","coordinates":[1,2]}').alias("text"))
+
+
+_RINGS_SQL = f"""rings AS (SELECT grp, s, kind, unnest(CASE WHEN kind IN (0, 3) THEN {[[list(p) for p in r] for r in _OUTLINE]} WHEN kind = 1 THEN {[[list(p) for p in r] for part in _PARTS for r in part]} WHEN kind IN (2, 4) THEN {[[list(p) for p in _SQUARE]]} END) AS ring FROM ({_OUTLINES})
+), ends AS (SELECT grp, s, ring[i] AS a, ring[i % len(ring) + 1] AS b FROM (SELECT grp, s, ring, unnest(range(1, len(ring) + 1)) AS i FROM rings)
+), sides AS (SELECT grp, a[1]::DOUBLE + s AS x1, a[2]::DOUBLE AS y1, b[1]::DOUBLE + s AS x2, b[2]::DOUBLE AS y2 FROM ends)"""
+
+
+@query(f"SELECT grp, CASE kind WHEN 2 THEN 'box' WHEN 4 THEN 'box' WHEN 1 THEN 'polygons' WHEN 5 THEN NULL ELSE 'polygon' END AS kind, CASE WHEN kind = 5 THEN 'no geometry' END AS error, len(r)::INTEGER AS rings FROM (WITH {_RINGS_SQL} SELECT o.grp, o.kind, list(ring) FILTER (WHERE ring IS NOT NULL) AS r FROM ({_OUTLINES}) o LEFT JOIN rings USING (grp) GROUP BY ALL)")
+def input_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of input geometries, and an error for what is none."""
+    out = polygons.read_shapes(_outlines(spark, sf_dir))
+    return out.select("grp", "kind", "error", F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p)).alias("rings"))
+
+
+@query(f"WITH {views.SQL['v_chip']}, {_RINGS_SQL}" + """, g AS (SELECT grp, row, col, avg(value) AS v FROM v_chip GROUP BY ALL
+), crossed AS (SELECT g.grp, g.row, g.col, any_value(g.v) AS v, count(*) AS n FROM g JOIN sides s ON g.grp = s.grp AND (s.y1 <= g.row + 0.5) <> (s.y2 <= g.row + 0.5) AND s.x1 + (g.row + 0.5 - s.y1) * (s.x2 - s.x1) / (s.y2 - s.y1) <= g.col + 0.5 GROUP BY g.grp, g.row, g.col)
+SELECT grp, row, col, round(CASE WHEN v > 0.5 THEN v END, 6) AS value FROM crossed WHERE n % 2 = 1""")
 def clipped_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A composite clipped to a convex outline, weak cells masked after it."""
-    cells = views.chips(spark, sf_dir).groupBy("grp", "row", "col").agg(F.avg("value").alias("v"))
-    x, y = F.col("col") + 0.5, F.col("row") + 0.5
-    return cells.where((x > 1) & (x < 7) & (x + y < 12)).select("grp", "row", "col", F.round(F.when(F.col("v") > 0.5, F.col("v")), 6).alias("value"))
+    """Composites clipped to their outlines, weak cells masked after it."""
+    cells = views.chips(spark, sf_dir).groupBy("grp", "row", "col").agg(F.avg("value").alias("value"))
+    shapes = polygons.read_shapes(_outlines(spark, sf_dir)).where("error IS NULL").select("grp", "parts")
+    grids = blocks.to_blocks(cells, keys=["grp"], value="value", height=8, width=8, block=5)
+    clipped = polygons.clip_blocks(grids, polygons.coverage(shapes, 8, 8, key="grp"), key="grp", block=5)
+    out = blocks.to_pixels(clipped, keys=["grp"], block=5).where("value IS NOT NULL")
+    return out.select("grp", "row", "col", F.round(F.when(F.col("value") > 0.5, F.col("value")), 6).alias("value"))

@@ -3,12 +3,11 @@
 import math
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orbitile.functions import geo, scoring, text
-from orbitile.operators import gapfill, raster, tiling
+from orbitile.operators import gapfill, tiling
 from orbitile.operators import selection as sel
 from orbitile.sources import formats, sensors
 
@@ -96,28 +95,6 @@ def test_clipping(spark):
     assert (got[3].lon_max, got[3].lat_max) == (3.0, 3.0)
 
 
-def test_components_against_flood_fill():
-    rng = np.random.default_rng(6)
-    for _ in range(30):
-        grid = rng.random((9, 7)) < 0.5
-        labels = raster.label_components(grid)
-        seen = {}
-        for start in zip(*np.nonzero(grid), strict=True):
-            if start in seen:
-                continue
-            stack = [start]
-            while stack:
-                p = stack.pop()
-                if p in seen or not (0 <= p[0] < 9 and 0 <= p[1] < 7) or not grid[p]:
-                    continue
-                seen[p] = start
-                stack += [(p[0] + i, p[1] + j) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]
-        groups = {}
-        for p, root in seen.items():
-            groups.setdefault(root, set()).add(int(labels[p]))
-        assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
-
-
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
