@@ -299,6 +299,43 @@ def resample(blocks: DataFrame, factor: int, *, keys: list[str], block: int = BL
     return neighbourhoods(blocks, halo, work, keys=keys, block=block, scale=factor)
 
 
+def overviews(blocks: DataFrame, levels: tuple[int, ...], *, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Blocks of coarser grids, with their ``level``: a cell is the mean of level x level known ones.
+
+    Each block is averaged where it lies, and only the means are shuffled to the blocks of their level.
+    """
+    if any(block % k for k in levels):
+        raise ValueError("a level divides the side of a block")
+    named = [*keys, "level"]
+    schema = StructType([blocks.schema[k] for k in keys] + StructType.fromDDL(f"level int, {PIECE}").fields)
+    arrow = to_arrow_schema(schema)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [b[k].to_pylist() for k in [*keys, "br", "bc", "height", "width"]]
+            rows = []
+            for *key, br, bc, height, width, cells in zip(*names, _arrays(b["cells"]), strict=True):
+                h, w = min(block, height - br * block), min(block, width - bc * block)
+                for k in levels:
+                    padded = np.full((-(-h // k) * k, -(-w // k) * k), np.nan)
+                    padded[:h, :w] = cells.reshape(h, w)
+                    parts = padded.reshape(len(padded) // k, k, -1, k)
+                    n = (~np.isnan(parts)).sum(axis=(1, 3))
+                    mean = np.where(n > 0, np.nansum(parts, axis=(1, 3)) / np.maximum(n, 1), np.nan)
+                    rows.append((*key, k, br // k, bc // k, -(-height // k), -(-width // k), br * block // k, bc * block // k, *mean.shape, True, mean))
+            if rows:
+                yield _batch(rows, arrow)
+
+    def assemble(table: pa.Table) -> list[tuple]:
+        br, bc, height, width = (table[c][0].as_py() for c in ("br", "bc", "height", "width"))
+        cells = np.full((min(block, height - br * block), min(block, width - bc * block)), np.nan)
+        for row0, col0, ph, pw, piece in zip(*[table[c].to_pylist() for c in ("row0", "col0", "h", "w")], _arrays(table["cells"]), strict=True):
+            cells[row0 - br * block : row0 - br * block + ph, col0 - bc * block : col0 - bc * block + pw] = piece.reshape(ph, pw)
+        return [(*[table[k][0].as_py() for k in named], br, bc, height, width, cells)]
+
+    return by_runs(blocks.mapInArrow(means, schema), [*named, "br", "bc"], assemble, StructType([blocks.schema[k] for k in keys] + StructType.fromDDL(f"level int, {RASTER}").fields))
+
+
 # --- components ------------------------------------------------------------------------------
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitile.operators import bands, blocks, polygons, progress, status, tiling
+from orbitile.operators import bands, blocks, polygons, progress, status, tiling, warp
+from orbitile.sources import geotiff
+from orbitile.sources.storage import work_folder
 
 from . import views
+from .pixel_queries import CUT, MOSAIC, _MOSAIC_SQL, _mosaic, _mosaic_blocks
 from .select_queries import SCORED_SQL, scored_scenes
+from .work_queries import to_lonlat_sql, to_utm_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -152,3 +156,40 @@ def clipped_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     clipped = polygons.clip_blocks(grids, polygons.coverage(shapes, 8, 8, key="grp"), key="grp", block=5)
     out = blocks.to_pixels(clipped, keys=["grp"], block=5).where("value IS NOT NULL")
     return out.select("grp", "row", "col", F.round(F.when(F.col("value") > 0.5, F.col("value")), 6).alias("value"))
+
+
+# mosaics of one zone on the grid of the next, and in files
+
+SOURCE = warp.Grid(36, True, 720_000.0, 3_510_000.0, 1_000.0, MOSAIC, MOSAIC)
+TARGET = warp.Grid(37, True, 150_000.0, 3_512_000.0, 900.0, 47, 50)
+
+
+@query(views.with_views("v_chip", _MOSAIC_SQL + f""", cells AS (SELECT r AS row, c AS col, {TARGET.x0} + (c + 0.5::DOUBLE) * {TARGET.step} AS x, {TARGET.y0} - (r + 0.5::DOUBLE) * {TARGET.step} AS y, 37 AS zone, true AS north
+  FROM (SELECT unnest(range({TARGET.height}))::INTEGER AS r), (SELECT unnest(range({TARGET.width}))::INTEGER AS c)
+), there AS (SELECT row, col, lon, lat, 36 AS zone, true AS north FROM ({to_lonlat_sql("cells")})
+), placed AS (SELECT row, col, ({SOURCE.y0} - y) / {SOURCE.step} - 0.5 AS r, (x - {SOURCE.x0}) / {SOURCE.step} - 0.5 AS c FROM ({to_utm_sql("there")})
+), met AS (SELECT mosaic, p.row, p.col, sum((1 - abs(r - m.row)) * (1 - abs(c - m.col)) * value) / sum((1 - abs(r - m.row)) * (1 - abs(c - m.col))) AS value
+  FROM placed p JOIN mo m ON m.row IN (floor(r), floor(r) + 1) AND m.col IN (floor(c), floor(c) + 1) WHERE r BETWEEN -0.5 AND 39.5 AND c BETWEEN -0.5 AND 39.5 AND (1 - abs(r - m.row)) * (1 - abs(c - m.col)) > 1e-12 GROUP BY ALL)
+SELECT mosaic, row, col, round(value, 5) AS value FROM met"""))
+def reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaics of a zone's east on the grid of the next zone."""
+    moved = warp.reproject(_mosaic_blocks(_mosaic(spark, sf_dir)), SOURCE, TARGET, keys=["mosaic"], block=CUT)
+    return blocks.to_pixels(moved, keys=["mosaic"], block=CUT).where("value IS NOT NULL").withColumn("value", F.round("value", 5))
+
+
+@query(views.with_views("v_chip", _MOSAIC_SQL + ", b AS (SELECT mosaic, unnest([1, 2]) AS band, row, col, value FROM mo), f AS (SELECT mosaic, band, row, col, value / band AS value FROM b), " + " UNION ALL ".join(
+    f"{'l AS (' if k == 1 else ''}SELECT mosaic, {k} AS level, band, (row // {k}) AS row, (col // {k}) AS col, avg(value) AS value FROM f GROUP BY ALL" for k in (1, 2, 4)) + """)
+SELECT 'm' || mosaic AS file, level::INTEGER AS level, band::INTEGER AS band, count(*) AS n, round(sum(value), 5) AS total, round(sum(value * (row * 41 + col)), 3) AS placed FROM l WHERE level <> 2 OR row >= 10 GROUP BY ALL"""))
+def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaics of two bands with two overviews, written to files and read by tiles: of the second level the lower half only."""
+    px = _mosaic(spark, sf_dir).withColumn("band", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("value", F.col("value") / F.col("band"))
+    side = 16
+    full = blocks.to_blocks(px, keys=["mosaic", "band"], value="value", height=MOSAIC, width=MOSAIC, block=side)
+    coarse = blocks.overviews(full, (2, 4), keys=["mosaic", "band"], block=side)
+    rows = full.withColumn("level", F.lit(1)).unionByName(coarse).withColumn("file", F.concat(F.lit("m"), F.col("mosaic").cast("string")))
+    folder = work_folder(spark, "rasters")
+    geotiff.write_geotiffs(rows, folder, block=side, dtype="float64", epsg=32636, x0=SOURCE.x0, y0=SOURCE.y0, step=SOURCE.step)
+    back = geotiff.read_geotiffs(spark, folder)
+    cells = blocks.to_pixels(back, keys=["file", "level", "band"], block=side).where("value IS NOT NULL").where("level <> 2 OR row >= 10")
+    placed = F.sum(F.col("value") * (F.col("row") * 41 + F.col("col")))
+    return cells.groupBy("file", "level", "band").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"), F.round(placed, 3).alias("placed"))
