@@ -1,35 +1,35 @@
-"""Progress windows over completion events (group, completed_at in seconds, tile_seconds)."""
+"""Progress over completion events (group, completed_at in seconds, tile seconds), in ranges of each group."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitile.operators.ordered import RANGE, carried, placed, rolling
 
-def _order(key: str):
-    return Window.partitionBy(key).orderBy("completed_at", "event_id")
 
+def _placed(events: DataFrame, key: str, rows_per_range: int) -> DataFrame:
+    return placed(events, key, "completed_at", "event_id", rows_per_range=rows_per_range)
 
-def rolling_mean(events: DataFrame, n: int = 20, *, key: str = "grp") -> DataFrame:
-    """Mean time of the last n tiles at each completion."""
-    return events.withColumn("rolling", F.avg("seconds").over(_order(key).rowsBetween(1 - n, 0)))
 
+def rolling_mean(events: DataFrame, n: int = 20, *, kept: int = 100, key: str = "grp", rows_per_range: int = RANGE) -> DataFrame:
+    """Mean time of the last n tiles at each completion, the number of the last ``kept`` there are, and of all done."""
+    rows = _placed(events, key, rows_per_range)
+    out = rolling(rows, key, n, {"rolling": lambda w: F.avg("seconds").over(w)}, rows_per_range=rows_per_range)
+    return out.withColumns({"done": F.col("place") + 1, "kept": F.least(F.col("place") + 1, F.lit(kept))}).select(*events.columns, "rolling", "kept", "done")
 
-def remaining_seconds(events: DataFrame, total: int, *, key: str = "grp", last: int = 30) -> DataFrame:
+
+def remaining_seconds(events: DataFrame, total: int, *, key: str = "grp", last: int = 30, rows_per_range: int = RANGE) -> DataFrame:
     """Estimated time left from the throughput of the last completions, or the overall mean where that is undefined."""
-    order = _order(key)
-    recent = order.rowsBetween(1 - last, 0)
-    out = events.withColumns(
-        {
-            "done": F.row_number().over(order), "__first": F.first("completed_at").over(recent), "__n": F.count("*").over(recent),
-            "__start": F.first("completed_at").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
+    rows = _placed(events, key, rows_per_range)
+    out = rolling(rows, key, last, {"__first": lambda w: F.first("completed_at").over(w), "__n": lambda w: F.count("*").over(w)}, rows_per_range=rows_per_range)
+    starts = events.groupBy(F.col(key).alias("__key")).agg(F.min("completed_at").alias("__start"))
+    out = out.join(starts, F.col(key).eqNullSafe(F.col("__key"))).withColumn("done", F.col("place") + 1)
     per_recent = F.try_divide(F.col("completed_at") - F.col("__first"), F.col("__n") - 1)
     overall = (F.col("completed_at") - F.col("__start")) / F.col("done")
     per_tile = F.when(per_recent > 0, per_recent).otherwise(overall)
     left = F.greatest(F.lit(0), F.lit(total) - F.col("done"))
-    return out.withColumn("remaining", left * per_tile).drop("__first", "__n", "__start")
+    return out.withColumn("remaining", left * per_tile).select(*events.columns, "done", "remaining")
 
 
 def time_statistics(events: DataFrame, *, key: str = "grp") -> DataFrame:
@@ -40,13 +40,42 @@ def time_statistics(events: DataFrame, *, key: str = "grp") -> DataFrame:
     )
 
 
-def stalled_runs(values: DataFrame, *, key: str = "grp", threshold: float) -> DataFrame:
-    """Length of the current run of steps that change by less than the threshold (gaps and islands)."""
-    order = _order(key)
-    out = values.withColumn("__flat", F.coalesce(F.abs(F.col("seconds") - F.lag("seconds").over(order)) < threshold, F.lit(False)))
-    out = out.withColumn("__island", F.sum(F.when(F.col("__flat"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = Window.partitionBy(key, "__island").orderBy("completed_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("stalled", F.sum(F.col("__flat").cast("int")).over(runs)).drop("__flat", "__island")
+def stalled_runs(values: DataFrame, *, key: str = "grp", threshold: float, rows_per_range: int = RANGE) -> DataFrame:
+    """Length of the current run of steps that change by less than the threshold: the places since the last larger step."""
+    rows = _placed(values, key, rows_per_range)
+    rows = rolling(rows, key, 2, {"__before": lambda w: F.first("seconds").over(w)}, rows_per_range=rows_per_range)
+    flat = (F.col("place") > 0) & F.coalesce(F.abs(F.col("seconds") - F.col("__before")) < threshold, F.lit(False))
+    out = carried(rows.withColumn("__flat", flat), key, {"__step": (F.when(~F.col("__flat"), F.col("place")), "max")})
+    return out.withColumn("stalled", F.col("place") - F.col("__step")).select(*values.columns, "stalled")
+
+
+def merged_pauses(pauses: DataFrame, *, key: str = "grp", rows_per_range: int = RANGE) -> DataFrame:
+    """Pauses (key, paused_at, resumed_at) that overlap or touch, as one each; those that never end before they begin are dropped."""
+    rows = pauses.where("resumed_at > paused_at").select(key, "paused_at", "resumed_at")
+    rows = placed(rows, key, "paused_at", "resumed_at", rows_per_range=rows_per_range)
+    rows = carried(rows, key, {"__until": (F.col("resumed_at"), "max")}, before=True)
+    begins = F.coalesce(F.col("paused_at") > F.col("__until"), F.lit(True))
+    rows = carried(rows, key, {"__begun": (F.when(begins, F.col("place")), "max")})
+    return rows.groupBy(key, "__begun").agg(F.min("paused_at").alias("paused_at"), F.max("resumed_at").alias("resumed_at")).drop("__begun")
+
+
+def without_pauses(events: DataFrame, pauses: DataFrame, *, key: str = "grp", rows_per_range: int = RANGE) -> DataFrame:
+    """Add ``paused``, the seconds of pauses before each completion, and set ``completed_at`` back by them.
+
+    What is measured on the result (rates, time left) is free of pauses.  A completion in a pause counts its
+    part so far.  Pauses and completions are put in one order and summed in ranges.
+    """
+    whole = merged_pauses(pauses, key=key, rows_per_range=rows_per_range)
+    names = [c for c in events.columns if c != key]
+    row = F.struct(*[F.col(c) for c in names])
+    union = events.select(key, F.col("completed_at").alias("__when"), F.lit(1).alias("__kind"), row.alias("__row"), F.lit(None).cast("double").alias("__len"), F.lit(None).cast("double").alias("__to"))
+    of_pause = (F.col("resumed_at") - F.col("paused_at")).cast("double"), F.col("resumed_at").cast("double")
+    union = union.unionByName(whole.select(key, F.col("paused_at").alias("__when"), F.lit(0).alias("__kind"), F.lit(None).cast(events.select(row.alias("r")).schema["r"].dataType).alias("__row"), of_pause[0].alias("__len"), of_pause[1].alias("__to")))
+    ordered = placed(union, key, "__when", "__kind", rows_per_range=rows_per_range)
+    out = carried(ordered, key, {"__sum": (F.col("__len"), "sum"), "__until": (F.col("__to"), "max")}).where("__kind = 1")
+    rest = F.greatest(F.lit(0.0), F.coalesce(F.col("__until") - F.col("__when"), F.lit(0.0)))
+    out = out.select(key, "__row.*", (F.coalesce("__sum", F.lit(0.0)) - rest).alias("paused"))
+    return out.withColumn("completed_at", F.col("completed_at") - F.col("paused")).select(*events.columns, "paused")
 
 
 def clock(seconds: Column, *, hours: bool = False) -> Column:

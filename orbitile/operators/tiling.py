@@ -106,28 +106,50 @@ def with_priority(tiles: DataFrame, days: int) -> DataFrame:
     return tiles.withColumn("priority", geo.tile_variance(c("lon_min"), c("lat_min"), c("lon_max"), c("lat_max"), F.lit(float(days))))
 
 
-def overlapping(left: DataFrame, right: DataFrame, *, cell: float = 1.0) -> DataFrame:
+#: Levels of the cells in which boxes meet: the side of a cell is two to this power, in degrees.
+FINEST, COARSEST = -12, 9
+
+
+def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of boxes (left_id, right_id) that overlap.
 
-    Both sides go to the grid cells they touch and meet in an equi-join; a pair counts only in
-    the cell that holds the south-west corner of its intersection, so nothing is deduplicated.
+    A box lies in at most four cells of the level of its size.  Of two boxes the smaller one looks for the
+    larger one in the cells of the latter's level, so a box over the whole world has as few cells as a small
+    one, and small boxes in one place lie in small cells.  A pair counts only in the cell that holds the
+    south-west corner of its intersection, so nothing is deduplicated.
     """
+    a, b = levelled(left, "left_id"), levelled(right, "right_id")
+    return _met(a, b, 0).unionByName(_met(b, a, 1))
+
+
+_SIDES = ["lon_min", "lat_min", "lon_max", "lat_max"]
+
+
+def levelled(boxes: DataFrame, key: str) -> DataFrame:
+    """Boxes with their ``own`` level, whose cells are at least as large as they are."""
+    size = F.greatest(F.col("lon_max") - F.col("lon_min"), F.col("lat_max") - F.col("lat_min"), F.lit(2.0**FINEST))
+    return boxes.select(key, *_SIDES, F.least(F.lit(COARSEST), F.ceil(F.log2(size))).cast("int").alias("own"))
+
 
-    def celled(df: DataFrame) -> DataFrame:
-        def span(low: str, high: str):
-            return F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+def celled(boxes: DataFrame) -> DataFrame:
+    """A row for each cell of its ``level`` that a box touches."""
+    side = F.pow(F.lit(2.0), F.col("level"))
+    spans = {n: F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side)) for n, low, high in (("cx", "lon_min", "lon_max"), ("cy", "lat_min", "lat_max"))}
+    return boxes.withColumn("cx", F.explode(spans["cx"])).withColumn("cy", F.explode(spans["cy"]))
 
-        return df.withColumn("cx", F.explode(span("lon_min", "lon_max"))).withColumn("cy", F.explode(span("lat_min", "lat_max")))
 
-    names = ["lon_min", "lat_min", "lon_max", "lat_max"]
-    a = celled(left.select("left_id", *names))
-    b = celled(right.select("right_id", *[F.col(n).alias(n) for n in names])).withColumnsRenamed({n: f"r_{n}" for n in names})
-    met = a.join(b, ["cx", "cy"])
+def _met(large: DataFrame, small: DataFrame, least: int) -> DataFrame:
+    """Boxes at their own level with those of the other side that are ``least`` levels smaller or more."""
     c = F.col
+    used = [r[0] for r in large.select("own").distinct().collect()]  # as many as there are levels, at most
+    levels = F.filter(F.array(*[F.lit(k) for k in used]).cast("array<int>"), lambda k: k >= c("own") + least)
+    probes = celled(small.withColumn("level", F.explode(levels))).drop("own")
+    stands = celled(large.withColumn("level", c("own"))).drop("own").withColumnsRenamed({n: f"r_{n}" for n in _SIDES})
+    both = probes.join(stands, ["level", "cx", "cy"])
     inside = (c("lon_min") < c("r_lon_max")) & (c("r_lon_min") < c("lon_max")) & (c("lat_min") < c("r_lat_max")) & (c("r_lat_min") < c("lat_max"))
-    corner_x, corner_y = F.greatest("lon_min", "r_lon_min"), F.greatest("lat_min", "r_lat_min")
-    once = (F.floor(corner_x / cell) == c("cx")) & (F.floor(corner_y / cell) == c("cy"))
-    return met.where(inside & once).select("left_id", "right_id")
+    side = F.pow(F.lit(2.0), c("level"))
+    once = (F.floor(F.greatest("lon_min", "r_lon_min") / side) == c("cx")) & (F.floor(F.greatest("lat_min", "r_lat_min") / side) == c("cy"))
+    return both.where(inside & once).select("left_id", "right_id")
 
 
 def clip_ring(ring: list, box: tuple[float, float, float, float]) -> list:

@@ -84,8 +84,7 @@ def estimated_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles left times the rolling mean."""
     e = views.read(spark, sf_dir, "events")
     e = e.select("event_id", (F.col("user_id") % 10).alias("grp"), F.col("ts").cast("timestamp").cast("long").cast("double").alias("completed_at"), F.col("value").alias("seconds"))
-    order = Window.partitionBy("grp").orderBy("completed_at", "event_id")
-    out = progress.rolling_mean(e).withColumn("left", F.greatest(F.lit(0), 1500 - F.row_number().over(order)))
+    out = progress.rolling_mean(e).withColumn("left", F.greatest(F.lit(0), 1500 - F.col("done")))
     return out.select("event_id", F.round(F.col("left") * F.col("rolling"), 4).alias("remaining"))
 
 

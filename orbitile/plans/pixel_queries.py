@@ -194,9 +194,14 @@ def harmonized_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MODES = ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in bd.HARMONIZATION.items())
 
 
-@query(f"SELECT mode, a, b FROM (VALUES {_MODES}) AS t(mode, a, b)")
+@query(views.with_views("v_acq", f", t(mode, a, b) AS (VALUES {_MODES}), q AS (SELECT CASE qa % 4 WHEN 0 THEN 'MSS_to_LS' WHEN 1 THEN 'LS_to_S2' WHEN 2 THEN 'SPOT_to_LS' ELSE 'other' END AS mode, B4 FROM v_acq) SELECT mode, coalesce(a, 1.0::DOUBLE) AS a, coalesce(b, 0.0::DOUBLE) AS b, count(*) AS n FROM q LEFT JOIN t USING (mode) GROUP BY ALL"))
 def harmonization_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bd.harmonization_table(spark)
+    """Scale and offset of the pixels' modes; a mode that the table lacks changes nothing."""
+    k = F.col("qa") % 4
+    mode = F.when(k == 0, "MSS_to_LS").when(k == 1, "LS_to_S2").when(k == 2, "SPOT_to_LS").otherwise("other")
+    counted = views.acquisitions(spark, sf_dir).groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
+    joined = counted.join(F.broadcast(bd.harmonization_table(spark)), "mode", "left")  # a constant of a few rows
+    return joined.select("mode", F.coalesce("a", F.lit(1.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"), "n")
 
 
 _PRESENT = ["B4", "B3", "B2", "SR_B4", "SR_B3", "SR_B2", "B8", "SR_B5", "B11", "SR_B6", "B12", "SR_B7", "MNDWI", "NDWI", "NDVI", "EVI", "SAVI", "AVI", "FVI"]

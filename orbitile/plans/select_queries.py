@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitile.functions import scoring as sc
 from orbitile.operators import selection as sel
-from orbitile.sources.sensors import OPEN_END, SENSORS, families_available, operational, sensor_catalog
+from orbitile.sources.sensors import OPEN_END, SENSORS, SENSORS, families_available, operational, sensor_catalog
 
 from . import views
 
@@ -202,15 +202,21 @@ def sensor_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), day.cast("string").alias("acquired"), F.round(score, 6).alias("score"))
 
 
-MONTHS = "SELECT unnest(generate_series(DATE '1972-01-01', DATE '2025-11-01', INTERVAL 1 MONTH))::DATE AS m"
+#: Months that orders ask for, spread from 1959 to 2038.
+REQUESTED = "(SELECT o_orderkey, (date_trunc('month', o_orderdate) + to_months((o_orderkey % 74 - 33) * 12))::DATE AS m FROM orders)"
 
 
-@query(f"""WITH {SENSOR_SQL}, r AS ({MONTHS})
+def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = views.read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.add_months(F.trunc("o_orderdate", "MM"), ((F.col("o_orderkey") % 74 - 33) * 12).cast("int")).alias("req_start"))
+
+
+@query(f"""WITH {SENSOR_SQL}, r AS (SELECT DISTINCT m FROM {REQUESTED})
 SELECT year(m) * 100 + month(m) AS req_id, family, bool_or(m <= coalesce(e, DATE '{OPEN_END}') AND last_day(m) >= s) AS available
 FROM r, sensor_catalog WHERE family <> 'EVENT' GROUP BY ALL""")
 def family_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.explode(F.sequence(F.lit("1972-01-01").cast("date"), F.lit("2025-11-01").cast("date"), F.expr("INTERVAL 1 MONTH")))
-    months = spark.range(1).select(m.alias("req_start"))
+    """Families with a sensor in operation in each month that is asked for."""
+    months = _requested(spark, sf_dir).select("req_start").distinct()
     months = months.withColumns({"req_end": F.last_day("req_start"), "req_id": (F.year("req_start") * 100 + F.month("req_start")).cast("long")})
     return families_available(months, sensor_catalog(spark))
 
@@ -224,10 +230,14 @@ def sensor_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operational(a, sensor_catalog(spark)).select("pixel_id", "operational")
 
 
-@query(f"WITH {SENSOR_SQL} SELECT min(s)::VARCHAR AS earliest, count(*) FILTER (WHERE e IS NULL) AS still_flying FROM sensor_catalog WHERE family <> 'EVENT'")
+@query(f"""WITH {SENSOR_SQL} SELECT o_orderkey AS id, count(*) FILTER (WHERE m <= coalesce(e, DATE '{OPEN_END}') AND last_day(m) >= s) AS flying, m < min(s) AS too_early FROM {REQUESTED}, sensor_catalog WHERE family <> 'EVENT' GROUP BY o_orderkey, m""")
 def catalog_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = sensor_catalog(spark).where("family <> 'EVENT'")
-    return c.agg(F.min("start").cast("string").alias("earliest"), F.count(F.when(F.col("end").isNull(), 1)).alias("still_flying"))
+    """How many sensors fly in the month of each request, and whether it starts before the earliest of them."""
+    lives = [(start, end or OPEN_END) for _, start, end, _, family in SENSORS if family != "EVENT"]
+    first, last = F.col("req_start"), F.last_day("req_start")
+    flying = sum(((first <= F.lit(e).cast("date")) & (last >= F.lit(s).cast("date"))).cast("long") for s, e in lives)
+    earliest = F.lit(min(s for s, _ in lives)).cast("date")
+    return _requested(spark, sf_dir).select(F.col("o_orderkey").alias("id"), flying.alias("flying"), (first < earliest).alias("too_early"))
 
 
 @query(views.with_views("v_scene", f"{TESTED_SQL} SELECT tile_id, sensor, t, scene_id, m FROM patient"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitile.functions import geo, text
@@ -99,7 +99,7 @@ _BOXES = ", b AS (SELECT area_id AS right_id, lon_min - 8 AS x0, lat_min - 8 AS
 def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.areas(spark, sf_dir)
     wide = {n: F.col(n) + (8 if n.endswith("max") else -8) for n in ("lon_min", "lat_min", "lon_max", "lat_max")}
-    return tiling.overlapping(a.withColumnRenamed("area_id", "left_id"), a.withColumnRenamed("area_id", "right_id").withColumns(wide), cell=5.0)
+    return tiling.overlapping(a.withColumnRenamed("area_id", "left_id"), a.withColumnRenamed("area_id", "right_id").withColumns(wide))
 
 
 # --- planning --------------------------------------------------------------------------------
@@ -256,14 +256,38 @@ def clipped_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tile_id", *[F.round(n, 9).alias(n) for n in ("lon_min", "lat_min", "lon_max", "lat_max", "area")])
 
 
-@query(views.with_views("v_area", """ SELECT DISTINCT area_id, 1 AS tiles, 1 AS one_zone FROM v_area"""))
+def _cut_sql() -> str:
+    """Tiles of about 25 a triangle, cut to it in metres: a half-plane for each side of a tile, from ring to ring."""
+    parts = [
+        "z AS (SELECT *, floor(((lon_min + lon_max) / 2 + 180) / 6) + 1 AS zone, (lat_min + lat_max) / 2 >= 0 AS north FROM (SELECT DISTINCT * FROM v_area))",
+        "points AS (SELECT area_id, zone, north, p, [lon_min, lon_max, lon_min][p] AS lon, [lat_min, lat_min, lat_max][p] AS lat FROM z, (SELECT unnest([1, 2, 3]) AS p))",
+        f"metres AS ({to_utm_sql('points')})",
+        "rings AS (SELECT area_id, zone, north, list([x, y] ORDER BY p) AS ring, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, max(x) - min(x) AS w, max(y) - min(y) AS h FROM metres GROUP BY ALL)",
+        "first AS (SELECT *, greatest(1.0, round_even(sqrt(25 * (w / h)), 0)) AS a, greatest(1.0, round_even(sqrt(25 / (w / h)), 0)) AS b FROM rings)",
+        f"wide AS (SELECT *, {_GROWN.format(n='a', o='b').replace('30', '25').replace('33.0', '27.5')} AS nx FROM first), shaped AS (SELECT *, {_GROWN.format(n='b', o='nx').replace('30', '25').replace('33.0', '27.5')} AS ny FROM wide)",
+        "cells AS (SELECT *, unnest(range(0, ny::BIGINT)) AS j FROM (SELECT *, unnest(range(0, nx::BIGINT)) AS i FROM shaped))",
+        "c0 AS (SELECT area_id, zone, north, i, j, ring, x_min + i * w / nx AS x0, x_min + (i + 1) * w / nx AS x1, y_min + j * h / ny AS y0, y_min + (j + 1) * h / ny AS y1 FROM cells)",
+    ]
+    for k, (axis, limit, sign) in enumerate(((1, "x0", 1), (1, "x1", -1), (2, "y0", 1), (2, "y1", -1)), 1):
+        da, db = (f"{sign} * (e.{v}[{axis}] - {limit})" for v in ("a", "b"))
+        parts.append(
+            f"e{k} AS (SELECT area_id, zone, north, i, j, x0, y0, x1, y1, n, CASE WHEN {da} >= 0 THEN [e.a] ELSE [] END || CASE WHEN {da} > 0 AND {db} < 0 OR {da} < 0 AND {db} > 0 THEN [[e.a[1] + {da} / ({da} - {db}) * (e.b[1] - e.a[1]), e.a[2] + {da} / ({da} - {db}) * (e.b[2] - e.a[2])]] ELSE [] END AS kept"
+            f" FROM (SELECT *, unnest(list_transform(range(1, len(ring) + 1), lambda k: {{'a': ring[k], 'b': ring[k % len(ring) + 1]}})) AS e, unnest(range(1, len(ring) + 1)) AS n FROM c{k - 1})),"
+            f" c{k} AS (SELECT area_id, zone, north, i, j, x0, y0, x1, y1, flatten(list(kept ORDER BY n)) AS ring FROM e{k} GROUP BY ALL HAVING len(flatten(list(kept))) > 0)"
+        )
+    parts.append("areas AS (SELECT area_id, zone, north, i, j, abs(list_sum(list_transform(range(1, len(ring) + 1), lambda k: ring[k][1] * ring[k % len(ring) + 1][2] - ring[k % len(ring) + 1][1] * ring[k][2]))) / 2 AS area, ring FROM c4 WHERE len(ring) >= 3)")
+    parts.append("corners AS (SELECT area_id, zone, north, i, j, area, p[1] AS x, p[2] AS y FROM (SELECT *, unnest(ring) AS p FROM areas WHERE area > 1))")
+    return ", " + ",\n".join(parts) + f""" SELECT area_id, (CASE WHEN north THEN 32600 ELSE 32700 END + zone)::INTEGER AS epsg, i::INTEGER AS i, j::INTEGER AS j, round(min(lon), 6) AS lon_min, round(min(lat), 6) AS lat_min, round(max(lon), 6) AS lon_max, round(max(lat), 6) AS lat_max,
+  round(area / 10000, 1) AS hectares FROM ({to_lonlat_sql("corners")}) GROUP BY area_id, zone, north, i, j, area"""
+
+
+@query(views.with_views("v_area", _cut_sql()))
 def polygon_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of the triangle of every area, cut in UTM: together they cover it once, and one zone serves all."""
+    """About 25 tiles of the triangle of every area, cut to it in UTM: boxes in degrees and hectares of what is inside."""
     ring = F.array(F.array("lon_min", "lat_min"), F.array("lon_max", "lat_min"), F.array("lon_min", "lat_max"), F.array("lon_min", "lat_min"))
     rings = views.areas(spark, sf_dir).select("area_id", ring.alias("ring")).distinct()
-    whole = tiling.polygon_tiles(rings, side_m=1e7).select("area_id", F.col("area_m2").alias("whole"))
-    parts = tiling.polygon_tiles(rings, 25).groupBy("area_id").agg(F.sum("area_m2").alias("parts"), F.countDistinct("epsg").cast("int").alias("one_zone"))
-    return parts.join(whole, "area_id").select("area_id", F.round(F.col("parts") / F.col("whole"), 9).cast("int").alias("tiles"), "one_zone")
+    tiles = tiling.polygon_tiles(rings, 25).where("area_m2 > 1")
+    return tiles.select("area_id", F.col("epsg").cast("int").alias("epsg"), "i", "j", *[F.round(n, 6).alias(n) for n in ("lon_min", "lat_min", "lon_max", "lat_max")], F.round(F.col("area_m2") / 10000, 1).alias("hectares"))
 
 
 @query(views.with_views("v_area", " SELECT area_id, row_number() OVER (ORDER BY round((lon_max - lon_min) * (lat_max - lat_min) * (1 + 30 / 365.0), 12) DESC, area_id) AS place FROM v_area"))
@@ -457,9 +481,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EV} SELECT event_id, round(avg(seconds) OVER (PARTITION BY grp ORDER BY completed_at, event_id ROWS 19 PRECEDING), 6) AS rolling, count(*) OVER (PARTITION BY grp ORDER BY completed_at, event_id ROWS 99 PRECEDING) AS kept FROM ev")
 def rolling_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = Window.partitionBy("grp").orderBy("completed_at", "event_id").rowsBetween(-99, 0)
-    out = progress.rolling_mean(_events(spark, sf_dir)).withColumn("kept", F.count("*").over(last))
-    return out.select("event_id", F.round("rolling", 6).alias("rolling"), "kept")
+    return progress.rolling_mean(_events(spark, sf_dir)).select("event_id", F.round("rolling", 6).alias("rolling"), "kept")
 
 
 @query(f"""WITH {_EV}, w AS (SELECT *, row_number() OVER o AS done, first_value(completed_at) OVER r AS f, count(*) OVER r AS n, min(completed_at) OVER o AS s FROM ev
@@ -474,6 +496,21 @@ def time_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.time_statistics(_events(spark, sf_dir)).withColumns({n: F.round(n, 6) for n in ("mean", "per_hour")})
 
 
+@query(f"""WITH {_EV}, z AS (SELECT grp, completed_at AS a, completed_at + (event_id % 7) * 900.0 AS b FROM ev WHERE event_id % 5 = 0 AND event_id % 7 > 0
+), s AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY grp ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM z
+), m AS (SELECT grp, min(a) AS a, max(b) AS b FROM (SELECT *, sum(begins) OVER (PARTITION BY grp ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM s) GROUP BY grp, i
+), p AS (SELECT ev.*, coalesce((SELECT sum(least(m.b, ev.completed_at) - m.a) FROM m WHERE m.grp = ev.grp AND m.a < ev.completed_at), 0) AS paused FROM ev
+), w AS (SELECT *, row_number() OVER o AS done, first_value(completed_at - paused) OVER r AS f, count(*) OVER r AS n, min(completed_at - paused) OVER o AS s FROM p
+  WINDOW o AS (PARTITION BY grp ORDER BY completed_at - paused, event_id ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY grp ORDER BY completed_at - paused, event_id ROWS 29 PRECEDING))
+SELECT event_id, round(paused, 3)::DOUBLE AS paused, round(greatest(0, 2000 - done) * CASE WHEN n > 1 AND completed_at - paused > f THEN (completed_at - paused - f) / (n - 1) ELSE (completed_at - paused - s) / done END, 3)::DOUBLE AS remaining FROM w""")
+def remaining_without_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time left by rates that leave out the pauses, which may overlap."""
+    e = _events(spark, sf_dir)
+    pauses = e.where((F.col("event_id") % 5 == 0) & (F.col("event_id") % 7 > 0)).select("grp", F.col("completed_at").alias("paused_at"), (F.col("completed_at") + F.col("event_id") % 7 * 900.0).alias("resumed_at"))
+    active = progress.without_pauses(e, pauses)
+    return progress.remaining_seconds(active, 2000).select("event_id", F.round("paused", 3).alias("paused"), F.round("remaining", 3).alias("remaining"))
+
+
 @query(f"""WITH {_EV}, f AS (SELECT *, coalesce(abs(seconds - lag(seconds) OVER (PARTITION BY grp ORDER BY completed_at, event_id)) < 60, false) AS flat FROM ev
 ), i AS (SELECT *, sum((NOT flat)::INT) OVER (PARTITION BY grp ORDER BY completed_at, event_id ROWS UNBOUNDED PRECEDING) AS island FROM f)
 SELECT event_id, sum(flat::INT) OVER (PARTITION BY grp, island ORDER BY completed_at, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS stalled FROM i""")
