@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitile.operators import bands, blocks, polygons, progress, status, tiling, warp
-from orbitile.sources import geotiff
-from orbitile.sources.storage import work_folder
+from orbitile.sources import geotiff, publish, shapefile
+from orbitile.sources.storage import stored, work_folder
 
 from . import views
 from .pixel_queries import CUT, MOSAIC, _MOSAIC_SQL, _mosaic, _mosaic_blocks
@@ -192,3 +192,54 @@ def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = blocks.to_pixels(back, keys=["file", "level", "band"], block=side).where("value IS NOT NULL").where("level <> 2 OR row >= 10")
     placed = F.sum(F.col("value") * (F.col("row") * 41 + F.col("col")))
     return cells.groupBy("file", "level", "band").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"), F.round(placed, 3).alias("placed"))
+
+
+@query(views.with_views("v_chip", _MOSAIC_SQL + " SELECT 'm' || o.s_suppkey AS file, CASE WHEN m.mosaic IS NULL THEN 'file_not_found' ELSE 'ok' END AS status FROM supplier o LEFT JOIN (SELECT DISTINCT mosaic FROM mo) m ON m.mosaic = o.s_suppkey"))
+def validated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of mosaics, checked where they are expected: one for each supplier."""
+    grids = blocks.to_blocks(_mosaic(spark, sf_dir), keys=["mosaic"], value="value", height=MOSAIC, width=MOSAIC, block=MOSAIC)
+    rows = grids.withColumns({"level": F.lit(1), "band": F.lit(1), "file": F.concat(F.lit("m"), F.col("mosaic").cast("string"))})
+    folder = work_folder(spark, "rasters")
+    geotiff.write_geotiffs(rows, folder, block=MOSAIC, epsg=32636, x0=0.0, y0=0.0, step=10.0)
+    expected = views.read(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("file"))
+    return geotiff.validated(expected, folder)
+
+
+@query("SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS tiles, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
+def published_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months published in one step after their rows and checksums were read back; intermediates go after that."""
+    d = F.col("o_orderdate")
+    tiles = stored(views.read(spark, sf_dir, "orders").select(F.year(d).cast("long").alias("year"), F.month(d).cast("long").alias("month"), "o_totalprice"), "tiles")
+    months = tiles.groupBy("year", "month").agg(F.count("*").alias("tiles"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    root = work_folder(spark, "published")
+    publish.publish(spark, {"months": months, "mosaics": months.select("year", "month")}, root, intermediates=tuple({f.rsplit("/", 1)[0] for f in tiles.inputFiles()}))
+    return publish.read(spark, root, "months")
+
+
+@query(views.with_views("v_area", " SELECT (area_id % 3)::INTEGER AS part, count(*) AS n, round(min(lon_min), 6) AS lon_min, round(max(lat_max), 6) AS lat_max FROM v_area GROUP BY ALL"))
+def shapefiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas as shapefiles, three sets of them, and what the headers of their shapes say."""
+    c = F.col
+    ring = F.array(*[F.array(c(x), c(y)) for x, y in (("lon_min", "lat_min"), ("lon_max", "lat_min"), ("lon_max", "lat_max"), ("lon_min", "lat_max"))])
+    rows = views.areas(spark, sf_dir).select(F.concat(F.lit("part-"), (c("area_id") % 3).cast("string")).alias("file"), F.array(F.array(ring)).alias("parts"), c("area_id").alias("area identifier"), c("lon_min").alias("1st longitude"))
+    folder = work_folder(spark, "shapes")
+    shapefile.write_shapefiles(rows, folder)
+    heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.sh[px]").load(folder)
+
+    def little(at: int) -> F.Column:
+        """Eight bytes as hexadecimal, the last one first."""
+        digits = F.hex(F.substring("content", at, 8))
+        return F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)])
+
+    number = F.regexp_extract("path", r"part-(\d)", 1).cast("int").alias("part")
+    shp = heads.where("path LIKE '%.shp'").select(number, little(37).alias("x"), little(61).alias("y"))
+    shx = heads.where("path LIKE '%.shx'").select(number, ((F.length("content") - 100) / 8).cast("long").alias("n"))
+
+    def double(bits: F.Column) -> F.Column:
+        """The number of sixteen digits, the sign first."""
+        high = F.conv(F.substring(bits, 1, 8), 16, 10).cast("long")
+        low = F.conv(F.substring(bits, 9, 8), 16, 10).cast("double")
+        sign, power = F.when(high >= 2**31, -1.0).otherwise(1.0), F.shiftright(high, 20).bitwiseAND(2047)
+        return sign * (1 + (high.bitwiseAND(2**20 - 1).cast("double") * 2.0**32 + low) / 2.0**52) * F.pow(F.lit(2.0), power - 1023)
+
+    return shp.join(shx, "part").select("part", "n", F.round(double(c("x")), 6).alias("lon_min"), F.round(double(c("y")), 6).alias("lat_max"))

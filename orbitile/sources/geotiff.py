@@ -278,3 +278,51 @@ def write_geotiffs(blocks: DataFrame, folder: str, **options) -> None:
 def read_geotiffs(spark: SparkSession, folder: str) -> DataFrame:
     register(spark)
     return spark.read.format("geotiff").load(folder)
+
+
+#: Bytes below which a file is too small to be whole, and bands of which a tile is read.
+LEAST_BYTES, BANDS_TRIED = 1_024, 4
+
+
+def file_status(path: str) -> str:
+    """The first check that a file fails, else ok: there, not empty, not too small, readable, of some size, with bands, and a tile of each of the first bands."""
+    if not os.path.exists(path):
+        return "file_not_found"
+    size = os.path.getsize(path)
+    if size < LEAST_BYTES:
+        return "file_too_small" if size else "empty_file"
+    try:
+        tags = directories(path)[0]
+    except (ValueError, struct.error, IndexError, MemoryError, OverflowError, OSError):
+        return "io_error"
+    if not (tags.get(WIDTH, (0,))[0] and tags.get(LENGTH, (0,))[0]):
+        return "zero-dim"
+    bands = tags.get(SAMPLES, (0,))[0]
+    if not bands:
+        return "no_bands"
+    each = len(tags[TILE_OFFSETS]) // bands
+    with open(path, "rb") as f:
+        for band in range(min(bands, BANDS_TRIED)):
+            written = [k for k in range(band * each, (band + 1) * each) if tags[TILE_BYTES][k]]
+            if not written:
+                return f"band_{band + 1}_empty"
+            f.seek(tags[TILE_OFFSETS][written[0]])
+            data = f.read(tags[TILE_BYTES][written[0]])
+            try:
+                cells = zlib.decompress(data) if tags[COMPRESSION][0] == DEFLATE else data
+            except zlib.error:
+                return f"band_{band + 1}_read_error"
+            if len(cells) != tags[TILE_WIDTH][0] * tags[TILE_LENGTH][0] * tags[BITS][0] // 8:
+                return f"band_{band + 1}_read_error"
+    return "ok"
+
+
+def validated(files: DataFrame, folder: str) -> DataFrame:
+    """Rows (file, ...) with ``status``: each task looks at its files, and reads a few tiles of them."""
+    base = folder.removeprefix("file://")
+
+    @F.arrow_udf("string")
+    def status(names: pa.Array) -> pa.Array:
+        return pa.array(["file_not_found" if n is None else file_status(os.path.join(base, f"{n}.tif")) for n in names.to_pylist()], pa.string())
+
+    return files.withColumn("status", status(F.col("file")))
