@@ -54,3 +54,11 @@ def with_indices(pixels: DataFrame) -> DataFrame:
         }
     )
     return out.withColumn("AVI", avi(c("NDVI"), F.coalesce("MNDWI", "NDWI")))
+
+
+def mosaic_indices(mosaic: DataFrame, bands: tuple[str, ...] = ("B4", "B3", "B2", "B8", "B11", "B12")) -> DataFrame:
+    """The indices of a finished mosaic: all of them if it has the six standard bands, else it stays as it is.
+
+    A cell without a positive short-wave band has neither MNDWI nor FVI, so a mosaic without any has none.
+    """
+    return with_indices(mosaic) if set(bands) <= set(mosaic.columns) else mosaic

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitile.functions.indices import with_indices
+from orbitile.functions.indices import mosaic_indices
 from orbitile.functions.scoring import tests_before_lowering
 from orbitile.operators import gapfill, mosaic, status
 from orbitile.operators import selection as sel
@@ -38,7 +38,7 @@ def compose_month(tiles: DataFrame, pixels: DataFrame, chosen: DataFrame, sequen
     cells = stored(mosaic.best_with_step(used), "cells")
     covered = stored(gapfill.coverage_from_cells(mosaic.steps_of(cells), sequence), "coverage")
     stops = stored(gapfill.stop_step(covered), "stops")
-    image = with_indices(mosaic.until_step(cells.join(small_side(stops), "tile_id")))
+    image = mosaic_indices(mosaic.until_step(cells.join(small_side(stops), "tile_id")))
     stats = gapfill.gap_statistics(covered, stops).join(gapfill.gap_counts(sequence, stops), "tile_id")
     best = chosen.groupBy("tile_id").agg(F.count("*").alias("scenes"), F.min_by("sensor", "phase_rank").alias("dominant"))
     out = tiles.join(best, "tile_id", "left").join(stats, "tile_id", "left")

@@ -484,3 +484,18 @@ def mosaic_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = px.select("mosaic", "band", "row", "col")
     out = bk.to_pixels(filled, keys=["mosaic", "band"], block=CUT).where("value IS NOT NULL").join(held, ["mosaic", "band", "row", "col"], "left_semi")
     return out.select("mosaic", "band", "row", "col", F.round("value", 6).alias("value"))
+
+
+@query(views.with_views("v_chip", f""", t AS (SELECT grp, b::INTEGER AS band, row, col, 1000.0 + 40 * (chip % 3) AS x0, 5000.0 - 30 * (chip % 2) AS y0, CASE WHEN b = 1 OR value > 0.7 THEN value END AS value, least(row, col, 7 - row, 7 - col) AS d FROM v_chip, (SELECT unnest([1, 4]) AS b) WHERE grp % 2 = 0 OR chip % 3 > 0
+), e AS (SELECT grp, min(x0) AS x, max(y0) AS y FROM t GROUP BY grp
+), w AS (SELECT grp, band, (row + (y - y0) / 10)::INTEGER AS row, (col + (x0 - x) / 10)::INTEGER AS col, CASE WHEN value > 0 THEN value END AS value, {_W.format("-")} AS w FROM t JOIN e USING (grp)
+), m AS (SELECT grp, band, row, col, sum(value * w) / nullif(sum(CASE WHEN value IS NOT NULL THEN w END), 0) AS value FROM w GROUP BY ALL
+), near AS (SELECT a.grp, a.row, a.col, arg_min(b.value, ((a.row - b.row) ** 2 + (a.col - b.col) ** 2) * 10000 + b.row * 100 + b.col) AS v FROM m a JOIN m b ON a.grp = b.grp AND a.band = 4 AND b.band = 4 AND a.value IS NULL AND b.value IS NOT NULL AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 9 GROUP BY ALL)
+SELECT grp, band, row, col, round(coalesce(m.value, CASE WHEN band = 4 THEN near.v END), 4) AS value FROM m LEFT JOIN near USING (grp, row, col)"""))
+def merged_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles placed by their corners, feathered, and then filled from the fourth band on."""
+    c = F.col
+    t = views.chips(spark, sf_dir).where((c("grp") % 2 == 0) | (c("chip") % 3 > 0)).withColumn("band", F.explode(F.array(F.lit(1), F.lit(4))))
+    known = masks.valid_pixel(c("value")) & ((c("band") == 1) | (c("value") > 0.7))
+    t = t.select("grp", "band", "row", "col", (1000.0 + 40 * (c("chip") % 3)).alias("x0"), (5000.0 - 30 * (c("chip") % 2)).alias("y0"), F.lit(10.0).alias("step"), F.when(known, c("value")).alias("value"))
+    return mo.merge_tiles(t, SIDE, 3, 3, keys=["grp"], block=SIDE).select("grp", "band", "row", "col", F.round("value", 4).alias("value"))

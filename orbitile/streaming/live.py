@@ -72,9 +72,13 @@ def drain(stream: DataFrame, mode: str, folder: str, *, keys: list[str] | None =
 
     running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     running.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)  # the source had nothing, so there was no batch
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/out")
     if mode == "complete":
-        return out.where(F.col("batch") == running.lastProgress["batchId"]).drop("batch")
+        last = out.agg(F.max("batch")).first()[0]
+        return out.where(F.col("batch") == F.lit(last)).drop("batch")
     if mode == "update":
         rest = F.struct(*[c for c in stream.columns if c not in keys])
         return out.groupBy(*keys).agg(F.max_by(rest, "batch").alias("r")).select(*keys, "r.*")

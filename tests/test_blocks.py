@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orbitile.functions.indices import mosaic_indices
 from orbitile.operators import blocks as bk
-from orbitile.operators import raster
+from orbitile.operators import mosaic, raster
 
 
 def as_blocks(spark, grids, block):
@@ -147,3 +148,15 @@ def test_masks_without_values(spark):
     scaled = {(r.chip, r.col): r.value for r in raster.scaled(px).collect()}
     assert scaled[2, 0] == 1.0 and scaled[2, 1] == pytest.approx(0.2) and scaled[3, 0] == 1.5 and scaled[1, 0] is None
     assert bk.to_blocks(px.where(F.lit(False)), keys=["chip"], value="value", height=1, width=2).count() == 0
+
+
+def test_indices_of_a_mosaic(spark):
+    six = spark.createDataFrame([(1, 0.2, 0.3, 0.1, 0.5, 0.0, 0.2)], "id long, B4 double, B3 double, B2 double, B8 double, B11 double, B12 double")
+    row = mosaic_indices(six).first()
+    assert row.NDVI == pytest.approx(0.3 / 0.7) and row.MNDWI is None and row.FVI is None
+    assert mosaic_indices(six.drop("B12")).columns == six.drop("B12").columns
+
+
+def test_no_tiles_no_mosaic(spark):
+    none = spark.createDataFrame([], "grp long, band int, x0 double, y0 double, step double, row int, col int, value double")
+    assert mosaic.merge_tiles(none, 8, 3, 3, keys=["grp"]).collect() == []

@@ -44,3 +44,11 @@ def test_a_file_is_taken_once_and_counts_go_on(spark, tmp_path):
         assert {tuple(r) for r in drained(live.running_usage(stream), "complete", tmp_path / "c").collect()} == wanted
         if more:
             spark.createDataFrame(more, schema).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def test_an_empty_source_has_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for mode, keys in (("complete", None), ("update", ["sensor"])):
+        stream = live.running_usage(live.scene_stream(spark, str(tmp_path / "in"), "sensor string, score double"))
+        out = drained(stream, mode, tmp_path / mode, keys)
+        assert out.collect() == [] and out.columns == ["sensor", "n", "best"]
