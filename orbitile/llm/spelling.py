@@ -25,8 +25,8 @@ LETTERS = r"[A-Za-zÀ-ÿ]+"
 MIN_LENGTH, MIN_COUNT = 6, 5
 #: A form occurs this many times as often as its variant, at least.
 RATIO = 5
-#: Words of a run from which it is subdivided; rows of a tile of pairs.
-RUN_ROWS, TILE = 512, 256
+#: Words of a run from which it is subdivided; rows of a tile of pairs; rows of the dictionaries that one task scans.
+RUN_ROWS, TILE, ROWS_PER_TASK = 512, 256, 100_000
 #: Of the runs of letters, every such one (by its hash) loses a code point, so that a clean corpus has variants.
 DAMAGE = 199
 
@@ -87,19 +87,20 @@ def subdivided(members: DataFrame) -> DataFrame:
     return forward.unionByName(mirrored)
 
 
-def split_long_runs(members: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    """Rows of runs with two words at least, and with at most ``run_rows`` where more than one code point is not shared.
+def split_long_runs(members: DataFrame, run_rows: int = RUN_ROWS) -> tuple[DataFrame, int]:
+    """Rows, and their number, of runs with two words at least, and with at most ``run_rows`` where more than one code point is not shared.
 
     Each round halves what is not shared, so there are at most as many as the logarithm of the longest word;
     a run that differs in one code point only has a word for each letter of the alphabet, or each two.
     """
-    done = []
+    done, total = [], 0
     while True:
         sizes = members.groupBy(*RUN).agg(F.count("*").alias("rows")).where("rows > 1")
         sizes = materialise(sizes)
         can = F.col("length") - F.col("front") - F.col("back") > 1
-        long_runs = sizes.where((F.col("rows") > run_rows) & can)
-        n_long, n = sizes.agg(F.count_if((F.col("rows") > run_rows) & can), F.count("*")).first()
+        is_long = (F.col("rows") > run_rows) & can
+        n_long, n, rows = sizes.agg(F.count_if(is_long), F.count("*"), F.coalesce(F.sum(F.when(~is_long, F.col("rows"))), F.lit(0))).first()
+        total += rows
 
         def of(some: DataFrame, count: int, members: DataFrame = members) -> DataFrame:
             right = some.select(*RUN)
@@ -108,12 +109,12 @@ def split_long_runs(members: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
         if not n_long:
             done.append(of(sizes, n))
             break
-        done.append(of(sizes.where(~((F.col("rows") > run_rows) & can)), n))
-        members = materialise(subdivided(of(long_runs, n_long)))
+        done.append(of(sizes.where(~is_long), n))
+        members = materialise(subdivided(of(sizes.where(is_long), n_long)))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out, total
 
 
 def _matrix(words: list[str], width: int) -> np.ndarray:
@@ -177,9 +178,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_words(words: DataFrame, *, run_rows: int = RUN_ROWS) -> DataFrame:
     """(word, near, near_n): every two words (word, n) that differ by exactly one edit, in both directions, once."""
-    members = split_long_runs(dictionaries(words), run_rows)
-    # equal runs go to one range, in which they are one run of rows
-    dealt = members.repartitionByRange(*RUN).sortWithinPartitions(*RUN, "word")
+    members, rows = split_long_runs(dictionaries(words), run_rows)
+    # equal runs go to one range, in which they are one run of rows; ranges are as many as the rows ask for
+    dealt = members.repartitionByRange(max(1, -(-rows // ROWS_PER_TASK)), *RUN).sortWithinPartitions(*RUN, "word")
     return dealt.mapInArrow(_scan, NEAR)
 
 
