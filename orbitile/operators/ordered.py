@@ -13,12 +13,16 @@ from orbitile.sources.storage import numbered, stored
 RANGE = 10_000
 
 
-def placed(rows: DataFrame, key: str, *order: str, rows_per_range: int = RANGE) -> DataFrame:
-    """The rows, stored, with their ``place`` in their group from 0, the group's ``first_place`` over all, and their ``range``."""
+def placed(rows: DataFrame, key: str, *order: str, rows_per_range: int = RANGE, once: bool = False) -> DataFrame:
+    """The rows with their ``place`` in their group from 0, the group's ``first_place`` over all, and their ``range``.
+
+    They are stored, unless they are read ``once``.
+    """
     out = numbered(rows, F.col(key), *[F.col(c) for c in order], name="place")
     starts = out.groupBy(F.col(key).alias("__key")).agg(F.min("place").alias("first_place"))
     out = out.join(starts, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").withColumn("place", F.col("place") - F.col("first_place"))
-    return stored(out.withColumn("range", F.floor(F.col("place") / rows_per_range)), "placed")
+    out = out.withColumn("range", F.floor(F.col("place") / rows_per_range))
+    return out if once else stored(out, "placed")
 
 
 def rolling(rows: DataFrame, key: str, n: int, columns: dict[str, Callable[[Window], Column]], *, rows_per_range: int = RANGE) -> DataFrame:

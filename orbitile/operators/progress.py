@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from orbitile.operators.ordered import RANGE, carried, placed, rolling
 
 
-def _placed(events: DataFrame, key: str, rows_per_range: int) -> DataFrame:
-    return placed(events, key, "completed_at", "event_id", rows_per_range=rows_per_range)
+def _placed(events: DataFrame, key: str, rows_per_range: int, *, once: bool = True) -> DataFrame:
+    return placed(events, key, "completed_at", "event_id", rows_per_range=rows_per_range, once=once)
 
 
 def rolling_mean(events: DataFrame, n: int = 20, *, kept: int = 100, key: str = "grp", rows_per_range: int = RANGE) -> DataFrame:
