@@ -10,7 +10,8 @@ answer the paths that blocks of texts ask for.
 The corpus is turned once into blocks: the documents of a batch as numbers of the block's own words.
 Words go, once per block, to word shards; distinct paths of three words go, once per block and pass, to
 the shard of their first word.  A frequent first word is spread by its second, and a frequent pair, whose
-exact count all shards know, by its third.  Nothing that grows with the corpus passes through the driver or is broadcast.
+exact count all shards know, by its third.  Those pairs, up to eight for every shard, pass through the driver and
+stand in the closures of the tasks; paths do not.  Every block sends a message to each shard that it has paths for.
 
 P(w | uv) = c(uvw) / (c(uv) + t(uv)) + t(uv) / (c(uv) + t(uv)) * P(w | v), in the same way P(w | v)
 from P(w), where t(h) = c(h) ** GROWTH stands for the kinds of words after h.  P(w) discounts every
