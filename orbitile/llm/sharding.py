@@ -59,7 +59,8 @@ def interleave(docs: DataFrame, n_shards: int = 40, *, seed: int = 7) -> DataFra
     buckets plus counted offsets, and the global order from row numbers within slices of the
     fraction, whose offsets follow from the source counts alone.  Buckets and slices grow in number
     with the rows, slices up to ``MAX_CELLS`` of them times sources and from there on in length; places are
-    whole numbers of 64 bits, which suffice for about 9 x 10^10 rows of one source.  Only rows that are equal in every column cannot be told apart and meet in one task.
+    whole numbers of 64 bits, which suffice for about 9 x 10^10 rows of one source.  Only rows that are
+    equal in every column cannot be told apart and meet in one task.
 
     Null sources form a source of their own, ordered last.  Repeated rows take neighbouring
     ranks.  With fewer rows than shards some shards stay empty; an empty table gives none.
