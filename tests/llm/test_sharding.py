@@ -83,3 +83,29 @@ def test_maps_count_as_json(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, props map<string, string>")
     first, again = (sorted((r.props["k"], r.shard, r.slot) for r in sharding.interleave(docs.repartition(n), 4).collect()) for n in (1, 4))
     assert first == again
+
+
+def test_starts_of_slices(spark, monkeypatch):
+    """Starts are sums of closed forms over all sources, in any number of runs and beyond products of 64 bits."""
+    monkeypatch.setattr(sharding, "SLICES_PER_RUN", 16)
+    sizes, slices = [1, 3, 50, 99, 100, 101, 5000, 3 * 10**15], 100
+    sources = spark.createDataFrame([(n,) for n in sizes], "n long")
+    got = {r[0]: r[1] for r in sharding.slice_starts(sources, slices).collect()}
+    want = {j: sum(((2 * n * j + slices - 1) // slices) // 2 for n in sizes) for j in range(slices)}
+    assert got == want
+
+
+def test_slices_of_a_source_beyond_64_bits(spark):
+    """(2r - 1) * slices passes 2^63 from about 9.6e10 rows of one source on."""
+    n = 10**12
+    slices, ranks = n // 2000, [1, 2, n // 3, n - 1, n]
+    rows = spark.createDataFrame([(r, n) for r in ranks], "__r long, __n long")
+    got = rows.select(F.expr(sharding._div("2 * __r - 1", str(slices), "2 * __n"))).collect()
+    assert [r[0] for r in got] == [(2 * r - 1) * slices // (2 * n) for r in ranks]
+
+
+def test_more_sources_than_rows_of_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 4)
+    data = [(i, "t", "en", f"s{i % 61}" if i % 3 else None, 1, 1, "c", "c", "c", "c", "c") for i in range(300)]
+    out = sharding.interleave(cases.table(spark, data).repartition(3), 9).collect()
+    assert sorted(((r.doc_id, r.shard, r.slot) for r in out)) == sorted(brute(data, 9))
