@@ -287,3 +287,45 @@ WITH RECURSIVE each_run AS (
 ), ends AS (SELECT f.word, f.root FROM follow f JOIN forms g ON f.root = g.word WHERE g.form IS NULL)
 SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN ends USING (word)
 """
+
+# The same hash over whole texts, a byte at a time by the table of the eight steps of each byte.
+_CRC32_TABLE = """SELECT list(list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps FROM range(256) r(b)"""
+
+# All rows in the order of their fraction of the source, cut at whole numbers of a shard.
+ORACLE_SQL["op7_sharding"] = f"""
+WITH crc AS ({_CRC32_TABLE}
+), d AS (
+  SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 16 AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM documents
+), hashed AS (
+  SELECT doc_id, source, size, h,
+         xor(4294967295, list_reduce([4294967295::BIGINT] || bytes, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM d, crc
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM hashed
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * n), source NULLS LAST, r) - 1 AS p FROM ranked
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (p * 40 // total)::INT AS shard,
+       (p - ((p * 40 // total) * total + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM ordered
+"""
+
+# Every pair of texts that share a shingle, by the sizes of their sets and of what they share; components by recursion.
+ORACLE_SQL["op10_neardup"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+), least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = w.doc_id AS kept
+FROM w JOIN least_of USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
