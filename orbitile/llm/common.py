@@ -38,9 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/orbitile-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None, *, by: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder (or a path in it) and read it back.
 
+    Rows of each value of ``by``, if given, are kept apart, so that readers of one don't meet the others.
     The result survives lost executors and is not computed twice.  Shuffle files of the
     write are dropped at once where this Spark version can do so.
     """
@@ -50,7 +51,7 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         if before is None:
             spark.conf.unset(key)

@@ -4,12 +4,13 @@
 folder: for every shard a level of words with their numbers and counts, from which their probabilities and
 weights follow, and a three-level trie whose quantised values are the smoothed shares of pairs and triples and
 the weights that pairs leave to shorter contexts.  ``score_blocks``
-is a pass of its own that can follow at any time, over any rows: tasks map the trie of their shard and
+is a pass of its own that can follow at any time, over any rows (of the rows just learned it asks only what ``learn``
+hasn't answered): tasks map the trie of their shard and
 answer the paths that blocks of texts ask for.
 
 The corpus is turned once into blocks: the documents of a batch as numbers of the block's own words.
-Words go, once per block, to word shards; distinct paths of three words go, once per block and pass, to
-the shard of their first word.  A frequent first word is spread by its second, and a frequent pair, whose
+Words go, once per block, to word shards; distinct paths of three words go, once per block, to
+the shard of their first word: those of training texts to be counted and answered, all others to be answered.  A frequent first word is spread by its second, and a frequent pair, whose
 exact count all shards know, by its third.  Those pairs, up to eight for every shard, pass through the driver and
 stand in the closures of the tasks; paths do not.  Every block sends a message to each shard that it has paths for.
 
@@ -164,14 +165,14 @@ class Block:
 
 
 class Paths:
-    """The distinct paths of three words in a block, by the model's numbers and in the order of their shards.
+    """The distinct paths of three words in a block, by the model's numbers.
 
     A text of n tokens has n + 1 of them: each token behind the two before it, and last the mark
     that ends the text, for the sake of the pair before it.
     """
 
-    def __init__(self, block: Block, numbers: np.ndarray, counts: np.ndarray, model: Model, *, train_only: bool):
-        self.block, self.counts = block, counts
+    def __init__(self, block: Block, numbers: np.ndarray, counts: np.ndarray, model: Model):
+        self.block, self.counts, self.model = block, counts, model
         n, k = len(block.tokens), len(block.sizes)
         self.at = np.arange(n) + np.repeat(np.arange(k), block.sizes)  # places of tokens among tokens and marks
         begins = block.starts + np.arange(k)
@@ -187,17 +188,15 @@ class Paths:
         size = len(names)
         pair, in_pair = np.unique(rank[first] * size + rank[second], return_inverse=True)
         path, self.of = np.unique(in_pair * size + rank[third], return_inverse=True)
-        seen = np.bincount(self.of, weights=of_train, minlength=len(path)).astype(np.int64)
-        w1, w2, w3 = names[pair[path // size] // size], names[pair[path // size] % size], names[path % size]
+        self.seen = np.bincount(self.of, weights=of_train, minlength=len(path)).astype(np.int64)
+        self.words = names[pair[path // size] // size], names[pair[path // size] % size], names[path % size]
         self.c1 = self._by_name(names, rank, counts)[pair[path // size] // size]
-        asked = (seen > 0) if train_only else (w1 != UNKNOWN) & (w2 != UNKNOWN)
-        shard = np.where(asked, model.shard_of(w1, w2, w3, self.c1), model.n_shards)
-        self.order = np.argsort(shard, kind="stable")[: int(asked.sum())]
-        self.w1, self.w2, self.w3, self.seen, self.shard = (x[self.order] for x in (w1, w2, w3, seen, shard))
-        new = np.ones(len(self.order), bool)
-        new[1:] = (self.w1[1:] != self.w1[:-1]) | (self.shard[1:] != self.shard[:-1])
-        self.new1, self.new2 = new, new.copy()
-        self.new2[1:] |= self.w2[1:] != self.w2[:-1]
+
+    def asking(self, which: str) -> Asking:
+        """The paths of training texts (``train``), the others that training may know (``rest``), or both (``all``)."""
+        known = (self.words[0] != UNKNOWN) & (self.words[1] != UNKNOWN)
+        wanted = {"train": self.seen > 0, "rest": known & (self.seen == 0), "all": known}[which]
+        return Asking(self, np.flatnonzero(wanted))
 
     def _by_name(self, names: np.ndarray, rank: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Counts as contexts by rank: as many texts begin as end."""
@@ -207,6 +206,21 @@ class Paths:
         out[rank[-1]] = counts[self.block.end]
         return out
 
+
+class Asking:
+    """Some of the paths of a block, in the order of their shards."""
+
+    def __init__(self, paths: Paths, wanted: np.ndarray):
+        shard = paths.model.shard_of(*(w[wanted] for w in paths.words), paths.c1[wanted])
+        order = np.argsort(shard, kind="stable")
+        self.order, self.shard = wanted[order], shard[order]
+        self.w1, self.w2, self.w3 = (w[self.order] for w in paths.words)
+        self.seen = paths.seen[self.order]
+        new = np.ones(len(self.order), bool)
+        new[1:] = (self.w1[1:] != self.w1[:-1]) | (self.shard[1:] != self.shard[:-1])
+        self.new1, self.new2 = new, new.copy()
+        self.new2[1:] |= self.w2[1:] != self.w2[:-1]
+
     def messages(self, *, with_counts: bool) -> Iterator[tuple[int, bytes]]:
         """For each shard its words, pairs below them and third words below those (and the counts of those paths)."""
         at1, at2 = np.flatnonzero(self.new1), np.flatnonzero(self.new2)
@@ -416,89 +430,108 @@ def frequent_pairs(share: float, wanted: np.ndarray | None = None) -> Callable:
     return run
 
 
-def ask_paths(model: Model, *, train: bool) -> Callable:
+def ask_paths(model: Model, which: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _groups(batches, "block"):
-            paths = Paths(*_known(rows[0]), model, train_only=train)
-            for shard, payload in paths.messages(with_counts=train):
+            asking = Paths(*_known(rows[0]), model).asking(which)
+            for shard, payload in asking.messages(with_counts=which == "train"):
                 yield _rows([(number, "paths", shard, payload)])
 
     return run
 
 
+def trie_of(a: Asked, model: Model) -> bytes:
+    """The trie of a shard, from the counted paths of all blocks."""
+    words, where1 = np.unique(a.u1, return_inverse=True)
+    names, of_name = np.unique(np.concatenate([a.u2, a.w3]), return_inverse=True)
+    size = len(names)
+    pairs, in_pair = np.unique(where1[a.of1] * size + of_name[: len(a.u2)], return_inverse=True)
+    paths, in_path = np.unique(in_pair[a.of2] * size + of_name[len(a.u2) :], return_inverse=True)
+    c3 = np.bincount(in_path, weights=a.seen, minlength=len(paths))
+    parent2, word2 = pairs // size, names[pairs % size]
+    parent3, word3 = paths // size, names[paths % size]
+    c2 = np.bincount(parent3, weights=c3, minlength=len(pairs))
+    exact = model.pair_counts(words[parent2], word2)  # of a pair that is spread, this shard has a part only
+    c2 = np.where(exact > 0, exact, c2)
+    inner = word3 != EDGE
+    parent3, word3, c3 = parent3[inner], word3[inner], c3[inner]
+    # shares in units of their contexts, which few values occur of
+    return Trie.build(words, parent2, word2, parent3, word3, own2=c2, rest2=_rest(c2), own3=c3)
+
+
+def _codes(a: Asked, data: bytes) -> Iterator[bytes]:
+    """Codes for the paths of each message, of pairs and of whole paths, in its order."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "trie")
+        with open(path, "wb") as f:
+            f.write(data)
+        del data
+        trie = Trie.open(path)
+        node1 = trie.roots(a.u1)
+        node2 = trie.children("pairs", "first", node1[a.of1], a.u2)
+        node3 = trie.children("triples", "second", node2[a.of2], a.w3)
+        codes = [trie.codes("own2", node2), trie.codes("rest2", node2), trie.codes("own3", node3)]
+        scale = np.array([x for name in Trie.VALUES for x in (getattr(trie, name).low, getattr(trie, name).step)])
+        del trie
+    for k in range(len(a.ends[0])):
+        cut = [slice(e[k - 1] if k else 0, e[k]) for e in a.ends]
+        yield pack(codes[0][cut[0]], codes[1][cut[0]], codes[2][cut[1]], scale)
+
+
 def build_tries(model: Model) -> Callable:
-    """The trie of each shard, from the counted paths of all blocks."""
+    """The trie of each shard, and its answers to the messages that it was built from: those are not sent again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches, "shard"):
-            a = Asked([r["payload"] for r in rows])
-            words, where1 = np.unique(a.u1, return_inverse=True)
-            names, of_name = np.unique(np.concatenate([a.u2, a.w3]), return_inverse=True)
-            size = len(names)
-            pairs, in_pair = np.unique(where1[a.of1] * size + of_name[: len(a.u2)], return_inverse=True)
-            paths, in_path = np.unique(in_pair[a.of2] * size + of_name[len(a.u2) :], return_inverse=True)
-            c3 = np.bincount(in_path, weights=a.seen, minlength=len(paths))
-            parent2, word2 = pairs // size, names[pairs % size]
-            parent3, word3 = paths // size, names[paths % size]
-            c2 = np.bincount(parent3, weights=c3, minlength=len(pairs))
-            exact = model.pair_counts(words[parent2], word2)  # of a pair that is spread, this shard has a part only
-            c2 = np.where(exact > 0, exact, c2)
-            inner = word3 != EDGE
-            parent3, word3, c3 = parent3[inner], word3[inner], c3[inner]
-            # shares in units of their contexts, which few values occur of
-            data = Trie.build(words, parent2, word2, parent3, word3, own2=c2, rest2=_rest(c2), own3=c3)
-            yield _rows([(-1, "a trie", shard, zstandard.ZstdCompressor(level=1).compress(data))])
+            a, blocks = Asked([r["payload"] for r in rows]), [r["block"] for r in rows]
+            del rows
+            data = trie_of(a, model)
+            a.seen = None
+            yield _rows([(-1, "trie", shard, zstandard.ZstdCompressor(level=1).compress(data))])
+            for block, payload in zip(blocks, _codes(a, data), strict=True):
+                yield _rows([(block, "trained", shard, payload)])
 
     return run
 
 
 def query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes for the paths of each message, of pairs and of whole paths, in its order."""
-    for _, rows in _groups(batches, "shard"):
+    """Answers of kept tries to blocks that need not be those they were built from."""
+    for shard, rows in _groups(batches, "shard"):
         asking = [r for r in rows if r["kind"] == "paths"]
         if not asking:
             continue
-        a = Asked([r["payload"] for r in asking])
-        found = next((r["payload"] for r in rows if r["kind"] == "a trie"), None)
+        a, blocks = Asked([r["payload"] for r in asking]), [r["block"] for r in asking]
+        found = next((r["payload"] for r in rows if r["kind"] == "trie"), None)
+        del rows, asking
         if found is None:
             empty, none = np.zeros(0, np.int64), np.zeros(0)
-            found = zstandard.ZstdCompressor().compress(Trie.build(empty, empty, empty, empty, empty, own2=none, rest2=none, own3=none))
-        with tempfile.TemporaryDirectory() as folder:
-            path = os.path.join(folder, "trie")
-            with open(path, "wb") as f:
-                f.write(zstandard.ZstdDecompressor().decompress(found))
-            del found
-            trie = Trie.open(path)
-            node1 = trie.roots(a.u1)
-            node2 = trie.children("pairs", "first", node1[a.of1], a.u2)
-            node3 = trie.children("triples", "second", node2[a.of2], a.w3)
-            codes = [trie.codes("own2", node2), trie.codes("rest2", node2), trie.codes("own3", node3)]
-            scale = np.array([x for name in Trie.VALUES for x in (getattr(trie, name).low, getattr(trie, name).step)])
-            del trie
-        for k, row in enumerate(asking):
-            cut = [slice(e[k - 1] if k else 0, e[k]) for e in a.ends]
-            yield _rows([(row["block"], "codes", row["shard"], pack(codes[0][cut[0]], codes[1][cut[0]], codes[2][cut[1]], scale))])
+            data = Trie.build(empty, empty, empty, empty, empty, own2=none, rest2=none, own3=none)
+        else:
+            data = zstandard.ZstdDecompressor().decompress(found)
+        for block, payload in zip(blocks, _codes(a, data), strict=True):
+            yield _rows([(block, "codes", shard, payload)])
 
 
 SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def add_up(model: Model) -> Callable:
-    """Scores of the documents of each block from the codes that the shards answered."""
+def add_up(model: Model, which: str) -> Callable:
+    """Scores of the documents of each block from the codes that the shards answered, to training paths and to ``which``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, "block"):
             b, numbers, counts = _known(next(r for r in rows if r["kind"] == "self"))
-            p = Paths(b, numbers, counts, model, train_only=False)
+            p = Paths(b, numbers, counts, model)
+            asking = {"trained": p.asking("train"), "codes": p.asking(which)}
             n_paths = len(p.c1)
             rest1, own2, rest2, own3 = _rest(p.c1), np.zeros(n_paths), np.ones(n_paths), np.zeros(n_paths)
             c1 = np.maximum(p.c1, 1)
             for r in rows:
-                if r["kind"] == "codes":
-                    got = unpack(r["payload"])
-                    here = slice(*np.searchsorted(p.shard, (r["shard"], r["shard"] + 1)))
+                if r["kind"] in asking:
+                    got, q = unpack(r["payload"]), asking[r["kind"]]
+                    here = slice(*np.searchsorted(q.shard, (r["shard"], r["shard"] + 1)))
                     v2, w2, v3 = (Quantised.values(got[k], got[3][2 * k], got[3][2 * k + 1]) for k in range(3))
-                    to2, at = np.cumsum(p.new2[here]) - 1, p.order[here]
+                    to2, at = np.cumsum(q.new2[here]) - 1, q.order[here]
                     share, rest = v2[to2], np.where(got[1][to2] > 0, w2[to2], 1.0)
                     # the unit of a context is what it doesn't leave to shorter ones, by its own share
                     own2[at], rest2[at], own3[at] = share * (1 - rest1[at]) / c1[at], rest, v3 * (1 - rest) / np.maximum(share, 1)
@@ -520,10 +553,11 @@ def shards_for(docs: DataFrame) -> int:
     return max(4, -(-int(size) // SHARD_BYTES))
 
 
-def learn(blocks: DataFrame, n_blocks: int, n_shards: int) -> tuple[Model, DataFrame]:
+def learn(blocks: DataFrame, n_blocks: int, n_shards: int) -> tuple[Model, DataFrame, DataFrame]:
     """Train on the training rows of blocks: the model, kept in a new folder of the shared one, and the blocks with what it knows of their words.
 
-    The table of ``blocks`` is dropped once that of the second result holds all of it.
+    The table of ``blocks`` is dropped once that of the second result holds all of it.  The third result has the
+    tries' answers to the paths of the training texts, which are at their shards already.
     """
     spark = blocks.sparkSession
     folder = f"{shared_dir(spark)}/model"
@@ -546,10 +580,10 @@ def learn(blocks: DataFrame, n_blocks: int, n_shards: int) -> tuple[Model, DataF
         order = np.argsort(keys)
         model.hot, model.hot_counts = keys[order], counts[order]
     model.save(spark)
-    paths = known.mapInArrow(ask_paths(model, train=True), ROWS)
+    paths = known.mapInArrow(ask_paths(model, "train"), ROWS)
     tries = _exchange(paths, "shard", n_shards).mapInArrow(build_tries(model), ROWS)
-    materialise(tries, f"{folder}/tries")
-    return model, known
+    materialise(tries, f"{folder}/tries", by="kind")
+    return model, known, model.table(spark, "tries").where(F.col("kind") == "trained")
 
 
 def _with_words(blocks: DataFrame, answers: DataFrame, n_blocks: int, n_shards: int) -> DataFrame:
@@ -565,11 +599,17 @@ def look_up(blocks: DataFrame, n_blocks: int, model: Model) -> DataFrame:
     return _with_words(blocks, answers, n_blocks, model.n_shards)
 
 
-def score_blocks(known: DataFrame, n_blocks: int, model: Model) -> DataFrame:
-    """Scores of all rows of blocks (from ``learn`` or ``look_up``) under a model that exists already."""
-    asked = known.mapInArrow(ask_paths(model, train=False), ROWS).unionByName(model.table(known.sparkSession, "tries"))
+def score_blocks(known: DataFrame, n_blocks: int, model: Model, answered: DataFrame | None = None) -> DataFrame:
+    """Scores of all rows of blocks (from ``learn`` or ``look_up``) under a model that exists already.
+
+    What ``learn`` has ``answered`` about the paths of its training texts is not asked again.
+    """
+    which = "all" if answered is None else "rest"
+    tries = model.table(known.sparkSession, "tries").where(F.col("kind") == "trie")
+    asked = known.mapInArrow(ask_paths(model, which), ROWS).unionByName(tries)
     codes = materialise(_exchange(asked, "shard", model.n_shards).mapInArrow(query_tries, ROWS))
-    return _exchange(known.unionByName(codes), "block", n_blocks).mapInArrow(add_up(model), SCORES)
+    codes = codes if answered is None else codes.unionByName(answered)
+    return _exchange(known.unionByName(codes), "block", n_blocks).mapInArrow(add_up(model, which), SCORES)
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
@@ -583,8 +623,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     those of one unknown word, 0.  An empty table gives an empty one.  Other columns are left out.
     """
     blocks, n_blocks = as_blocks(docs, train)
-    model, known = learn(blocks, n_blocks, shards_for(docs))
-    return score_blocks(known, n_blocks, model).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    model, known, answered = learn(blocks, n_blocks, shards_for(docs))
+    return score_blocks(known, n_blocks, model, answered).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def score_with(docs: DataFrame, model: Model) -> DataFrame:

@@ -118,16 +118,28 @@ def test_scores_in_many_blocks_and_shards(spark, monkeypatch):
     docs = cases.table(spark, data).repartition(5)
     same(lm.score(docs, fold_of("doc_id", 5) != 1).collect(), brute([(r[0], r[1]) for r in data]))
     blocks, n = lm.as_blocks(docs, fold_of("doc_id", 5) != 1)
-    model, _ = lm.learn(blocks, n, 9)
+    model, *_ = lm.learn(blocks, n, 9)
     assert len(model.hot) > 0 and model.table(spark, "tries").count() > 4
 
 
+def test_answers_of_learning_are_those_of_asking(spark, monkeypatch):
+    """What ``learn`` answers about its own texts is not asked again, and no score depends on who was asked."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 400)
+    blocks, n = lm.as_blocks(cases.table(spark), F.col("doc_id") % 5 != 1)
+    model, known, answered = lm.learn(blocks, n, 6)
+    asked = {which: known.mapInArrow(lm.ask_paths(model, which), lm.ROWS).agg(F.sum(F.length("payload"))).first()[0] for which in ("all", "rest")}
+    assert asked["rest"] < asked["all"] / 2
+    assert {r.kind for r in model.table(spark, "tries").select("kind").distinct().collect()} == {"trie", "trained"}
+    with_answers, without = (sorted(map(str, lm.score_blocks(known, n, model, given).collect())) for given in (answered, None))
+    assert with_answers == without and len(without) == cases.table(spark).count()
+
+
 def test_a_kept_model_scores_other_rows(spark):
     """A model that is read again from its folder scores rows it never saw, in a pass of its own."""
     data = [r for r in cases.rows(60) if r[0] is not None]
     seen = [r for r in data if zlib.crc32(str(r[0]).encode()) % 5 != 1]
     blocks, n = lm.as_blocks(cases.table(spark, seen), F.lit(True))
-    model, _ = lm.learn(blocks, n, 4)
+    model, *_ = lm.learn(blocks, n, 4)
     again = lm.Model.load(spark, model.folder)
     got = lm.score_with(cases.table(spark, data), again).collect()
     assert all(r.held_out for r in got)
