@@ -53,6 +53,9 @@ END = int(WordHasher()([b"\n"])[0])
 #: Numbers: 0 is a word that training lacks; 1 stands before a text as a context, and behind it ends a path; words follow.
 UNKNOWN, EDGE, FIRST_WORD = 0, 1, 2
 
+#: Numbers of pairs and paths stay below this.
+LARGEST = 2**62
+
 ROWS = "block long, kind string, shard int, payload binary, n long, v long, n1 long, n2 long"
 
 
@@ -186,11 +189,14 @@ class Paths:
         of_train = np.repeat(block.train, block.sizes + 1)
         names, rank = np.unique(np.append(numbers, np.uint64(EDGE)), return_inverse=True)
         size = len(names)
-        pair, in_pair = np.unique(rank[first] * size + rank[second], return_inverse=True)
-        path, self.of = np.unique(in_pair * size + rank[third], return_inverse=True)
+        pairs, pair_at = rank[first] * size + rank[second], None
+        if size**3 >= LARGEST:  # a path's number has no room for three words
+            pair_at, pairs = np.unique(pairs, return_inverse=True)
+        path, self.of = np.unique(pairs * size + rank[third], return_inverse=True)
+        pair = path // size if pair_at is None else pair_at[path // size]
         self.seen = np.bincount(self.of, weights=of_train, minlength=len(path)).astype(np.int64)
-        self.words = names[pair[path // size] // size], names[pair[path // size] % size], names[path % size]
-        self.c1 = self._by_name(names, rank, counts)[pair[path // size] // size]
+        self.words = names[pair // size], names[pair % size], names[path % size]
+        self.c1 = self._by_name(names, rank, counts)[pair // size]
 
     def asking(self, which: str) -> Asking:
         """The paths of training texts (``train``), the others that training may know (``rest``), or both (``all``)."""
@@ -443,13 +449,17 @@ def ask_paths(model: Model, which: str) -> Callable:
 def trie_of(a: Asked, model: Model) -> bytes:
     """The trie of a shard, from the counted paths of all blocks."""
     words, where1 = np.unique(a.u1, return_inverse=True)
-    names, of_name = np.unique(np.concatenate([a.u2, a.w3]), return_inverse=True)
-    size = len(names)
-    pairs, in_pair = np.unique(where1[a.of1] * size + of_name[: len(a.u2)], return_inverse=True)
-    paths, in_path = np.unique(in_pair[a.of2] * size + of_name[len(a.u2) :], return_inverse=True)
+    second, third, names = a.u2, a.w3, None
+    size = 1 + max(int(x.max()) if x.size else 0 for x in (second, third))
+    if size * max(len(a.u2), 1) >= LARGEST:  # a word's number is too large to stand behind a pair's
+        names, of_name = np.unique(np.concatenate([second, third]), return_inverse=True)
+        second, third, size = of_name[: len(second)], of_name[len(second) :], len(names)
+    pairs, in_pair = np.unique(where1[a.of1] * size + second, return_inverse=True)
+    paths, in_path = np.unique(in_pair[a.of2] * size + third, return_inverse=True)
     c3 = np.bincount(in_path, weights=a.seen, minlength=len(paths))
-    parent2, word2 = pairs // size, names[pairs % size]
-    parent3, word3 = paths // size, names[paths % size]
+    (parent2, word2), (parent3, word3) = np.divmod(pairs, size), np.divmod(paths, size)
+    if names is not None:
+        word2, word3 = names[word2], names[word3]
     c2 = np.bincount(parent3, weights=c3, minlength=len(pairs))
     exact = model.pair_counts(words[parent2], word2)  # of a pair that is spread, this shard has a part only
     c2 = np.where(exact > 0, exact, c2)
