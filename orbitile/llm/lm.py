@@ -37,6 +37,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import discard, materialise, shared_dir
 from .eliasfano import Quantised, Trie
@@ -124,7 +125,7 @@ class Block:
         self.end = int(self.tokens[self.starts[0] + self.sizes[0] - 1]) if len(sizes) else 0  # every text ends
 
     @classmethod
-    def of_texts(cls, texts: list[str], train: list[bool], ids: list[str | None], hasher: WordHasher) -> Block:
+    def of_texts(cls, texts: list[str], train: list[bool], ids: list[str | None], hasher: Callable) -> Block:
         split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         sizes = np.array([len(ws) + 1 for ws in split], np.int64)
         hashes = np.full(sizes.sum(), END, np.uint64)
@@ -256,6 +257,17 @@ class Asked:
         self.of2 = np.repeat(np.arange(len(self.u2)), self.n2)  # pair of each path
 
 
+@dataclass
+class Levels:
+    """Words, words behind them and words behind those pairs, each but the first with the place of what it stands behind."""
+
+    first: np.ndarray
+    of_first: np.ndarray
+    second: np.ndarray
+    of_second: np.ndarray
+    third: np.ndarray
+
+
 @dataclass
 class Model:
     """A trained model: tables ``words`` and ``tries`` (shard, payload) in a folder, totals, and the frequent pairs with their counts."""
@@ -313,8 +325,21 @@ def pair_key(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
     return mix64(mix64(w1.astype(np.uint64) + np.uint64(3)) ^ w2.astype(np.uint64))
 
 
+class Hashes(dict):
+    """The hashes of ``WordHasher`` by one look-up a word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxh3_64_intdigest(word)
+        return found
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > WordHasher.LIMIT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, hasher = TaskContext.get().partitionId() << 32, WordHasher()
+    number, hasher = TaskContext.get().partitionId() << 32, Hashes()
     for b in batches:
         texts, train, ids = texts_of(b["text"]), b["train"].to_pylist(), b["doc_id"].to_pylist()
         for start, end in chunks(texts, BLOCK_CHARS):
@@ -446,8 +471,8 @@ def ask_paths(model: Model, which: str) -> Callable:
     return run
 
 
-def trie_of(a: Asked, model: Model) -> bytes:
-    """The trie of a shard, from the counted paths of all blocks."""
+def trie_of(a: Asked, model: Model) -> tuple[bytes, Levels, np.ndarray, np.ndarray]:
+    """The trie of a shard, from the counted paths of all blocks; what they ask for, once each, and where each of their pairs and paths is in that."""
     words, where1 = np.unique(a.u1, return_inverse=True)
     second, third, names = a.u2, a.w3, None
     size = 1 + max(int(x.max()) if x.size else 0 for x in (second, third))
@@ -463,26 +488,30 @@ def trie_of(a: Asked, model: Model) -> bytes:
     c2 = np.bincount(parent3, weights=c3, minlength=len(pairs))
     exact = model.pair_counts(words[parent2], word2)  # of a pair that is spread, this shard has a part only
     c2 = np.where(exact > 0, exact, c2)
-    inner = word3 != EDGE
-    parent3, word3, c3 = parent3[inner], word3[inner], c3[inner]
+    distinct, inner = Levels(words, parent2, word2, parent3, word3), word3 != EDGE
     # shares in units of their contexts, which few values occur of
-    return Trie.build(words, parent2, word2, parent3, word3, own2=c2, rest2=_rest(c2), own3=c3)
+    return Trie.build(words, parent2, word2, parent3[inner], word3[inner], own2=c2, rest2=_rest(c2), own3=c3[inner]), distinct, in_pair, in_path
 
 
-def _codes(a: Asked, data: bytes) -> Iterator[bytes]:
-    """Codes for the paths of each message, of pairs and of whole paths, in its order."""
+def _search(asked: Levels, data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    """Codes of pairs (two of each) and of paths, and their scale."""
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "trie")
         with open(path, "wb") as f:
             f.write(data)
         del data
         trie = Trie.open(path)
-        node1 = trie.roots(a.u1)
-        node2 = trie.children("pairs", "first", node1[a.of1], a.u2)
-        node3 = trie.children("triples", "second", node2[a.of2], a.w3)
+        node1 = trie.roots(asked.first)
+        node2 = trie.children("pairs", "first", node1[asked.of_first], asked.second)
+        node3 = trie.children("triples", "second", node2[asked.of_second], asked.third)
         codes = [trie.codes("own2", node2), trie.codes("rest2", node2), trie.codes("own3", node3)]
         scale = np.array([x for name in Trie.VALUES for x in (getattr(trie, name).low, getattr(trie, name).step)])
         del trie
+    return codes, scale
+
+
+def _answer(a: Asked, codes: list[np.ndarray], scale: np.ndarray) -> Iterator[bytes]:
+    """The codes for the paths of each message, in its order."""
     for k in range(len(a.ends[0])):
         cut = [slice(e[k - 1] if k else 0, e[k]) for e in a.ends]
         yield pack(codes[0][cut[0]], codes[1][cut[0]], codes[2][cut[1]], scale)
@@ -495,10 +524,11 @@ def build_tries(model: Model) -> Callable:
         for shard, rows in _groups(batches, "shard"):
             a, blocks = Asked([r["payload"] for r in rows]), [r["block"] for r in rows]
             del rows
-            data = trie_of(a, model)
-            a.seen = None
+            data, distinct, in_pair, in_path = trie_of(a, model)
             yield _rows([(-1, "trie", shard, zstandard.ZstdCompressor(level=1).compress(data))])
-            for block, payload in zip(blocks, _codes(a, data), strict=True):
+            (own2, rest2, own3), scale = _search(distinct, data)
+            codes = [own2[in_pair], rest2[in_pair], own3[in_path]]
+            for block, payload in zip(blocks, _answer(a, codes, scale), strict=True):
                 yield _rows([(block, "trained", shard, payload)])
 
     return run
@@ -518,7 +548,8 @@ def query_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = Trie.build(empty, empty, empty, empty, empty, own2=none, rest2=none, own3=none)
         else:
             data = zstandard.ZstdDecompressor().decompress(found)
-        for block, payload in zip(blocks, _codes(a, data), strict=True):
+        codes, scale = _search(Levels(a.u1, a.of1, a.u2, a.of2, a.w3), data)
+        for block, payload in zip(blocks, _answer(a, codes, scale), strict=True):
             yield _rows([(block, "codes", shard, payload)])
 
 
