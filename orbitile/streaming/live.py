@@ -38,23 +38,25 @@ def monthly_usage(scenes: DataFrame, *, late: str = "1 day") -> DataFrame:
 
 
 STATE = "done long, recent array<double>"
-OUTPUT = "grp long, done long, remaining double"
+OUTPUT = "grp long, done long, remaining double, span double"
 
 
 def throughput(events: DataFrame, total: int, last: int = 30) -> DataFrame:
     """Time left of each group after every batch, from the last completions kept in its state.
 
-    The state holds the ``last`` latest times, in whatever order batches bring them.
+    The state holds the ``last`` latest times, in whatever order batches bring them; ``span`` is the time between
+    the first and the last of them (null without any).  Completions without a time count as done.  No time is
+    left once ``total`` is reached.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, recent = state.get if state.exists else (0, [])
-        times = [t for f in frames for t in f["completed_at"]]
-        done, recent = done + len(times), sorted([*recent, *times])[-last:]
+        for f in frames:
+            done, recent = done + len(f), sorted([*recent, *f["completed_at"].dropna()])[-last:]
         state.update((done, recent))
-        span = recent[-1] - recent[0] if len(recent) > 1 else 0.0
-        per_tile = span / (len(recent) - 1) if span > 0 else 0.0
-        yield pd.DataFrame({"grp": [key[0]], "done": [done], "remaining": [max(0, total - done) * per_tile]})
+        span = recent[-1] - recent[0] if recent else None
+        per_tile = span / (len(recent) - 1) if span else 0.0
+        yield pd.DataFrame({"grp": [key[0]], "done": [done], "remaining": [max(0, total - done) * per_tile], "span": [span]})
 
     return events.groupBy("grp").applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
