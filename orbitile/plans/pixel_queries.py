@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitile.functions import masks
@@ -222,10 +222,14 @@ def download_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(views.with_views("v_acq", f" SELECT pixel_id, {rounded_sql(SIX)} FROM v_acq"))
 def bands_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-band rows (as from an archive of one file a band) back to one row a pixel."""
-    a = views.acquisitions(spark, sf_dir)
-    long = a.select("pixel_id", F.explode(F.create_map(*[x for b in SIX for x in (F.lit(b), F.col(b))])).alias("band", "value"))
-    return bd.pivot_bands(long, ["pixel_id"], SIX).select("pixel_id", *rounded(SIX))
+    """Single-band rows (as from an archive of one file a band) back to one row a pixel.
+
+    Pixels of one number are told apart by their place among those, which is the same in every run but for equal rows.
+    """
+    place = F.row_number().over(Window.partitionBy("pixel_id").orderBy(*SIX))
+    a = views.acquisitions(spark, sf_dir).select("pixel_id", *SIX, place.alias("place"))
+    long = a.select("pixel_id", "place", F.explode(F.create_map(*[x for b in SIX for x in (F.lit(b), F.col(b))])).alias("band", "value"))
+    return bd.pivot_bands(long, ["pixel_id", "place"], SIX).select("pixel_id", *rounded(SIX))
 
 
 # composites: the pixels of a tile on a 16 x 16 grid, several scenes to a cell
