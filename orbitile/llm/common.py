@@ -129,15 +129,21 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, n_keys: int) ->
     return rows.join(right, rows[key].eqNullSafe(right["__key"]), "left").drop("__key")
 
 
+def labels_of(labels: DataFrame, column: str, fold: Column | None = None) -> DataFrame:
+    """All labelled ids (doc_id, label), each once.
+
+    Rows with a null id or label are left out; of contradicting labels the larger one holds.
+    """
+    kept = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (F.lit(True) if fold is None else fold))
+    return kept.groupBy("doc_id").agg(F.max(column).alias("label"))
+
+
 def label_sample(labels: DataFrame, column: str, fold: Column, bound: int) -> DataFrame:
     """At most ``bound`` labelled ids (doc_id, label), chosen by a seeded hash of the id.
 
-    The bound makes the result safe to broadcast.  Rows with a null id or label are left
-    out; of contradicting labels the larger one holds.
+    The bound makes the result safe to broadcast.
     """
-    kept = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & fold)
-    kept = kept.groupBy("doc_id").agg(F.max(column).alias("label"))
-    return kept.orderBy(seeded_hash(17, "doc_id"), "doc_id").limit(bound)
+    return labels_of(labels, column, fold).orderBy(seeded_hash(17, "doc_id"), "doc_id").limit(bound)
 
 
 def packed(docs: DataFrame, *needed: str | Column) -> DataFrame:

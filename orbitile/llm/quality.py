@@ -1,8 +1,7 @@
 """Quality rules: counted rules, and a hashed n-gram log-likelihood ratio.
 
 The ratio compares a multinomial over hashed byte n-grams of trusted rows with one of the
-raw corpus.  Raw counts cover every document; the trusted rows and the cut come from a
-bounded labelled sample.
+raw corpus.  Raw counts cover every document, trusted counts and the cut every labelled one.
 """
 
 from __future__ import annotations
@@ -12,18 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, label_sample, packed
-from .text import WordHasher, best_cut, chunks, mix64, texts_of
+from .common import beside, discard, labels_of, materialise, packed
+from .text import WordHasher, chunks, mix64, texts_of
 
 #: Bytes in an n-gram, and bits of its hash.
 GRAM, HASH_BITS = 4, 16
 #: Added to every bucket's count, and steps of a unit of the log-likelihood ratio.
 SMOOTHING, UNITS = 1.0, 1 << 20
-#: Labelled rows that serve as trusted target and set the cut, at most.
-SAMPLE_ROWS = 20_000
 #: Balanced accuracy that the cut gives up to spare good rows.
 SLACK = 0.005
 CHUNK = 1_000_000
@@ -85,14 +82,42 @@ class Ratio:
         return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, bound: int = SAMPLE_ROWS) -> Ratio:
-    """Count both multinomials and set the cut by balanced accuracy on the labelled sample.
+def cut_of(rows: DataFrame, share: float = 0.5, slack: float = 0.0) -> float:
+    """``text.best_cut`` over all rows (value, positive), in any number.
 
-    The driver gets one row per bucket and one mean per sampled row, both bounded by
-    parameters.  Without labelled rows the ratio is 0 and everything is kept.
+    Values are counted, put in order in ranges and summed range by range: no task sees more than a
+    range, and the driver gets a few numbers.
     """
-    sample = F.broadcast(label_sample(labels, "quality", F.lit(True), bound))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id", "left").select("text", "label")
+    counted = rows.groupBy("value").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+    ranged = materialise(counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    # one row for each range, so that this window is as short as the list of tasks
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sizes = sizes.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("pos", "neg")])
+    n_pos, n_neg, last = ranged.agg(F.sum("pos"), F.sum("neg"), F.max("value")).first()
+    if last is None:
+        discard(ranged)
+        return 0.0
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    pos, neg = (F.col(f"{c}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("pos", "neg"))
+    gains = materialise(ranged.join(F.broadcast(sizes), "part").select("value", (neg / max(1, n_neg) - pos / max(1, n_pos)).alias("gain")))
+    best = max(gains.agg(F.max("gain")).first()[0], n_neg / max(1, n_neg) - n_pos / max(1, n_pos))
+    high = gains.where(F.col("gain") >= best - slack).agg(F.min("value")).first()[0]
+    low = last if high is None else gains.where(F.col("value") < high).agg(F.max("value")).first()[0]
+    discard(ranged, gains)
+    low, high = (high if low is None else low), (last if high is None else high)
+    return low + share * (high - low)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Ratio:
+    """Count both multinomials and set the cut by balanced accuracy, over all labelled rows.
+
+    Texts are shuffled once, to meet their labels; beside their means, only ids are later.  The
+    driver gets one row per bucket.  Without labelled rows the ratio is 0 and everything is kept.
+    """
+    docs, marked = docs.select("doc_id", "text"), labels_of(labels, "quality")
+    # a table of labels by id in each task, so that no text is sorted
+    rows = docs.join(marked.hint("shuffle_hash"), "doc_id", "left").select("text", "label")
     counted = rows.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket")
     found = counted.agg(F.sum("raw"), F.sum("trusted")).collect()
     raw, trusted = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
@@ -106,14 +131,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, bound: int = SAMPLE_ROWS) -> Ra
 
     ratio = Ratio(np.rint((logs(trusted) - logs(raw)) * UNITS).astype(np.int64), 0.0)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b["doc_id"].cast(pa.string()), b["label"].cast(pa.int32()), pa.array(ratio.means(texts_of(b["text"])))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "mean"])
+    @F.arrow_udf("double")
+    def mean(texts: pa.Array) -> pa.Array:
+        return pa.array(ratio.means(texts_of(texts)))
 
-    means = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(scored, "doc_id string, label int, mean double")
-    pairs = means.groupBy("doc_id").agg(F.max("label"), F.min("mean")).select(F.col("max(label)"), F.col("min(mean)")).collect()  # one a sampled id, however often it occurs
-    return Ratio(ratio.table, best_cut(np.array([p[1] for p in pairs]), np.array([p[0] > 0 for p in pairs]), slack=SLACK))
+    means = docs.select("doc_id", mean("text").alias("mean")).join(marked, "doc_id")
+    pairs = means.groupBy("doc_id").agg(F.min("mean").alias("value"), (F.max("label") > 0).alias("positive"))  # one an id, however often it occurs
+    return Ratio(ratio.table, cut_of(pairs, slack=SLACK))
 
 
 def base_counts(texts: list[str], hasher: WordHasher) -> list[tuple[int, int, int, int, int]]:
